@@ -128,8 +128,8 @@ class Words:
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
-    def hashes(self) -> np.ndarray:
-        """A polynomial of each word's bytes modulo 2^64, mixed."""
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A polynomial of each word's bytes (of the first ``most``) modulo 2^64, mixed."""
         if not len(self):
             return np.zeros(0, np.uint64)
         reach = np.diff(np.append(self.starts, len(self.data)))
@@ -138,7 +138,7 @@ class Words:
             longest = int((self.ends - self.starts).max())
             power = np.cumprod(np.full(longest + 1, _PRIME, np.uint64))
             part = (self.data[self.starts[0] :].astype(np.uint64) + np.uint64(1)) * power[np.minimum(place, longest)]
-            part[~self._solid[self.starts[0] :]] = 0
+            part[~self._solid[self.starts[0] :] if most is None else (place >= most) | ~self._solid[self.starts[0] :]] = 0
             return mix(np.add.reduceat(part, self.starts - self.starts[0]))
 
 

@@ -218,7 +218,7 @@ def _distinct(table: pa.Table) -> pa.Table:
     return pa.table({"n": pa.array([counts]), "v": pa.array([len(keys)])})
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, strength: float = 2000.0, parts: int = 7, hold: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, strength: float = 200.0, parts: int = 7, hold: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
     """log10 probability of each whole text under an n-gram model of the texts that aren't held out.
 
     Result: (id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row

@@ -1,7 +1,8 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed n-grams and skip-grams.
 
-Features of a text are the buckets of its words, its pairs of neighbours and its
-pairs with one word between, each counted once.  FTRL-proximal keeps a learning
+Features of a text are the buckets of its words, of their stems (first 4 and 5
+bytes), of its pairs of neighbours and its pairs with one word between, each
+counted once.  FTRL-proximal keeps a learning
 rate for each coordinate and sets weights to exactly zero under its L1 penalty, so
 the model is a short list of (bucket, weight) of at most ``2 ** bits`` entries,
 which bounds what is broadcast.  Scoring is one pass over the texts without a
@@ -27,9 +28,9 @@ class Ftrl(NamedTuple):
     rows: int = 12_000
     bits: int = 20
     passes: int = 3
-    alpha: float = 0.15
+    alpha: float = 0.3
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 6.0
     l2: float = 1.0
 
 
@@ -43,7 +44,7 @@ class Model(NamedTuple):
 def _features(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and buckets of all features, repeats included."""
     h, row = words.hashes(), words.rows
-    rows, out = [row], [join_hash(np.full_like(h, 1), h)]
+    rows, out = [row] * 3, [join_hash(np.full_like(h, 1), h), *(join_hash(np.full_like(h, k), words.hashes(k)) for k in (4, 5))]
     for gap in (1, 2):
         n = max(0, len(h) - gap)
         same = np.flatnonzero(row[:n] == row[gap:])
