@@ -52,22 +52,21 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` cut from their lineage by a reliable checkpoint.
-
-    The folder is the one that the session names in ``spark.checkpoint.dir``;
-    only a session without one (tests) gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
+    named = context.getConf().get("spark.checkpoint.dir")
+    folder = context._jsc.sc().getCheckpointDir()
+    if folder.isEmpty():
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+        folder = context._jsc.sc().getCheckpointDir()
+    return named or folder.get()
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def shared(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` cut from their lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 #: Byte tables for Words: A-Z lower-cased; the same with ASCII punctuation as space.

@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,31 +152,53 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     words aren't searched for; ids may be null or repeat, each row giving its own
     pairs; an empty benchmark gives no rows; other columns aren't read.
     """
-    spark = docs.sparkSession
     item_type = benchmark.schema[item_col].dataType
-    items = benchmark.select(col(item_col).alias("item"), text_of(item_text_col).alias("text"))
     rows = docs.select(col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     schema = rows.select("_id").schema.add("_item", item_type)
     for name in ("distance", "item_words", "first_word", "end_word"):
         schema = schema.add(name, "long")
-    passes, ids, texts, size = [], [], [], 0
+    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_type.simpleString())
+    out = None
+    for ids, sent in _blocks(benchmark, item_col, item_text_col, rate, least, block_bytes):
+        found = rows.mapInArrow(_scan(sent, pa.array(ids, kind)), schema)
+        out = found if out is None else out.unionByName(found)
+    return out.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "distance", "item_words", "first_word", "end_word")
 
-    def close() -> None:
-        nonlocal ids, texts, size
-        sent = spark.sparkContext.broadcast(build(texts, rate, least))
-        arrow = pa.array(ids, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_type.simpleString()))
-        passes.append(rows.mapInArrow(_scan(sent, arrow), schema))
-        ids, texts, size = [], [], 0
 
-    for r in items.toLocalIterator():  # one block at a time
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, rate: float, least: int, block_bytes: int):
+    """Ids and the broadcast pieces of each block of items; one block at least, one at a time on the driver."""
+    context = benchmark.sparkSession.sparkContext
+    ids, texts, size, none = [], [], 0, True
+    for r in benchmark.select(col(item_col).alias("item"), text_of(item_text_col).alias("text")).toLocalIterator():
         if size + len(r.text) > block_bytes and ids:
-            close()
+            yield ids, context.broadcast(build(texts, rate, least))
+            ids, texts, size, none = [], [], 0, False
         ids.append(r.item)
         texts.append(r.text)
         size += len(r.text)
-    if ids or not passes:
-        close()
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
-    return out.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "distance", "item_words", "first_word", "end_word")
+    if ids or none:
+        yield ids, context.broadcast(build(texts, rate, least))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.15, least: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows in which ``decontaminate`` finds no item, all columns as they are; no shuffle.
+
+    Defined cases: as there; rows with a null or empty text stay.
+    """
+    at = docs.columns.index(text_col)
+
+    def keep(sent):
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = sent.value
+            for batch in batches:
+                texts = pc.fill_null(batch.column(at).cast(pa.string()), "")
+                for part in slices(batch.append_column("_text", texts)):
+                    bad = {r for r, *_ in _hits(Words(part.column(batch.num_columns), PLAIN), block)}
+                    kept = part.filter(pa.array([r not in bad for r in range(part.num_rows)], pa.bool_()))
+                    yield pa.RecordBatch.from_arrays(kept.columns[:-1], batch.schema.names)
+
+        return clean
+
+    for _, sent in _blocks(benchmark, item_col, item_text_col, rate, least, block_bytes):
+        docs = docs.mapInArrow(keep(sent), docs.schema)
+    return docs

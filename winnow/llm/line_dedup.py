@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, keyed
+from .common import SPACE, ascii_lower, col, keyed, row_key, text_of
 
 
 def line_key(line: Column) -> Column:
@@ -28,10 +28,11 @@ def _kept(lines: Column, dropped: Column) -> Column:
     return F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drops lines found in ``min_docs`` documents or more, but for the smallest id that holds them.
 
-    Result: (id, n_lines, n_dropped, kept_text), one row for each row in.  Lines
+    Result: (id, n_lines, n_dropped, kept_text) and the columns ``carry``, one row for
+    each row in.  Lines
     are split at ``\\n``; those whose key (see ``line_key``) has fewer than
     ``min_chars`` code points always stay.  Within the document of the smallest
     id every copy of the line stays.
@@ -55,8 +56,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     drop = hashed.join(shared, ["a", "b"]).filter(~F.col("_key.id").eqNullSafe(F.col("owner.id")))
     places = drop.groupBy("_key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
-    split = texts.join(places, "_key", "left").select(F.col("_key.id").alias(id_col), F.split("_text", "\n", -1).alias("lines"), "dropped")
+    extra = [c for c in carry if c not in (id_col, text_col)]
+    whole = docs.select(row_key(id_col, text_col).alias("_key"), text_of(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *[col(c) for c in extra]).alias("_carry"))
+    split = whole.join(places, "_key", "left").select(F.col("_key.id").alias("id"), F.split("_text", "\n", -1).alias("lines"), "dropped", "_carry")
     size = F.size("lines").cast("long")
     gone = F.coalesce(F.size("dropped"), F.lit(0)).cast("long")
     kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(_kept(F.col("lines"), F.col("dropped")))
-    return split.select(id_col, size.alias("n_lines"), gone.alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"))
+    return split.select(F.col("id").alias(id_col), size.alias("n_lines"), gone.alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"), *[F.col("_carry").getField(c).alias(c) for c in extra])

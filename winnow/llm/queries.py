@@ -12,7 +12,7 @@ from .line_dedup import line_dedup
 from .ngram_lm import lm_score
 from .packing import pack
 from .quality import RULES, STOP_WORDS, quality
-from .secrets import find_secrets, joined
+from .secret_scan import find_secrets, joined
 from .sharding import shard
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup

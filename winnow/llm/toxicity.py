@@ -16,8 +16,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import PLAIN, Words, col, join_hash, slices, text_of
 
@@ -122,25 +124,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(settings.bits, one.bias, np.frombuffer(one.buckets, np.int32), np.frombuffer(one.weights, np.float64))
 
 
-def _score(sent):
+def _score(sent, text: int, keep: int, name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         table = np.zeros(1 << model.bits, np.float32)
         table[model.buckets] = model.weights
         for batch in batches:
-            for part in slices(batch):
-                rows, buckets = _features(Words(part.column("_text"), PLAIN), model.bits)
+            texts = pc.fill_null(batch.column(text).cast(pa.string()), "")
+            for part in slices(batch.append_column("_text", texts)):
+                rows, buckets = _features(Words(part.column(batch.num_columns), PLAIN), model.bits)
                 used = table[buckets] != 0
                 pairs = np.unique((rows[used] << model.bits) | buckets[used])
                 sums = np.bincount(pairs >> model.bits, table[pairs & ((1 << model.bits) - 1)], part.num_rows) + model.bias
                 out = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(out)], [*part.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(keep)), pa.array(out)], [*part.schema.names[:keep], name])
 
     return score
 
 
-def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, columns ``carry``, score): the probability that a text is toxic, for each row in.
+def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
+    """(id, columns ``carry``, ``score_col``): the probability that a text is toxic, for each row in.
 
     Only the text is scored.  Defined cases: a null or empty text has the model's
     base score; repeated rows and null ids come out as they are; columns not named
@@ -148,6 +151,8 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** bits entries at most
     names = list(dict.fromkeys((id_col, *carry)))
-    rows = docs.select(*[col(c) for c in names], text_of(text_col).alias("_text"))
-    schema = docs.select(*[col(c) for c in names]).schema.add("score", "double")
-    return rows.mapInArrow(_score(sent), schema)
+    rows = docs.select(*[col(c) for c in names])
+    schema = StructType([*rows.schema, StructField(score_col, DoubleType())])
+    if text_col not in names:
+        rows = docs.select(*[col(c) for c in names], col(text_col).cast("string"))
+    return rows.mapInArrow(_score(sent, rows.columns.index(text_col), len(names), score_col), schema)
