@@ -80,20 +80,22 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     def lined(pattern: str) -> Column:
         return F.size(F.filter(lines, lambda x: x.rlike(pattern))).cast("long")
 
-    return base.select(
-        F.col("_id").alias(id_col),
-        size.alias("n_words"),
-        F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _repeated(words, F.col("_grams"), n).alias("n_repeat_words"),
-        F.size(lines).cast("long").alias("n_text_lines"),
-        lined(r"^[\x20\x09-\x0D]*[-*•]").alias("n_bullet_lines"),
-        lined(r"(\.\.\.|…)[\x20\x09-\x0D]*$").alias("n_ellipsis_lines"),
-        those(lambda w: F.lower(w).isin(STOP_WORDS)).alias("n_stop_words"),
-        those(lambda w: w.endswith("!!")).alias("n_exclaimed"),
-        those(lambda w: w.rlike(r"\p{L}")).alias("n_letter_words"),
-    )
+    counts = {
+        "n_words": size,
+        "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": _repeated(words, F.col("_grams"), n),
+        "n_text_lines": F.size(lines).cast("long"),
+        "n_bullet_lines": lined(r"^[\x20\x09-\x0D]*[-*•]"),
+        "n_ellipsis_lines": lined(r"(\.\.\.|…)[\x20\x09-\x0D]*$"),
+        "n_stop_words": those(lambda w: F.lower(w).isin(STOP_WORDS)),
+        "n_exclaimed": those(lambda w: w.endswith("!!")),
+        "n_letter_words": those(lambda w: w.rlike(r"\p{L}")),
+    }
+    # The partition's number is in the struct so that a filter on the verdict isn't moved below and evaluated anew for each rule.
+    once = base.select("_id", F.struct(*[c.alias(k) for k, c in counts.items()], F.spark_partition_id().alias("_at")).alias("_m"))
+    return once.select(F.col("_id").alias(id_col), *[F.col(f"_m.{k}").alias(k) for k in counts])
 
 
 def passes(rule: Rule) -> Column:

@@ -50,7 +50,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(name) for k, name in enumerate(("n_assign", "n_access", "n_hex"))]
+    counts = [F.array_size(F.array_remove(F.transform("found", lambda x: F.when(x["kind"] == F.lit(k), 1).otherwise(0)), 0)).cast("long").alias(name) for k, name in enumerate(("n_assign", "n_access", "n_hex"))]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("found"), most=3), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 

@@ -121,6 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(wanted), "_id")
     sets = texts.select("_order", "_label", "_text").mapInArrow(_extract(settings.bits), "_order bigint, _label double, set binary")
     one = sets.repartition(1).sortWithinPartitions("_order", "set").mapInArrow(_learn(settings), "bias double, buckets binary, weights binary").first()
+    if one is None:  # no labelled row
+        return Model(settings.bits, 0.0, np.zeros(0, np.int32), np.zeros(0))
     return Model(settings.bits, one.bias, np.frombuffer(one.buckets, np.int32), np.frombuffer(one.weights, np.float64))
 
 
