@@ -44,7 +44,7 @@ def reason_counts(df: DataFrame, reasons: str) -> DataFrame:
 def merge_cycles(df: DataFrame, run: str, cycle: str, sums: Sequence[str], last: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
     """AGG3: figures of several cycles as one row for each run: sums, last known values, lists in order."""
     aggs = [F.sum(c).alias(c) for c in sums] + [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(cycle))).alias(c) for c in last]
-    aggs += [F.transform(F.array_sort(F.collect_list(F.struct(cycle, c))), lambda x, c=c: x[c]).alias(c) for c in lists]
+    aggs += [F.array_sort(F.collect_list(F.struct(cycle, c))).getField(c).alias(c) for c in lists]
     return df.groupBy(run).agg(*aggs, F.max(cycle).alias("cycles"))
 
 
