@@ -11,55 +11,149 @@ hold them and rises by one whenever a window is over the capacity.
 from __future__ import annotations
 
 import heapq
+import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, slices, text_of
+from .common import buffers, col, mix, slices, text_of
 
-#: White space of any kind; more than the tokenizer's own only makes spans longer.
-_SPACED = frozenset(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | frozenset(map(chr, range(0x2000, 0x200B)))
+_KINDS = np.full(256, 3, np.uint8)  # 0 space, 1 letter, 2 digit, 3 other; within simple texts
+_KINDS[[9, 10, 11, 12, 13, 32]] = 0
+_KINDS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KINDS[48:58] = 2
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+def _simple(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text has only ASCII and letters up to U+024F, no contraction and no special token.
 
-    return Tokenizer.from_file(path), {}
+    The others take the tokenizer's own way.
+    """
+    if not len(data):
+        return np.ones(len(offsets) - 1, bool)
+    follow = np.append(data[1:], np.uint8(0))
+    odd = (data >= 0xCA) | (data == 0xC2) | ((data >= 28) & (data < 32))
+    odd |= (data == 0xC3) & ((follow == 0x97) | (follow == 0xB7)) | (data == 0xC6) & (follow == 0xBB) | (data == 0xC7) & (follow < 0x84)
+    odd |= (data == 39) & np.isin(follow, np.frombuffer(b"stmdrvl", np.uint8)) | (data == 60) & (follow == 124)
+    bad = np.concatenate([[0], np.cumsum(odd)])[offsets]
+    return bad[1:] == bad[:-1]
 
 
-def _spans(text: str) -> list[str]:
-    """A text cut before each single space between two characters that aren't white space.
+class _Spans:
+    """Byte ranges that a byte-level tokenizer encodes on their own, of many simple texts at once.
 
-    A byte-level tokenizer starts a new piece at such a space whatever stands
-    around it, so spans have the same ids alone as in the text.
+    A span is a run of letters, of digits or of other characters with the space before
+    it, or a run of white space without the last character when something follows.
     """
-    parts = text.split(" ")
-    out, held = [parts[0]], parts[0]
-    for p in parts[1:]:
-        if p and held and p[0] not in _SPACED and held[-1] not in _SPACED:
-            out.append(" " + p)
-        else:
-            out[-1] += " " + p
-        held = p
-    return out
+
+    def __init__(self, texts: pa.Array):
+        self.data, self.offsets = buffers(texts)
+        data, n = self.data, len(self.data)
+        kind = _KINDS[data]
+        edge = np.zeros(n + 1, bool)
+        edge[self.offsets] = True  # where a text begins or ends
+        new = edge[:-1].copy()
+        space = kind == 0
+        new[1:] |= kind[1:] != kind[:-1]
+        glued = np.zeros(n, bool)  # after one blank, which goes with what follows
+        glued[1:] = ~space[1:] & (data[:-1] == 32)
+        new &= ~(glued & ~edge[:-1])
+        last = np.zeros(n, bool)  # the last white space before something in the same text
+        last[:-1] = space[:-1] & ~space[1:]
+        new |= last & ~edge[1:]
+        self.starts = np.flatnonzero(new)
+        self.ends = np.append(self.starts[1:], n)
+        self.bounds = np.searchsorted(self.starts, self.offsets)
+
+    def hashes(self) -> np.ndarray:
+        size = self.ends - self.starts
+        place = np.arange(len(self.data)) - np.repeat(self.starts, size)
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(int(size.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+            return mix(np.add.reduceat((self.data + np.uint64(1)) * power[place], self.starts) + size.astype(np.uint64)) if len(self.starts) else np.zeros(0, np.uint64)
+
+
+class _Encoder:
+    """The ids of spans by their 64-bit hash: those seen first in a worker are kept, up to ``most``; new ones are encoded."""
+
+    def __init__(self, path: str, most: int = 4_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core already
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.pool, self.old, self.new = np.zeros(0, np.uint32), self._empty(), self._empty()
+
+    @staticmethod
+    def _empty() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @staticmethod
+    def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, at, -1)
+
+    @staticmethod
+    def _merged(a, b):
+        at = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(a, b, strict=True))
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def spans(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of simple texts, and the bounds of each text's."""
+        spans = _Spans(texts)
+        keys, first, back = np.unique(spans.hashes(), return_index=True, return_inverse=True)
+        at = self._find(self.old[0], keys)
+        begin = np.where(at >= 0, self.old[1][at] if len(self.old[1]) else 0, -1)
+        size = np.where(at >= 0, self.old[2][at] if len(self.old[2]) else 0, 0)
+        left = np.flatnonzero(at < 0)
+        at = self._find(self.new[0], keys[left])
+        hit = left[at >= 0]
+        begin[hit], size[hit] = self.new[1][at[at >= 0]], self.new[2][at[at >= 0]]
+        left = left[at < 0]
+        pool = self.pool
+        if len(left):
+            raw = spans.data.tobytes()
+            parts = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(spans.starts[first[left]].tolist(), spans.ends[first[left]].tolist(), strict=True)], add_special_tokens=False)]
+            n = np.fromiter(map(len, parts), np.int64, len(parts))
+            added = np.fromiter(chain.from_iterable(parts), np.uint32, int(n.sum()))
+            begin[left], size[left] = len(pool) + np.cumsum(n) - n, n
+            pool = np.concatenate([pool, added])
+            if len(self.old[0]) + len(self.new[0]) < self.most:
+                self.pool = pool
+                self.new = self._merged(self.new, (keys[left], begin[left], n))
+                if len(self.new[0]) > 100_000:
+                    self.old, self.new = self._merged(self.old, self.new), self._empty()
+        begin, size = begin[back], size[back]
+        ends = np.cumsum(size)
+        ids = pool[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size - begin, size)]
+        return ids, np.concatenate([[0], ends])[spans.bounds]
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
-def encode(texts: list[str], path: str, most: int = 500_000) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers; spans seen before aren't encoded again."""
-    tokenizer, known = _tokenizer(path)
-    cut = [_spans(t) for t in texts]
-    new = [s for s in dict.fromkeys(s for spans in cut for s in spans) if s not in known]
-    if len(known) + len(new) > most:
-        known.clear()
-        new = list(dict.fromkeys(s for spans in cut for s in spans))
-    for s, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[s] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, spans)) for spans in cut]
+def encode(texts: list[str], path: str) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit numbers."""
+    encoder = _encoder(path)
+    column = pa.array(texts, pa.string())
+    simple = _simple(*buffers(column))
+    ids, bounds = encoder.spans(column.filter(pa.array(simple)))
+    data = ids.astype("<u4").tobytes()
+    one = iter([data[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+    other = iter([x.astype("<u4").tobytes() for x in encoder.whole([t for t, ok in zip(texts, simple, strict=True) if not ok])])
+    return [next(one) if ok else next(other) for ok in simple]
 
 
 def _pieces(path: str, capacity: int, grain: int, last: int):
@@ -67,7 +161,7 @@ def _pieces(path: str, capacity: int, grain: int, last: int):
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, most=1 << 20):
+            for part in slices(batch, most=2 << 20):
                 rows, starts, ids, totals = [], [], [], []
                 for r, code in enumerate(encode(part.column("_text").to_pylist(), path)):
                     code += end
@@ -131,7 +225,7 @@ def windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
 
 def _pack(capacity: int):
     def pack(table: pa.Table) -> pa.Table:
-        lengths = np.array([len(x) // 4 for x in table.column("ids").to_pylist()], np.int64)
+        lengths = pc.binary_length(table.column("ids")).to_numpy().astype(np.int64) // 4
         starts = table.column("start").to_numpy()
         short = np.flatnonzero(lengths < capacity)
         by = short[np.lexsort((starts[short], -lengths[short]))]
