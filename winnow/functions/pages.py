@@ -156,7 +156,7 @@ def split_hub(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             yield pd.DataFrame(rows, columns=["url", "date", "title", "entry_url"])
 
     out = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(split, "url string, date string, title string, entry_url string")
-    return out.withColumn("date", parse_result("date")).filter("date IS NOT NULL AND title <> ''")
+    return out.withColumn("date", parse_result(F.col("date"))).filter("date IS NOT NULL AND title <> ''")
 
 
 def json_object(text: Column) -> Column:
