@@ -78,6 +78,30 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
 
 
+def _packed(keys: np.ndarray, low: int) -> bytes:
+    """Ascending keys as differences, the first from ``low``: six bytes each if all fit, else eight."""
+    steps = np.diff(keys, prepend=np.uint64(low))
+    few = len(steps) and int(steps.max()) < 1 << 48
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, : 6 if few else 8]).tobytes()
+
+
+def _unpacked(data: bytes, n: int, low: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    if n:
+        wide[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(n, -1)
+    with np.errstate(over="ignore"):
+        return np.cumsum(wide.reshape(-1).view(np.uint64), dtype=np.uint64) + np.uint64(low)
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in four bytes each if all fit, else in eight."""
+    return counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64).tobytes()
+
+
+def _counts(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint32 if len(data) == 4 * n else np.int64).astype(np.int64)
+
+
 def _ask(order: int, parts: int):
     """A block's distinct n-grams and training counts, a row for each hash range."""
 
@@ -91,20 +115,34 @@ def _ask(order: int, parts: int):
         cuts = _part(keys, parts)
         some = np.flatnonzero(np.diff(cuts))
         blk = table.column("blk")[0].as_py() if table.num_rows else 0
-        return pa.table({"part": pa.array(some, pa.int32()), "blk": pa.array([blk] * len(some), pa.int64()), "keys": pa.array([keys[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()), "counts": pa.array([counts[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary())})
+        return pa.table(
+            {
+                "part": pa.array(some, pa.int32()),
+                "blk": pa.array([blk] * len(some), pa.int64()),
+                "n": pa.array(np.diff(cuts)[some], pa.int32()),
+                "keys": pa.array([_packed(keys[cuts[p] : cuts[p + 1]], (int(p) << 64) // parts) for p in some], pa.binary()),
+                "counts": pa.array([_narrow(counts[cuts[p] : cuts[p + 1]]) for p in some], pa.binary()),
+            }
+        )
 
     return ask
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(parts: int):
     """Adds up the counts of a hash range over all blocks; each block's row comes back with the sums."""
-    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.zeros(int(at.max()) + 1, np.int64)
-    np.add.at(sums, at, counts)
-    back, ends = sums[at], np.cumsum([0, *map(len, keys)])
-    return pa.table({"part": table.column("part"), "blk": table.column("blk"), "sums": pa.array([back[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+
+    def answer(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_pylist()
+        low = (table.column("part")[0].as_py() << 64) // parts
+        keys = np.concatenate([_unpacked(x, n, low) for x, n in zip(table.column("keys").to_pylist(), sizes, strict=True)])
+        counts = np.concatenate([_counts(x, n) for x, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])
+        _, at = np.unique(keys, return_inverse=True)
+        sums = np.zeros(int(at.max()) + 1, np.int64)
+        np.add.at(sums, at, counts)
+        back, ends = sums[at], np.cumsum([0, *sizes])
+        return pa.table({"part": table.column("part"), "blk": table.column("blk"), "n": table.column("n"), "sums": pa.array([_narrow(back[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+
+    return answer
 
 
 def _traverse(inverse: list[np.ndarray], counts: np.ndarray, arc: np.ndarray, fail: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -155,7 +193,7 @@ def _score(order: int, parts: int, n: int, v: int, strength: float):
         keys, first, at = np.unique(np.concatenate(grams), return_index=True, return_inverse=True)
         inverse = list(at.reshape(order, -1))
         answers = answers.sort_by("part")
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in answers.column("sums").to_pylist()] or [np.zeros(0, np.int64)])
+        counts = np.concatenate([_counts(x, n) for x, n in zip(answers.column("sums").to_pylist(), answers.column("n").to_pylist(), strict=True)] or [np.zeros(0, np.int64)])
         size = len(tokens)
         prob = np.zeros(len(keys))
         for k in range(1, order + 1):  # from short n-grams to long: each arc's weight has its suffix's in it
@@ -238,8 +276,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", or
     total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
 
     dealt = texts.withColumn("blk", F.pmod(F.xxhash64("_key"), F.lit(blocks)))
-    asked = dealt.groupBy("blk").applyInArrow(_ask(order, ranges), "part int, blk bigint, keys binary, counts binary")
-    answered = asked.groupBy("part").applyInArrow(_answer, "part int, blk bigint, sums binary")
+    asked = dealt.groupBy("blk").applyInArrow(_ask(order, ranges), "part int, blk bigint, n int, keys binary, counts binary")
+    answered = asked.groupBy("part").applyInArrow(_answer(ranges), "part int, blk bigint, n int, sums binary")
     out = f"id {docs.schema[id_col].dataType.simpleString()}, learn boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     scored = dealt.groupBy("blk").cogroup(answered.groupBy("blk")).applyInArrow(_score(order, ranges, int(total[0]), int(total[1]), strength), out)
     return scored.select(F.col("id").alias(id_col), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(int(total[0])).cast("long").alias("train_tokens"), "base_score", "score")
