@@ -6,7 +6,7 @@ one CASE or one sum, evaluated inside the scan's stage without a user function.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ def first_set(*cs: Column) -> Column:
     return F.coalesce(*[F.nullif(c.cast("string"), F.lit(NONE)) for c in cs], F.lit(NONE))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_match(rules: Iterable[tuple[str, Column]], default: str = NONE) -> Column:
     """Label of the first condition that holds."""
     out = None

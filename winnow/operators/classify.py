@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from ..functions.rules import any_term, blank, first_match, first_set, hits, lookup, score
+from ..functions.rules import any_term, blank, first_match, first_set, hits, let, lookup, score
 from ..functions.text import normalized_text, update_title
 from ..functions.urls import bare_domain, domain, label, under_any
 from ..functions.values import clamp
@@ -21,27 +21,25 @@ def by_terms(text: Column, groups: Sequence[tuple[str, Sequence[str]]], default:
 
 def sector(title: Column, content: Column, bucket: Column) -> Column:
     """CLS1."""
-    return by_terms(F.lower(F.concat_ws(" ", blank(title), blank(content), blank(bucket))), T.SECTORS, T.SECTOR_DEFAULT)
+    return let(F.lower(F.concat_ws(" ", blank(title), blank(content), blank(bucket))), lambda t: by_terms(t, T.SECTORS, T.SECTOR_DEFAULT))
 
 
 def topic_group(text: Column) -> Column:
     """CLS7: a group, else the first word of four ASCII letters, else ``general``."""
-    low = F.lower(blank(text))
-    return first_set(by_terms(low, T.TOPIC_GROUPS), F.regexp_extract(low, "([a-z]{4,})", 1), F.lit("general"))
+    return let(F.lower(blank(text)), lambda low: first_set(by_terms(low, T.TOPIC_GROUPS), F.regexp_extract(low, "([a-z]{4,})", 1), F.lit("general")))
 
 
 def course_topic(text: Column) -> Column:
     """CLS8-CLS10: a group, else the first word of four letters, else ``general_ai``."""
-    t = normalized_text(text)
-    word = F.get(F.filter(F.split(t, " ", -1), lambda w: F.char_length(w) > 3), F.lit(0))
-    return first_set(by_terms(t, T.COURSE_TOPICS), word, F.lit("general_ai"))
+    word = lambda t: F.get(F.filter(F.split(t, " ", -1), lambda w: F.char_length(w) > 3), F.lit(0))
+    return let(normalized_text(text), lambda t: first_set(by_terms(t, T.COURSE_TOPICS), word(t), F.lit("general_ai")))
 
 
 def function_group(supplied: Column, text: Column) -> Column:
     """CLS6: the supplied category if it is a known one, else by terms, else ``other``."""
     given = F.lower(F.trim(blank(supplied)))
     known = [*(name for name, _ in T.FUNCTION_GROUPS), "other"]
-    return F.when(given.isin(known), given).otherwise(by_terms(normalized_text(text), T.FUNCTION_GROUPS, "other"))
+    return F.when(given.isin(known), given).otherwise(let(normalized_text(text), lambda t: by_terms(t, T.FUNCTION_GROUPS, "other")))
 
 
 def level(value: Column) -> Column:
@@ -57,9 +55,18 @@ def display_level(value: Column) -> Column:
 
 def course_level(title: Column, content: Column) -> Column:
     """CLS13: (level, confidence, source): stated, then prerequisites, then modules, then the title."""
-    t, evidence = normalized_text(title), F.trim(F.concat_ws(" ", normalized_text(title), normalized_text(content)))
+    t = normalized_text(title)
+    both = F.struct(t.alias("title"), F.trim(F.concat_ws(" ", t, normalized_text(content))).alias("evidence"))
+    return let(both, lambda x: let(_prerequisites(x["evidence"]), lambda asked: _level(x["title"], x["evidence"], asked)))
+
+
+def _prerequisites(evidence: Column) -> Column:
+    """What follows a word for requirements, else all of the text."""
     found = F.regexp_extract_all(evidence, F.lit(r"((?:prerequisites?|requirements?|before (?:taking|starting)|you should know).{0,220})"), F.lit(1))
-    asked = first_set(F.array_join(found, " "), evidence)
+    return first_set(F.array_join(found, " "), evidence)
+
+
+def _level(t: Column, evidence: Column, asked: Column) -> Column:
     python, ml, cloud = F.contains(asked, F.lit("python")), any_term(asked, T.ML_PREREQUISITES), any_term(asked, T.CLOUD_PREREQUISITES)
     needs = any_term(asked, T.REQUIRES)
 
@@ -142,7 +149,11 @@ def developer_hits(text: Column) -> Column:
 
 def user_fit(text: Column) -> Column:
     """SCO1, SCO4: (score, reasons): value for people who don't program."""
-    developer, users, value = developer_hits(text), hits(text, T.GENERAL_USER), hits(text, T.USER_VALUE)
+    return let(text, lambda t: let(F.struct(developer_hits(t).alias("d"), hits(t, T.GENERAL_USER).alias("u"), hits(t, T.USER_VALUE).alias("v")), lambda found: _user_fit(t, found)))
+
+
+def _user_fit(text: Column, found: Column) -> Column:
+    developer, users, value = found["d"], found["u"], found["v"]
     now, none = any_term(text, T.AVAILABLE_NOW), (F.size(users) == 0) & (F.size(value) == 0)
     points = score(((F.size(developer) > 0, -8), (now, 2), (none, -4))) + F.least(F.lit(6), F.size(users) * 2) + F.least(F.lit(6), F.size(value) * 3)
 
@@ -221,14 +232,12 @@ def update_signal(text: Column, url: Column) -> Column:
 
 def free_status(text: Column) -> Column:
     """CLS12."""
-    t = normalized_text(text)
-    return first_match((("free", any_term(t, T.FREE)), ("paid", any_term(t, T.PAID))), "unknown")
+    return let(normalized_text(text), lambda t: first_match((("free", any_term(t, T.FREE)), ("paid", any_term(t, T.PAID))), "unknown"))
 
 
 def employee_fit(text: Column, given: Column) -> Column:
     """SCO10: 0 to 5."""
-    t = normalized_text(text)
-    points = F.lit(2) + score(((any_term(t, T.WORK), 2), (any_term(t, T.LEARNING), 1), (any_term(t, T.STUDENT), -2), (any_term(t, T.TECHNICAL) & ~any_term(t, T.WORK), -1)))
+    points = let(normalized_text(text), lambda t: F.lit(2) + score(((any_term(t, T.WORK), 2), (any_term(t, T.LEARNING), 1), (any_term(t, T.STUDENT), -2), (any_term(t, T.TECHNICAL) & ~any_term(t, T.WORK), -1))))
     return F.when(F.coalesce(given, F.lit(0)) > 0, clamp(given, 0, 5)).otherwise(clamp(points, 0, 5))
 
 

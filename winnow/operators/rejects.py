@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions.dates import parse_result, recent
-from ..functions.rules import any_term, blank, first_match, first_set, reasons, whole_term
+from ..functions.rules import any_term, blank, first_match, first_set, let, reasons, whole_term
 from ..functions.text import clean_text, normalized_text, title_key, update_title, word_count
 from ..functions.urls import bare_domain, domain, netloc, path, site_holds, under, under_any
 from .classify import developer_hits
@@ -17,7 +17,7 @@ from .classify import developer_hits
 
 def text_has(text: Column, terms: Sequence[str]) -> Column:
     """FIL6: terms as they are within the normalised text; a term with punctuation never matches."""
-    return any_term(normalized_text(text), terms)
+    return let(normalized_text(text), lambda t: any_term(t, terms))
 
 
 def old_year(text: Column, as_of: Column) -> Column:
