@@ -25,8 +25,8 @@ TOXIC_FROM = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones, scores under ``TOXIC_FROM``."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the classifier, trained on the labelled ones of ``sf_dir``, scores under ``TOXIC_FROM``."""
+    model = train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity(docs, model, carry=tuple(docs.columns), score_col="_toxic").filter(F.col("_toxic") < TOXIC_FROM).drop("_toxic")
 
 

@@ -140,7 +140,7 @@ def test_toxicity(spark, rows):
     empty = {r.score for r in toxicity(frame(spark, [(1, None), (2, ""), (3, " ")]), model).collect()}
     assert len(empty) == 1
     none = train(docs, labels.limit(0))
-    assert {r.score for r in toxicity(docs.limit(5), none).collect()} == {0.5}
+    assert [r.score for r in toxicity(docs.limit(5), none).collect()] == pytest.approx([0.1] * 5)
     assert len(train(docs, labels, settings=Ftrl(rows=10)).buckets) <= len(model.buckets)
 
 
