@@ -191,7 +191,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["_key", "n_words", "n_removed", "kept_text"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, grain: int = 10, hot: int = 2000) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, grain: int = 10, hot: int = 500) -> DataFrame:
     """Removes every word that a repeated window covers; (id, n_words, n_removed, kept_text).
 
     A window is ``window`` consecutive words of one text; it is repeated if its
@@ -219,8 +219,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = distinct.mapInArrow(_deal(window), "wid binary, sid binary, j int, c bigint")
     repeated = dealt.groupBy("wid").agg(F.sum("c").alias("c")).filter("c > 1").select("wid")
     marks = dealt.join(repeated, "wid").groupBy("sid").agg(F.collect_set("j").alias("js"))
-    warm = crowd.select("sid", "_key", "start").join(marks, "sid").select("_key", F.explode("js").alias("j"), "start").select("_key", (F.col("start") + F.col("j")).alias("lo"), (F.col("start") + F.col("j") + window).alias("hi"))
+    begin = F.col("start")
+    warm = crowd.select("sid", "_key", "start").join(marks, "sid").select("_key", F.transform("js", lambda j: F.struct((begin + j).alias("lo"), (begin + j + window).alias("hi"))).alias("spans"))
 
-    removed = cold.unionByName(warm).groupBy("_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    whole = cold.select("_key", F.array(F.struct("lo", "hi")).alias("spans")).unionByName(warm)
+    removed = whole.groupBy("_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     out = texts.join(removed, "_key", "left").mapInArrow(_remove, f"_key {key}, n_words bigint, n_removed bigint, kept_text string")
     return out.select(F.col("_key.id").alias(id_col), "n_words", "n_removed", "kept_text")
