@@ -12,12 +12,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm.common import shared_folder
+from winnow.llm.common import row_key, shared_folder
 from winnow.llm.decontaminate import drop_contaminated
 from winnow.llm.line_dedup import line_dedup
+from winnow.llm.near_copies import first_of_near_copies
 from winnow.llm.packing import pack
 from winnow.llm.queries import tokenizer_path
-from winnow.llm.simhash import simhash_groups
 from winnow.llm.toxicity import toxicity, train
 
 #: A document goes if its score is this or more.
@@ -38,16 +38,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash links the document with the smallest id.
+    """Of each group of near copies the document with the smallest id.
 
-    Shingles have five words.  At most 4 of 64 bits apart means an estimated cosine
-    of 0.98 between the shingle counts, so linked texts are well above a similarity
-    of 0.8.  Documents without an id can't be told apart and stay.
+    Near copies have a Jaccard similarity of 0.8 or more between their sets of shingles
+    of five words.  SimHash and MinHash find candidates, which are verified.  Documents
+    without an id can't be told apart and stay.
     """
-    groups = simhash_groups(docs, shingle=5)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    own = docs.filter("doc_id IS NOT NULL").withColumn("_key", row_key("doc_id", "text"))
+    kept = own.join(first_of_near_copies(docs.filter("doc_id IS NOT NULL")), "_key", "left_semi").dropDuplicates(["doc_id"])
+    return kept.drop("_key").unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
