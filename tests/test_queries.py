@@ -70,3 +70,25 @@ def test_greedy_titles(spark):
     kept = q.D_similar_titles(spark, SF).collect()
     assert len({r.doc_id for r in kept}) == len(kept)
     assert SequenceMatcher(None, "same title", "same title").ratio() > 0.8
+
+
+def test_greedy_semantic_is_a_whole_scan(spark):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    m = np.array([r.embedding for r in rows], np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    kept = []
+    for n in range(len(rows)):
+        if not kept or (m[kept] @ m[n]).max() < 0.35:
+            kept.append(n)
+    assert sorted(r.pos for r in q.D_greedy_semantic(spark, SF).collect()) == [rows[n].vec_id for n in kept]
+
+
+def test_greedy_vectors_over_blocks(spark, monkeypatch):
+    from winnow.operators import dedup, joins
+
+    monkeypatch.setattr(dedup, "similar_pairs", lambda *a: joins.similar_pairs(*a, rows=2))
+    vecs = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.9, 0.1]), (4, [0.0, 1.0]), (5, [0.0, 0.0]), (6, None), (7, []), (8, [0.1, 0.9]), (9, [0.0, 2.0])]
+    df = spark.createDataFrame(vecs, "id long, v array<double>")
+    assert sorted(r.pos for r in dedup.greedy_vectors(df, "id", "v", 0.9).collect()) == [1, 4, 5, 6, 7]

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import similar_pairs
 from .tables import durable
 
 
@@ -89,6 +90,18 @@ def greedy_similar(ids: DataFrame, links: DataFrame, pos: str = "pos") -> DataFr
     return greedy_keep(ends, pos).unionByName(alone)
 
 
+def greedy_vectors(df: DataFrame, pos: str, vec: str, threshold: float) -> DataFrame:
+    """JON14: positions that a scan in order keeps if a row goes that is at least ``threshold`` (up to 1) similar to a kept one.
+
+    Of equal vectors the first decides for all: what is like one is like the others.
+    Empty, null and zero vectors have no similar ones and stay.
+    """
+    some = F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False))
+    firsts = durable(df.filter(some).groupBy(vec).agg(F.min(pos).alias("pos")))
+    kept = greedy_similar(firsts, similar_pairs(firsts, "pos", vec, threshold))
+    return kept.unionByName(df.filter(~some).select(F.col(pos).alias("pos")))
+
+
 def similar_titles(df: DataFrame, scope: str, pos: str, title: str, preferred: str, ratio: float = 0.80) -> DataFrame:
     """DED3, JON15: within a scope the titles that a scan keeps if one goes that is over ``ratio`` like a kept one.
 

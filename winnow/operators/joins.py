@@ -207,3 +207,32 @@ def similar(queries: DataFrame, memory: DataFrame, id_col: str, vec: str, thresh
         return out
     by = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
     return out.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)
+
+
+def similar_pairs(df: DataFrame, id_col: str, vec: str, threshold: float, rows: int = 4096) -> DataFrame:
+    """JON14: (u, v) with u < v for all pairs of rows at least ``threshold`` similar.
+
+    Rows are dealt to blocks of about ``rows``; each two blocks meet in one group on the
+    executors.  Empty, null and zero vectors have no similar ones.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    own = df.filter(F.size(vec) > 0).select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
+    blocks = -(-own.count() // rows) or 1
+    own = own.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, units = pdf["id"].to_numpy(), _unit(np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1))
+        left, right = (np.flatnonzero(pdf["own"] == pdf[c].iloc[0]) for c in ("i", "j"))
+        us, vs = [], []
+        for a in range(0, len(left), 512):
+            some = left[a : a + 512]
+            x, y = np.nonzero(units[some] @ units[right].T >= threshold)
+            x, y = ids[some[x]], ids[right[y]]
+            once = x < y if pdf["i"].iloc[0] == pdf["j"].iloc[0] else x != y
+            us.append(np.minimum(x, y)[once])
+            vs.append(np.maximum(x, y)[once])
+        return pd.DataFrame({"u": np.concatenate(us) if us else ids[:0], "v": np.concatenate(vs) if vs else ids[:0]})
+
+    return dealt.groupBy("i", "j").applyInPandas(match, f"u {kind}, v {kind}")

@@ -435,9 +435,7 @@ def D_greedy_multi_key(spark, d):
 
 @query()
 def D_greedy_semantic(spark, d):
-    own = table(spark, d, "embeddings")
-    links = joins.similar(own.filter("vec_id % 20 = 0"), own, "vec_id", "embedding", 0.35).select(C("query").alias("u"), C("id").alias("v"))
-    return dedup.greedy_similar(own.select(C("vec_id").alias("pos")), links)
+    return dedup.greedy_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", 0.35)
 
 
 @query()
