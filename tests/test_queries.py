@@ -92,3 +92,10 @@ def test_greedy_vectors_over_blocks(spark, monkeypatch):
     vecs = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.9, 0.1]), (4, [0.0, 1.0]), (5, [0.0, 0.0]), (6, None), (7, []), (8, [0.1, 0.9]), (9, [0.0, 2.0])]
     df = spark.createDataFrame(vecs, "id long, v array<double>")
     assert sorted(r.pos for r in dedup.greedy_vectors(df, "id", "v", 0.9).collect()) == [1, 4, 5, 6, 7]
+
+
+def test_greedy_multi_key_takes_whole_keys(spark, tmp_path):
+    head, tail = "the same opening of a template " * 4, " the same closing of a template" * 4
+    texts = [f"{head}one{tail}\nbody one{tail}", f"{head}two{tail}\nbody two{tail}", f"{head}ONE{tail}\nbody one{tail}", f"{head}two{tail}\nanother body"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id for r in q.D_greedy_multi_key(spark, str(tmp_path)).collect()) == [0, 1]

@@ -428,9 +428,9 @@ def D_title_exists(spark, d):
 
 @query()
 def D_greedy_multi_key(spark, d):
-    t = text.normalized_text(C("text"))
-    own = table(spark, d, "documents").select("doc_id", F.sha1(t).alias("k1"), F.substring(t, 1, 60).alias("k2"), F.substring(t, -60, 60).alias("k3"))
-    return dedup.greedy_dedup(own, "doc_id", [C("k1"), C("k2"), C("k3")]).select("doc_id")
+    whole, title = text.normalized_text(C("text")), text.normalized_text(F.substring_index("text", "\n", 1))
+    own = table(spark, d, "documents").select("doc_id", F.sha1(whole).alias("k1"), F.when(title != "", F.sha1(title)).alias("k2"))
+    return dedup.greedy_dedup(own, "doc_id", [C("k1"), C("k2")]).select("doc_id")
 
 
 @query()
