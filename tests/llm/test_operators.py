@@ -86,9 +86,9 @@ def brute_windows(rows, k):
     return out
 
 
-@pytest.mark.parametrize(("k", "grain", "hot"), [(35, 10, 2000), (35, 10, 1), (7, 3, 2), (5, 5, 2000)])
-def test_substring_dedup(spark, rows, k, grain, hot):
-    df = substring_dedup(frame(spark, rows), window=k, grain=grain, hot=hot)
+@pytest.mark.parametrize(("k", "grain", "bucket"), [(35, 10, 2000), (35, 10, 1), (7, 3, 2), (5, 5, 2000), (5, 2, 3)])
+def test_substring_dedup(spark, rows, k, grain, bucket):
+    df = substring_dedup(frame(spark, rows), window=k, grain=grain, bucket=bucket)
     same(df, brute_windows(rows, k), ("doc_id", "n_words", "n_removed", "kept_text"))
 
 

@@ -8,14 +8,13 @@ a super-k-mer.  Equal windows have equal minimisers, so
    minimiser occurs nowhere else can't hold a repeated window and goes no further;
 2. each of the others is cut from its text as one packed string that travels to
    its minimiser's bucket, where sorting the windows counts them exactly;
-3. a minimiser that occurs more than ``hot`` times would make a hot bucket.  Its
-   super-k-mers are first reduced to distinct ones with their counts, and the
-   windows of these are dealt one by one on their own 128-bit hash, so that no
-   bucket is larger than a window's distinct surroundings and each partial count
-   is added up before the shuffle.
-
-Only intervals of words return to the documents.  All shuffles are on a row's
-key, a minimiser of at most ``hot`` rows, or pre-aggregated.
+3. a minimiser that occurs ``bucket`` times or more is dealt to as many buckets as
+   keep each at about that size.  Each of these sorts and counts as any other, and
+   hands on one of each window that it has seen, under the window's 128-bit digest,
+   to find those that are single in their bucket but not over all buckets.
+
+Only intervals of words return to the documents.  No step needs more rows of a
+key together than a bucket holds, or than there are buckets of one minimiser.
 """
 
 from __future__ import annotations
@@ -24,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, key_type, keyed, slices
+from .common import Words, gram_hashes, key_type, keyed, shared, slices
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -63,42 +63,43 @@ def _runs(words: Words, window: int, grain: int) -> tuple[np.ndarray, ...]:
 
 
 def _find(window: int, grain: int):
+    """Minimisers and places (first window, number of windows) of each text's super-k-mers."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 row, start, n, mini = _runs(Words(part.column("_text")), window, grain)
-                yield pa.RecordBatch.from_arrays([part.column("_key").take(pa.array(row)), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(mini.view(np.int64))], ["_key", "start", "n", "mini"])
+                ends = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (mini.view(np.int64), start << 32 | n)]
+                yield pa.RecordBatch.from_arrays([part.column("_key"), *lists], ["_key", "minis", "places"])
 
     return find
 
 
-def _packed(text: str) -> tuple[bytes, list[int]]:
-    """A text's words joined by one space, and where each begins."""
-    words = text.encode().split()
-    return b" ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
+def _listed(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where each row's items begin and end, and all items."""
+    return np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int64), lists.flatten()
 
 
-def _cut(window: int, hot: bool):
+def _cut(window: int):
     """Packed strings of the candidate super-k-mers of each text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=1 << 20):
-                rows, starts, minis, sids, packs = [], [], [], [], []
-                for r, (text, runs) in enumerate(zip(part.column("_text").to_pylist(), part.column("runs").to_pylist(), strict=True)):
-                    runs = {(x["start"], x["n"], x["mini"]) for x in runs if x["hot"] == hot}
-                    if not runs:
-                        continue
-                    joined, at = _packed(text)
-                    for start, n, mini in sorted(runs):
-                        pack = joined[at[start] : at[start + n + window - 1] - 1]
-                        rows.append(r)
-                        starts.append(start)
-                        minis.append(mini)
-                        packs.append(pack)
-                        sids.append(xxhash.xxh3_128_digest(pack) if hot else None)
-                keys = part.column("_key").take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(starts, pa.int32()), pa.array(minis, pa.int64()), pa.array(sids, pa.binary()), pa.array(packs, pa.binary())], ["_key", "start", "mini", "sid", "pack"])
+                bounds, runs = _listed(part.column("runs"))
+                place = runs.field("place").to_numpy()
+                start, last = place >> 32, (place >> 32) + (place & 0xFFFFFFFF) + window - 1
+                packs = []
+                for r, text in enumerate(part.column("_text").to_pylist()):
+                    words = text.encode().split()
+                    joined = b" ".join(words)
+                    at = np.zeros(len(words) + 1, np.int64)
+                    np.cumsum([len(w) + 1 for w in words], out=at[1:])
+                    own = slice(bounds[r], bounds[r + 1])
+                    packs += [joined[a:b] for a, b in zip(at[start[own]].tolist(), (at[last[own]] - 1).tolist(), strict=True)]
+                keys = part.column("_key").take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(bounds))))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(start), runs.field("mini"), runs.field("deal"), runs.field("deals"), pa.array(packs, pa.binary())], ["_key", "start", "mini", "deal", "deals", "pack"])
 
     return cut
 
@@ -109,89 +110,135 @@ def _windows(pack: bytes, window: int) -> list[bytes]:
     return [pack[at[j] : at[j + window] - 1] for j in range(len(words) - window + 1)]
 
 
-def _spans(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Word intervals that the windows at these sorted starts cover."""
-    breaks = np.flatnonzero(np.diff(starts) > window) + 1
-    return [(int(x[0]), int(x[-1]) + window) for x in np.split(starts, breaks) if len(x)]
+def _repeated(packs: dict[bytes, list[int]], window: int, every: bool) -> tuple[dict[bytes, list[int]], list[tuple[bytes, int, int, bool]]]:
+    """Repeated windows of a bucket, by pack; with ``every``, also one of each window: itself, row, place, whether repeated.
+
+    A pack that occurs twice has nothing but repeated windows; the others' are sorted.
+    """
+    if not every and all(len(rows) > 1 for rows in packs.values()):
+        return {p: list(range(p.count(b" ") + 2 - window)) for p in packs}, []
+    windows = sorted((w, p, j) for p in packs for j, w in enumerate(_windows(p, window)))
+    found: dict[bytes, list[int]] = {}
+    one = []
+    a = 0
+    while a < len(windows):
+        w, b = windows[a][0], a + 1
+        while b < len(windows) and windows[b][0] == w:
+            b += 1
+        twice = b - a > 1 or len(packs[windows[a][1]]) > 1
+        if twice:
+            for _, p, j in windows[a:b]:
+                found.setdefault(p, []).append(j)
+        if every:
+            one.append((w, packs[windows[a][1]][0], windows[a][2], twice))
+        a = b
+    return {p: sorted(js) for p, js in found.items()}, one
+
+
+def _spans(js: list[int], window: int) -> list[tuple[int, int]]:
+    """Word intervals that the windows at these ascending places cover."""
+    out = [[js[0], js[0] + window]]
+    for j in js[1:]:
+        if j <= out[-1][1]:
+            out[-1][1] = j + window
+        else:
+            out.append([j, j + window])
+    return [(a, b) for a, b in out]
 
 
 def _count(window: int):
-    """Counts the windows of each bucket by sorting; the rows of a bucket come one after the other."""
-
-    def bucket(packs: list[bytes]) -> dict[int, list[int]]:
-        windows = [(w, r, j) for r, pack in enumerate(packs) for j, w in enumerate(_windows(pack, window))]
-        windows.sort()
-        found: dict[int, list[int]] = {}
-        for i, (w, r, j) in enumerate(windows):
-            if i and windows[i - 1][0] == w or i + 1 < len(windows) and windows[i + 1][0] == w:
-                found.setdefault(r, []).append(j)
-        return found
-
-    def results(table: pa.Table) -> pa.RecordBatch:
-        minis = table.column("mini").to_numpy()
-        starts, packs = table.column("start").to_numpy(), table.column("pack").to_pylist()
-        edges = np.flatnonzero(np.diff(minis)) + 1
-        rows, lo, hi = [], [], []
-        for a, b in zip([0, *edges], [*edges, len(minis)], strict=True):
-            for r, js in bucket(packs[a:b]).items() if b - a > 1 else ():
-                for x, y in _spans(np.sort(np.array(js)) + starts[a + r], window):
-                    rows.append(a + r)
-                    lo.append(x)
-                    hi.append(y)
-        keys = table.column("_key").combine_chunks().take(pa.array(rows, pa.int64()))
-        return pa.RecordBatch.from_arrays([keys, pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["_key", "lo", "hi"])
+    """Counts the windows of each bucket, whose rows come one after the other.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([kept, table]) if kept is not None else table
-            if not table.num_rows:
+    Rows out: a span of words to remove (``wid`` null), or one window of a bucket that
+    isn't its minimiser's only one.
+    """
+
+    def results(table: pa.Table) -> pa.Table:
+        minis, deals, parts = (table.column(c).to_numpy() for c in ("mini", "deal", "deals"))
+        starts, packs = table.column("start").to_pylist(), table.column("pack").to_pylist()
+        edges = (np.flatnonzero((np.diff(minis) != 0) | (np.diff(deals) != 0)) + 1).tolist()
+        rows, spans, wids, twice = [], [], [], []
+        for a, b in zip([0, *edges], [*edges, len(packs)], strict=True):
+            every = bool(parts[a] > 1)
+            if b - a == 1 and not every:
                 continue
-            minis = table.column("mini").to_numpy()
-            whole = int(np.searchsorted(minis, minis[-1], "left"))  # the last bucket may go on in the next batch
-            kept = table.slice(whole)
-            if whole:
-                yield results(table.slice(0, whole))
-        if kept is not None and kept.num_rows:
-            yield results(kept)
+            held: dict[bytes, list[int]] = {}
+            for r in range(a, b):
+                held.setdefault(packs[r], []).append(r)
+            found, one = _repeated(held, window, every)
+            for p, js in found.items():
+                for x, y in _spans(js, window):
+                    for r in held[p]:
+                        rows.append(r)
+                        spans.append(starts[r] + x << 32 | starts[r] + y)
+                        wids.append(None)
+                        twice.append(True)
+            for w, r, j, again in one:
+                rows.append(r)
+                spans.append(starts[r] + j << 32 | starts[r] + j + window)
+                wids.append(xxhash.xxh3_128_digest(w))
+                twice.append(again)
+        keys = table.column("_key").combine_chunks().take(pa.array(rows, pa.int64()))
+        return pa.Table.from_arrays([keys, pa.array(spans, pa.int64()), pa.array(wids, pa.binary()), pa.array(twice, pa.bool_())], ["_key", "span", "wid", "twice"])
+
+    return _by_edge(results, ("mini", "deal"))
+
 
-    return count
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans as they are, and those of windows that are single in their bucket but not the only one of their digest."""
 
+    def results(table: pa.Table) -> pa.Table:
+        wids, twice = table.column("wid").to_pylist(), table.column("twice").to_pylist()
+        keep = [w is None or not again and w in (*wids[max(0, r - 1) : r], *wids[r + 1 : r + 2]) for r, (w, again) in enumerate(zip(wids, twice, strict=True))]
+        return table.filter(pa.array(keep, pa.bool_())).select(["_key", "span"])
 
-def _deal(window: int):
-    """Each window of a hot bucket's distinct super-k-mers, by its hash."""
+    return _by_edge(results, ("wid",))(batches)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _by_edge(results, columns: tuple[str, ...]):
+    """Feeds rows that are sorted by ``columns`` so that no group is parted; rows with nulls there aren't a group."""
+
+    def feed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            out: dict[str, list] = {"wid": [], "sid": [], "j": [], "c": []}
-            for sid, pack, c in zip(*(batch.column(x).to_pylist() for x in ("sid", "pack", "c")), strict=True):
-                for j, w in enumerate(_windows(pack, window)):
-                    for k, v in zip(out, (xxhash.xxh3_128_digest(w), sid, j, c), strict=True):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["wid"], pa.binary()), pa.array(out["sid"], pa.binary()), pa.array(out["j"], pa.int32()), pa.array(out["c"], pa.int64())], list(out))
+            if not batch.num_rows:
+                continue
+            last = pa.array([True] * batch.num_rows)
+            for c in columns:
+                last = pc.and_(last, pc.fill_null(pc.equal(batch.column(c), batch.column(c)[batch.num_rows - 1]), False))
+            whole = batch.num_rows - last.true_count  # the last group may go on in the next batch
+            if whole:
+                yield from results(pa.Table.from_batches([*held, batch.slice(0, whole)])).to_batches()
+                held = []
+            held += [batch.slice(whole)] if whole < batch.num_rows else []
+        if held:
+            yield from results(pa.Table.from_batches(held)).to_batches()
 
-    return deal
+    return feed
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, most=4 << 20):
+            bounds, spans = _listed(part.column("spans"))
+            spans = spans.to_numpy(zero_copy_only=False)
             n_words, n_removed, kept = [], [], []
-            for text, spans in zip(part.column("_text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+            for r, text in enumerate(part.column("_text").to_pylist()):
                 words = text.encode().split()
+                left = words
+                if bounds[r] < bounds[r + 1]:
+                    left, at = [], 0
+                    for span in np.sort(spans[bounds[r] : bounds[r + 1]]).tolist():
+                        left += words[at : span >> 32]
+                        at = max(at, span & 0xFFFFFFFF)
+                    left += words[at:]
                 n_words.append(len(words))
-                left, at = [], 0
-                for lo, hi in sorted((x["lo"], x["hi"]) for x in spans or ()):
-                    left += words[at:lo]
-                    at = max(at, hi)
-                left += words[at:]
                 n_removed.append(len(words) - len(left))
-                kept.append(b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["_key", "n_words", "n_removed", "kept_text"])
+                kept.append(b" ".join(left))
+            yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["_key", "n_words", "n_removed", "kept_text"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, grain: int = 10, hot: int = 500) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, grain: int = 10, bucket: int = 2000) -> DataFrame:
     """Removes every word that a repeated window covers; (id, n_words, n_removed, kept_text).
 
     A window is ``window`` consecutive words of one text; it is repeated if its
@@ -205,24 +252,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = keyed(docs, id_col, text_col)
     key = key_type(docs, id_col)
-    runs = texts.filter(F.octet_length("_text") >= 2 * window - 1).mapInArrow(_find(window, grain), f"_key {key}, start int, n int, mini bigint")
-    often = runs.groupBy("mini").agg(F.count("*").alias("times")).filter("times > 1").select("mini", (F.col("times") > hot).alias("hot"))
-    wanted = runs.join(often, "mini").groupBy("_key").agg(F.collect_list(F.struct("start", "n", "mini", "hot")).alias("runs"))
-    sources = texts.join(wanted, "_key")
-    packs = f"_key {key}, start int, mini bigint, sid binary, pack binary"
-    spans = f"_key {key}, lo int, hi int"
-
-    cold = sources.mapInArrow(_cut(window, False), packs).drop("sid").repartition("mini").sortWithinPartitions("mini").mapInArrow(_count(window), spans)
-
-    crowd = sources.mapInArrow(_cut(window, True), packs)
-    distinct = crowd.groupBy("sid").agg(F.max("pack").alias("pack"), F.count("*").alias("c"))
-    dealt = distinct.mapInArrow(_deal(window), "wid binary, sid binary, j int, c bigint")
-    repeated = dealt.groupBy("wid").agg(F.sum("c").alias("c")).filter("c > 1").select("wid")
-    marks = dealt.join(repeated, "wid").groupBy("sid").agg(F.collect_set("j").alias("js"))
-    begin = F.col("start")
-    warm = crowd.select("sid", "_key", "start").join(marks, "sid").select("_key", F.transform("js", lambda j: F.struct((begin + j).alias("lo"), (begin + j + window).alias("hi"))).alias("spans"))
-
-    whole = cold.select("_key", F.array(F.struct("lo", "hi")).alias("spans")).unionByName(warm)
-    removed = whole.groupBy("_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    long = texts.filter(F.octet_length("_text") >= 2 * window - 1)
+    found = shared(long.mapInArrow(_find(window, grain), f"_key {key}, minis array<bigint>, places array<bigint>"))
+    runs = found.select("_key", F.inline(F.arrays_zip(F.col("minis").alias("mini"), F.col("places").alias("place"))))
+    often = runs.groupBy("mini").agg(F.count("*").alias("times")).filter("times > 1")
+    # Joined on another name than grouped by: both sides are dealt anew, and adaptive execution can split a hot minimiser.
+    again = runs.withColumn("_m", F.bitwise_not("mini")).join(often.select(F.bitwise_not("mini").alias("_m"), F.ceil(F.col("times") / bucket).cast("int").alias("deals")), "_m")
+    deal = F.pmod(F.xxhash64("_key", "place"), F.col("deals")).cast("int")
+    wanted = again.groupBy("_key").agg(F.collect_set(F.struct("place", "mini", deal.alias("deal"), "deals")).alias("runs"))
+    packs = texts.join(wanted, "_key").mapInArrow(_cut(window), f"_key {key}, start bigint, mini bigint, deal int, deals int, pack binary")
+    counted = packs.repartition("mini", "deal").sortWithinPartitions("mini", "deal").mapInArrow(_count(window), f"_key {key}, span bigint, wid binary, twice boolean")
+    merged = counted.repartition("wid", F.expr("CASE WHEN wid IS NULL THEN _key END")).sortWithinPartitions("wid").mapInArrow(_merge, f"_key {key}, span bigint")
+    removed = merged.groupBy("_key").agg(F.collect_set("span").alias("spans"))
     out = texts.join(removed, "_key", "left").mapInArrow(_remove, f"_key {key}, n_words bigint, n_removed bigint, kept_text string")
     return out.select(F.col("_key.id").alias(id_col), "n_words", "n_removed", "kept_text")
