@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,11 +54,17 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder that the session names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one serves a local session (tests); a cluster has
+    to name one that all machines share.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     folder = context._jsc.sc().getCheckpointDir()
     if folder.isEmpty():
+        if not named and not (context.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
         folder = context._jsc.sc().getCheckpointDir()
     return named or folder.get()
@@ -69,6 +76,22 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that was written to the shared one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def split_join(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with what was aggregated by one of their columns, a long.
+
+    It is joined under another name than it was grouped by, for which both sides are
+    dealt anew, so that adaptive execution can split a common key's rows.
+    """
+    other = f"_{key}_"
+    return rows.withColumn(other, F.bitwise_not(key)).join(sums.withColumn(other, F.bitwise_not(key)).drop(key), other).drop(other)
+
+
 #: Byte tables for Words: A-Z lower-cased; the same with ASCII punctuation as space.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -89,7 +112,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "_text", most: int = 2 << 20):
+def slices(batch: pa.RecordBatch, text: str | int = "_text", most: int = 2 << 20):
     """Cuts a batch between rows into slices of about ``most`` bytes of text, one row at least."""
     _, offsets = buffers(batch.column(text))
     at, n = 0, batch.num_rows
@@ -100,9 +123,12 @@ def slices(batch: pa.RecordBatch, text: str = "_text", most: int = 2 << 20):
 
 
 class Words:
-    """The words of many texts at once: byte ranges, the row of each, and 64-bit hashes."""
+    """The words of many texts at once: byte ranges, the row of each, and 64-bit hashes.
 
-    def __init__(self, texts: pa.Array, fold: np.ndarray | None = None):
+    With ``apart``, each letter from U+3000 on, where scripts without spaces are, is a word.
+    """
+
+    def __init__(self, texts: pa.Array, fold: np.ndarray | None = None, apart: bool = False):
         data, self.offsets = buffers(texts)
         data = data if fold is None else fold[data]
         self.data = data
@@ -110,6 +136,14 @@ class Words:
         first, last = solid.copy(), solid.copy()
         first[1:] &= ~solid[:-1]
         last[:-1] &= ~solid[1:]
+        if apart:
+            lead = np.flatnonzero(data >= 0xE3)
+            after = lead + np.where(data[lead] < 0xF0, 3, 4)
+            first[lead] = True
+            last[after - 1] = True
+            last[lead[lead > 0] - 1] = solid[lead[lead > 0] - 1]
+            after = after[after < len(data)]
+            first[after] = solid[after]
         inner = self.offsets[1:-1]
         inner = inner[(inner > 0) & (inner < len(data))]
         first[inner] = solid[inner]
@@ -118,7 +152,7 @@ class Words:
         self.ends = np.flatnonzero(last) + 1
         #: bounds[r]: index of the first word of row r; one more at the end.
         self.bounds = np.searchsorted(self.starts, self.offsets)
-        self._solid = solid
+        self._sums: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -131,14 +165,26 @@ class Words:
         """A polynomial of each word's bytes (of the first ``most``) modulo 2^64, mixed."""
         if not len(self):
             return np.zeros(0, np.uint64)
-        reach = np.diff(np.append(self.starts, len(self.data)))
-        place = np.arange(self.starts[0], len(self.data)) - np.repeat(self.starts, reach)
+        powers, inverse = _powers(1 << int(len(self.data)).bit_length())
         with np.errstate(over="ignore"):
-            longest = int((self.ends - self.starts).max())
-            power = np.cumprod(np.full(longest + 1, _PRIME, np.uint64))
-            part = (self.data[self.starts[0] :].astype(np.uint64) + np.uint64(1)) * power[np.minimum(place, longest)]
-            part[~self._solid[self.starts[0] :] if most is None else (place >= most) | ~self._solid[self.starts[0] :]] = 0
-            return mix(np.add.reduceat(part, self.starts - self.starts[0]))
+            if self._sums is None:
+                self._sums = np.zeros(len(self.data) + 1, np.uint64)
+                part = self.data.astype(np.uint64)
+                part += np.uint64(1)
+                part *= powers[: len(part)]
+                np.cumsum(part, out=self._sums[1:])
+            ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
+            return mix((self._sums[ends] - self._sums[self.starts]) * inverse[self.starts])
+
+
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the polynomial's base, from the first, and of its inverse modulo 2^64, from the zeroth."""
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(size, _PRIME, np.uint64))
+        inverse = np.full(size, pow(int(_PRIME), -1, 1 << 64), np.uint64)
+        inverse[0] = 1
+        return powers, np.cumprod(inverse)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -238,7 +238,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["_key", "n_words", "n_removed", "kept_text"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, grain: int = 10, bucket: int = 2000) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, grain: int = 7, bucket: int = 2000) -> DataFrame:
     """Removes every word that a repeated window covers; (id, n_words, n_removed, kept_text).
 
     A window is ``window`` consecutive words of one text; it is repeated if its
