@@ -51,6 +51,12 @@ def test_shortlist_caps(spark):
     assert max(Counter(r.p_brand for r in rows).values()) <= 3
 
 
+def test_track_targets():
+    from winnow.operators.rank import track_targets
+
+    assert [tuple(track_targets(n, "abc").values()) for n in (0, 1, 2, 3, 4, 6, 12)] == [(0, 0, 0), (1, 0, 0), (1, 1, 0), (1, 1, 1), (2, 1, 1), (3, 2, 1), (6, 4, 2)]
+
+
 def test_weekly_selection(spark):
     rows = q.F_weekly_selection(spark, SF).collect()
     assert len({r.platform for r in rows}) == len(rows) and max(Counter(r.level for r in rows).values()) <= 2
@@ -65,11 +71,40 @@ def test_repaired_mojibake(spark):
 
 
 def test_greedy_titles(spark):
+    """All pages at once, by the plain scan: those under https first."""
     from difflib import SequenceMatcher
 
-    kept = q.D_similar_titles(spark, SF).collect()
-    assert len({r.doc_id for r in kept}) == len(kept)
-    assert SequenceMatcher(None, "same title", "same title").ratio() > 0.8
+    from winnow.functions import pages, text
+
+    own = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = own.select("page_id", text.normalized_text(pages.page_title(own.html, pages.F.lit(""))).alias("title"), own.url.startswith("https").alias("first")).collect()
+    kept = []
+    for r in sorted(rows, key=lambda r: (not r.first, r.page_id)):
+        if not r.title or not any(SequenceMatcher(None, *sorted((r.title, k.title))).ratio() > 0.8 or SequenceMatcher(None, *sorted((r.title, k.title), reverse=True)).ratio() > 0.8 for k in kept if k.title):
+            kept.append(r)
+    assert sorted(r.page_id for r in q.D_similar_titles(spark, SF).collect()) == sorted(r.page_id for r in kept)
+    assert len(kept) < len(rows)
+
+
+def test_like_titles_over_blocks(spark):
+    from difflib import SequenceMatcher
+    from random import Random
+
+    from winnow.operators import joins
+
+    rnd = Random(3)
+    titles = ["a quick brown fox", "a quick brown cat", "ab", "abc", "ba", "x" * 300, "x" * 299 + "y"]
+    for n in range(40):
+        base = list(rnd.choice(titles[:2] + ["the river runs to the old town"]))
+        for _ in range(rnd.randrange(5)):
+            base[rnd.randrange(len(base))] = rnd.choice("abcdefgh ")
+        titles.append("".join(base))
+    titles = sorted(set(titles))
+    like = {(a, b) for i, a in enumerate(titles) for b in titles[i + 1 :] if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) > 0.8}
+    df = spark.createDataFrame([(t,) for t in titles], "title string")
+    assert len(like) > 30
+    for rows in (5, 2048):
+        assert {tuple(sorted((r.a, r.b))) for r in joins.like_titles(df, rows=rows).collect()} == like
 
 
 def test_greedy_semantic_is_a_whole_scan(spark):

@@ -205,15 +205,18 @@ def scan_score(text: Column, url: Column, lane_name: Column, mix: Column, kind:
 def update_priority(text: Column, url: Column) -> Column:
     """SCO7."""
     u = F.lower(blank(url))
-    return score(
-        (
-            (any_term(text, (*T.LAUNCHES, "now available")), 35),
-            (any_term(text, T.NEW_VERSION), 30),
-            (any_term(text, T.RELEASE_NOTES) | F.contains(u, F.lit("release-notes")), 18),
-            (any_term(text, T.NEW_FEATURE), 16),
-            (any_term(text, T.COMPANY_NEWS), -30),
-            (any_term(text, T.OPINION), -16),
-        )
+    return let(
+        text,
+        lambda t: score(
+            (
+                (any_term(t, (*T.LAUNCHES, "now available")), 35),
+                (any_term(t, T.NEW_VERSION), 30),
+                (any_term(t, T.RELEASE_NOTES) | F.contains(u, F.lit("release-notes")), 18),
+                (any_term(t, T.NEW_FEATURE), 16),
+                (any_term(t, T.COMPANY_NEWS), -30),
+                (any_term(t, T.OPINION), -16),
+            )
+        ),
     )
 
 

@@ -4,25 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import similar_pairs
+from .joins import like_titles, similar_pairs
 from .tables import durable
 
 
 def first_by_key(df: DataFrame, key: Column, order: Sequence[Column | str], keep_empty: bool = True) -> DataFrame:
     """DED1, DED2, DED5, DED12, DED15-DED17: the first row of each key.
 
-    An empty key marks no duplicate: such rows all stay, or all go.  The window's rank
-    limit is applied before the shuffle, so a very common key costs one row a task.
+    An empty key marks no duplicate: such rows all stay, each a group by itself, or all
+    go.  One scan and one window, whose rank limit is applied before the shuffle, so a
+    very common key costs one row a task.
     """
     keyed = df.withColumn("_key", F.coalesce(key, F.lit("")))
-    full, empty = keyed.filter("_key <> ''"), keyed.filter("_key = ''")
-    by = Window.partitionBy("_key").orderBy(*order)
-    out = full.withColumn("_r", F.row_number().over(by)).filter("_r = 1").drop("_r")
-    return (out.unionByName(empty) if keep_empty else out).drop("_key")
+    if not keep_empty:
+        keyed = keyed.filter("_key <> ''")
+    own = keyed.withColumn("_alone", F.when(F.col("_key") == "", F.monotonically_increasing_id()))
+    by = Window.partitionBy("_key", "_alone").orderBy(*order)
+    return own.withColumn("_r", F.row_number().over(by)).filter("_r = 1").drop("_r", "_key", "_alone")
 
 
 def merge_by_key(df: DataFrame, key: str, order: str, first: Sequence[str] = (), largest: Sequence[str] = (), smallest: Sequence[str] = (), either: Sequence[str] = ()) -> DataFrame:
@@ -84,7 +85,7 @@ def greedy_dedup(df: DataFrame, pos: str, keys: Sequence[Column]) -> DataFrame:
 
 def greedy_similar(ids: DataFrame, links: DataFrame, pos: str = "pos") -> DataFrame:
     """JON14: positions that a scan in order keeps if a row goes that is linked (u, v) with a kept one."""
-    name = F.concat_ws("|", F.least("u", "v"), F.greatest("u", "v"))
+    name = F.to_json(F.struct(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
     ends = links.select(F.col("u").alias(pos), name.alias("key")).unionByName(links.select(F.col("v").alias(pos), name.alias("key")))
     alone = ids.select(pos).join(ends.select(pos).distinct(), pos, "left_anti")
     return greedy_keep(ends, pos).unionByName(alone)
@@ -102,31 +103,17 @@ def greedy_vectors(df: DataFrame, pos: str, vec: str, threshold: float) -> DataF
     return kept.unionByName(df.filter(~some).select(F.col(pos).alias("pos")))
 
 
-def similar_titles(df: DataFrame, scope: str, pos: str, title: str, preferred: str, ratio: float = 0.80) -> DataFrame:
-    """DED3, JON15: within a scope the titles that a scan keeps if one goes that is over ``ratio`` like a kept one.
+def similar_titles(df: DataFrame, pos: str, title: str, preferred: str, ratio: float = 0.80) -> DataFrame:
+    """DED3, JON15: the rows that a scan keeps if one goes whose title is over ``ratio`` like a kept one's.
 
-    A preferred row takes the place of the other one that it is like.  The ratio is
-    that of matching blocks, which has no index; a scope is the pool of one run.
+    Preferred rows are scanned first, so that they take the place of others, then the
+    rest, each by ``pos``; rows without a title stay.  Of equal titles the first decides
+    for all.  Links come from ``joins.like_titles``, over the whole table.
     """
-    from difflib import SequenceMatcher
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in pdf.sort_values(pos).to_dict("records"):
-            hit = None
-            for n, k in enumerate(kept):
-                a, b = row[title], k[title]
-                short, long = sorted((len(a or ""), len(b or "")))
-                if not short or 2 * short <= ratio * (short + long):
-                    continue
-                m = SequenceMatcher(None, a, b)
-                if m.quick_ratio() > ratio and m.ratio() > ratio:
-                    hit = n
-                    break
-            if hit is None:
-                kept.append(row)
-            elif row[preferred] and not kept[hit][preferred]:
-                kept[hit] = row
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return df.groupBy(scope).applyInPandas(scan, df.schema)
+    place = F.struct((~F.coalesce(F.col(preferred), F.lit(False))).alias("late"), F.col(pos).alias("pos"))
+    own = df.withColumn("_place", place)
+    titled = F.coalesce(F.col(title), F.lit("")) != ""
+    firsts = durable(own.filter(titled).groupBy(F.col(title).alias("title")).agg(F.min("_place").alias("place")))
+    links = like_titles(firsts, ratio).join(firsts.select(F.col("title").alias("a"), F.col("place").alias("u")), "a").join(firsts.select(F.col("title").alias("b"), F.col("place").alias("v")), "b")
+    kept = greedy_similar(firsts.select(F.col("place").alias("pos")), links.select("u", "v"))
+    return own.join(kept.select(F.col("pos").alias("_place")), "_place", "left_semi").unionByName(own.filter(~titled)).drop("_place")

@@ -130,62 +130,136 @@ def pooled(df: DataFrame, order: Sequence[Column], limit: int, choose: Callable[
     return pool.groupBy("_pool").applyInPandas(run, out)
 
 
-def capped(rows: list[dict], count: int, rounds: Sequence[dict[str, int]]) -> list[dict]:
-    """SRT2-SRT4, SRT8, SRT13: in each round take rows in order while no column's value is over its cap."""
-    chosen: list[dict] = []
-    taken: set[int] = set()
-    seen: dict[str, Counter] = {}
-    for caps in rounds:
-        for n, r in enumerate(rows):
-            if len(chosen) >= count:
-                return chosen
-            if n in taken or any(seen.setdefault(c, Counter())[r[c]] >= most for c, most in caps.items()):
-                continue
-            taken.add(n)
-            chosen.append(r)
-            for c in {c for x in rounds for c in x}:
-                seen.setdefault(c, Counter())[r[c]] += 1
-    return chosen
+class _Picks:
+    """Rows chosen so far, and how often each value stands among them."""
+
+    def __init__(self, most: int):
+        self.most, self.rows, self.taken, self.seen = most, [], set(), Counter()
+
+    def full(self) -> bool:
+        return len(self.rows) >= self.most
+
+    def offer(self, n: int, row: dict, values: dict[str, object], caps: dict[str, int]) -> bool:
+        """Takes row ``n`` unless it is taken or one of its values is at its cap; an empty value has none."""
+        if self.full() or n in self.taken or any(values[c] not in (None, "") and self.seen[c, values[c]] >= most for c, most in caps.items()):
+            return False
+        self.taken.add(n)
+        self.rows.append(row)
+        self.seen.update(values.items())
+        return True
+
+
+def _first(row: dict, columns: Sequence[str], default: str = "unknown") -> object:
+    """The first value that is neither null nor empty."""
+    return next((row[c] for c in columns if row[c] is not None and row[c] != "" and row[c] == row[c]), default)
 
 
 def functional_diversity(df: DataFrame, order: Sequence[Column], pool: int, count: int, category: str, topic: str, loud: str = "audio_video") -> DataFrame:
     """SRT4: at most max(2, (count + 3) / 4) of a category, 2 of a topic, 2 of the loud category; then the rest."""
+    return pooled(df, order, pool, lambda rows: _functional(rows, count, category, topic, loud))
+
+
+def _functional(rows: list[dict], count: int, category: str, topic: str, loud: str) -> list[dict]:
     cap = max(2, (max(1, count) + 3) // 4)
+    picks = _Picks(count)
+    for n, r in enumerate(rows):
+        picks.offer(n, r, {"category": r[category], "topic": _first(r, (topic, category), "")}, {"category": 2 if r[category] == loud else cap, "topic": 2})
+    for n, r in enumerate(rows):
+        picks.offer(n, r, {}, {})
+    return picks.rows
+
+
+def balanced_levels(df: DataFrame, order: Sequence[Column], pool: int, count: int, owner: str, category: str, topic: str, level: str, levels: Sequence[str] = ("beginner", "intermediate", "advanced"), loud: str = "audio_video") -> DataFrame:
+    """SRT3, SRT8: two of an owner, then ``functional_diversity``, then a third of the places for each level, then the rest."""
+
+    def choose(rows: list[dict]) -> list[dict]:
+        owned = _Picks(len(rows))
+        for n, r in enumerate(rows):
+            owned.offer(n, r, {"owner": r[owner]}, {"owner": 2})
+        diverse = _functional(owned.rows, count, category, topic, loud)
+        if count < 12:
+            return diverse
+        picks = _Picks(count)
+        for name in levels:
+            for n, r in enumerate(diverse):
+                if r[level] == name:
+                    picks.offer(n, r, {"level": name}, {"level": max(1, count // 3)})
+        for n, r in enumerate(diverse):
+            picks.offer(n, r, {}, {})
+        return picks.rows
+
+    return pooled(df, order, pool, choose)
+
+
+def shortlist(df: DataFrame, order: Sequence[Column], pool: int, count: int, owner: Sequence[str], mix_col: str, tool: Sequence[str], primary: str, fallback: str, fallback_percent: int = 30, least_primary: int = 20) -> DataFrame:
+    """SRT2: a seed for each tool of the primary lanes, then two of an owner and half of a mix, then three and all.
+
+    ``order`` is lane, priority and score, so a tool's best rows are its first, and tools
+    come by their best row; the second one is tried if the first doesn't fit.  Rows of
+    the fallback lanes have ``fallback_percent`` of the places while there are primary
+    rows enough; if places are left over in the end, that cap is released.  ``owner`` and
+    ``tool`` are columns of which the first that isn't empty counts; ``primary`` and
+    ``fallback`` are logical columns.
+    """
+    few = max(1, count * fallback_percent // 100)
 
     def choose(rows: list[dict]) -> list[dict]:
-        for r in rows:
-            r["_loud"] = r[category] == loud
-        strict, cats, topics = [], Counter(), Counter()
-        late = []
-        for r in rows:
-            c, t = r[category], r[topic] or r[category]
-            if cats[c] >= cap or topics[t] >= 2 or r["_loud"] and cats[c] >= 2 or len(strict) >= count:
-                late.append(r)
-                continue
-            strict.append(r)
-            cats[c] += 1
-            topics[t] += 1
-        return (strict + late)[:count]
+        picks = _Picks(count)
+        values = [{"owner": _first(r, owner), "mix": _first(r, (mix_col,)), "lane": "fallback" if r[fallback] else ""} for r in rows]
+        tight = {"lane": few} if sum(bool(r[primary]) for r in rows) >= min(least_primary, max(1, count - few)) else {}
+        seeds: dict[object, list[int]] = {}
+        for n, r in enumerate(rows):
+            if r[primary]:
+                seeds.setdefault(_first(r, (*tool, *owner)), []).append(n)
+        for own in seeds.values():
+            if len(picks.rows) >= min(count, max(12, count - few)):
+                break
+            any(picks.offer(n, rows[n], values[n], {"owner": 3, "mix": count, **tight}) for n in own[:2])
+        rounds = [{"owner": 2, "mix": count // 2, **tight}, {"owner": 3, "mix": count, **tight}]
+        rounds += [{"owner": 3, "mix": count}] if tight else []
+        for caps in rounds:
+            for n, r in enumerate(rows):
+                picks.offer(n, r, values[n], caps)
+        return picks.rows
 
     return pooled(df, order, pool, choose)
 
 
-def shortlist(df: DataFrame, order: Sequence[Column], pool: int, count: int, owner: str, mix_col: str) -> DataFrame:
-    """SRT2: at most 2 rows of an owner and half of a mix; then 3 and all."""
-    return pooled(df, order, pool, lambda rows: capped(rows, count, ({owner: 2, mix_col: max(1, count // 2)}, {owner: 3, mix_col: count})))
+def track_targets(count: int, tracks: Sequence[str]) -> dict[str, int]:
+    """MTH4: half of the places, a third and the rest; the last track has one of three places or more."""
+    first = min(count, max(1, round(count * 0.5))) if count > 0 else 0
+    second = min(count - first, max(0, round(count * 0.33)))
+    third = max(0, count - first - second)
+    if count >= 3 and not third:
+        third = 1
+        first, second = (first, second - 1) if second > 1 else (first - 1 if first > 1 else first, second)
+    return dict(zip(tracks, (first, second, third), strict=True))
 
 
-def track_quotas(df: DataFrame, order: Sequence[Column], pool: int, count: int, track: str, topic: str, owner: str, tracks: Sequence[str]) -> DataFrame:
-    """SRT13: each track's part of the visible rows (a half, a third, the rest), one of a topic and two of an owner, then looser."""
-    parts = [round(count * 0.5), round(count * 0.33)]
-    parts.append(max(0, count - sum(parts)))
+def track_quotas(df: DataFrame, order: Sequence[Column], pool: int, count: int, track: str, topic: str, owner: str, tracks: Sequence[str], per_topic: int = 1, per_owner: int = 2) -> DataFrame:
+    """SRT13: the pool with ``count`` visible rows first, then the others in order.
+
+    Visible are each track's rows up to its part (``track_targets``), one of a topic and
+    two of an owner over all of them; then any track's under these caps; then those
+    whose topics and owners are least used so far, without the topic's cap, and last
+    without any.  An empty topic is ``general``, an empty owner has no cap.
+    """
+    parts = track_targets(count, tracks)
 
     def choose(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        for name, size in zip(tracks, parts, strict=True):
-            own = [r for r in rows if r[track] == name]
-            out += capped(own, size, ({topic: 1, owner: 2}, {owner: 2}, {}))
-        left = [r for r in rows if not any(r is o for o in out)]
-        return (out + capped(left, count - len(out), ({topic: 1, owner: 2}, {}))) if len(out) < count else out[:count]
+        picks = _Picks(count)
+        values = [{"topic": _first(r, (topic,), "general"), "owner": _first(r, (owner,), ""), "track": r[track]} for r in rows]
+        caps = {"topic": per_topic, "owner": per_owner}
+        every = range(len(rows))
+        for name in tracks:
+            for n in every:
+                if rows[n][track] == name:
+                    picks.offer(n, rows[n], values[n], {**caps, "track": parts[name]})
+        for n in every:
+            picks.offer(n, rows[n], values[n], caps)
+        for loose in ({"owner": per_owner}, {}):
+            for n in sorted(every, key=lambda n: (picks.seen["topic", values[n]["topic"]], picks.seen["owner", values[n]["owner"]] if values[n]["owner"] else 0, n)):
+                picks.offer(n, rows[n], values[n], loose)
+        return picks.rows + [rows[n] for n in every if n not in picks.taken]
 
     return pooled(df, order, pool, choose)

@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame
 def durable(df: DataFrame) -> DataFrame:
     """The rows cut from their lineage by a reliable checkpoint in the session's ``spark.checkpoint.dir``.
 
-    Only a session that names no folder (tests) gets a temporary one.
+    Where that is unset, a local session (tests) gets a temporary one; a cluster has to
+    name a folder that all its machines share.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)

@@ -15,14 +15,15 @@ from ..operators.aggregate import owner_signals
 from ..operators.dedup import greedy_dedup
 from ..operators.joins import anti_any, interval_anti
 from ..operators.rank import per_group, top_pool
+from ..operators.tables import durable
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A document as a candidate: its first line as title, the rest as content."""
+def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A document as a candidate: its first line as title, the rest as content; columns ``keep`` as they are."""
     t = F.coalesce(F.col(text), F.lit(""))
     title = clean_text(F.substring_index(t, "\n", 1))
     content = F.substring(clean_text(F.regexp_replace(t, r"^[^\n]*\n?", "")), 1, 2200)
-    return docs.select("doc_id", "lang", "source", title.alias("title"), content.alias("content"))
+    return docs.select("doc_id", "lang", "source", title.alias("title"), content.alias("content"), *keep)
 
 
 def first_in_group(key: Column, order: Column) -> Column:
@@ -33,21 +34,23 @@ def first_in_group(key: Column, order: Column) -> Column:
 def funnel(docs: DataFrame, memory: DataFrame, pool: int = 90) -> DataFrame:
     """AGG12: (stage, reason, n) over all documents: where each stops on its way to the pool, and why.
 
-    Rules, memory, duplicates and rank are one plan; a stage sees only what the ones
-    before let through.  The memory's keys are joined, never collected.
+    Rules, memory, duplicates and rank follow each other; a stage sees only what the ones
+    before let through.  The key is a hash of the whole normalised text.  Texts are read
+    once: what the ranks need is kept as a few numbers for each row.
     """
-    rows = candidates(docs)
+    whole = normalized_text(F.col("text"))
+    rows = candidates(docs.withColumn("_whole", short_sha1(whole)), keep=("_whole",))
     text = joined_text(F.col("title"), F.col("content"))
     rule = first_match((("missing_title", F.col("title") == ""), ("too_short", F.char_length("content") < 40), ("symbols", F.regexp_count("content", F.lit("[#$%&*]")) * 20 > F.char_length("content")), ("shouting", F.col("title").rlike("^[^a-z]*[A-Z]{5}[^a-z]*$"))))
-    rows = rows.select("doc_id", rule.alias("rule"), short_sha1(F.substring(normalized_text(text), 1, 120)).alias("key"), classify.update_priority(text, F.lit("")).alias("priority"), F.char_length("content").alias("size"))
+    rows = rows.select("doc_id", rule.alias("rule"), F.col("_whole").alias("key"), classify.update_priority(text, F.lit("")).alias("priority"), F.char_length("content").alias("size"))
     known = memory.select("key").distinct().withColumn("_m", F.lit(True))
     rows = rows.join(known, "key", "left")
     passed = rows.withColumn("stage1", first_match((("rules", F.col("rule") != ""), ("memory", F.col("_m").isNotNull()))))
     live = F.when(F.col("stage1") == "", F.col("key")).otherwise(F.concat(F.lit("-"), F.col("doc_id").cast("string")))
-    deduped = passed.withColumn("dup", (F.col("stage1") == "") & ~first_in_group(live, F.col("doc_id")))
+    deduped = durable(passed.select("doc_id", "rule", "stage1", "priority", "size", ((F.col("stage1") == "") & ~first_in_group(live, F.col("doc_id"))).alias("dup")))
     in_run = (F.col("stage1") == "") & ~F.col("dup")
     best = top_pool(deduped.filter(in_run), ["priority", "size"], "doc_id", pool).select("doc_id", F.lit(True).alias("_top"))
-    done = deduped.join(best, "doc_id", "left")
+    done = deduped.join(F.broadcast(best), "doc_id", "left")  # ``pool`` rows at most
     stage = first_match((("rules", F.col("stage1") == "rules"), ("memory", F.col("stage1") == "memory"), ("duplicate", F.col("dup")), ("rank", F.col("_top").isNull())), "pool")
     reason = F.when(F.col("stage1") == "rules", F.col("rule")).otherwise("")
     return done.select(stage.alias("stage"), reason.alias("reason")).groupBy("stage", "reason").agg(F.count("*").alias("n"))

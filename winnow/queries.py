@@ -119,10 +119,10 @@ def A_query_sites(spark, d):
     return own.select("page_id", F.get(sites, F.lit(0)).alias("site"), urls.query_matches(C("q"), C("url")).alias("inside"), urls.query_matches(F.lit("site:example.org"), C("url")).alias("elsewhere"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS month_first, strftime(o_orderdate, '%Y-%m-%d') AS day_first, strftime(o_orderdate, '%Y-%m-%d') AS numeric, '' AS none FROM orders WHERE year(o_orderdate) >= 2000")
+@query("SELECT o_orderkey, s AS month_first, s AS day_first, s AS numeric, '' AS none FROM (SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS s FROM orders)")
 def A_dates_inferred(spark, d):
     o = C("o_orderdate")
-    own = table(spark, d, "orders").filter(F.year(o) >= 2000)
+    own = table(spark, d, "orders")
     say = lambda f: F.concat(F.lit("Posted "), F.date_format(o, f), F.lit(" by us"))
     return own.select("o_orderkey", dates.inferred(say("MMMM d, yyyy")).alias("month_first"), dates.inferred(say("d MMM yyyy")).alias("day_first"), dates.inferred(say("yyyy/M/d")).alias("numeric"), dates.inferred(F.lit("no date 12-2020")).alias("none"))
 
@@ -381,10 +381,10 @@ def C_best_pair(spark, d):
     return joins.best_pair(own.filter("p_size <= 25"), own.filter("p_size > 25"), "p_brand", "p_partkey", ["p_type", "p_size"])
 
 
-@query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY CASE n_nationkey WHEN 7 THEN 0 WHEN 3 THEN 1 WHEN 21 THEN 2 ELSE 9 END, n_nationkey) AS pos FROM nation")
+@query("SELECT c_custkey, c_name, row_number() OVER (ORDER BY CASE c_custkey WHEN 77 THEN 0 WHEN 3 THEN 1 WHEN 121 THEN 2 ELSE 9 END, c_custkey) AS pos FROM customer")
 def C_reorder(spark, d):
-    own = table(spark, d, "nation").select("n_nationkey", "n_name", C("n_nationkey").cast("long").alias("pos"))
-    return joins.reorder(own, [7, 3, 21], "n_nationkey", "pos").withColumn("pos", C("pos").cast("long"))
+    own = table(spark, d, "customer").select("c_custkey", "c_name", (C("c_custkey") + 1).alias("pos"))
+    return joins.reorder(own, [77, 3, 121], "c_custkey", "pos")
 
 
 @query(
@@ -399,10 +399,10 @@ def C_knn_top3(spark, d):
 # --- D: deduplication and sets ------------------------------------------------
 
 
-@query(f"SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, substr({_norm('text')}, 1, 120) AS k FROM documents) GROUP BY CASE WHEN k = '' THEN CAST(doc_id AS VARCHAR) ELSE '|' || k END")
+@query(f"SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, {_norm('text')} AS k FROM documents) GROUP BY CASE WHEN k = '' THEN CAST(doc_id AS VARCHAR) ELSE '|' || k END")
 def D_first_by_key(spark, d):
-    own = table(spark, d, "documents").select("doc_id", "text")
-    return dedup.first_by_key(own, F.substring(text.normalized_text(C("text")), 1, 120), ["doc_id"]).select("doc_id")
+    own = table(spark, d, "documents").select("doc_id", text.normalized_text(C("text")).alias("t"))
+    return dedup.first_by_key(own.select("doc_id", F.when(C("t") != "", F.sha1("t")).alias("k")), C("k"), ["doc_id"]).select("doc_id")
 
 
 @query("SELECT c_mktsegment, min_by(c_name, c_custkey) AS c_name, max(c_acctbal) AS c_acctbal, min(c_nationkey) AS c_nationkey, bool_or(c_acctbal > 9990) AS rich, min(c_custkey) AS c_custkey, count(*) - 1 AS duplicates FROM customer GROUP BY c_mktsegment")
@@ -440,8 +440,9 @@ def D_greedy_semantic(spark, d):
 
 @query()
 def D_similar_titles(spark, d):
-    own = table(spark, d, "documents").select("doc_id", F.concat_ws("|", "lang", "source", (C("doc_id") / 2000).cast("int").cast("string")).alias("scope"), text.normalized_text(F.substring(F.substring_index("text", "\n", 1), 1, 120)).alias("title"), (C("doc_id") % 2 == 0).alias("preferred"))
-    return dedup.similar_titles(own, "scope", "doc_id", "title", "preferred").select("doc_id", "scope")
+    """Titles of all pages; those under https come first."""
+    own = table(spark, d, "pages").select("page_id", text.normalized_text(pages.page_title(C("html"), F.lit(""))).alias("title"), C("url").startswith("https").alias("preferred"))
+    return dedup.similar_titles(own, "page_id", "title", "preferred").select("page_id", "title")
 
 
 @query("SELECT n_nationkey AS k, 'both' AS part FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) AND n_nationkey IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT DISTINCT c_nationkey, 'customers only' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
@@ -512,10 +513,10 @@ _REST = rf"substr({_clean(chr(40) + 'regexp_replace(coalesce(text, ' + chr(39) *
 
 
 @query(
-    rf"""WITH c AS (SELECT doc_id, {_FIRST} AS title, {_REST} AS content FROM documents),
+    rf"""WITH c AS (SELECT doc_id, text, {_FIRST} AS title, {_REST} AS content FROM documents),
     r AS (SELECT doc_id, content, CASE WHEN title = '' THEN 'missing_title' WHEN length(content) < 40 THEN 'too_short' WHEN len(regexp_extract_all(content, '[#$%&*]')) * 20 > length(content) THEN 'symbols' WHEN regexp_matches(title, '^[^a-z]*[A-Z]{{5}}[^a-z]*$') THEN 'shouting' ELSE '' END AS rule,
-    substr(sha1(substr({_norm("title || ' ' || content")}, 1, 120)), 1, 24) AS key, {_PRIORITY.replace('contains(t,', "contains(lower(title || ' ' || content),")} AS priority FROM c),
-    m AS (SELECT DISTINCT substr(sha1(substr({_norm('text')}, 1, 120)), 1, 24) AS key FROM benchmark),
+    substr(sha1({_norm("text")}), 1, 24) AS key, {_PRIORITY.replace('contains(t,', "contains(lower(title || ' ' || content),")} AS priority FROM c),
+    m AS (SELECT DISTINCT substr(sha1({_norm('text')}), 1, 24) AS key FROM benchmark),
     s AS (SELECT *, CASE WHEN rule <> '' THEN 'rules' WHEN key IN (SELECT key FROM m) THEN 'memory' ELSE '' END AS stage1 FROM r),
     u AS (SELECT *, stage1 = '' AND row_number() OVER (PARTITION BY stage1 = '', key ORDER BY doc_id) > 1 AS dup FROM s),
     k AS (SELECT *, CASE WHEN stage1 <> '' OR dup THEN NULL ELSE row_number() OVER (PARTITION BY stage1 = '' AND NOT dup ORDER BY priority DESC, length(content) DESC, doc_id) END AS place FROM u)
@@ -523,7 +524,7 @@ _REST = rf"substr({_clean(chr(40) + 'regexp_replace(coalesce(text, ' + chr(39) *
 )
 def E_funnel(spark, d):
     """Flagship: where each document stops on its way to the pool."""
-    memory = table(spark, d, "benchmark").select(keys.short_sha1(F.substring(text.normalized_text(C("text")), 1, 120)).alias("key"))
+    memory = table(spark, d, "benchmark").select(keys.short_sha1(text.normalized_text(C("text"))).alias("key"))
     return curation.funnel(table(spark, d, "documents"), memory)
 
 
@@ -553,9 +554,15 @@ def F_topic_diverse(spark, d):
     return rank.topic_diverse(_parts(spark, d), "level", "p_type", ["p_partkey"], 6).select("p_partkey", "level", "rank")
 
 
-@query()
+@query(
+    """WITH p AS (SELECT *, CASE WHEN p_size <= 17 THEN 'beginner' WHEN p_size <= 34 THEN 'intermediate' WHEN p_size <= 50 THEN 'expert' END AS level FROM part),
+    t AS (SELECT *, row_number() OVER (PARTITION BY level, p_type ORDER BY p_partkey) > 2 AS late FROM p WHERE level IN ('beginner', 'intermediate')), b AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY late, p_partkey) AS r FROM t QUALIFY r <= 6),
+    f AS (SELECT p_partkey, 'advanced' AS bank, true AS filled FROM p WHERE p_partkey NOT IN (SELECT p_partkey FROM b) ORDER BY p_partkey LIMIT 6)
+    SELECT p_partkey, level AS bank, false AS filled FROM b UNION ALL FROM f"""
+)
 def F_level_bank(spark, d):
-    own = _parts(spark, d).withColumn("level", F.when(C("level") == "advanced", F.when(C("p_partkey") < 40, "advanced").otherwise("other")).otherwise(C("level")))
+    """No row is advanced: that level is filled from the others."""
+    own = table(spark, d, "part").withColumn("level", F.when(C("p_size") <= 17, "beginner").when(C("p_size") <= 34, "intermediate").otherwise("expert"))
     return rank.level_bank(own, "level", "p_type", ["p_partkey"], 6).select("p_partkey", "bank", "filled")
 
 
@@ -583,34 +590,92 @@ def F_positions(spark, d):
     return rank.positions(table(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_partkey", "position")
 
 
-@query()
+@query(
+    f"""WITH o AS (SELECT p_partkey, p_name, {_LEVEL} AS level FROM part), f AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY p_partkey) AS n FROM (SELECT *, row_number() OVER (PARTITION BY level, p_name ORDER BY p_partkey) AS k FROM o) WHERE k = 1),
+    l AS (SELECT *, n > CASE level WHEN 'beginner' THEN 9 WHEN 'intermediate' THEN 8 ELSE 0 END AS late, CASE level WHEN 'beginner' THEN 0 WHEN 'intermediate' THEN 1 ELSE 3 END AS lane FROM f), d AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY late, lane, n) AS once FROM l)
+    SELECT p_partkey, level, p_name FROM d WHERE NOT late OR once = 1 ORDER BY late, lane, n LIMIT 20"""
+)
 def F_query_mix(spark, d):
     own = _parts(spark, d).select("p_partkey", "level", "p_name")
     return rank.mix(own, "level", "p_partkey", "p_name", 20, [("beginner", 0.45), ("intermediate", 0.4)])
 
 
-@query("SELECT n_nationkey, (n_nationkey - 7 + 25) % 25 AS rank, ((n_nationkey - 7 + 25) % 25) // 4 AS batch FROM nation")
+@query("WITH n AS (SELECT count(*) AS n FROM customer) SELECT c_custkey, (c_custkey - 7 + n) % n AS rank, ((c_custkey - 7 + n) % n) // 4 AS batch FROM customer, n")
 def F_rotation(spark, d):
-    own = rank.rotated(table(spark, d, "nation"), "n_nationkey", 7, 25)
-    return rank.batches(own, "n_nationkey", 7, 4, 25).select("n_nationkey", "rank", "batch")
+    own = table(spark, d, "customer").select("c_custkey", C("c_custkey").alias("at"))
+    n = own.count()
+    return rank.batches(rank.rotated(own, "at", 7, n), "at", 7, 4, n).select("c_custkey", "rank", "batch")
 
 
-@query()
+#: A pool of 90 as lists, by place; recursive queries over it take one step for each offer.
+_POOL = f"""pool AS (SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS n FROM (SELECT *, {_LEVEL} AS level FROM part) ORDER BY n LIMIT 90),
+    lists AS (SELECT list(p_partkey ORDER BY n) AS ids, list(p_brand ORDER BY n) AS brands, list(p_type ORDER BY n) AS types, list(level ORDER BY n) AS levels, list(p_size ORDER BY n) AS sizes, count(*) AS size FROM pool)"""
+_OF = lambda name, at: f"len(list_filter(chosen, lambda x: {name}[x] = {name}[{at}]))"
+
+
+@query(
+    f"""WITH RECURSIVE {_POOL}, seeds AS (SELECT n, first, row_number() OVER (PARTITION BY first ORDER BY n) AS r FROM (SELECT n, min(n) OVER (PARTITION BY p_type) AS first FROM pool WHERE p_size <= 40)),
+    offers AS (SELECT row_number() OVER (ORDER BY phase, a, b) AS step, phase, n, a FROM (SELECT 0 AS phase, n, first AS a, r AS b FROM seeds WHERE r <= 2 UNION ALL SELECT phase, n, n, 0 FROM pool, (SELECT unnest([1, 2, 3]) AS phase))),
+    t AS (SELECT (SELECT count(*) FROM pool WHERE p_size <= 40) >= 20 AS tight),
+    run AS (SELECT CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS chosen, CAST(0 AS BIGINT) AS last UNION ALL
+        SELECT o.step, CASE WHEN len(chosen) < CASE o.phase WHEN 0 THEN 32 ELSE 45 END AND NOT (o.phase = 0 AND last = o.a) AND (o.phase < 3 OR tight) AND NOT list_contains(chosen, o.n) AND {_OF('brands', 'o.n')} < CASE o.phase WHEN 1 THEN 2 ELSE 3 END
+            AND {_OF('levels', 'o.n')} < CASE o.phase WHEN 1 THEN 22 ELSE 45 END AND NOT (tight AND o.phase < 3 AND sizes[o.n] > 45 AND len(list_filter(chosen, lambda x: sizes[x] > 45)) >= 13) THEN list_append(chosen, o.n) ELSE chosen END AS picked, CASE WHEN len(picked) > len(chosen) AND o.phase = 0 THEN o.a ELSE last END
+        FROM run JOIN offers o ON o.step = run.step + 1, lists, t),
+    done AS (SELECT unnest(chosen) AS n, unnest(range(1, len(chosen) + 1)) AS rank FROM (SELECT chosen FROM run ORDER BY step DESC LIMIT 1))
+    SELECT p_partkey, p_brand, level, CAST(rank AS INT) AS rank FROM done JOIN pool USING (n)"""
+)
 def F_shortlist(spark, d):
-    return rank.shortlist(_parts(spark, d), [F.desc("p_retailprice"), C("p_partkey")], 90, 45, "p_brand", "level").select("p_partkey", "p_brand", "level", "rank")
+    """Brands as owners, levels as mixes, types as tools; sizes up to 40 are primary, over 45 fallback."""
+    own = _parts(spark, d).withColumn("primary", C("p_size") <= 40).withColumn("fallback", C("p_size") > 45)
+    return rank.shortlist(own, [F.desc("p_retailprice"), C("p_partkey")], 90, 45, ["p_brand"], "level", ["p_type"], "primary", "fallback").select("p_partkey", "p_brand", "level", "rank")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_POOL}, offers AS (SELECT row_number() OVER (ORDER BY phase, n) AS step, phase, n FROM pool, (SELECT unnest([0, 1]) AS phase)),
+    run AS (SELECT CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS chosen UNION ALL
+        SELECT o.step, CASE WHEN len(chosen) < 12 AND NOT list_contains(chosen, o.n) AND (o.phase = 1 OR {_OF('types', 'o.n')} < CASE types[o.n] WHEN 'PROMO' THEN 2 ELSE 3 END AND {_OF('brands', 'o.n')} < 2) THEN list_append(chosen, o.n) ELSE chosen END FROM run JOIN offers o ON o.step = run.step + 1, lists),
+    done AS (SELECT unnest(chosen) AS n, unnest(range(1, len(chosen) + 1)) AS rank FROM (SELECT chosen FROM run ORDER BY step DESC LIMIT 1))
+    SELECT p_partkey, p_type, p_brand, CAST(rank AS INT) AS rank FROM done JOIN pool USING (n)"""
+)
 def F_functional_diversity(spark, d):
-    return rank.functional_diversity(_parts(spark, d), [F.desc("p_retailprice"), C("p_partkey")], 90, 12, "p_type", "p_brand").select("p_partkey", "p_type", "p_brand", "rank")
+    return rank.functional_diversity(_parts(spark, d), [F.desc("p_retailprice"), C("p_partkey")], 90, 12, "p_type", "p_brand", loud="PROMO").select("p_partkey", "p_type", "p_brand", "rank")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_POOL}, owned AS (SELECT *, row_number() OVER (ORDER BY n) AS m FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n) AS k FROM pool) WHERE k <= 2),
+    own AS (SELECT list(p_type ORDER BY m) AS types, list(level ORDER BY m) AS levels FROM owned),
+    offers AS (SELECT row_number() OVER (ORDER BY phase, m) AS step, phase, m FROM owned, (SELECT unnest([0, 1]) AS phase)),
+    run AS (SELECT CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS chosen UNION ALL
+        SELECT o.step, CASE WHEN len(chosen) < 15 AND NOT list_contains(chosen, o.m) AND (o.phase = 1 OR {_OF('types', 'o.m')} < 4 AND {_OF('levels', 'o.m')} < 2) THEN list_append(chosen, o.m) ELSE chosen END FROM run JOIN offers o ON o.step = run.step + 1, own),
+    diverse AS (SELECT unnest(chosen) AS m, unnest(range(1, len(chosen) + 1)) AS spot FROM (SELECT chosen FROM run ORDER BY step DESC LIMIT 1)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY spot) AS nth FROM diverse JOIN owned USING (m)),
+    ranked AS (SELECT p_partkey, level, row_number() OVER (ORDER BY nth > 5, CASE WHEN nth > 5 THEN 0 ELSE list_position(['beginner', 'intermediate', 'advanced'], level) END, spot) AS rank FROM placed)
+    SELECT p_partkey, level, CAST(rank AS INT) AS rank FROM ranked"""
+)
+def F_balanced_levels(spark, d):
+    return rank.balanced_levels(_parts(spark, d), [F.desc("p_retailprice"), C("p_partkey")], 90, 15, "p_brand", "p_type", "level", "level").select("p_partkey", "level", "rank")
+
+
+@query(
+    f"""WITH RECURSIVE {_POOL}, first AS (SELECT list(n ORDER BY list_position(['beginner', 'intermediate', 'advanced'], level), n) AS todo FROM pool),
+    run AS (SELECT CAST(0 AS BIGINT) AS step, 0 AS phase, todo, CAST([] AS BIGINT[]) AS chosen FROM first UNION ALL
+        SELECT step + 1, CASE WHEN len(todo) = 0 THEN phase + 1 ELSE phase END,
+            CASE WHEN len(todo) > 0 THEN todo[2:] WHEN phase = 0 THEN range(1, size + 1) ELSE list_transform(list_sort(list_transform(range(1, size + 1), lambda i: [len(list_filter(chosen, lambda x: brands[x] = brands[i])), len(list_filter(chosen, lambda x: types[x] = types[i])), i])), lambda z: z[3]) END,
+            CASE WHEN len(todo) > 0 AND len(chosen) < 12 AND NOT list_contains(chosen, todo[1]) AND (phase > 0 OR {_OF('levels', 'todo[1]')} < CASE levels[todo[1]] WHEN 'beginner' THEN 6 WHEN 'intermediate' THEN 4 ELSE 2 END) AND (phase > 1 OR {_OF('brands', 'todo[1]')} < 1) AND (phase > 2 OR {_OF('types', 'todo[1]')} < 2) THEN list_append(chosen, todo[1]) ELSE chosen END
+        FROM run, lists WHERE phase < 4),
+    last AS (SELECT chosen FROM run ORDER BY step DESC LIMIT 1), done AS (SELECT unnest(chosen) AS n, unnest(range(1, len(chosen) + 1)) AS r FROM last)
+    SELECT p_partkey, level, p_brand, CAST(row_number() OVER (ORDER BY r IS NULL, r, n) AS INT) AS rank FROM pool LEFT JOIN done USING (n)"""
+)
 def F_track_quotas(spark, d):
+    """Levels as tracks, brands as topics, types as owners."""
     return rank.track_quotas(_parts(spark, d), [F.desc("p_retailprice"), C("p_partkey")], 90, 12, "level", "p_brand", "p_type", ["beginner", "intermediate", "advanced"]).select("p_partkey", "level", "p_brand", "rank")
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS course_key, p_partkey, p_name, p_brand AS platform, {_LEVEL} AS level, p_size FROM part), h AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate < DATE '1998-06-01' AND l_shipdate >= DATE '1998-06-01' - INTERVAL 180 DAY),
+    s AS (SELECT *, list_position(['beginner', 'intermediate', 'advanced'], level) AS l FROM c WHERE p_partkey NOT IN (SELECT l_partkey FROM h)), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY platform ORDER BY l, p_size % 2 DESC, p_size % 6 DESC, p_name, course_key) = 1)
+    SELECT course_key, level, platform, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY p_size % 2 DESC, p_size % 6 DESC, p_name, course_key) AS r FROM b) WHERE r <= 2"""
+)
 def F_weekly_selection(spark, d):
     catalog = _parts(spark, d).select(C("p_partkey").cast("string").alias("course_key"), F.concat(F.lit("https://www.x.org/"), C("p_partkey")).alias("url"), C("p_name").alias("title"), C("p_brand").alias("platform"), "level", (C("p_size") % 2).alias("free"), (C("p_size") % 6).alias("fit"), F.lit(0).alias("selected_count"))
     history = table(spark, d, "lineitem").select(F.concat(F.lit("https://x.org/"), C("l_partkey")).alias("url"), C("l_shipdate").cast("timestamp").alias("selected_at"))
@@ -646,10 +711,10 @@ def G_fold_activity(spark, d):
     return state.fold_activity(table(spark, d, "events"), "user_id", "event_id", C("event_type") == "purchase")
 
 
-@query("SELECT n_nationkey, n_regionkey, [(n_nationkey * 3 + i) % 7 for i in range(4)] AS indices, (n_nationkey * 3 + 4) % 7 AS next_cursor FROM nation")
+@query("SELECT c_custkey, [(c_custkey * 3 + i) % m for i in range(4)] AS indices, (c_custkey * 3 + 4) % m AS next_cursor FROM (SELECT c_custkey, 5 + c_nationkey AS m FROM customer)")
 def G_advance(spark, d):
-    own = table(spark, d, "nation").select("n_nationkey", "n_regionkey", (C("n_nationkey") * 3).alias("c"), F.lit(7).alias("m"))
-    return state.advance(own, "c", "m", F.lit(4)).select("n_nationkey", "n_regionkey", "indices", "next_cursor")
+    own = table(spark, d, "customer").select("c_custkey", (C("c_custkey") * 3).alias("c"), (C("c_nationkey") + 5).alias("m"))
+    return state.advance(own, "c", "m", F.lit(4)).select("c_custkey", "indices", "next_cursor")
 
 
 @query(
