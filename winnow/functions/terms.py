@@ -143,3 +143,39 @@ SPAM = ("top 10", "best ", "alternatives", "coupon", "promo code", "download fre
 FILM_AI = ("artificial intelligence", "machine learning", "robot", "android", "sentient computer", "neural network")
 DEVELOPER_PAGE = ("developer", "developers", "api", "sdk", "docs", "documentation", "quickstart")
 PRODUCT_NEWS = ("announce", "announces", "announced", "introducing", "introduces", "launch", "launched", "rolls out", "now available", "new feature", "update", "upgrade", "release", "latest")
+
+# Fixed values of query generation.
+ANNOUNCED = ("launches", "introducing", "announces", "ships", "rolls out", "debuts")
+AVAILABLE = ("now available", "generally available", "GA", "live now", "out now")
+UPDATED = ("new feature", "product update", "just updated", "we added", "now supports", "improved")
+PRODUCT_SIGNAL = ("tool", "platform", "product", "feature", "model")
+ACTION_SIGNAL = ("launches", "announces", "now available", "rolls out", "introduces", "update")
+NEGATIVE_TERMS = ("video", "repository", "documentation", "login", "pricing")
+TRUSTED_MEDIA = (
+    ("TechCrunch", "techcrunch.com"),
+    ("The Verge", "theverge.com"),
+    ("VentureBeat", "venturebeat.com"),
+    ("ZDNet", "zdnet.com"),
+    ("The Decoder", "the-decoder.com"),
+    ("TNW", "thenextweb.com"),
+    ("Neowin", "neowin.net"),
+    ("UC Today", "uctoday.com"),
+    ("Wired", "wired.com"),
+    ("Ars Technica", "arstechnica.com"),
+    ("Engadget", "engadget.com"),
+    ("MIT Technology Review", "technologyreview.com"),
+    ("Fast Company", "fastcompany.com"),
+    ("Axios", "axios.com"),
+    ("SiliconANGLE", "siliconangle.com"),
+    ("HPCwire", "hpcwire.com"),
+    ("Reuters", "reuters.com"),
+    ("Bloomberg", "bloomberg.com"),
+    ("CNBC", "cnbc.com"),
+    ("Business Insider", "businessinsider.com"),
+    ("Google Cloud Blog", "cloud.google.com"),
+)
+MEDIA_TEMPLATES = ('site:{trusted_domain} "{tool}" AI launches', 'site:{trusted_domain} "{tool}" AI "new feature"', 'site:{trusted_domain} "{tool}" AI "now available"')
+COMMON_NAME_WORDS = ("ai", "app", "studio", "pro", "plus")
+COURSE_INTENT = '("AI course" OR "generative AI course" OR "prompt engineering course" OR "AI training" OR "AI certificate")'
+WORKFORCE_INTENT = '("employee" OR "employees" OR "professional" OR "professionals" OR "workplace" OR "productivity" OR "business" OR "upskilling" OR "workforce" OR "موظفين" OR "مهنيين" OR "بيئة العمل" OR "الإنتاجية" OR "تطوير المهارات" OR "الأعمال")'
+SITE_TEMPLATES = ("update", "release notes", "changelog", "new feature", "now available", "launch", "rollout", "product update", "announcement")

@@ -239,7 +239,7 @@ def semantic_text(*fields: Column, most: int = 1200) -> Column:
     return F.substring(F.concat_ws(" ", *[blank(f) for f in fields]), 1, most)
 
 
-def ai_scoped(query: Column, suffix: str = "AI") -> Column:
+def ai_scoped(query: Column, suffix: str = "AI artificial intelligence") -> Column:
     """QRY10, QRY11: the query with ``suffix`` unless it names AI as a word."""
     q = clean_text(query)
     return F.when((q == "") | whole_term(F.lower(q), ("ai", "artificial intelligence")), q).otherwise(F.concat(q, F.lit(f" {suffix}")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import dates, keys, pages, text, urls, values
 from .functions import terms as T
 from .functions.rules import lookup
-from .operators import aggregate, classify, dedup, joins, rank, rejects, state
+from .operators import aggregate, classify, dedup, joins, rank, rejects, searches, state
 from .plans import curation
 from .sources import landing, models
 from .streaming import events as stream
@@ -748,6 +748,146 @@ def G_append_new(spark, d):
     return state.append_new(own.filter("doc_id % 4 = 0"), new, ["text"]).select("doc_id")
 
 
+# --- Q: query generation ------------------------------------------------------
+
+#: Suppliers as tools, their nations as companies with a site.
+_TOOLS = """t AS (SELECT s_suppkey, s_name AS tool, n_name AS company, CASE WHEN n_regionkey = 0 THEN '' ELSE lower(replace(n_name, ' ', '-')) || '.org/ai' END AS site, CASE WHEN n_regionkey = 0 THEN '' ELSE lower(replace(n_name, ' ', '-')) || '.org' END AS host,
+    CASE WHEN s_acctbal < 0 THEN 'general' ELSE 'specialized' END AS tool_type, r_name AS sector, CAST(s_acctbal AS INT) AS score FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+_TERMS = "(" + " OR ".join(f'"{x}"' for x in (*T.ANNOUNCED, *T.AVAILABLE, *T.UPDATED)) + ")"
+_RELEASE = f"""CASE WHEN site <> '' THEN 'site:' || site || ' "' || tool || '" ' ELSE '"' || tool || '" "' || company || '" ' END || {_lit(_TERMS)}"""
+_VERBS = '(update OR launch OR launches OR introducing OR unveils OR announces OR "now available")'
+
+
+def _tools(spark, d) -> DataFrame:
+    n = table(spark, d, "nation").join(table(spark, d, "region"), C("n_regionkey") == C("r_regionkey"))
+    own = table(spark, d, "supplier").join(n, C("s_nationkey") == C("n_nationkey"))
+    site = F.when(C("n_regionkey") == 0, "").otherwise(F.concat(F.lit("https://www."), F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))), F.lit(".org/ai/?from=list")))
+    return own.select("s_suppkey", C("s_name").alias("tool"), C("n_name").alias("company"), site.alias("official_site"), F.when(C("s_acctbal") < 0, "general").otherwise("specialized").alias("tool_type"), C("r_name").alias("sector"), C("s_acctbal").cast("int").alias("popularity_score"))
+
+
+@query(f"WITH {_TOOLS} SELECT tool, company, site AS official_site, site = '' AS official_site_missing, tool_type, CASE tool_type WHEN 'general' THEN 'general_market' ELSE sector END AS sector, CAST(trunc(s_acctbal) AS INT) AS tool_score, {_RELEASE} AS query, p AS provider FROM t JOIN supplier USING (s_suppkey), (SELECT unnest(['exa', 'searxng']) AS p)")
+def Q_tool_rows(spark, d):
+    return searches.tool_rows(_tools(spark, d)).drop("bucket", "tool_query_variant", "tool_query_required")
+
+
+@query(
+    f"""WITH {_TOOLS}, p AS (SELECT s_suppkey, 'tool_name_update' AS strategy, 1 AS phase, CASE WHEN host <> '' THEN 'site:' || host || ' "' || tool || '" update' ELSE '"' || tool || '" update' END AS query FROM t
+    UNION ALL SELECT s_suppkey, 'new_three_phase', 1, 'site:' || site || ' "changelog" OR "release notes"' FROM t WHERE site <> '' UNION ALL SELECT s_suppkey, 'new_three_phase', 2, '"' || tool || '" changelog site:' || site FROM t WHERE site <> '' UNION ALL SELECT s_suppkey, 'new_three_phase', 3, '"' || tool || '" release notes' FROM t)
+    SELECT s_suppkey, strategy, phase, query FROM p"""
+)
+def Q_recent_phases(spark, d):
+    own = _tools(spark, d)
+    return own.select("s_suppkey", F.inline(searches.phases(C("tool"), urls.official_site(C("official_site")), urls.site_domain(C("official_site")))))
+
+
+_MEDIA = ", ".join(f"({n}, {_lit(m)}, {_lit(h)}, {_lit(t)})" for n, (m, h, t) in enumerate((m, h, t) for m, h in T.TRUSTED_MEDIA for t in T.MEDIA_TEMPLATES))
+_MEDIA_ROWS = f"SELECT s_suppkey, n, replace(replace(q, '{{trusted_domain}}', h), '{{tool}}', tool) AS query, tool, company, m AS trusted_media_name, h AS trusted_media_domain FROM t, (VALUES {_MEDIA}) AS v(n, m, h, q)"
+
+
+@query(f"WITH {_TOOLS} {_MEDIA_ROWS} ORDER BY s_suppkey, n LIMIT 500")
+def Q_media_rows(spark, d):
+    """The first 500 (the feature's limit)."""
+    return searches.media_rows(_tools(spark, d), "s_suppkey", 500).drop("source_lane").withColumn("n", C("n").cast("int"))
+
+
+@query(
+    f"""WITH q AS (SELECT p_partkey, p_brand AS sector, p_size % 2 = 0 AS own, p_name || CASE WHEN p_size % 3 = 0 THEN '  AI ' WHEN p_size = 7 THEN ' أداة' ELSE '' END AS q FROM part),
+    s AS (SELECT *, CASE WHEN own OR regexp_matches(lower(q), '\\bai\\b') THEN trim(regexp_replace(q, '\\s+', ' ', 'g')) ELSE trim(q) || ' AI artificial intelligence' END AS query FROM q WHERE NOT regexp_matches(q, '[؀-ۿ]'))
+    SELECT p_partkey, query, 'general' AS bucket FROM s QUALIFY row_number() OVER (PARTITION BY lower(query) || CASE WHEN own THEN '|sector:' || sector ELSE '' END ORDER BY p_partkey) = 1"""
+)
+def Q_unique_rows(spark, d):
+    end = F.when(C("p_size") % 3 == 0, "  AI ").when(C("p_size") == 7, " أداة").otherwise("")
+    own = table(spark, d, "part").select("p_partkey", F.concat("p_name", end).alias("query"), C("p_brand").alias("sector"), (C("p_size") % 2 == 0).alias("tool_query_required"), F.lit("").alias("bucket"))
+    return searches.unique_rows(own, "p_partkey").select("p_partkey", "query", "bucket")
+
+
+_UPDATE_ROWS = f"""{_TOOLS}, n AS (SELECT count(*) AS n FROM t), r AS (SELECT *, (s_suppkey - 3 + n) % n AS place FROM t, n),
+    u AS (SELECT 0 AS part, place, CASE WHEN host = '' THEN '"' || tool || '" ' ELSE 'site:' || host || ' -site:help.' || host || ' -site:support.' || host || ' "' || tool || '" ' END || {_lit(_VERBS)} AS query, 'official_exa' AS source_lane FROM r WHERE place < 48
+    UNION ALL SELECT 1, place * 1000 + k, q, 'trusted_media_exa' FROM (SELECT place, v.n AS k, replace(replace(q, '{{trusted_domain}}', h), '{{tool}}', tool) AS q FROM r, (VALUES {_MEDIA}) AS v(n, m, h, q) ORDER BY place, k LIMIT 8)
+    UNION ALL SELECT 2, 0, 'new AI tools', 'fallback_broad' UNION ALL SELECT 2, 1, 'product updates this week', 'fallback_broad')"""
+
+
+def _update_rows(spark, d) -> DataFrame:
+    own = _tools(spark, d)
+    return searches.update_rows(own, "s_suppkey", 3, table(spark, d, "supplier").count(), 48, 1, ("new AI tools", "product updates this week"), 8)
+
+
+@query(f"WITH {_UPDATE_ROWS} SELECT part, place, query, source_lane FROM u")
+def Q_update_rows(spark, d):
+    return _update_rows(spark, d)
+
+
+@query(
+    f"""WITH {_UPDATE_ROWS}, e AS (SELECT -1 AS part, s_suppkey AS place, {_RELEASE} AS query, 'tool' AS source_lane, 'tool_general_updates' AS bucket, CASE tool_type WHEN 'general' THEN 'general_market' ELSE sector END AS sector FROM t
+    UNION ALL SELECT part, place, CASE WHEN regexp_matches(lower(query), '\\bai\\b') THEN query ELSE query || ' AI artificial intelligence' END, source_lane, 'general', '' FROM u)
+    SELECT query, source_lane, bucket FROM e ORDER BY part, place LIMIT 900"""
+)
+def Q_discovery_rows(spark, d):
+    """One provider's rows up to its limit."""
+    tools = _tools(spark, d)
+    required = searches.tool_rows(tools).join(tools.select("tool", C("s_suppkey").cast("long").alias("place")), "tool")
+    return searches.discovery_rows(_update_rows(spark, d), required, "exa", 900).select("query", "source_lane", "bucket")
+
+
+_STRICT = f"""'(' || regexp_replace(replace(q, 'ships', '"rolls out"'), '\\bnew\\b', '"product update"', 'g') || ') AND ' || {_lit('(' + ' OR '.join(f'"{x}"' for x in T.PRODUCT_SIGNAL) + ')')} || ' AND ' || {_lit('(' + ' OR '.join(f'"{x}"' for x in T.ACTION_SIGNAL) + ')')}"""
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, p_name || ' ships' || CASE WHEN p_size % 2 = 0 THEN ' after:2020-01-01' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN ' in 2024 -video' ELSE '' END AS q FROM part), s AS (SELECT p_partkey, {_STRICT} AS q FROM p),
+    a AS (SELECT p_partkey, CASE WHEN contains(q, 'after:') THEN q ELSE q || ' after:2024-01-03' END AS q FROM s), y AS (SELECT p_partkey, CASE WHEN contains(q, '2024') THEN q ELSE q || ' 2024' END AS q FROM a)
+    SELECT p_partkey, q || CASE WHEN contains(q, '-video') THEN '' ELSE ' -video' END || ' -repository -documentation -login -pricing' AS query FROM y"""
+)
+def Q_fetch_query(spark, d):
+    q = F.concat("p_name", F.lit("  ships"), F.when(C("p_size") % 2 == 0, " after:2020-01-01").otherwise(""), F.when(C("p_size") % 5 == 0, " in 2024 -video").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", searches.fetch_query(q, F.lit("2024-01-10").cast("timestamp")).alias("query"))
+
+
+@query(f"SELECT p_partkey, contains({_norm('p_name')}, 'widget') OR contains({_norm('p_name')} || ' ' || {_norm('p_type')}, 'promo') AS matches FROM part")
+def Q_row_matches(spark, d):
+    return table(spark, d, "part").select("p_partkey", searches.row_matches([C("p_name"), C("p_type")], ["Widget", " PROMO! "]).alias("matches"))
+
+
+_AI = '(AI OR "artificial intelligence" OR "الذكاء الاصطناعي")'
+_KINDS = '("course" OR "training" OR "certificate" OR "learning path")'
+_TWO = lambda base: f"[{base} || {_lit(' ' + T.COURSE_INTENT + ' ' + _KINDS)}, {base} || {_lit(' ' + _AI + ' ' + T.WORKFORCE_INTENT)}]"
+_LAST = ' (AI OR "artificial intelligence" OR "الذكاء الاصطناعي") ("course" OR "training" OR "certificate" OR "برنامج" OR "دورة") '
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, 'site:' || {_DOMAIN} AS s, CASE WHEN len(list_filter(string_split(lower({_PATH}), '/'), lambda x: x <> '')) = 0 THEN '' ELSE '/' || array_to_string(list_filter(string_split(lower({_PATH}), '/'), lambda x: x <> '')[1:2], '/') END AS path FROM pages),
+    q AS (SELECT page_id, list_concat(CASE WHEN path = '' THEN {_TWO('s')} ELSE {_TWO('(s || path)')} END, [s || {_lit(_LAST + T.WORKFORCE_INTENT)}]) AS q FROM p) SELECT page_id, CAST(len(q) AS BIGINT) AS n, md5(array_to_string(q, chr(10))) AS queries FROM q"""
+)
+def Q_platform_queries(spark, d):
+    q = searches.platform_queries(urls.domain(C("url")), F.array(urls.path_pattern(C("url"))))
+    return table(spark, d, "pages").select("page_id", q.alias("q")).select("page_id", F.size("q").cast("long").alias("n"), F.md5(F.array_join("q", "\n")).alias("queries"))
+
+
+_SITES = ", ".join(_lit(x) for x in ("", *(f" {t}" for t in T.SITE_TEMPLATES)))
+
+
+@query(
+    f"""WITH {_TOOLS}, q AS (SELECT s_suppkey, flatten(list_transform([tool, company], lambda n: list_concat(list_transform([{_SITES}], lambda x: '"' || n || '"' || x), CASE WHEN site = '' THEN [] ELSE ['"' || n || '" site:' || site, '"' || n || '" site:' || host] END))) AS q FROM t)
+    SELECT s_suppkey, CAST(len(q) AS BIGINT) AS n, md5(array_to_string(q, chr(10))) AS queries FROM q"""
+)
+def Q_site_queries(spark, d):
+    own = _tools(spark, d).select("s_suppkey", searches.site_queries(C("tool"), C("company"), C("official_site")).alias("q"))
+    return own.select("s_suppkey", F.size("q").cast("long").alias("n"), F.md5(F.array_join("q", "\n")).alias("queries"))
+
+
+@query(f"WITH {_TOOLS} SELECT s_suppkey, array_to_string(CASE WHEN s_suppkey % 2 = 0 THEN [tool || ' Studio v2.1', 'Supplier# Studio', 'Supplier#', company] ELSE [tool || ' Studio v2.1', 'Supplier# Studio', 'Supplier#'] END, '|') AS variants FROM t")
+def Q_name_variants(spark, d):
+    name = F.concat(C("tool"), F.lit("  Studio v2.1"))
+    other = F.when(C("s_suppkey") % 2 == 0, C("company")).otherwise(" supplier ")
+    return _tools(spark, d).select("s_suppkey", F.array_join(searches.name_variants(name, other), "|").alias("variants"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
+def Q_raw_date(spark, d):
+    say = F.date_format("o_orderdate", "yyyy-MM-dd")
+    at = [F.when(C("o_orderkey") % 4 == n, say).otherwise("") for n in range(3)]
+    return table(spark, d, "orders").select("o_orderkey", F.date_format(searches.raw_date(*at), "yyyy-MM-dd").alias("day"))
+
+
 # --- W: event time ------------------------------------------------------------
 
 
