@@ -199,7 +199,7 @@ def test_sharding(spark, rows, limit):
     assert shard(frame(spark, rows[:0]), limit).count() == 0
 
 
-def brute_lm(rows, order, strength):
+def brute_lm(rows, order, strengths):
     learned = [d is None or zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in rows]
     toks = [["<s>", *("".join(c.lower() if c.isascii() else c for c in w) for w in words(t)), "</s>"] for _, t in rows]
     c = Counter()
@@ -213,27 +213,28 @@ def brute_lm(rows, order, strength):
     def p(g):
         if len(g) == 1:
             return (c[g] + 1) / (total + kinds + 1)
+        strength = strengths[min(len(g) - 2, len(strengths) - 1)]
         return (c[g] + strength * p(g[1:])) / (c[g[:-1]] + strength)
 
     return [(d, not learn, len(ts) - 1, sum(c[(t,)] > 0 for t in ts[1:]), total, sum(math.log10(p((t,))) for t in ts[1:]), sum(math.log10(p(tuple(ts[max(0, i - order + 1) : i + 1]))) for i in range(1, len(ts)))) for (d, _), learn, ts in zip(rows, learned, toks, strict=True)]
 
 
-@pytest.mark.parametrize(("order", "block"), [(2, 8 << 20), (2, 3000), (3, 3000), (1, 3000)])
-def test_lm(spark, rows, order, block):
+@pytest.mark.parametrize(("order", "block", "strengths"), [(3, 6 << 20, (500.0, 20.0)), (2, 3000, (3.0,)), (4, 3000, (9.0, 2.0)), (1, 3000, (3.0,))])
+def test_lm(spark, rows, order, block, strengths):
     names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
     def order_of(x):
         return tuple((v is None, v or 0) for v in x)
 
-    got = sorted((tuple(r[k] for k in names) for r in lm_score(frame(spark, rows), order=order, strength=3.0, block_bytes=block).collect()), key=order_of)
-    for a, b in zip(got, sorted(brute_lm(rows, order, 3.0), key=order_of), strict=True):
+    got = sorted((tuple(r[k] for k in names) for r in lm_score(frame(spark, rows), order=order, strengths=strengths, block_bytes=block).collect()), key=order_of)
+    for a, b in zip(got, sorted(brute_lm(rows, order, strengths), key=order_of), strict=True):
         assert a[:5] == b[:5]
         assert a[5:] == pytest.approx(b[5:], rel=1e-9)
     assert lm_score(frame(spark, rows[:0])).count() == 0
 
 
 def plain(text):
-    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    return re.findall(r"[\u3000-\U0010ffff]|[0-9a-z\x80-\u2fff]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
 
 
 def nearest(item, text):
@@ -248,8 +249,8 @@ def nearest(item, text):
 
 def test_decontamination(spark, rows):
     r = random.Random(5)
-    items = [(i, " ".join(f"w{r.randrange(400)}" for _ in range(r.randrange(3, 50)))) for i in range(12)] + [(50, None), (51, "")]
-    docs = list(rows)
+    items = [(i, " ".join(f"w{r.randrange(400)}" for _ in range(r.randrange(3, 50)))) for i in range(12)] + [(50, None), (51, ""), (52, "Façade"), (53, "green home"), (54, "石頭燈塔"), (55, "…"), (56, "-- !")]
+    docs = [*rows, (2990, "東方的石頭燈塔很高"), (2991, "石頭 燈塔 and façade, the GREEN: home")]
     for i, t in items[:12]:
         for edits in (0, 1, 3, 9):
             w = t.split()
@@ -262,11 +263,12 @@ def test_decontamination(spark, rows):
     for d, t in docs:
         for i, item in items:
             w = plain(item)
-            if len(w) >= 5 and (n := nearest(w, plain(t))) <= int(0.15 * len(w)):
+            if w and (n := nearest(w, plain(t))) <= int(0.15 * len(w)):
                 expected.append((d, i, n))
     assert len(expected) > 20
     for block in (8 << 20, 60):
         same(decontaminate(frame(spark, docs), bench, block_bytes=block), expected, ("doc_id", "item_id", "distance"))
+    assert decontaminate(frame(spark, docs), bench, least=5).filter("item_words < 5").count() == 0
     assert decontaminate(frame(spark, docs), bench.limit(0)).count() == 0
 
 
@@ -375,10 +377,11 @@ def test_anchors_lose_no_link(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, own.values()))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, one_task):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1200)] + [(5, 5)]
-    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "u bigint, v bigint"), one_task).collect()}
     root = {}
 
     def find(x):
@@ -391,7 +394,7 @@ def test_components(spark):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in list(root)}
-    assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+    assert components(spark.createDataFrame([], "u bigint, v bigint"), one_task).count() == 0
 
 
 def test_empty_tables(spark):

@@ -9,9 +9,8 @@ import pytest
 
 pytest.importorskip("winnow.llm")
 cp = pytest.importorskip("corpus_pipeline")
-import xxhash  # noqa: E402
-
-from tests.llm.test_operators import brute_groups, nearest, plain, words  # noqa: E402
+from tests.llm.test_near_copies import brute  # noqa: E402
+from tests.llm.test_operators import nearest, plain  # noqa: E402
 from winnow.llm.queries import tokenizer_path  # noqa: E402
 from winnow.llm.toxicity import toxicity, train  # noqa: E402
 
@@ -31,16 +30,8 @@ def brute_lines(docs):
     return {d: "\n".join(x for x in (t or "").split("\n") if len(key(x)) < 10 or len(held[key(x)]) < 2 or min(held[key(x)]) == d) for d, t in docs.items()}
 
 
-def brute_print(text, n=5):
-    w = words(low(text))
-    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + n]), 42) for i in range(max(1, len(w) - n + 1))] if w else []
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 def brute_near(docs):
-    ids = sorted(docs)
-    roots = brute_groups([brute_print(docs[d]) for d in ids])
-    return {d: docs[d] for n, d in enumerate(ids) if roots[n] == n}
+    return {d: docs[d] for d in brute({d: t or "" for d, t in docs.items()})}
 
 
 def brute_leaks(docs, items):
@@ -49,7 +40,7 @@ def brute_leaks(docs, items):
         have = Counter(w)
         for x in items:
             m, k = len(x), int(0.15 * len(x))
-            if m >= 5 and sum((Counter(x) & have).values()) >= m - k and nearest(x, w) <= k:
+            if m and sum((Counter(x) & have).values()) >= m - k and nearest(x, w) <= k:
                 return True
         return False
 
@@ -93,3 +84,27 @@ def test_stages_on_planted_cases(spark):
     empty = docs.limit(0)
     for _, stage in cp.STAGES[1:]:
         assert stage(spark, empty, SF).count() == 0
+
+
+CLASHING = ("_text", "_toxic", "_key", "_row", "_carry", "kept_text", "n_lines", "n_dropped", "fingerprint", "component_id", "score", "row", "node", "a.b")
+
+
+def test_stages_with_clashing_names_nulls_and_repeats(spark):
+    """Further columns of any name come out as they are; unlike texts of one id stay apart."""
+    long = " ".join(f"w{n}" for n in range(60))
+    rows = [(1, long, "en", "x", 1), (1, long + " and", "en", "x", 1), (1, " ".join(f"v{n}" for n in range(60)), "en", "x", 1), (2, long, None, None, None), (2, long, None, None, None), (3, None, None, None, None), (None, "no id", None, "x", 5), (None, None, None, None, None), (4, "", "en", "x", 0)]
+    frame = spark.createDataFrame([(*r, *[f"{c}-{n}" for c in CLASHING]) for n, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, frame, SF)
+        assert out.columns == frame.columns, name
+        found = {r["a.b"]: r for r in out.collect()}
+        if "near" in name:
+            assert {r.doc_id for r in found.values()} == {1, 3, None} and len(found) == 5  # id 1 keeps one of its two near copies and the other text
+        else:
+            assert len(found) == len(rows), name
+        for key, r in found.items():
+            assert all(r[c] == f"{c}-{key[4:]}" for c in CLASHING)
+        assert stage(spark, frame.limit(0), SF).count() == 0
+    out = cp.STAGES[-1][1](spark, frame, SF)
+    assert out.count() == len(rows)
+    assert cp.STAGES[-1][1](spark, frame.limit(0), SF).count() == 0

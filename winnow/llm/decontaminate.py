@@ -73,7 +73,7 @@ def distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 def build(texts: list[str], rate: float, least: int) -> Block:
     """Pieces of a block of items; items of fewer than ``least`` words have none."""
-    words = Words(pa.array(texts, pa.string()), PLAIN)
+    words = Words(pa.array(texts, pa.string()), PLAIN, apart=True)
     hashes = words.hashes()
     items = [hashes[a:b] for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
     errors = [int(rate * len(x)) for x in items]
@@ -100,18 +100,27 @@ def _hits(words: Words, block: Block) -> list[tuple[int, int, int, int, int]]:
     if not len(words):
         return []
     h, row = words.hashes(), words.rows
-    seeds = set()
+    seeds, whole = [np.zeros((0, 3), np.int64)], [np.zeros((0, 3), np.int64)]
+    sizes = np.array([len(x) for x in block.words])
     for p in block.pieces:
         grams = gram_hashes(h, p.size)
         at = np.flatnonzero(p.filter[grams & np.uint64((1 << 20) - 1)])
         at = at[row[at] == row[at + p.size - 1]]
         lo, hi = np.searchsorted(p.hashes, grams[at], "left"), np.searchsorted(p.hashes, grams[at], "right")
-        for i in np.flatnonzero(hi > lo):
-            for j in range(lo[i], hi[i]):
-                seeds.add((int(row[at[i]]), int(p.items[j]), int(at[i] - p.places[j])))
+        n = hi - lo
+        at, k = np.repeat(at, n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        found = np.stack([row[at], p.items[k], at - p.places[k]], axis=1)
+        full = sizes[found[:, 1]] == p.size  # the piece is its item: found word for word
+        seeds.append(found[~full])
+        whole.append(found[full])
+    out = []
+    exact = np.unique(np.concatenate(whole), axis=0)
+    first = np.unique(exact[:, :2], axis=0, return_index=True)[1]
+    for r, n, begin in exact[first].tolist():
+        out.append((r, n, 0, begin - int(words.bounds[r]), begin - int(words.bounds[r]) + int(sizes[n])))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     seen: dict[tuple[int, int], int] = {}
-    for r, n, begin in sorted(seeds):
+    for r, n, begin in np.unique(np.concatenate(seeds), axis=0).tolist():
         k, m = block.errors[n], len(block.words[n])
         if seen.get((r, n), begin - 1) >= begin:  # one alignment gives a seed for each piece
             continue
@@ -123,7 +132,7 @@ def _hits(words: Words, block: Block) -> list[tuple[int, int, int, int, int]]:
             back, size = distance(block.words[n][::-1], h[a : a + end][::-1])
             if (r, n) not in best or d < best[r, n][0]:
                 best[r, n] = (d, int(last - size), int(last))
-    return [(r, n, *x) for (r, n), x in best.items()]
+    return out + [(r, n, *x) for (r, n), x in best.items()]
 
 
 def _scan(sent, ids: pa.Array):
@@ -131,7 +140,7 @@ def _scan(sent, ids: pa.Array):
         block = sent.value
         for batch in batches:
             for part in slices(batch):
-                found = sorted(_hits(Words(part.column("_text"), PLAIN), block))
+                found = sorted(_hits(Words(part.column("_text"), PLAIN, apart=True), block))
                 cols = list(zip(*found, strict=True)) or [[]] * 5
                 items = pa.array(cols[1], pa.int64())
                 sizes = [len(block.words[n]) for n in cols[1]]
@@ -140,16 +149,17 @@ def _scan(sent, ids: pa.Array):
     return scan
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.15, least: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.15, least: int = 1, block_bytes: int = 8 << 20) -> DataFrame:
     """Pairs of a document and a benchmark item that is in it, with at most ``rate`` of its words changed.
 
     Result: (id, item id, distance, item_words, first_word, end_word), the nearest
     stretch of each pair; documents without an item have no row.  Words are runs of
     letters and digits (ASCII punctuation parts them), A-Z lower-cased, compared by
-    64-bit hash over whole texts.
+    64-bit hash over whole texts; a letter from U+3000 on is a word by itself.
 
-    Defined cases: null or empty texts match nothing; items of fewer than ``least``
-    words aren't searched for; ids may be null or repeat, each row giving its own
+    Defined cases: null or empty texts match nothing; short items have no error to
+    spend and are found word for word; with ``least``, items of fewer words aren't
+    searched for, which keeps one-word answers from matching everywhere; ids may be null or repeat, each row giving its own
     pairs; an empty benchmark gives no rows; other columns aren't read.
     """
     item_type = benchmark.schema[item_col].dataType
@@ -180,10 +190,10 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, rate: float
         yield ids, context.broadcast(build(texts, rate, least))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.15, least: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.15, least: int = 1, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows in which ``decontaminate`` finds no item, all columns as they are; no shuffle.
 
-    Defined cases: as there; rows with a null or empty text stay.
+    Defined cases: as there; rows with a null or empty text stay; columns may have any name.
     """
     at = docs.columns.index(text_col)
 
@@ -191,14 +201,16 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = sent.value
             for batch in batches:
-                texts = pc.fill_null(batch.column(at).cast(pa.string()), "")
-                for part in slices(batch.append_column("_text", texts)):
-                    bad = {r for r, *_ in _hits(Words(part.column(batch.num_columns), PLAIN), block)}
-                    kept = part.filter(pa.array([r not in bad for r in range(part.num_rows)], pa.bool_()))
-                    yield pa.RecordBatch.from_arrays(kept.columns[:-1], batch.schema.names)
+                texts = pc.fill_null(batch.column("_row").field(at).cast(pa.string()), "")
+                done = 0
+                for part in slices(pa.RecordBatch.from_arrays([texts], ["_text"])):
+                    bad = {r for r, *_ in _hits(Words(part.column("_text"), PLAIN, apart=True), block)}
+                    yield batch.slice(done, part.num_rows).filter(pa.array([r not in bad for r in range(part.num_rows)], pa.bool_()))
+                    done += part.num_rows
 
         return clean
 
+    rows = docs.select(F.struct(*map(col, docs.columns)).alias("_row"))
     for _, sent in _blocks(benchmark, item_col, item_text_col, rate, least, block_bytes):
-        docs = docs.mapInArrow(keep(sent), docs.schema)
-    return docs
+        rows = rows.mapInArrow(keep(sent), rows.schema)
+    return rows.select("_row.*")

@@ -4,8 +4,8 @@ Lines are exploded to (hash of the normalised line, position); text stays
 behind.  Distinct documents are counted for each hash, and only the positions to
 drop travel back to the documents, which are then put together by position.
 All of it is DataFrame operations: the count is pre-aggregated before its
-shuffle, and the join with the repeated hashes is one that adaptive execution can
-split where a line is very common.
+shuffle, and the join with the repeated hashes deals both sides anew, so that
+adaptive execution can split it where a line is very common.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, col, keyed, row_key, text_of
+from .common import SPACE, ascii_lower, col, keyed, row_key, split_join, text_of
 
 
 def line_key(line: Column) -> Column:
@@ -52,9 +52,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = held.groupBy("a", "b").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner <> last")
     else:
         found = held.distinct().groupBy("a", "b").agg(F.min("doc").alias("owner"), F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
-    shared = found.select("a", "b", "owner")
+    shared = found.select("a", F.col("b").alias("_b"), "owner")
 
-    drop = hashed.join(shared, ["a", "b"]).filter(~F.col("_key.id").eqNullSafe(F.col("owner.id")))
+    drop = split_join(hashed, shared, "a").filter("b = _b").filter(~F.col("_key.id").eqNullSafe(F.col("owner.id")))
     places = drop.groupBy("_key").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
     extra = [c for c in carry if c not in (id_col, text_col)]
     whole = docs.select(row_key(id_col, text_col).alias("_key"), text_of(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *[col(c) for c in extra]).alias("_carry"))

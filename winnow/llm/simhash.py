@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, col, shared, slices, text_of
+from .common import ascii_lower, col, shared, slices, split_join, text_of
 from .components import components
 
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -234,6 +234,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = components(near_prints(nodes, most)).withColumnRenamed("node", "print")
     named = nodes.join(roots, "print", "left").select("print", F.coalesce("root", "print").alias("root"), "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = named.select("print", "root").join(least, "root").select("print", "component_id")
+    found = split_join(named.select("print", "root"), least, "root").select("print", "component_id")
     text = F.lower(F.lpad(F.hex("print"), 16, "0"))
     return own.join(found, "print").select(col(id_col), text.alias("fingerprint"), "component_id")

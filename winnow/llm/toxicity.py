@@ -126,20 +126,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(settings.bits, one.bias, np.frombuffer(one.buckets, np.int32), np.frombuffer(one.weights, np.float64))
 
 
-def _score(sent, text: int, keep: int, name: str):
+def _score(sent, at: int | None):
+    """Scores of the text in field ``at`` of the row that is carried, or else of the column ``_text``."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         table = np.zeros(1 << model.bits, np.float32)
         table[model.buckets] = model.weights
         for batch in batches:
-            texts = pc.fill_null(batch.column(text).cast(pa.string()), "")
-            for part in slices(batch.append_column("_text", texts)):
-                rows, buckets = _features(Words(part.column(batch.num_columns), PLAIN), model.bits)
+            if at is not None:
+                texts = pc.fill_null(batch.column("_row").field(at).cast(pa.string()), "")
+                batch = pa.RecordBatch.from_arrays([batch.column("_row"), texts], ["_row", "_text"])
+            for part in slices(batch):
+                rows, buckets = _features(Words(part.column("_text"), PLAIN), model.bits)
                 used = table[buckets] != 0
                 pairs = np.unique((rows[used] << model.bits) | buckets[used])
                 sums = np.bincount(pairs >> model.bits, table[pairs & ((1 << model.bits) - 1)], part.num_rows) + model.bias
                 out = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(keep)), pa.array(out)], [*part.schema.names[:keep], name])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(out)], ["_row", "_score"])
 
     return score
 
@@ -149,12 +153,11 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     Only the text is scored.  Defined cases: a null or empty text has the model's
     base score; repeated rows and null ids come out as they are; columns not named
-    aren't read.
+    aren't read, and those of ``carry`` may have any name but ``score_col``.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** bits entries at most
     names = list(dict.fromkeys((id_col, *carry)))
-    rows = docs.select(*[col(c) for c in names])
-    schema = StructType([*rows.schema, StructField(score_col, DoubleType())])
-    if text_col not in names:
-        rows = docs.select(*[col(c) for c in names], col(text_col).cast("string"))
-    return rows.mapInArrow(_score(sent, rows.columns.index(text_col), len(names), score_col), schema)
+    rows = docs.select(F.struct(*[col(c) for c in names]).alias("_row"), text_of(text_col).alias("_text"))
+    at = names.index(text_col) if text_col in names else None
+    scored = (rows if at is None else rows.select("_row")).mapInArrow(_score(sent, at), StructType([rows.schema["_row"], StructField("_score", DoubleType())]))
+    return scored.select(*[F.col("_row").getField(c).alias(c) for c in names], F.col("_score").alias(score_col))
