@@ -90,10 +90,16 @@ def test_text(spark):
     assert one(spark, text.normalized_text(F.col("t")), t=s("Read https://www.X.org/a_b — now!")) == "read x org a b now"
     assert one(spark, text.wrap_latin(F.col("t")), t=s("أداة Open AI جديدة (GPT 5)")) == "أداة (Open AI) جديدة (GPT 5)"
     assert one(spark, text.flat_parentheses(F.col("t")), t=s("(Nano (Banana) 2)")) == "(Nano Banana 2)"
+    deep = "a " + "(x " * 12 + "y" + " z)" * 12
+    assert one(spark, text.flat_parentheses(F.col("t")), t=s(deep)) == "a (" + "x " * 12 + "y" + " z" * 12 + ")"
+    assert one(spark, text.flat_parentheses(F.col("t")), t=s("((a) (b () c)")) == "((a) (b () c)"
     assert one(spark, text.token_estimate(F.col("t")), t=s("x" * 10)) == 2  # half to even
     assert one(spark, text.distinct_strings(F.array(F.lit("A "), F.lit("a"), F.lit(""), F.lit("b")))) == ["A", "b"]
     assert one(spark, text.logo_label(F.col("t")), t=s("أداة جديدة (AI) (Nano Labs)")) == "Nano Labs"
     assert one(spark, text.arabic_words(F.lit(21))) == "واحد وعشرون"
+    assert one(spark, text.arabic_words(F.lit(-305))) == "سالب ثلاثمئة وخمسة"
+    assert one(spark, text.arabic_words(F.lit(21), True)) == "الحادي والعشرون"
+    assert one(spark, text.issue_label(F.lit("12"))) == "الثاني عشر" and one(spark, text.issue_label(F.lit("x"))) == "السابع" and one(spark, text.issue_label(F.lit(1200))) == "1200"
     cut = one(spark, text.compact_text(F.col("t"), F.lit("Title"), F.lit("P")), t=s("Title - " + "word " * 400))
     assert cut.endswith("word...") and len(cut) <= 903
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .rules import any_term, blank, first_set, whole_term
+from .rules import any_term, blank, first_set, let, whole_term
 
 #: A character that is neither a letter nor a digit; combining marks count as neither.
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -85,12 +85,11 @@ def drop_filler(text: Column, phrases: Sequence[str], sources: Sequence[str], fe
     return collapse(F.array_join(trimmed, " "))
 
 
-def flat_parentheses(text: Column, depth: int = 6) -> Column:
-    """STR10: parentheses within parentheses removed, up to ``depth`` levels."""
-    out = clean_text(text)
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"\(([^()]*)\(([^()]+)\)([^()]*)\)", "($1$2$3)")
-    return collapse(out)
+def flat_parentheses(text: Column) -> Column:
+    """STR10: parentheses within parentheses removed at any depth; a text takes as many passes as it has opening ones."""
+    nested = r"\(([^()]*)\(([^()]+)\)([^()]*)\)"
+    passes = lambda t: F.sequence(F.lit(1), F.regexp_count(t, F.lit(r"\(")))
+    return collapse(let(clean_text(text), lambda t: F.when(t.rlike(nested), F.aggregate(passes(t), t, lambda out, _: F.regexp_replace(out, nested, "($1$2$3)"))).otherwise(t)))
 
 
 def wrap_latin(text: Column) -> Column:
@@ -178,24 +177,32 @@ def version_title(text: Column) -> Column:
     return collapse(text)
 
 
+#: Arabic number words, cardinal and ordinal; ordinals differ for one with a ten.
 _ONES = ("", "واحد", "اثنان", "ثلاثة", "أربعة", "خمسة", "ستة", "سبعة", "ثمانية", "تسعة", "عشرة", "أحد عشر", "اثنا عشر", "ثلاثة عشر", "أربعة عشر", "خمسة عشر", "ستة عشر", "سبعة عشر", "ثمانية عشر", "تسعة عشر")
 _TENS = ("", "", "عشرون", "ثلاثون", "أربعون", "خمسون", "ستون", "سبعون", "ثمانون", "تسعون")
-_HUNDREDS = ("", "مائة", "مائتان", "ثلاثمائة", "أربعمائة", "خمسمائة", "ستمائة", "سبعمائة", "ثمانمائة", "تسعمائة")
-
-
-def arabic_words(number: Column) -> Column:
-    """STR21: a number from 0 to 999 in Arabic words; others as digits."""
-    ones, tens, hundreds = (F.array([F.lit(x) for x in xs]) for xs in (_ONES, _TENS, _HUNDREDS))
-    n = number.cast("int")
+_HUNDREDS = ("", "مئة", "مئتان", "ثلاثمئة", "أربعمئة", "خمسمئة", "ستمئة", "سبعمئة", "ثمانمئة", "تسعمئة")
+_NTH = ("", "الأول", "الثاني", "الثالث", "الرابع", "الخامس", "السادس", "السابع", "الثامن", "التاسع", "العاشر", "الحادي عشر", "الثاني عشر", "الثالث عشر", "الرابع عشر", "الخامس عشر", "السادس عشر", "السابع عشر", "الثامن عشر", "التاسع عشر")
+_NTH_FIRST = "الحادي"
+_NTH_TENS = ("", "", "العشرون", "الثلاثون", "الأربعون", "الخمسون", "الستون", "السبعون", "الثمانون", "التسعون")
+_NTH_HUNDREDS = ("", "المئة", "المئتان", "الثلاثمئة", "الأربعمئة", "الخمسمئة", "الستمئة", "السبعمئة", "الثمانمئة", "التسعمئة")
+
+
+def arabic_words(number: Column, ordinal: bool = False) -> Column:
+    """STR21: a number of up to three digits in Arabic words, negative ones with a word for it; others as digits."""
+    lists = (_NTH, _NTH_TENS, _NTH_HUNDREDS) if ordinal else (_ONES, _TENS, _HUNDREDS)
+    ones, tens, hundreds = (F.array([F.lit(x) for x in xs]) for xs in lists)
+    n = F.abs(number.cast("int"))
     low = n % 100
-    unit = F.when(low < 20, F.get(ones, low)).otherwise(F.concat_ws(" و", F.nullif(F.get(ones, low % 10), F.lit("")), F.get(tens, (low / 10).cast("int"))))
+    one = F.when(low % 10 == 1, F.lit(_NTH_FIRST)).otherwise(F.get(ones, low % 10)) if ordinal else F.get(ones, low % 10)
+    unit = F.when(low < 20, F.get(ones, low)).otherwise(F.concat_ws(" و", F.nullif(one, F.lit("")), F.get(tens, (low / 10).cast("int"))))
     words = F.concat_ws(" و", F.nullif(F.get(hundreds, (n / 100).cast("int")), F.lit("")), F.nullif(unit, F.lit("")))
-    return F.when(n == 0, "صفر").when(n.between(1, 999), words).otherwise(n.cast("string"))
+    words = F.when(n == 0, "الصفر" if ordinal else "صفر").when(n < 1000, words).otherwise(n.cast("string"))
+    return F.when(number < 0, F.concat(F.lit("سالب "), words)).otherwise(words)
 
 
-def issue_label(number: Column) -> Column:
-    """STR33: the issue's number in words."""
-    return F.concat(F.lit("العدد "), arabic_words(number))
+def issue_label(number: Column, default: int = 7) -> Column:
+    """STR33: the issue's number as an ordinal."""
+    return arabic_words(F.coalesce(number.try_cast("int"), F.lit(default)), ordinal=True)
 
 
 def tool_name(title: Column, patterns: Sequence[str]) -> Column:
