@@ -148,8 +148,8 @@ PRODUCT_NEWS = ("announce", "announces", "announced", "introducing", "introduces
 ANNOUNCED = ("launches", "introducing", "announces", "ships", "rolls out", "debuts")
 AVAILABLE = ("now available", "generally available", "GA", "live now", "out now")
 UPDATED = ("new feature", "product update", "just updated", "we added", "now supports", "improved")
-PRODUCT_SIGNAL = ("tool", "platform", "product", "feature", "model")
-ACTION_SIGNAL = ("launches", "announces", "now available", "rolls out", "introduces", "update")
+PRODUCT_WORDS = ("tool", "platform", "product", "feature", "model")
+ACTION_WORDS = ("launches", "announces", "now available", "rolls out", "introduces", "update")
 NEGATIVE_TERMS = ("video", "repository", "documentation", "login", "pricing")
 TRUSTED_MEDIA = (
     ("TechCrunch", "techcrunch.com"),
@@ -179,3 +179,39 @@ COMMON_NAME_WORDS = ("ai", "app", "studio", "pro", "plus")
 COURSE_INTENT = '("AI course" OR "generative AI course" OR "prompt engineering course" OR "AI training" OR "AI certificate")'
 WORKFORCE_INTENT = '("employee" OR "employees" OR "professional" OR "professionals" OR "workplace" OR "productivity" OR "business" OR "upskilling" OR "workforce" OR "موظفين" OR "مهنيين" OR "بيئة العمل" OR "الإنتاجية" OR "تطوير المهارات" OR "الأعمال")'
 SITE_TEMPLATES = ("update", "release notes", "changelog", "new feature", "now available", "launch", "rollout", "product update", "announcement")
+
+# Fixed values of course rules.
+MAJOR_PLATFORM_HOSTS = ("coursera.org", "udemy.com", "edx.org", "linkedin.com")
+MAJOR_PLATFORMS = ("Coursera", "Udemy", "edX", "LinkedIn Learning")
+FREE_PATHS = ("/free-", "-free-", "/free/")
+PROFESSIONAL_PLATFORMS = ("skillsbuild.org", "academy.hubspot.com", "academy.asana.com", "academy.airtable.com", "academy.make.com", "academy.miro.com", "academy.notion.com", "semrush.com")
+ENDED_COURSE = ("course ended", "enrollment closed", "registration closed", "closed for enrollment", "no longer available", "expired", "archived course")
+EXPIRED_COURSE = (
+    "registration has closed", "registration is closed", "registration closed", "enrollment has closed", "enrollment is closed", "enrollment closed",
+    "applications closed", "applications are closed", "no longer accepting", "no longer available", "course has ended", "this course has ended",
+    "registration period has ended", "sign-ups closed", "signups closed", "تم انتهاء فترة التسجيل", "انتهت فترة التسجيل", "انتهاء فترة التسجيل",
+    "انتهى التسجيل", "التسجيل مغلق", "أغلق التسجيل", "تم إغلاق التسجيل", "التسجيل غير متاح", "لم يعد التسجيل متاحًا", "انتهت المدة المحددة للتسجيل",
+)
+WORKFORCE = (
+    "employee", "employees", "workforce", "professional", "professionals", "workplace", "productivity", "upskill", "upskilling", "reskill", "reskilling",
+    "skills development", "develop your skills", "business", "enterprise", "organization", "organisations", "organizations", "sme", "small business",
+    "career", "career development", "job-ready", "job ready", "vocational", "industry", "manager", "managers", "leader", "leaders", "teams", "for work", "at work",
+    "موظف", "موظفين", "الموظفين", "الموظفات", "مهني", "مهنيين", "المهنيين", "مهنية", "احترافي", "احترافية", "بيئة العمل", "مكان العمل", "الإنتاجية", "انتاجية",
+    "تطوير المهارات", "رفع المهارات", "صقل المهارات", "المهارات", "الأعمال", "اعمال", "منشآت", "المنشآت", "رواد الأعمال", "رائد أعمال", "التدريب المهني",
+    "سوق العمل", "القوى العاملة", "المسار المهني", "وظيفي", "وظيفية",
+)
+STUDENT_ANY = (
+    "student", "students", "school", "schools", "university", "universities", "college", "campus", "academic", "academics", "scholarship", "scholarships",
+    "homework", "assignment", "assignments", "exam", "exams", "test prep", "classroom", "teacher", "teachers", "undergraduate", "graduate student",
+    "طلاب", "الطلاب", "طالب", "طالبة", "مدرسة", "مدارس", "المدارس", "جامعة", "جامعات", "الجامعة", "الجامعات", "أكاديمي", "اكاديمي", "منحة", "منح", "المنح",
+    "واجب", "واجبات", "اختبار", "اختبارات", "امتحان", "امتحانات", "فصل دراسي", "معلم", "معلمين", "معلمات",
+)
+STUDENT_STRONG = (
+    "k-12", "kids", "children", "university students", "homework", "scholarship", "scholarships", "assignment", "assignments", "test prep", "classroom",
+    "undergraduate", "graduate student", "مدارس", "مدرسة", "طلاب", "طالبات", "جامعي", "جامعية", "منح", "منحة", "واجبات", "واجب",
+)
+DEVELOPER_COURSE = (
+    "api", "sdk", "cli", "github", "git", "repository", "repo", "framework", "library", "libraries", "developer", "developers", "coding", "code",
+    "programming", "python", "javascript", "typescript", "java", "rust", "kubernetes", "docker", "deployment", "deploy", "inference", "fine-tuning",
+    "finetuning", "model training", "mlops", "agent framework", "agents sdk",
+)

@@ -134,7 +134,7 @@ def strict_query(query: Column) -> Column:
     """QRY12: product and action groups around a query; ``ships`` and a bare ``new`` are replaced."""
     q = F.regexp_replace(collapse(query), r"(?i)\bships\b", '"rolls out"')
     q = F.regexp_replace(q, r"(?i)(?<![\w\"])\bnew\b(?!\s+(?:feature|ai|tool|platform|product|model)\b)", '"product update"')
-    return F.when(collapse(query) == "", "").otherwise(F.concat(F.lit("("), q, F.lit(f") AND {_one_of(T.PRODUCT_SIGNAL)} AND {_one_of(T.ACTION_SIGNAL)}")))
+    return F.when(collapse(query) == "", "").otherwise(F.concat(F.lit("("), q, F.lit(f") AND {_one_of(T.PRODUCT_WORDS)} AND {_one_of(T.ACTION_WORDS)}")))
 
 
 def fresh_query(query: Column, as_of: Column, days: int = 7) -> Column:

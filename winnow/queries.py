@@ -829,7 +829,7 @@ def Q_discovery_rows(spark, d):
     return searches.discovery_rows(_update_rows(spark, d), required, "exa", 900).select("query", "source_lane", "bucket")
 
 
-_STRICT = f"""'(' || regexp_replace(replace(q, 'ships', '"rolls out"'), '\\bnew\\b', '"product update"', 'g') || ') AND ' || {_lit('(' + ' OR '.join(f'"{x}"' for x in T.PRODUCT_SIGNAL) + ')')} || ' AND ' || {_lit('(' + ' OR '.join(f'"{x}"' for x in T.ACTION_SIGNAL) + ')')}"""
+_STRICT = f"""'(' || regexp_replace(replace(q, 'ships', '"rolls out"'), '\\bnew\\b', '"product update"', 'g') || ') AND ' || {_lit('(' + ' OR '.join(f'"{x}"' for x in T.PRODUCT_WORDS) + ')')} || ' AND ' || {_lit('(' + ' OR '.join(f'"{x}"' for x in T.ACTION_WORDS) + ')')}"""
 
 
 @query(
@@ -939,3 +939,5 @@ def H_landed_results(spark, d):
     raw = table(spark, d, "pages").select(F.lit("launch").alias("query"), C("page_id").alias("pos"), pages.page_title(C("html"), F.lit("")).alias("title"), "url", C("html").alias("text"))
     return landing.results(raw).select(C("pos").alias("page_id"), "source_domain", "title")
 
+
+from . import queries_more  # noqa: E402, F401  (registers the rest)
