@@ -193,3 +193,196 @@ def R_sector_gate(spark, d):
 
 # --- reject rules -------------------------------------------------------------
 
+
+
+# --- reject rules -------------------------------------------------------------
+
+_HOSTS = (*T.BLOCKED_DOMAINS, *(f"www.{x}" for x in T.APP_STORES), *T.DEVELOPER_DOMAINS, *T.SAUDI_OFFICIAL_DOMAINS, "plain.example.org", "sub." + T.BLOCKED_DOMAINS[0])
+_SOURCE_TERMS = _unique(T.LOCAL_APPS, T.GEO_LIMITED, T.CONSUMER_PLATFORMS, T.DEVELOPER_NEWS, T.PRODUCT_SIGNAL, T.AVAILABILITY_SIGNAL, T.UPDATE)
+_LAYERS = ("", "aggregator", "layer3", "layer1")
+_HAS_RAW = lambda t, terms: _has(_norm(t), terms)  # noqa: E731  terms as they are within the normalised text
+
+
+@query(
+    f"""WITH s AS (SELECT *, 'https://' || {_nth_sql(_HOSTS)} || '/news/' || p_partkey AS url, {_said_sql(_SOURCE_TERMS)} AS html, {_nth_sql(_LAYERS, 'p_size')} AS l FROM part), u AS (SELECT *, {_DOMAIN} AS d, {_PAGE_REASON} AS page FROM s)
+    SELECT p_partkey, {_under('d', T.BLOCKED_DOMAINS)} AS blocked, CASE WHEN {_under('d', T.APP_STORES)} THEN 'app_store_listing_not_news_source' WHEN page <> '' THEN page WHEN {_whole('html', T.LOCAL_APPS)} THEN 'local_or_narrow_availability' WHEN {_HAS_RAW('html', T.GEO_LIMITED)} THEN 'country_limited_availability'
+        WHEN {_HAS_RAW('html', T.CONSUMER_PLATFORMS)} THEN 'low_value_consumer_platform_update' WHEN {_under('d', T.DEVELOPER_DOMAINS)} AND {_HAS_RAW('html', T.DEVELOPER_NEWS)} THEN 'developer_tool_update_not_newsletter_fit' ELSE '' END AS hard,
+    CASE WHEN contains({_norm('html')}, 'widget') THEN '' ELSE 'tool_query_mismatch' END AS mismatch, NOT {_under('d', T.BLOCKED_DOMAINS)} AND NOT {_whole('html', T.LOCAL_APPS)} AND {_HAS_RAW('html', T.PRODUCT_SIGNAL)} AND {_HAS_RAW('html', T.AVAILABILITY_SIGNAL)} AS product,
+    {_has(_norm("p_name || ' ' || url || ' ' || html"), T.UPDATE)} AS update_like, l IN ('', 'aggregator') OR CASE l WHEN 'layer3' THEN {_under('d', T.SAUDI_OFFICIAL_DOMAINS)} ELSE {_under('d', T.DEVELOPER_DOMAINS)} END AS allowed, {_under('d', T.SAUDI_OFFICIAL_DOMAINS)} AS official FROM u"""
+)
+def B_source_rules(spark, d):
+    own = table(spark, d, "part").select("p_partkey", "p_name", F.concat(F.lit("https://"), _nth(_HOSTS), F.lit("/news/"), "p_partkey").alias("u"), _said(_SOURCE_TERMS).alias("t"), _nth(_LAYERS, "p_size").alias("l"))
+    u, t = C("u"), C("t")
+    host = urls.domain(u)
+    return own.select(
+        "p_partkey",
+        rejects.blocked(host).alias("blocked"),
+        rejects.source_reject(u, t, t).alias("hard"),
+        rejects.tool_mismatch(F.lit("Widget"), F.lit(""), t).alias("mismatch"),
+        rejects.product_signal(t, host).alias("product"),
+        rejects.looks_like_update(C("p_name"), u, t).alias("update_like"),
+        rejects.layer_allowed(C("l"), u, T.SAUDI_OFFICIAL_DOMAINS, T.DEVELOPER_DOMAINS).alias("allowed"),
+        classify.official(u).alias("official"),
+    )
+
+
+_EVENTS = ("launch", "Rumor", "opinion", "roundup", "research_paper", "")
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey, o_orderdate, o_orderkey % 7 AS k, strftime(o_orderdate, '%Y-%m-%d') AS day, year(o_orderdate) AS y, {_nth_sql(_EVENTS, 'o_orderkey')} AS e FROM orders), r AS (SELECT *, o_orderdate >= TIMESTAMP '2020-06-01' - INTERVAL 7 DAY AS recent FROM o)
+    SELECT o_orderkey, CASE WHEN k = 0 THEN recent WHEN k = 1 THEN recent WHEN k = 2 THEN y < 2018 OR y > 2019 ELSE true END AS news_recent,
+    CASE WHEN lower(e) IN ('rumor', 'opinion', 'roundup', 'research_paper') THEN lower(e) WHEN k = 3 THEN 'missing_original_event_date' WHEN k = 4 THEN 'invalid_original_event_date' WHEN o_orderdate > TIMESTAMP '2020-06-01' THEN 'future_event_date' WHEN NOT recent THEN 'original_event_outside_lookback_window' WHEN k = 5 THEN 'missing_event_date_evidence' ELSE '' END AS event,
+    k = 6 OR date_diff('day', CAST(o_orderdate AS DATE), DATE '2020-06-01') >= 7 AS stale FROM r"""
+)
+def B_freshness_rules(spark, d):
+    o, k = C("o_orderdate"), C("o_orderkey") % 7
+    day, as_of = F.date_format(o, "yyyy-MM-dd"), F.lit("2020-06-01").cast("timestamp")
+    title = F.when(k == 2, F.concat(F.lit("Seen in "), F.year(o), F.lit(" again"))).otherwise("no year")
+    return table(spark, d, "orders").select(
+        "o_orderkey",
+        rejects.news_recent(F.when(k == 0, day), F.when(k == 1, day), title, as_of).alias("news_recent"),
+        rejects.event_reject(_nth(_EVENTS, "o_orderkey"), F.when(k == 3, " ").when(k == 4, "some day").otherwise(day), F.when(k == 5, "").otherwise("post"), as_of).alias("event"),
+        rejects.stale(F.when(k != 6, o), F.to_date(as_of), 7).alias("stale"),
+    )
+
+
+_CLAIMS = (*rejects.ABSOLUTE_CLAIMS, *rejects.OPEN_ACCESS_CLAIMS, "a fair claim")
+_STATES = ("limited_access", "Future", "open")
+_BODY = " ".join(f"word{n}" for n in range(51))
+_TITLES = (*T.LOW_VALUE_UI, *(f"{x} with {T.STRONG_CAPABILITY[0]}" for x in T.LOW_VALUE_UI[:3]), "a plain title")
+_LEVELS = ("Beginner", "advanced", "", "deep")
+
+
+@query(
+    f"""WITH s AS (SELECT *, {_nth_sql(_CLAIMS)} AS c, {_nth_sql(_STATES, 'p_size')} AS st, lower({_nth_sql(_TITLES)}) AS t, {_nth_sql(_LEVELS, 'p_size')} AS l FROM part),
+    k AS (SELECT *, {_norm("'A claim ' || c")} AS n FROM s), m AS (SELECT *, CASE WHEN {' OR '.join(f"contains(n, {_norm(_lit(x))})" for x in rejects.ABSOLUTE_CLAIMS)} THEN 'absolute_marketing_claim' WHEN st IN ('limited_access', 'Future') AND {_has('n', rejects.OPEN_ACCESS_CLAIMS)} THEN 'availability_claim_mismatch' ELSE '' END AS claim FROM k)
+    SELECT p_partkey, claim, CASE p_size % 5 WHEN 0 THEN 'empty_or_too_short_summary' WHEN 1 THEN 'summary_word_count_out_of_range' ELSE CASE WHEN l IN ('', 'deep') THEN 'missing_or_invalid_news_level' WHEN {_has('t', T.LOW_VALUE_UI)} AND NOT {_has('t', T.STRONG_CAPABILITY)} THEN 'low_value_ui_or_navigation_change' ELSE '' END END AS summary,
+    CASE p_size % 5 WHEN 0 THEN 'missing_title' WHEN 1 THEN 'missing_url' WHEN 2 THEN 'missing_text' WHEN 3 THEN 'unknown_type' ELSE '' END AS card, CASE WHEN p_size % 4 = 0 THEN 'name_too_short' WHEN contains(lower(p_type), 'promo') THEN 'business_only' END AS gate, CASE WHEN p_size % 4 = 0 OR contains(lower(p_type), 'promo') THEN false WHEN p_size % 4 = 1 THEN p_size > 20 ELSE true END AS allowed, p_size % 4 = 3 OR p_brand IN ('Brand#11', 'Brand#12') AS sector FROM m"""
+)
+def B_card_rules(spark, d):
+    n = C("p_size")
+    body = F.when(n % 5 == 0, "short").when(n % 5 == 1, " ".join(["longer"] * 30)).otherwise(_BODY)
+    gate = rejects.tool_gate(F.when(n % 4 == 0, "ab").otherwise(C("p_name")), C("p_type"), ("promo",))
+    wanted = F.when(n % 4 == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("Brand#11"), F.lit("Brand#12")))
+    return table(spark, d, "part").select(
+        "p_partkey",
+        rejects.claim_reject(F.lit("A claim"), _nth(_CLAIMS), _nth(_STATES, "p_size")).alias("claim"),
+        rejects.summary_reject(_nth(_TITLES), body, F.lit(""), _nth(_LEVELS, "p_size")).alias("summary"),
+        rejects.schema_reject(F.when(n % 5 == 0, " ").otherwise("t"), F.when(n % 5 == 1, "").otherwise("u"), F.when(n % 5 == 2, "<p>").otherwise("x"), F.when(n % 5 == 3, "card").otherwise("news")).alias("card"),
+        gate["reason"].alias("gate"),
+        rejects.tool_allowed(gate, F.when(n % 4 == 1, n > 20)).alias("allowed"),
+        rejects.sector_matches(F.array(C("p_brand")), wanted).alias("sector"),
+    )
+
+
+_FILM_TERMS = _unique(T.SPAM, T.FILM_AI, ("an AI story",))
+_PAGE_TERMS = _unique(T.NAVIGATION_JUNK, T.LEARNING)
+_PAGE_PATHS = (*T.LANDING_PATHS, *T.DIRECT_COURSE_PATHS, "/other/page")
+_LONG = "a long overview " * 6
+
+
+@query(
+    f"""WITH s AS (SELECT *, {_said_sql(_FILM_TERMS)} || {_lit(' ' + _LONG)} AS t, CASE WHEN p_size % 2 = 0 THEN 'movie' ELSE 'course' END AS k, {_nth_sql(_PAGE_PATHS)} AS p, {_said_sql(_PAGE_TERMS)} AS c, {_nth_sql((*T.LANDING_TITLES, 'A title'), 'p_size')} AS title FROM part),
+    f AS (SELECT *, {_has('p', T.DIRECT_COURSE_PATHS)} AND rtrim(p, '/') = p AS x, {_has("rtrim(p, '/')", T.DIRECT_COURSE_PATHS)} AS direct FROM s)
+    SELECT p_partkey, CASE WHEN p_size % 11 = 0 THEN 'missing_title_or_url' WHEN {_has('t', T.SPAM)} THEN 'seo_or_affiliate_content' WHEN k = 'course' AND p_size % 3 <> 0 THEN 'untrusted_course_domain' WHEN k = 'movie' AND p_size % 7 = 0 THEN 'adult_movie' WHEN k = 'movie' AND p_size % 5 = 0 THEN 'missing_movie_poster'
+        WHEN k = 'movie' AND NOT ({_has('t', T.FILM_AI)} OR regexp_matches(t, '\\bai\\b')) THEN 'movie_not_ai_related' WHEN k = 'movie' AND p_size < 10 THEN 'weak_movie_signal' ELSE '' END AS supporting,
+    direct AND rtrim(p, '/') NOT IN {_in([x for x in T.LANDING_PATHS])} AND {_has(_norm("title || ' ' || c || ' ' || rtrim(p, '/')"), T.LEARNING)} AS course_page FROM f"""
+)
+def B_supporting_rules(spark, d):
+    n = C("p_size")
+    film, page = F.concat(_said(_FILM_TERMS), F.lit(" " + _LONG)), F.concat(F.lit("https://uni.example.org"), _nth(_PAGE_PATHS))
+    url = F.when(n % 11 == 0, "#").otherwise(F.when(n % 3 == 0, "https://www.edx.org/x").otherwise("https://other.org/x"))
+    return table(spark, d, "part").select(
+        "p_partkey",
+        rejects.supporting_reject(F.when(n % 2 == 0, "movie").otherwise("course"), C("p_name"), url, film, F.when(n % 5 == 0, "").otherwise("p.png"), F.when(n % 7 == 0, "true"), n, F.lit(1.0), ("edx.org",)).alias("supporting"),
+        rejects.course_page(page, _nth((*T.LANDING_TITLES, "A title"), "p_size"), _said(_PAGE_TERMS)).alias("course_page"),
+    )
+
+
+# --- classifiers and scores ---------------------------------------------------
+
+_STORY_TERMS = _unique(*(tuple(f"{T.SAUDI[0]} ai {x}" for x in xs) for xs in (T.POLICY, T.PLATFORM, T.GOVERNMENT_SERVICE, T.PUBLIC_SECTOR, T.PARTNERSHIP, T.TRAINING, T.MARKET_REPORT, T.POLICY_STRONG)), tuple(f"saudi ai policy {x}" for x in T.POLICY_BODIES), tuple(f"saudi ai health {x}" for x in T.PUBLIC_BODIES), tuple(f"saudi ai service {x}" for x in T.PLATFORM_BODIES), T.SAUDI, T.AI)
+_STORY_HOSTS = (T.SAUDI_OFFICIAL_DOMAINS[0], "x." + T.SAUDI_OFFICIAL_DOMAINS[1], "www.other.org")
+_KIND = f"""CASE WHEN {_has('t', T.TRAINING)} THEN 'training_or_bootcamp' WHEN {_has('t', T.MARKET_REPORT)} THEN 'market_report' WHEN NOT {_has('t', T.SAUDI)} OR NOT {_has('t', T.AI)} THEN 'reject' WHEN {_has('t', T.POLICY)} THEN CASE WHEN own OR {_has('t', T.POLICY_BODIES)} THEN 'official_ai_policy' ELSE 'reject' END
+    WHEN {_has('t', T.PLATFORM)} AND (own OR {_has('t', T.PLATFORM_BODIES)}) THEN 'official_ai_platform' WHEN {_has('t', T.GOVERNMENT_SERVICE)} AND own THEN 'official_ai_government_service' WHEN {_has('t', T.PUBLIC_SECTOR)} AND (own OR {_has('t', T.PUBLIC_BODIES)}) THEN 'official_ai_sector_adoption'
+    WHEN {_has('t', T.PARTNERSHIP)} THEN CASE WHEN own THEN 'official_ai_sector_adoption' ELSE 'private_ai_partnership' END ELSE 'reject' END"""
+
+
+@query(
+    f"""WITH s AS (SELECT *, {_said_sql(_STORY_TERMS)} AS t, p_size % 3 < 2 AS own FROM part), k AS (SELECT *, {_KIND} AS kind FROM s)
+    SELECT p_partkey, kind, {_points(('own', 5), (_has('t', T.POLICY), 4), (_has('t', T.PLATFORM), 4), (_has('t', T.PUBLIC_SECTOR), 3), (_has('t', T.POLICY_STRONG), 2), (_has('t', T.TRAINING), -5), (_has('t', T.MARKET_REPORT), -4), ("kind = 'private_ai_partnership'", -3), ("kind = 'reject'", -3), (f"kind NOT IN {_in(T.SAUDI_ACCEPTED_TYPES)}", -3))} AS score FROM k"""
+)
+def B_story_kinds(spark, d):
+    own = table(spark, d, "part").select("p_partkey", _said(_STORY_TERMS).alias("t"), F.concat(F.lit("https://"), _nth(_STORY_HOSTS, "p_size"), F.lit("/a")).alias("u"))
+    own = own.withColumn("kind", classify.editorial_type(C("t"), C("u")))
+    return own.select("p_partkey", "kind", classify.editorial_score(C("t"), C("u"), C("kind")).alias("score"))
+
+
+_SIGNAL_TERMS = _unique(T.LAUNCHES, T.NEW_VERSION, T.RELEASE_NOTES, T.NEW_FEATURE, T.COMPANY_NEWS, ("official announcement", "new capability"))
+_LANE_NAMES = (*T.PRIMARY_LANES, *T.FALLBACK_LANES, "unknown")
+_OFFICIAL = ("official", "announcement", "release notes", "changelog", "now available")
+_CAPABLE = ("new feature", "new capability", "users can now", "launch", "rollout")
+_LANE_SCORE = "CASE lane " + " ".join(f"WHEN {_lit(k)} THEN {v}" for k, v in T.LANE_POINTS.items()) + " ELSE 8 END"
+
+
+@query(
+    f"""WITH s AS (SELECT *, {_said_sql(_SIGNAL_TERMS)} AS t, {_nth_sql(_LANE_NAMES, 'p_size')} AS lane FROM part)
+    SELECT p_partkey, CASE WHEN {_has('t', T.LAUNCHES)} THEN 'launch_or_rollout' WHEN {_has('t', T.NEW_VERSION)} THEN 'new_model_or_public_availability' WHEN {_has('t', T.RELEASE_NOTES)} OR p_size % 5 = 0 THEN 'release_notes_or_changelog' WHEN {_has('t', T.NEW_FEATURE)} THEN 'feature_update' WHEN {_has('t', T.COMPANY_NEWS[:7])} THEN 'side_story_or_company_news' ELSE '' END AS signal,
+    CAST(least(35, p_size // 3) + least(25, (p_size % 10) * 3) + {_points(("p_type = 'PROMO'", 12), ('p_size % 2 = 0', 8), ("p_size % 4 = 1", 8), ("p_size % 4 = 2", 6), (_has('t', _OFFICIAL), 8), (_has('t', _CAPABLE), 8), ('p_size % 3 <> 0', 4), ("lane = 'fallback_broad'", -8))} + {_LANE_SCORE} AS INT) AS points, lane IN {_in(T.PRIMARY_LANES)} AS is_primary, lane IN {_in(T.FALLBACK_LANES)} AS is_fallback FROM s"""
+)
+def B_signals(spark, d):
+    n = C("p_size")
+    own = table(spark, d, "part").select("p_partkey", "p_size", "p_type", _said(_SIGNAL_TERMS).alias("t"), _nth(_LANE_NAMES, "p_size").alias("lane"))
+    host = F.when(n % 3 == 0, "https://medium.com/a").otherwise("https://x.org/a")
+    mix = F.when(n % 4 == 1, "specialized").when(n % 4 == 2, "tool_driven")
+    return own.select(
+        "p_partkey",
+        classify.update_signal(C("t"), F.when(n % 5 == 0, "https://x.org/Release-Notes").otherwise("https://x.org/a")).alias("signal"),
+        classify.scan_score(C("t"), host, C("lane"), mix, F.when(C("p_type") == "PROMO", "trending_tool"), n, n % 10, n % 2 == 0).alias("points"),
+        classify.is_primary(C("lane")).alias("is_primary"),
+        classify.is_fallback(C("lane")).alias("is_fallback"),
+    )
+
+
+_TOPIC_TERMS = _unique(*(terms for _, terms in T.COURSE_TOPICS), T.STUDENT, T.TECHNICAL, T.WORK)
+_LEVEL_WORDS = tuple(x for xs in T.LEVEL_NAMES.values() for x in xs) + ("", "other")
+_TOPIC = "CASE " + " ".join(f"WHEN {_has('n', terms)} THEN {_lit(name)}" for name, terms in T.COURSE_TOPICS) + " ELSE coalesce(list_filter(string_split(n, ' '), lambda w: length(w) > 3)[1], 'general_ai') END"
+_LEVEL_OF = "CASE " + " ".join(f"WHEN l IN {_in(names)} THEN {_lit(name.capitalize())}" for name, names in T.LEVEL_NAMES.items()) + " ELSE '' END"
+
+
+@query(
+    f"""WITH s AS (SELECT *, {_norm(_said_sql(_TOPIC_TERMS))} AS n, {_nth_sql(_LEVEL_WORDS)} AS l FROM part)
+    SELECT p_partkey, {_TOPIC} AS topic, CASE WHEN {_has('n', T.STUDENT)} THEN 'student' WHEN {_has('n', T.TECHNICAL)} AND {_has('n', T.WORK)} THEN 'technical_employee' WHEN {_has('n', T.TECHNICAL)} AND p_size % 6 < 3 THEN 'developer' WHEN {_has('n', T.WORK)} OR p_size % 6 >= 4 THEN 'employee' ELSE 'general' END AS audience, {_LEVEL_OF} AS level FROM s"""
+)
+def B_course_kinds(spark, d):
+    t = _said(_TOPIC_TERMS)
+    return table(spark, d, "part").select("p_partkey", classify.course_topic(t).alias("topic"), classify.audience(t, C("p_size") % 6).alias("audience"), classify.display_level(F.upper(_nth(_LEVEL_WORDS))).alias("level"))
+
+
+_MESSAGES = ("Quota exceeded", "HTTP 429", "401 Unauthorized", "bad API key", "Timed out", "503 overloaded", "400 invalid", "strange")
+
+
+@query(
+    f"""WITH s AS (SELECT *, {_nth_sql(_MESSAGES)} AS m, p_size % 6 AS k FROM part)
+    SELECT p_partkey, CASE WHEN k = 0 THEN 'missing' WHEN k = 1 THEN 'verified' WHEN k = 2 THEN 'unverified' ELSE 'candidate' END AS site, CASE WHEN k = 0 THEN 'selected' WHEN k >= 4 THEN 'company_cap_reached' WHEN k IN (1, 2) THEN 'sector_already_covered' ELSE 'not_selected_by_model' END AS audit, CASE WHEN k % 2 = 0 THEN p_brand ELSE 'Big Tool' END AS company,
+    CAST((p_size > 10) AS INT) + CAST((p_size > 20) AS INT) + CAST((p_size > 30) AS INT) AS n_checks, p_size > 20 AS passed, CASE WHEN k = 0 THEN coalesce(p_size, 60) WHEN k < 4 THEN least(100, p_size + 15) ELSE greatest(0, p_size - 15) END AS activity, CASE WHEN p_size < 40 THEN 'dormant' WHEN k = 3 THEN 'active' ELSE 'ok' END AS status,
+    CASE WHEN regexp_matches(lower(m), 'quota|429|rate limit') THEN 'quota_exceeded' WHEN regexp_matches(lower(m), '401|403|api key|unauthorized') THEN 'authentication' WHEN regexp_matches(lower(m), 'timeout|timed out') THEN 'timeout' WHEN regexp_matches(lower(m), '503|502|unavailable|overloaded') THEN 'unavailable' WHEN regexp_matches(lower(m), '400|invalid') THEN 'invalid_request' ELSE 'unknown_error' END AS error,
+    CASE WHEN k >= 4 THEN 'success' WHEN k > 0 THEN 'partial' ELSE 'insufficient' END AS outcome, lower(p_brand) AS owner FROM s"""
+)
+def B_status_kinds(spark, d):
+    n, k = C("p_size"), C("p_size") % 6
+    ok = classify.checks((("a", n > 10), ("b", n > 20), ("c", n > 30)), 2)
+    return table(spark, d, "part").select(
+        "p_partkey",
+        classify.site_status(F.when(k == 2, "ACTIVE").otherwise("new"), F.when(k == 0, "").otherwise("x.org"), k == 1).alias("site"),
+        classify.audit_reason(k == 0, F.when(k >= 4, 2), F.when(k.isin(1, 2), 1)).alias("audit"),
+        classify.company_name(F.when(k % 2 == 0, C("p_brand")), F.lit(" "), url=F.lit("https://www.big-tool.com/x")).alias("company"),
+        ok["score"].alias("n_checks"),
+        ok["passed"].alias("passed"),
+        classify.activity(n, k != 0, k < 4).alias("activity"),
+        classify.activity_status(n, F.when(k == 3, "inactive").otherwise("ok")).alias("status"),
+        classify.error_category(_nth(_MESSAGES)).alias("error"),
+        classify.run_outcome(k, F.lit(4)).alias("outcome"),
+        classify.normalized_owner(F.lit(""), F.concat(F.lit("<i>"), "p_brand", F.lit("</i> "))).alias("owner"),
+    )
