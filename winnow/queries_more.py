@@ -386,3 +386,212 @@ def B_status_kinds(spark, d):
         classify.run_outcome(k, F.lit(4)).alias("outcome"),
         classify.normalized_owner(F.lit(""), F.concat(F.lit("<i>"), "p_brand", F.lit("</i> "))).alias("owner"),
     )
+
+
+# --- text, addresses, dates, values -------------------------------------------
+
+_WRAPPED = "p_name || ' <b>' || p_type || '</b>  HTTPS://www.X.org/a-b '"
+_FILLER = ("as reported",)
+_TOOL_PATTERNS = (r"^Introducing (\w+)", r"(\w+) launches")
+_ALIASES = {"a": ("Museums", "Galleries"), "b": ("PROMO", "Deals")}
+
+
+@query(
+    rf"""WITH s AS (SELECT p_partkey, {_WRAPPED} AS t, p_size % 4 AS k, p_name AS n, p_type AS y, p_brand AS b FROM part)
+    SELECT p_partkey, lower({_clean('t')}) AS update_title, trim(regexp_replace(regexp_replace(lower(t), 'https?://(www\.)?', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS duplicate_text, lower(n || ' ' || y || ' ') AS joined, trim(regexp_replace(lower(n || '-' || b), '[^a-z0-9]+', ' ', 'g')) AS logo_key,
+    trim(regexp_replace(t, '\s+', ' ', 'g')) AS version_title, CASE WHEN k = 0 THEN 'Alpha' WHEN k = 1 THEN 'Beta' ELSE '' END AS tool, CASE WHEN k < 2 THEN 'Nano ' || y ELSE 'Big Model' END AS label, n || '|' || y AS strings, n || ' v2 ' || k AS file, CASE y WHEN 'PROMO' THEN 'promo|deals' ELSE lower(y) END AS aliases,
+    substr(n || ' ' || y || ' ' || repeat('x', 2000), 1, 1200) AS semantic, CASE WHEN k = 0 THEN n || '.' ELSE n || '. It adds widgets!' END AS kept, '(' || n || ' is ' || y || ' X) هنا' AS wrapped FROM (SELECT *, lower(n) AS l FROM s)"""
+)
+def A_text_keys(spark, d):
+    k, n, y = C("p_size") % 4, C("p_name"), C("p_type")
+    t = F.concat(n, F.lit(" <b>"), y, F.lit("</b>  HTTPS://www.X.org/a-b "))
+    titled = F.when(k == 0, "Introducing Alpha to all").when(k == 1, "the Beta launches today").otherwise("nothing here")
+    label = F.when(k < 2, F.concat(F.lit("أداة (AI) (Nano  "), y, F.lit(")"))).otherwise("Big Model جديد")
+    said = F.when(k == 0, F.concat(n, F.lit(". The wire says so."))).otherwise(F.concat(n, F.lit(". It adds widgets!")))
+    return table(spark, d, "part").select(
+        "p_partkey",
+        text.update_title(t).alias("update_title"),
+        text.duplicate_text(t).alias("duplicate_text"),
+        text.joined_text(n, y, F.lit(None)).alias("joined"),
+        text.logo_key(F.concat(n, F.lit("-"), "p_brand", F.lit(" Inc."))).alias("logo_key"),
+        text.version_title(t).alias("version_title"),
+        text.tool_name(titled, _TOOL_PATTERNS).alias("tool"),
+        text.logo_label(label).alias("label"),
+        F.array_join(text.distinct_strings(F.array(n, F.upper(n), F.lit(" "), y, F.lower(y))), "|").alias("strings"),
+        text.file_title(F.concat(F.lit("/a/b\\c/"), F.replace(n, F.lit(" "), F.lit("_")), F.lit("-v2__"), k, F.lit(".pdf"))).alias("file"),
+        F.array_join(text.aliases(F.concat(F.lit(" "), y), _ALIASES), "|").alias("aliases"),
+        text.semantic_text(n, y, F.repeat(F.lit("x"), 2000)).alias("semantic"),
+        text.drop_filler(said, _FILLER, ("wire",), ("adds",)).alias("kept"),
+        text.wrap_latin(F.concat(n, F.lit(" is "), y, F.lit(" X هنا"))).alias("wrapped"),
+    )
+
+
+_CARDINAL = "[" + ", ".join(map(_lit, text._ONES)) + "]"
+_CARDINAL_TENS = "[" + ", ".join(map(_lit, text._TENS)) + "]"
+_CARDINAL_HUNDREDS = "[" + ", ".join(map(_lit, text._HUNDREDS)) + "]"
+_ORDINAL = "[" + ", ".join(map(_lit, text._NTH)) + "]"
+_ORDINAL_TENS = "[" + ", ".join(map(_lit, text._NTH_TENS)) + "]"
+_ORDINAL_HUNDREDS = "[" + ", ".join(map(_lit, text._NTH_HUNDREDS)) + "]"
+
+
+def _arabic_sql(n: str, ones: str, tens: str, hundreds: str, first: str) -> str:
+    unit = f"CASE WHEN {n} % 100 < 20 THEN {ones}[{n} % 100 + 1] ELSE CASE {n} % 10 WHEN 0 THEN '' WHEN 1 THEN {_lit(first + ' و')} ELSE {ones}[{n} % 10 + 1] || ' و' END || {tens}[{n} // 10 % 10 + 1] END"
+    return f"CASE WHEN {n} > 999 THEN CAST({n} AS VARCHAR) WHEN {n} = 0 THEN NULL ELSE {hundreds}[{n} // 100 + 1] || CASE WHEN {n} > 99 AND {n} % 100 > 0 THEN ' و' ELSE '' END || {unit} END"
+
+
+@query(
+    f"""WITH n AS (SELECT p_partkey, p_partkey % 1200 AS n FROM part) SELECT p_partkey, coalesce({_arabic_sql('n', _CARDINAL, _CARDINAL_TENS, _CARDINAL_HUNDREDS, 'واحد')}, 'صفر') AS words, 'سالب ' || coalesce({_arabic_sql('n', _CARDINAL, _CARDINAL_TENS, _CARDINAL_HUNDREDS, 'واحد')}, 'صفر') AS below,
+    CASE WHEN p_partkey % 10 = 3 THEN 'السابع' ELSE coalesce({_arabic_sql('n', _ORDINAL, _ORDINAL_TENS, _ORDINAL_HUNDREDS, 'الحادي')}, 'الصفر') END AS issue FROM n"""
+)
+def A_arabic_numbers(spark, d):
+    n = C("p_partkey") % 1200
+    minus = F.when(n == 0, F.concat(F.lit("سالب "), text.arabic_words(n))).otherwise(text.arabic_words(-n))
+    return table(spark, d, "part").select("p_partkey", text.arabic_words(n).alias("words"), minus.alias("below"), text.issue_label(F.when(C("p_partkey") % 10 == 3, "?").otherwise(n.cast("string"))).alias("issue"))
+
+
+@query(
+    rf"""WITH u AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS bare, {_DOMAIN} AS d, page_id % 3 AS k FROM pages), p AS (SELECT *, list_filter(string_split(d, '.'), lambda x: x NOT IN ('', 'www')) AS parts FROM u), r AS (SELECT *, CASE WHEN len(parts) >= 3 AND parts[-2] IN ('co', 'com', 'net', 'org') THEN parts[-3] WHEN len(parts) >= 2 THEN parts[-2] ELSE parts[1] END AS root FROM p),
+    l AS (SELECT *, trim(regexp_replace(regexp_replace(lower(root), '[^a-z0-9]+', ' ', 'g'), '\b(inc|llc|ltd|corp|corporation|company|co)\b', ' ', 'g')) AS key FROM r), m AS (SELECT *, replace(key, ' ', '') AS stem, replace(key, ' ', '-') AS hyphened FROM l)
+    SELECT page_id, bare AS clean, rtrim(url, '/') AS result_key, lower(rtrim(url, '/')) AS candidate_key, CASE k WHEN 0 THEN 'url:' || lower(rtrim(url, '/')) WHEN 1 THEN 'title:' || d || ':a title' ELSE '' END AS identity, 'https://' || rtrim(regexp_replace(regexp_replace(lower(bare), '^[a-z]+://', ''), '^www\.', ''), '/') AS site_url, d AS site_domain,
+    k = 0 AS matches, CASE WHEN length(stem) < 3 THEN '' ELSE stem || '.com|' || stem || '.ai|' || stem || '.io' END AS guessed, array_to_string(list_filter(CASE WHEN stem = hyphened THEN [stem] ELSE [stem, hyphened] END, lambda x: length(x) >= 3), '|') AS icons FROM m"""
+)
+def A_url_names(spark, d):
+    u, k = C("url"), C("page_id") % 3
+    host = urls.domain(u)
+    r = urls.root(host)
+    return table(spark, d, "pages").select(
+        "page_id",
+        urls.clean_url(u).alias("clean"),
+        urls.result_key(F.concat(F.lit(" "), u)).alias("result_key"),
+        urls.candidate_key(u).alias("candidate_key"),
+        urls.identity(F.when(k == 0, u), F.when(k == 1, " A Title"), host).alias("identity"),
+        urls.site_url(u).alias("site_url"),
+        urls.site_domain(u).alias("site_domain"),
+        (urls.company_matches(r, host) & (k == 0)).alias("matches"),
+        F.array_join(urls.guessed_domains(r), "|").alias("guessed"),
+        F.replace(F.array_join(urls.icons(r, F.lit("")), "|"), F.lit("https://cdn.simpleicons.org/"), F.lit("")).alias("icons"),
+    )
+
+
+_MONTHS = "[" + ", ".join(map(_lit, dates._ARABIC_MONTHS)) + "]"
+
+
+@query(f"SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS db_text, {_MONTHS}[month(o_orderdate)] || ' ' || year(o_orderdate) AS arabic, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS iso, CASE o_orderkey % 3 WHEN 0 THEN o_orderdate - INTERVAL 2 DAY WHEN 1 THEN o_orderdate - INTERVAL 3 HOUR END AS ago, o_orderdate AS header, o_orderdate AS fuzzy FROM orders")
+def A_dates_read(spark, d):
+    o, k = C("o_orderdate").cast("timestamp"), C("o_orderkey")
+    said = F.when(k % 3 == 0, "posted 2 days ago").when(k % 3 == 1, "منذ 3 ساعات").otherwise("today")
+    plain = lambda c, name: c.cast("timestamp_ntz").alias(name)
+    return table(spark, d, "orders").select(
+        "o_orderkey",
+        dates.db_text(o).alias("db_text"),
+        dates.arabic_month(o).alias("arabic"),
+        plain(dates.parse_iso(F.when(k % 2 == 0, F.date_format(o, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("no date")), "iso"),
+        plain(dates.relative(said, o), "ago"),
+        plain(dates.http_date(F.date_format(o, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")), "header"),
+        plain(dates.parse_fuzzy(F.date_format(o, "MMMM d, yyyy")), "fuzzy"),
+    )
+
+
+@query(
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings) SELECT vec_id, round(CASE WHEN vec_id % 5 = 0 THEN 0 ELSE list_cosine_similarity(v, list_reverse(v)) END, 6) AS cosine, CAST(CASE WHEN vec_id % 3 = 0 THEN 1.5 ELSE -1.0 END AS DOUBLE) AS float_value, 'u' || vec_id || '||s' AS identity, [label, label + 1] AS flat,
+    [CAST(round_even(vec_id * 0.5, 0) AS INT), CAST(round_even(vec_id * 0.33, 0) AS INT)] AS parts FROM e"""
+)
+def A_values(spark, d):
+    v, n = C("embedding"), C("vec_id")
+    other = F.when(n % 5 == 0, F.slice(v, 1, 3)).otherwise(F.reverse(v))
+    keys = values.identity_keys(F.concat(F.lit("u"), n), F.lit(None), F.lit("s"))
+    bank = F.create_map(F.lit("b"), F.array(C("label") + 1), F.lit("a"), F.array("label"), F.lit("z"), F.array(F.lit(9)))
+    return table(spark, d, "embeddings").select(
+        n,
+        F.round(values.cosine(v, other), 6).alias("cosine"),
+        values.to_float(F.when(n % 3 == 0, "1.5").otherwise("x"), -1.0).alias("float_value"),
+        F.concat_ws("|", keys["url"], keys["title"], keys["story"]).alias("identity"),
+        values.flat_bank(bank, ("a", "b", "c")).alias("flat"),
+        F.slice(values.quotas(n.cast("int")), 1, 2).alias("parts"),
+    )
+
+
+# --- joins, counts, state, sources --------------------------------------------
+
+
+@query(
+    """WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) END AS c_name, CASE WHEN c_custkey % 2 = 0 THEN 0.0 END AS c_acctbal FROM customer WHERE c_custkey % 5 <> 0), r AS (SELECT c.c_custkey, coalesce(n.c_name, c.c_name) AS c_name, coalesce(n.c_acctbal, c.c_acctbal) AS c_acctbal FROM customer c LEFT JOIN n USING (c_custkey)),
+    k AS (SELECT * FROM r WHERE c_custkey % 7 <> 0), f AS (SELECT c_custkey, c_name, c_acctbal, 'store' AS found FROM k UNION ALL SELECT c_custkey, c_name, c_acctbal, 'client' FROM customer WHERE c_custkey % 7 = 0) SELECT * FROM f"""
+)
+def C_edits(spark, d):
+    """Changed cards, removed cards, and each card from the first table that has it."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    new = c.filter("c_custkey % 5 <> 0").select("c_custkey", F.when(C("c_custkey") % 3 == 0, F.upper("c_name")).alias("c_name"), F.when(C("c_custkey") % 2 == 0, 0.0).alias("c_acctbal"))
+    kept = joins.remove_rows(joins.replace_rows(c, new, "c_custkey"), c.filter("c_custkey % 7 = 0"), "c_custkey")
+    return joins.lookup_first([kept.withColumn("found", F.lit("store")), c.withColumn("found", F.lit("client"))], "c_custkey")
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
+def E_group_counts(spark, d):
+    return aggregate.group_counts(table(spark, d, "documents"), "lang", "source")
+
+
+def _folder(spark) -> str:
+    """A new folder in the session's shared one, for what a query writes and reads back."""
+    from .operators.tables import durable
+
+    durable(spark.range(1))
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{named}/tables-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_type, event_id, CASE event_type WHEN 'purchase' THEN value * 2 ELSE value END AS value FROM events")
+def S_overwritten(spark, d):
+    """A table replaced at once, then one partition of it, and a smaller version that the guard holds back."""
+    path = _folder(spark)
+    own = table(spark, d, "events").select("event_type", "event_id", "value")
+    state.overwrite(own, path, "event_type")
+    state.overwrite(own.filter("event_type = 'purchase'").withColumn("value", C("value") * 2), path, "event_type")
+    saved = spark.read.parquet(path)
+    return state.regression_guard(own.filter("event_id % 2 = 0"), saved).select("event_type", "event_id", "value")
+
+
+@query("SELECT event_id, event_type, substr(props, 1, 5) AS props, CASE WHEN event_id % 2 = 0 THEN 'x' END AS extra FROM events")
+def S_event_log(spark, d):
+    """Events appended as JSON lines without nulls, long values cut, and read again."""
+    path = _folder(spark)
+    own = table(spark, d, "events")
+    payload = landing.clean_payload(F.create_map(F.lit("props"), C("props"), F.lit("extra"), F.when(C("event_id") % 2 == 0, "x")), 5)
+    landing.append_log(own.filter("event_id % 3 = 0").select("event_id", "event_type", payload.alias("payload")), path)
+    landing.append_log(own.filter("event_id % 3 <> 0").select("event_id", "event_type", payload.alias("payload")), path)
+    read = landing.json_lines(spark, path, "event_id long, event_type string, payload map<string, string>")
+    return read.select("event_id", "event_type", F.try_element_at("payload", F.lit("props")).alias("props"), F.try_element_at("payload", F.lit("extra")).alias("extra"))
+
+
+@query("SELECT o_orderkey AS id, 'order' AS type, min(l_shipdate) AS saved_at FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0 GROUP BY 1 ORDER BY saved_at DESC, id LIMIT 300")
+def S_memory_keys(spark, d):
+    """The newest 300 of a kind (the feature's limit)."""
+    own = table(spark, d, "lineitem").groupBy(C("l_orderkey").alias("id")).agg(F.min("l_shipdate").alias("saved_at")).join(table(spark, d, "orders").select(C("o_orderkey").alias("id")), "id")
+    rows = own.select("id", F.when(C("id") % 2 == 0, "order").otherwise("other").alias("type"), "saved_at", C("id").cast("string").alias("url"), F.lit("order").alias("title"), C("saved_at").cast("string").alias("story_key"))
+    return landing.memory_keys(rows, "order", 300).select(C("url").cast("long").alias("id"), C("title").alias("type"), C("story_key").cast("timestamp_ntz").alias("saved_at"))
+
+
+@query(
+    f"""WITH {_TOOLS}, a AS (SELECT DISTINCT company AS tool, site FROM t WHERE s_suppkey % 3 <> 0), o AS (SELECT n_name AS tool, coalesce(nullif(site, ''), lower(n_name)) AS site FROM nation LEFT JOIN (SELECT tool, min(site) AS site FROM a GROUP BY tool) x ON n_name = x.tool),
+    u AS (SELECT tool, site, 'active' AS fetch_source, 0 AS source_order FROM a UNION ALL SELECT tool, site, 'overlay', 1 FROM o) SELECT * FROM u"""
+)
+def S_registry(spark, d):
+    """Records in use, sites over their defaults, and both sources in a fixed order."""
+    own = _tools(spark, d).select(C("company").alias("tool"), urls.official_site(C("official_site")).alias("official_site"), F.when(C("s_suppkey") % 3 == 0, "Dormant").otherwise("ok").alias("status"))
+    active = landing.active_records(own).select("tool", "official_site")
+    defaults = table(spark, d, "nation").select(C("n_name").alias("tool"), F.lower("n_name").alias("official_site"))
+    over = landing.overlay(defaults, active, "tool", "official_site")
+    return landing.union_sources([("active", active), ("overlay", over)]).select("tool", C("official_site").alias("site"), "fetch_source", "source_order")
+
+
+@query(f"""WITH k AS (SELECT *, {_DOMAIN} AS d, rtrim(lower(regexp_extract(url, '^([a-zA-Z]+):', 1)) || '://' || lower(regexp_extract(url, '^(?:[a-zA-Z]+:)?//([^/?#]*)', 1)) || rtrim(regexp_extract(url, '^(?:[a-zA-Z]+:)?//[^/?#]*([^?#]*)', 1), '/'), '/') AS key FROM pages)
+    SELECT a.page_id, md5(b.html) AS landed FROM k a LEFT JOIN (SELECT key, max_by(html, page_id) AS html FROM k WHERE page_id % 4 <> 0 GROUP BY key) b USING (key)""")
+def S_landed_pages(spark, d):
+    own = table(spark, d, "pages")
+    return landing.with_pages(own.select("page_id", "url"), own.filter("page_id % 4 <> 0"), "url").select("page_id", F.md5("html").alias("landed"))
+
+
+@query("SELECT md5('card|final|' || p_name || '|' || p_brand) AS id, max(p_partkey) AS saved_at FROM part GROUP BY p_name, p_brand")
+def S_memory_rows(spark, d):
+    own = table(spark, d, "part").select(F.lit("card").alias("kind"), "p_name", "p_brand", F.lit("").alias("story"), C("p_partkey").alias("saved_at"))
+    return state.memory_rows(own, "kind", "p_name", "p_brand", "story", "saved_at").select("id", "saved_at")
