@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dates import http_date, inferred, parse_result, relative
-from .rules import any_term, blank
+from .rules import any_term, blank, let
 from .text import clean_text, collapse
 
 #: Marks of a page that lists entries.
 ENTRY_CLASSES = ("changelog-entry", "release-note", "update-item", "post-card")
 HUB_TERMS = ("changelog", "releases", "whats-new")
 
-_TIME = r"(?is)<time\b([^>]*)>"
+_TIME = r"(?is)(?<=^|>)([^<>]*<time\b[^>]*>[^<]{0,160}(?:</time>[^<]{0,160})?)"  # with the text next to it
 _SCRIPT = r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"
 
 
@@ -82,22 +82,24 @@ def best_date(html: Column) -> Column:
 
 def verified_date(html: Column, url: Column, header: Column, lastmod: Column, as_of: Column) -> Column:
     """DAT10-DAT17: (date, source) by the first of seven sources that has one."""
-    found = evidence(html)
-    text = clean_text(html)
 
-    def of(source: str) -> Column:
+    def of(found: Column, source: str) -> Column:
         return F.get(F.filter(found, lambda d: d["source"] == source), F.lit(0))["date"]
 
-    chain = (
-        ("json_ld", of("json_ld_datePublished")),
-        ("meta", of("meta_article_published_time")),
-        ("time", of("time_datetime")),
-        ("text", parse_result(F.nullif(inferred(text), F.lit("")))),
-        ("header", http_date(header)),
-        ("sitemap", parse_result(lastmod)),
-        ("relative", relative(text, as_of)),
-    )
-    return F.coalesce(*[F.when(d.isNotNull(), F.struct(d.alias("date"), F.lit(s).alias("source"))) for s, d in chain])
+    def chain(found: Column, text: Column) -> Column:
+        dated = (
+            ("json_ld", of(found, "json_ld_datePublished")),
+            ("meta", of(found, "meta_article_published_time")),
+            ("time", of(found, "time_datetime")),
+            ("text", parse_result(F.nullif(inferred(text), F.lit("")))),
+            ("header", http_date(header)),
+            ("sitemap", parse_result(lastmod)),
+            ("relative", relative(text, as_of)),
+        )
+        named = F.array(*[F.struct(d.alias("date"), F.lit(source).alias("source")) for source, d in dated])
+        return F.get(F.filter(named, lambda x: x["date"].isNotNull()), F.lit(0))
+
+    return let(evidence(html), lambda found: let(clean_text(html), lambda text: chain(found, text)))
 
 
 def sitemap(xml: DataFrame, xml_col: str = "xml") -> DataFrame:

@@ -173,7 +173,16 @@ def A_topic_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(w).cast("long").alias("n_tokens"), F.md5(F.array_join(F.array_sort(w), " ")).alias("tokens"))
 
 
-@query()
+_PAGE_TITLE = r"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+_ALIASED = "CASE w " + " ".join(f"WHEN {_lit(k)} THEN {_lit(v)}" for k, v in keys.TOKEN_ALIASES.items()) + " ELSE w END"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, {_PAGE_TITLE} AS title, list_filter(string_split({_DOMAIN}, '.'), lambda x: x <> '' AND x NOT IN {_in(keys.COMPANY_SUFFIXES)}) AS parts FROM pages), w AS (SELECT *, list_filter(string_split({_norm('title')}, ' '), lambda x: x <> '') AS words FROM p),
+    o AS (SELECT page_id, coalesce(parts[1], array_to_string(list_filter(words, lambda x: length(x) > 2 AND x NOT IN {_in(keys.COMPANY_SUFFIXES)})[1:2], '-')) AS owner, list_transform(words, lambda w: {_ALIASED}) AS words FROM w),
+    u AS (SELECT page_id, owner, list_filter(words, lambda x: NOT list_contains(string_split(replace(owner, '-', ' '), ' '), x) AND x NOT IN {_in(keys.DISTRIBUTION_WORDS)} AND x NOT IN {_in(keys.STORY_STOP_WORDS)} AND (length(x) >= 3 OR regexp_matches(x, '^[0-9]+$'))) AS words FROM o)
+    SELECT page_id, owner, substr(sha1({_norm('owner')} || '||' || array_to_string(list_filter(words, lambda x, i: list_position(words, x) = i)[1:6], ' ')), 1, 24) AS story_key FROM u"""
+)
 def A_story_keys(spark, d):
     """Owner, product and story of pages."""
     own = table(spark, d, "pages").withColumn("title", pages.page_title(C("html"), F.lit("")))
@@ -181,21 +190,28 @@ def A_story_keys(spark, d):
     return own.select("page_id", owner.alias("owner"), keys.story_key(C("title"), owner, F.lit("")).alias("story_key"))
 
 
-@query()
+@query(
+    """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS n_evidence, ['json_ld', 'meta', 'time', 'text', 'header', 'sitemap'][page_id % 6 + 1] AS source, TIMESTAMP '2024-01-01' + INTERVAL (page_id % 6) DAY AS date FROM pages"""
+)
 def A_page_dates(spark, d):
-    """Date evidence of pages (none of the tables' pages has any)."""
-    own = table(spark, d, "pages")
-    found = pages.verified_date(C("html"), C("url"), F.lit("Mon, 01 Jan 2024 10:00:00 GMT"), F.lit(None), F.lit("2024-01-08").cast("timestamp"))
-    return own.select("page_id", F.size(pages.evidence(C("html"))).alias("n_evidence"), found["source"].alias("source"), found["date"].alias("date"))
+    """Date evidence of pages, one kind in each (the tables' pages have none, so it is put in front)."""
+    k = C("page_id") % 6
+    said = F.when(k == 0, '<script type="application/ld+json">{"datePublished": "2024-01-01"}</script>').when(k == 1, '<meta property="article:published_time" content="2024-01-02">').when(k == 2, '<time datetime="2024-01-03">2024-01-03</time><time datetime="2023-01-03">updated</time>').when(k == 3, "<p>Posted 2024-01-04 by us</p>").otherwise("")
+    found = pages.verified_date(F.concat(said, C("html")), C("url"), F.when(k == 4, "Fri, 05 Jan 2024 00:00:00 GMT"), F.when(k == 5, "2024-01-06"), F.lit("2024-01-08").cast("timestamp"))
+    return table(spark, d, "pages").select("page_id", F.size(pages.evidence(F.concat(said, C("html")))).alias("n_evidence"), found["source"].alias("source"), found["date"].cast("timestamp_ntz").alias("date"))
 
 
-@query()
+@query(
+    rf"""WITH t AS (SELECT doc_id, coalesce(source, '') AS source, trim(regexp_replace(regexp_replace({_clean('text')}, 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g')) AS t, {_clean(_TITLE)} AS head FROM documents),
+    b AS (SELECT *, CASE WHEN head <> '' AND starts_with(lower(t), lower(head)) THEN trim(substr(t, length(head) + 1), ' -|#') ELSE t END AS bare FROM t), f AS (SELECT *, substr(bare, 1, 900) AS first FROM b)
+    SELECT doc_id, CASE WHEN bare = '' THEN 'Course from ' || source || ' focused on practical AI skills.' WHEN length(bare) > 900 THEN trim(CASE WHEN contains(first, ' ') THEN regexp_replace(first, ' [^ ]*$', '') ELSE first END) || '...' ELSE bare END AS summary FROM f"""
+)
 def A_compact_text(spark, d):
     t = text.compact_text(C("text"), F.substring_index("text", "\n", 1), C("source"))
     return table(spark, d, "documents").select("doc_id", t.alias("summary"))
 
 
-@query()
+@query("SELECT doc_id, md5(text) AS repaired, md5(text) AS original FROM documents")
 def A_repair_mojibake(spark, d):
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return table(spark, d, "documents").select("doc_id", F.md5(text.repair_mojibake(broken)).alias("repaired"), F.md5("text").alias("original"))
@@ -275,10 +291,27 @@ def B_first_match(spark, d):
     return table(spark, d, "documents").select("doc_id", classify.sector(t, F.lit(""), F.lit("")).alias("sector"), classify.topic_group(t).alias("topic"), classify.function_group(F.lit(""), t).alias("category"))
 
 
-@query()
+_LEVEL_TERMS = (*T.NO_PREREQUISITES, *(f"prerequisites {x} required" for x in ("python and machine learning", "python and aws", "python", "cloud", "an api", "nothing")), *T.ADVANCED_MODULES, *T.INTERMEDIATE_MODULES, "level advanced", "difficulty expert", "level intermediate", "level beginner", "plain words")
+_LEVEL_TEXT = "p_name || ' ' || [" + ", ".join(map(_lit, _LEVEL_TERMS)) + f"][p_partkey % {len(_LEVEL_TERMS)} + 1] || ' ' || p_type"
+_LEVEL_TITLE = "CASE WHEN p_size % 3 = 0 THEN [" + ", ".join(map(_lit, T.BEGINNER_TITLES)) + f"][p_partkey % {len(T.BEGINNER_TITLES)} + 1] ELSE 'A course' END"
+_STATED = lambda words: rf"regexp_matches(e, '\b(level|difficulty)\s*[:\-]?\s*({words})\b')"
+_PYTHON, _ML, _CLOUD = "contains(asked, 'python')", _has("asked", T.ML_PREREQUISITES), _has("asked", T.CLOUD_PREREQUISITES)
+
+
+@query(
+    rf"""WITH s AS (SELECT p_partkey, {_norm(_LEVEL_TITLE)} AS t, {_norm(_LEVEL_TEXT)} AS c FROM part), e AS (SELECT p_partkey, t, t || ' ' || c AS e FROM s),
+    a AS (SELECT *, coalesce(nullif(array_to_string(regexp_extract_all(e, '((?:prerequisites?|requirements?|before (?:taking|starting)|you should know).{{0,220}})', 1), ' '), ''), e) AS asked FROM e),
+    v AS (SELECT p_partkey, CASE WHEN {_STATED('advanced|expert')} THEN 'Advanced high official_stated_level' WHEN {_STATED('intermediate')} THEN 'Intermediate high official_stated_level' WHEN {_STATED('beginner|introductory')} THEN 'Beginner high official_stated_level' WHEN {_has('e', T.NO_PREREQUISITES)} THEN 'Beginner high official_prerequisites'
+        WHEN {_has('asked', T.REQUIRES)} AND {_PYTHON} AND ({_ML} OR {_CLOUD}) THEN 'Advanced high official_prerequisites' WHEN {_has('asked', T.REQUIRES)} AND ({_PYTHON} OR {_ML} OR {_CLOUD} OR contains(asked, 'api')) THEN 'Intermediate high official_prerequisites'
+        WHEN {_has('e', T.ADVANCED_MODULES)} THEN 'Advanced medium official_modules' WHEN {_has('e', T.INTERMEDIATE_MODULES)} THEN 'Intermediate medium official_modules' WHEN {_has('t', T.BEGINNER_TITLES)} THEN 'Beginner medium official_title' ELSE ' low unverified' END AS v FROM a)
+    SELECT p_partkey, split_part(v, ' ', 1) AS level, split_part(v, ' ', 2) AS confidence, split_part(v, ' ', 3) AS evidence FROM v"""
+)
 def B_course_level(spark, d):
-    level = classify.course_level(F.substring_index("text", "\n", 1), C("text"))
-    return table(spark, d, "documents").select("doc_id", level["level"].alias("level"), level["confidence"].alias("confidence"), level["source"].alias("evidence"))
+    """Parts with a word on levels or prerequisites in their text."""
+    said = F.concat_ws(" ", C("p_name"), F.element_at(F.array(*map(F.lit, _LEVEL_TERMS)), (C("p_partkey") % len(_LEVEL_TERMS) + 1).cast("int")), C("p_type"))
+    title = F.when(C("p_size") % 3 == 0, F.element_at(F.array(*map(F.lit, T.BEGINNER_TITLES)), (C("p_partkey") % len(T.BEGINNER_TITLES) + 1).cast("int"))).otherwise("A course")
+    level = classify.course_level(title, said)
+    return table(spark, d, "part").select("p_partkey", level["level"].alias("level"), level["confidence"].alias("confidence"), level["source"].alias("evidence"))
 
 
 _LANE = "CASE o_orderpriority WHEN '1-URGENT' THEN 'official_exa' WHEN '2-HIGH' THEN 'tool_searxng' WHEN '3-MEDIUM' THEN 'fallback_broad' ELSE 'unknown' END"
@@ -426,14 +459,27 @@ def D_title_exists(spark, d):
     return dedup.title_exists(table(spark, d, "part"), "p_name", "  Cold WIDGET ")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, {_norm('text')} AS k1, {_norm(_TITLE)} AS k2 FROM documents),
+    i AS (SELECT doc_id, n, CASE WHEN k1 = '' THEN NULL ELSE dense_rank() OVER (ORDER BY k1) END AS a, CASE WHEN k2 = '' THEN NULL ELSE -dense_rank() OVER (ORDER BY k2) END AS b FROM d),
+    k AS (SELECT doc_id, n, list_filter([a, b], lambda x: x IS NOT NULL) AS keys FROM i),
+    run AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS kept UNION ALL
+        SELECT k.n, CASE WHEN list_has_any(used, keys) THEN used ELSE list_concat(used, keys) END, CASE WHEN list_has_any(used, keys) THEN NULL ELSE doc_id END FROM run JOIN k ON k.n = run.n + 1)
+    SELECT kept AS doc_id FROM run WHERE kept IS NOT NULL"""
+)
 def D_greedy_multi_key(spark, d):
     whole, title = text.normalized_text(C("text")), text.normalized_text(F.substring_index("text", "\n", 1))
     own = table(spark, d, "documents").select("doc_id", F.sha1(whole).alias("k1"), F.when(title != "", F.sha1(title)).alias("k2"))
     return dedup.greedy_dedup(own, "doc_id", [C("k1"), C("k2")]).select("doc_id")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), l AS (SELECT a.n, list(b.n) AS before FROM e a JOIN e b ON b.n < a.n AND list_cosine_similarity(a.v, b.v) >= 0.35 GROUP BY a.n),
+    k AS (SELECT e.n, vec_id, coalesce(before, CAST([] AS BIGINT[])) AS before FROM e LEFT JOIN l USING (n)),
+    run AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS chosen, CAST(NULL AS BIGINT) AS kept UNION ALL
+        SELECT k.n, CASE WHEN list_has_any(chosen, before) THEN chosen ELSE list_append(chosen, k.n) END, CASE WHEN list_has_any(chosen, before) THEN NULL ELSE vec_id END FROM run JOIN k ON k.n = run.n + 1)
+    SELECT kept AS pos FROM run WHERE kept IS NOT NULL"""
+)
 def D_greedy_semantic(spark, d):
     return dedup.greedy_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", 0.35)
 
