@@ -24,7 +24,7 @@ from winnow.llm.line_dedup import line_dedup  # noqa: E402
 from winnow.llm.ngram_lm import lm_score  # noqa: E402
 from winnow.llm.packing import difference, encode, pack, windows  # noqa: E402
 from winnow.llm.quality import measures, quality  # noqa: E402
-from winnow.llm.sharding import shard  # noqa: E402
+from winnow.llm.sharding import shard, write_shards  # noqa: E402
 from winnow.llm.simhash import near_prints, simhash_groups  # noqa: E402
 from winnow.llm.substring_dedup import substring_dedup  # noqa: E402
 from winnow.llm.toxicity import Ftrl, toxicity, train  # noqa: E402
@@ -199,6 +199,18 @@ def test_sharding(spark, rows, limit):
     assert shard(frame(spark, rows[:0]), limit).count() == 0
 
 
+def test_written_shards(spark, rows, tmp_path):
+    docs = [*rows, (None, "no id"), (None, "no id"), (rows[0][0], "another text of that id")]
+    df = frame(spark, docs).withColumn("depth", F.lit("kept")).withColumn("_at", F.lit(1))
+    write_shards(df, str(tmp_path / "shards"), 3000)
+    back = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter(docs) and {(r.depth, r._at) for r in back} == {("kept", 1)}
+    sizes = defaultdict(list)
+    for r in back:
+        sizes[str(r.shard_id)].append((r.doc_id, r.text))
+    assert all(sum(len((t or "").encode()) for _, t in own) <= 3000 or len(set(own)) == 1 for own in sizes.values())
+
+
 def brute_lm(rows, order, strengths):
     learned = [d is None or zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in rows]
     toks = [["<s>", *("".join(c.lower() if c.isascii() else c for c in w) for w in words(t)), "</s>"] for _, t in rows]
@@ -397,6 +409,66 @@ def test_components(spark, one_task):
     assert components(spark.createDataFrame([], "u bigint, v bigint"), one_task).count() == 0
 
 
+def brute_ftrl(texts, labels, s):
+    """FTRL-proximal over dicts of features, one row and one feature at a time."""
+    from winnow.llm.common import PLAIN, Words, join_hash
+    import pyarrow as pa
+
+    def features(text):
+        w = plain_words(text)
+        h = [int(Words(pa.array([x]), PLAIN).hashes()[0]) for x in w]
+        head = [[int(Words(pa.array([x]), PLAIN).hashes(k)[0]) for x in w] for k in (4, 5)]
+        one = lambda a, b: int(join_hash(np.array([a], np.uint64), np.array([b], np.uint64))[0]) >> (64 - s.bits)
+        out = {one(1, x) for x in h} | {one(k, x) for k, xs in zip((4, 5), head, strict=True) for x in xs}
+        for gap in (1, 2):
+            out |= {one((h[i] + gap) % 2**64, h[i + gap]) for i in range(len(h) - gap)}
+        return sorted(out)
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if i == "bias":  # without penalty
+            return -z[i] / ((s.beta + math.sqrt(n[i])) / s.alpha)
+        return 0.0 if abs(z[i]) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    def score(x):
+        return 1 / (1 + math.exp(-max(-35, min(35, sum(map(weight, x)) + weight("bias")))))
+
+    every = [features(t) for t in texts]
+    for _ in range(s.passes):
+        for x, y in zip(every, labels, strict=True):
+            if y is None:
+                continue
+            g = score(x) - y
+            for i in [*x, "bias"]:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha
+                old = weight(i)
+                z[i] += g - sigma * old
+                n[i] += g * g
+    return [score(x) for x in every]
+
+
+def plain_words(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def test_toxicity_is_plain_ftrl(spark):
+    """Scores of the operator against FTRL-proximal written over dicts, in the operator's order of rows."""
+    r = random.Random(4)
+    mild, harsh = [f"w{i}" for i in range(60)], [f"bad{i}" for i in range(8)]
+    texts_ = [" ".join([r.choice(mild) for _ in range(r.randrange(1, 30))] + ([r.choice(harsh), r.choice(harsh)] if i % 3 == 0 else [])) for i in range(60)] + ["", None, "Façade, BAD1 bad2!"]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    known = {i: int(i % 3 == 0) for i in range(60) if i % 5}
+    labels = spark.createDataFrame(list(known.items()), "doc_id long, toxic int")
+    s = Ftrl(bits=16, l1=0.3)
+    order = [x.doc_id for x in spark.createDataFrame([(i,) for i in known if zlib.crc32(str(i).encode()) % 4 != 2], "doc_id long").orderBy(F.xxhash64("doc_id")).collect()]
+    rest = [i for i in range(len(texts_)) if i not in order]
+    expected = dict(zip([*order, *rest], brute_ftrl([texts_[i] for i in [*order, *rest]], [*(known[i] for i in order), *([None] * len(rest))], s), strict=True))
+    got = {x.doc_id: x.score for x in toxicity(docs, train(docs, labels, settings=s)).collect()}
+    assert got == pytest.approx(expected, rel=1e-5)  # weights are sent in single precision
+    assert len({round(x, 3) for x in got.values()}) > 20
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     for f in (substring_dedup, line_dedup, quality, secrets.find_secrets, simhash_groups):

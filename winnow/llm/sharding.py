@@ -24,10 +24,22 @@ def _prefix(h: Column, depth: Column) -> Column:
     return F.call_function("shiftright", h, F.lit(_BITS) - depth)
 
 
+def _hash(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(col(id_col), text_of(text_col)).bitwiseAND((1 << _BITS) - 1)
+
+
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = text_of(text_col)
-    h = F.xxhash64(col(id_col), text).bitwiseAND((1 << _BITS) - 1)
-    return docs.select(col(id_col).alias("id"), h.alias("h"), F.octet_length(text).cast("long").alias("bytes"))
+    return docs.select(col(id_col).alias("id"), _hash(id_col, text_col).alias("h"), F.octet_length(text_of(text_col)).cast("long").alias("bytes"))
+
+
+def _placed(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Rows with a column h and their leaf: depth, prefix, shard_id, shard_bytes, shard_docs."""
+    depths = [r.depth for r in leaves.select("depth").distinct().orderBy("depth").collect()]  # 63 at most
+    at = F.explode(F.transform(F.array([F.lit(d) for d in depths]).cast("array<int>"), lambda d: F.struct(d.alias("depth"), F.call_function("shiftright", F.col("h"), F.lit(_BITS) - d).alias("prefix"))))
+    bits = F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), 64, "0")
+    name = F.when(F.col("depth") == 0, "root").otherwise(F.substring(bits, F.lit(65) - F.col("depth"), F.col("depth")))
+    named = leaves.select("depth", "prefix", name.alias("shard_id"), F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
+    return rows.withColumn("_at", at).select(*rows.columns, "_at.*").join(named, ["depth", "prefix"])
 
 
 def directory(rows: DataFrame, limit: int, step: int = 6) -> DataFrame:
@@ -71,16 +83,17 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
     rows; columns other than the two named aren't read.
     """
     rows = _hashed(docs, id_col, text_col)
-    leaves = shared(directory(rows, limit))
-    depths = [r.depth for r in leaves.select("depth").distinct().orderBy("depth").collect()]  # 63 at most
-    rows = rows.withColumn("at", F.explode(F.transform(F.array([F.lit(d) for d in depths]).cast("array<int>"), lambda d: F.struct(d.alias("depth"), F.call_function("shiftright", F.col("h"), F.lit(_BITS) - d).alias("prefix")))))
-    placed = rows.select("id", "bytes", "at.*").join(leaves.select("depth", "prefix", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs")), ["depth", "prefix"])
-    bits = F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), 64, "0")
-    name = F.when(F.col("depth") == 0, "root").otherwise(F.substring(bits, F.lit(65) - F.col("depth"), F.col("depth")))
-    return placed.select(F.col("id").alias(id_col), "bytes", "depth", "prefix", name.alias("shard_id"), "shard_bytes", "shard_docs")
+    placed = _placed(rows, shared(directory(rows, limit)))
+    return placed.select(F.col("id").alias(id_col), "bytes", "depth", "prefix", "shard_id", "shard_bytes", "shard_docs")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the documents as Parquet, one folder for each shard; ids must be unique and not null."""
-    placed = shard(docs, limit, id_col, text_col).select(id_col, "shard_id")
-    docs.join(placed, id_col).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    """Writes the documents as Parquet, one folder for each shard.
+
+    Every row is written once, into the folder that its own hash names: null ids and
+    repeated rows too, which no join on ids could place.
+    """
+    leaves = shared(directory(_hashed(docs, id_col, text_col), limit))
+    rows = docs.select(F.struct(*map(col, docs.columns)).alias("_row"), _hash(id_col, text_col).alias("h"))
+    placed = _placed(rows, leaves).select("_row.*", "shard_id")
+    placed.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
