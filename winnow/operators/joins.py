@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import suffixes
+from .tables import durable
 
 
 def _keyed(df: DataFrame, key: str) -> DataFrame:
@@ -62,14 +63,31 @@ def mark_any(items: DataFrame, visible: DataFrame, keys: Sequence[str], flag: st
 def overlapping(items: DataFrame, others: DataFrame, id_col: str, other_id: str, tokens: str, least: int = 4, share: float = 0.58) -> DataFrame:
     """JON6, JON8: pairs with ``least`` tokens in common that are ``share`` of the smaller set.
 
-    An equi-join on single tokens and a pre-aggregated count; no pair without a
-    common token is ever made.
+    With t tokens in common, one of the n - t + 1 rarest of the smaller set is in the
+    other one; so only these are looked up, and common words join nothing.  What is
+    found is verified on both sets.
     """
-    a = items.select(F.col(id_col).alias("_a"), F.size(tokens).alias("_na"), F.explode(F.array_distinct(tokens)).alias("_t"))
-    b = others.select(F.col(other_id).alias("_b"), F.size(tokens).alias("_nb"), F.explode(F.array_distinct(tokens)).alias("_t"))
-    both = a.join(b, "_t").groupBy("_a", "_b").agg(F.count("*").alias("shared"), F.first("_na").alias("na"), F.first("_nb").alias("nb"))
-    ratio = F.col("shared") / F.least("na", "nb")
-    return both.filter((F.col("shared") >= least) & (ratio >= share)).select(F.col("_a").alias(id_col), F.col("_b").alias(other_id), "shared")
+
+    def own(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(name).alias("id"), F.size(tokens).alias("n"), F.array_distinct(tokens).alias("set")).filter(F.size("set") >= least)
+
+    def rarest(df: DataFrame) -> DataFrame:
+        each = df.select("id", "n", F.explode("set").alias("t")).join(often, "t", "left")
+        ranked = each.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("ts"))
+        few = F.greatest(F.lit(0), F.size("ts") - F.greatest(F.lit(least), F.ceil(F.col("n") * share).cast("int")) + 1)
+        return ranked.select("id", "n", F.explode(F.slice("ts", F.lit(1), few)["t"]).alias("t"))
+
+    a, b = durable(own(items, id_col)), durable(own(others, other_id))  # sets are read several times
+    often = a.select(F.explode("set").alias("t")).unionByName(b.select(F.explode("set").alias("t"))).groupBy("t").agg(F.count("*").alias("f"))
+    names = lambda df, x: df.select(F.col("id").alias(f"_{x}"), F.col("n").alias(f"n{x}"), "t")
+    every = lambda df: df.select("id", "n", F.explode("set").alias("t"))
+    small = names(rarest(a), "a").join(names(every(b), "b"), "t").filter("na <= nb")
+    large = names(rarest(b), "b").join(names(every(a), "a"), "t").filter("nb < na")
+    found = small.select("_a", "_b").unionByName(large.select("_a", "_b")).distinct()
+    both = found.join(a.select(F.col("id").alias("_a"), F.col("n").alias("na"), F.col("set").alias("sa")), "_a").join(b.select(F.col("id").alias("_b"), F.col("n").alias("nb"), F.col("set").alias("sb")), "_b")
+    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
+    out = both.select(F.col("_a").alias(id_col), F.col("_b").alias(other_id), shared.alias("shared"), F.least("na", "nb").alias("_n"))
+    return out.filter((F.col("shared") >= least) & (F.col("shared") / F.col("_n") >= share)).drop("_n")
 
 
 def containing(items: DataFrame, others: DataFrame, id_col: str, other_id: str, text: str) -> DataFrame:
@@ -163,19 +181,6 @@ def lookup_first(tables: Sequence[DataFrame], id_col: str) -> DataFrame:
     return every.withColumn("_r", F.row_number().over(by)).filter("_r = 1").drop("_r", "_p")
 
 
-def _blocks(queries: DataFrame, id_col: str, vec: str, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries in blocks of ``rows``, so that no more than one block is on the driver."""
-    ids, vecs = [], []
-    for r in queries.select(id_col, vec).toLocalIterator():
-        ids.append(r[0])
-        vecs.append(r[1])
-        if len(ids) == rows:
-            yield np.array(ids), np.array(vecs, np.float64)
-            ids, vecs = [], []
-    if ids:
-        yield np.array(ids), np.array(vecs, np.float64)
-
-
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
@@ -184,32 +189,36 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def similar(queries: DataFrame, memory: DataFrame, id_col: str, vec: str, threshold: float, top: int | None = None, rows: int = 4096) -> DataFrame:
     """JON13, JON14: (query, id, cosine) of the memory rows at least ``threshold`` similar, the best ``top`` of each query.
 
-    Queries are broadcast in blocks of at most ``rows`` vectors; each block meets
-    each batch of the memory in one matrix product.  A row never meets its own id.
-    Empty, null and zero vectors have no similar ones.
+    Both sides are dealt to blocks of about ``rows`` vectors; each two blocks meet in one
+    matrix product on the executors.  A row never meets its own id.  Empty, null and
+    zero vectors have no similar ones.
     """
-    spark = memory.sparkSession
-    out = None
     kind = memory.schema[id_col].dataType.simpleString()
-    data = memory.filter(F.size(vec) > 0).select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
-    for ids, vecs in _blocks(queries.filter(F.size(vec) > 0), id_col, vec, rows):
-        sent = spark.sparkContext.broadcast((ids, _unit(vecs)))
-
-        def match(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            qs, m = sent.value
-            for pdf in batches:
-                cos = m @ _unit(np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1)).T if len(pdf) else np.zeros((len(qs), 0))
-                i, j = np.nonzero(cos >= threshold)
-                got = pd.DataFrame({"query": qs[i], "id": pdf["id"].to_numpy()[j], "cosine": cos[i, j]})
-                got = got[got["query"] != got["id"]]
-                if top is not None:  # a batch's best suffice for the best of all
-                    got = got.sort_values(["cosine", "id"], ascending=[False, True]).groupby("query").head(top)
-                yield got
-
-        found = data.mapInPandas(match, f"query {kind}, id {kind}, cosine double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], f"query {kind}, id {kind}, cosine double")
+
+    def dealt(df: DataFrame, own: str, other: str, others: int, blocks: int, asks: bool) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+        return df.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(own), every, F.lit(asks).alias("asks")).select("id", "v", "i", "j", "asks")
+
+    q, m = (df.filter(F.size(vec) > 0).select(F.col(id_col).alias("id"), F.col(vec).alias("v")) for df in (queries, memory))
+    nq, nm = (max(1, -(-df.count() // rows)) for df in (q, m))
+    both = dealt(q, "i", "j", nm, nq, True).unionByName(dealt(m, "j", "i", nq, nm, False))
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy(bool)
+        units, ids = _unit(np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1)), pdf["id"].to_numpy()
+        parts, theirs = [], ids[~asks]
+        for a in range(0, int(asks.sum()), 512):
+            some = np.flatnonzero(asks)[a : a + 512]
+            cos = units[some] @ units[~asks].T
+            i, j = np.nonzero(cos >= threshold)
+            parts.append(pd.DataFrame({"query": ids[some[i]], "id": theirs[j], "cosine": cos[i, j]}))
+        got = pd.concat(parts) if parts else pd.DataFrame({"query": ids[:0], "id": ids[:0], "cosine": np.zeros(0)})
+        got = got[got["query"] != got["id"]]
+        if top is not None:  # a block's best suffice for the best of all
+            got = got.sort_values(["cosine", "id"], ascending=[False, True]).groupby("query").head(top)
+        return got
+
+    out = both.groupBy("i", "j").applyInPandas(match, f"query {kind}, id {kind}, cosine double")
     if top is None:
         return out
     by = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
