@@ -215,3 +215,5 @@ DEVELOPER_COURSE = (
     "programming", "python", "javascript", "typescript", "java", "rust", "kubernetes", "docker", "deployment", "deploy", "inference", "fine-tuning",
     "finetuning", "model training", "mlops", "agent framework", "agents sdk",
 )
+
+FAILURE_WORDS = ("error", "failed", "exception", "refused", "invalid")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, text, urls, values
 from .functions import terms as T
-from .operators import aggregate, classify, joins, records, rejects, state
+from .operators import aggregate, classify, joins, records, rejects, state, store
 from .queries import _DOMAIN, _PAGE_REASON, _TOOLS, C, _clean, _has, _in, _lit, _norm, _points, _tools, _under, query, table
 from .sources import landing
 
@@ -595,3 +595,126 @@ def S_landed_pages(spark, d):
 def S_memory_rows(spark, d):
     own = table(spark, d, "part").select(F.lit("card").alias("kind"), "p_name", "p_brand", F.lit("").alias("story"), C("p_partkey").alias("saved_at"))
     return state.memory_rows(own, "kind", "p_name", "p_brand", "story", "saved_at").select("id", "saved_at")
+
+
+# --- the store ----------------------------------------------------------------
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey, p_size, p_name, '<b>' || p_name || '</b>  x ' AS text, p_type, p_brand FROM part)
+    SELECT p_partkey, {_clean('text')} AS cleaned, substr({_clean('text')}, 1, 8) AS cut, {_norm('p_name')} AS title_key, CASE WHEN p_size % 3 = 0 THEN 'general' ELSE lower(p_type) END AS topic, {_norm('p_brand')} || '|' || lower(p_type) AS diversity, {_norm('p_brand')} || '/' || CASE WHEN p_size % 2 = 0 THEN 'beginner' ELSE '' END AS pair,
+    p_size % 4 IN (0, 2) AS allowed, CASE WHEN p_size % 5 = 0 THEN 4 WHEN p_size % 5 = 1 THEN 2 ELSE 1 END AS priority, CASE p_size % 3 WHEN 0 THEN 'asked' WHEN 1 THEN 'set' ELSE 'none' END AS version FROM s"""
+)
+def T_row_keys(spark, d):
+    n = C("p_size")
+    own = table(spark, d, "part").withColumn("text", F.concat(F.lit("<b>"), "p_name", F.lit("</b>  x ")))
+    cleaned = store.clean_fields(own.withColumn("raw", C("text")))
+    pair = store.platform_level(C("p_brand"), F.when(n % 2 == 0, " Beginner "))
+    host = F.when(n % 4 == 0, "a.x.org").when(n % 4 == 1, "y.org").when(n % 4 == 2, "learn.z.org").otherwise("badx.org")
+    content = F.when(n % 3 == 0, '{"requested_title": " asked ", "settings": {"newsletter_title": "set"}}').when(n % 3 == 1, '{"settings": {"newsletter_title": "set"}}').otherwise("broken")
+    out = cleaned.select(
+        "p_partkey",
+        C("text").alias("cleaned"),
+        store.title_key(C("p_name")).alias("title_key"),
+        store.topic_key(F.when(n % 3 == 0, "").otherwise(C("p_type")), F.lit(None)).alias("topic"),
+        store.diversity_key(C("p_brand"), C("p_type")).alias("diversity"),
+        F.concat(pair["platform"], F.lit("/"), pair["level"]).alias("pair"),
+        store.platform_allowed(host, F.lit("x.org"), {"x.org": ("z.org",)}).alias("allowed"),
+        store.saudi_priority(F.when(n % 5 == 1, "saudi ai").otherwise("x"), n % 5 == 0).alias("priority"),
+        store.version_title(content, F.lit("none")).alias("version"),
+        "raw",
+    )
+    return store.compact(out, {"raw": 8}, [c for c in out.columns if c != "raw"]).withColumnRenamed("raw", "cut")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN NULL ELSE CASE WHEN o_orderkey % 3 = 1 AND year(o_orderdate) < 2000 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END END AS day FROM orders")
+def T_result_dates(spark, d):
+    o, k = C("o_orderdate"), C("o_orderkey") % 3
+    said = F.when(k == 1, F.concat(F.lit("Posted "), F.date_format(o, "MMMM d, yyyy"))).otherwise("undated")
+    return table(spark, d, "orders").select("o_orderkey", F.date_format(store.result_date(F.when(k == 0, F.date_format(o, "yyyy-MM-dd")), said), "yyyy-MM-dd").alias("day"))
+
+
+@query(f"SELECT 'url' AS kind, lower(rtrim(url, '/')) AS key FROM pages UNION SELECT 'title', {_norm('url')} FROM pages UNION SELECT 'story', 's' || page_id % 7 FROM pages WHERE page_id % 7 > 0")
+def T_visible_keys(spark, d):
+    own = table(spark, d, "pages").select("url", C("url").alias("title"), F.when(C("page_id") % 7 > 0, F.concat(F.lit(" s"), C("page_id") % 7)).alias("story_key"))
+    return store.visible_keys(own)
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, p_brand, p_type, p_size % 4 = 0 AS selected FROM part), o AS (SELECT p_brand, count(*) AS o FROM s WHERE selected GROUP BY 1), t AS (SELECT p_type, count(*) AS t FROM s WHERE selected GROUP BY 1)
+    SELECT p_partkey, selected, CASE WHEN selected THEN 'selected' WHEN coalesce(o, 0) >= 2 THEN 'company_cap_reached' WHEN coalesce(t, 0) > 0 THEN 'sector_already_covered' ELSE 'not_selected_by_model' END AS audit FROM s LEFT JOIN o USING (p_brand) LEFT JOIN t USING (p_type)"""
+)
+def T_candidate_audit(spark, d):
+    p = table(spark, d, "part")
+    return store.candidate_audit(p, p.filter("p_size % 4 = 0"), "p_partkey", "p_brand", "p_type").select("p_partkey", "selected", "audit")
+
+
+@query(
+    """WITH v AS (SELECT c_custkey AS id, c_name AS title, c_acctbal AS size FROM customer), i AS (SELECT * FROM v UNION ALL SELECT (SELECT max(id) FROM v) + row_number() OVER (ORDER BY s_suppkey), s_name, s_acctbal FROM supplier), u AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE title END AS title, CASE WHEN id % 2 = 0 AND id % 3 <> 1 THEN 0.0 ELSE size END AS size FROM i)
+    SELECT id, title, size FROM u WHERE id % 5 <> 4"""
+)
+def T_versions(spark, d):
+    """Versions inserted, changed in some fields and deleted, written as a checked copy and changed in place."""
+    path = _folder(spark)
+    old = table(spark, d, "customer").select(C("c_custkey").alias("id"), C("c_name").alias("title"), C("c_acctbal").alias("size"))
+    new = table(spark, d, "supplier").select(C("s_suppkey").alias("id"), C("s_name").alias("title"), C("s_acctbal").alias("size"))
+    rows = store.checked_copy(store.insert_versions(old, new, "id"), f"{path}/a")
+    changes = rows.filter("id % 3 <> 1").select("id", F.when(C("id") % 3 == 0, "new").alias("title"), F.when(C("id") % 2 == 0, 0.0).alias("size"))
+    store.changed_table(spark, f"{path}/a", lambda df: store.update_versions(df, changes, "id"), f"{path}/b")
+    return store.changed_table(spark, f"{path}/a", lambda df: store.delete_versions(df, df.filter("id % 5 = 4"), "id"), f"{path}/c")
+
+
+@query("SELECT md5('card|final|' || p_name || '|' || p_brand) AS id, max(p_partkey) AS saved_at FROM part WHERE p_size % 2 = 0 GROUP BY p_name, p_brand")
+def T_published_memory(spark, d):
+    own = table(spark, d, "part").select(F.lit("card").alias("kind"), "p_name", "p_brand", F.lit("").alias("story"), C("p_partkey").alias("saved_at"), (C("p_size") % 2 == 0).alias("visible"))
+    return store.published_memory(own, "kind", "p_name", "p_brand", "story", "saved_at").select("id", "saved_at")
+
+
+@query(
+    """WITH c AS (SELECT p_partkey, 'p' || p_partkey AS id, p_name AS t, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'https://x.org/' || p_size END AS u FROM part WHERE p_partkey % 10 = 1), e AS (SELECT 'p' || p_partkey AS id, p_name AS t, CASE WHEN p_size % 2 = 0 THEN NULL ELSE 'https://x.org/' || p_size END AS u FROM part WHERE p_partkey % 10 = 2 AND p_type = 'PROMO' OR p_partkey % 50 = 1)
+    SELECT p_partkey FROM c WHERE id IN (SELECT id FROM e) OR u IN (SELECT u FROM e WHERE u IS NOT NULL) OR (u IS NULL AND t IN (SELECT t FROM e)) OR t IN (SELECT t FROM e WHERE u IS NULL)"""
+)
+def T_duplicates(spark, d):
+    p = table(spark, d, "part").withColumn("id", F.concat(F.lit("p"), "p_partkey")).withColumn("title", F.concat(F.lit(" "), F.upper("p_name"))).withColumn("section", F.when((C("p_partkey") % 10 == 2) & (C("p_type") == "PROMO"), "news").when(C("p_partkey") % 50 == 1, "more"))
+    url = lambda n: F.when(C("p_size") % n == 0, F.when(C("p_size") % 4 == 0, "#").otherwise("")).otherwise(F.concat(F.lit("HTTPS://x.org/"), "p_size", F.lit("/")))
+    known = store.exclusions(p.withColumn("url", url(2)), "news", F.lit(False), p.filter("section = 'more'").withColumn("url", url(2)))
+    return store.duplicates(p.filter("p_partkey % 10 = 1").withColumn("url", url(3)), known, "p_partkey")
+
+
+@query(
+    """WITH c AS (SELECT p_partkey AS place, 'u' || p_partkey AS url, p_name AS title FROM part), b AS (SELECT p_partkey AS place, CASE WHEN p_partkey % 4 = 0 THEN 'u' || (p_partkey + 1) ELSE 'old' || p_partkey END AS url, 'previous' AS title FROM part WHERE p_partkey % 2 = 0), r AS (SELECT * FROM b WHERE url NOT IN (SELECT url FROM c))
+    SELECT * FROM r UNION ALL SELECT * FROM c WHERE place NOT IN (SELECT place FROM r)"""
+)
+def T_restored(spark, d):
+    p = table(spark, d, "part")
+    now = p.select(C("p_partkey").alias("place"), F.concat(F.lit("u"), "p_partkey").alias("url"), C("p_name").alias("title"))
+    before = p.select(C("p_partkey").alias("place"), F.when(C("p_partkey") % 4 == 0, F.concat(F.lit("U"), C("p_partkey") + 1)).otherwise(F.concat(F.lit("old"), "p_partkey")).alias("url"), F.lit("previous").alias("title"))
+    out = store.restored(now, before, "place", "url", now.filter("place % 2 = 0"))
+    return out.withColumn("url", F.lower("url"))
+
+
+@query("SELECT p_brand AS platform, min(p_partkey) AS first FROM part WHERE p_size % 3 > 0 GROUP BY p_brand")
+def T_last_platforms(spark, d):
+    own = table(spark, d, "part").withColumn("platform", F.when(C("p_size") % 3 > 0, F.concat(F.lit(" "), "p_brand")).otherwise(" "))
+    return store.last_platforms(own, "platform", "p_partkey")
+
+
+@query(f"WITH s AS (SELECT p_partkey, lower({_nth_sql(_MESSAGES)}) AS m FROM part), f AS (SELECT p_partkey, CASE WHEN regexp_matches(m, 'timeout|timed out') THEN 'timeout' WHEN regexp_matches(m, 'quota|429') THEN 'quota' WHEN {_has('m', T.FAILURE_WORDS)} THEN 'other' ELSE '' END AS failure FROM s) SELECT p_partkey, 'rewrite' AS stage, failure FROM f WHERE failure <> ''")
+def T_failures(spark, d):
+    own = table(spark, d, "part").select("p_partkey", _nth(_MESSAGES).alias("m"))
+    return store.failure_rows(own, "rewrite", "m").drop("m")
+
+
+@query(f"""WITH s AS (SELECT p_partkey, {_said_sql(_SIGNAL_TERMS)} AS t FROM part), v AS (SELECT p_partkey, lower('Title ' || t) AS t FROM s)
+    SELECT p_partkey, {_points((_has('t', (*T.LAUNCHES, 'now available')), 35), (_has('t', T.NEW_VERSION), 30), (_has('t', T.RELEASE_NOTES), 18), (_has('t', T.NEW_FEATURE), 16), (_has('t', T.COMPANY_NEWS), -30), (_has('t', T.OPINION), -16))} AS update_priority FROM v""")
+def T_annotated(spark, d):
+    own = table(spark, d, "part").select("p_partkey", F.lit("Title").alias("title"), _said(_SIGNAL_TERMS).alias("content"), F.lit("").alias("url"))
+    return store.annotated(own).select("p_partkey", "update_priority")
+
+
+@query("SELECT p_partkey FROM part ORDER BY p_size % 3 = 0 DESC, p_brand < 'Brand#2', p_size % 2 = 0 DESC, p_type = 'PROMO' DESC, p_size % 6 DESC, p_size > 10 DESC, p_size % 3, p_name, p_partkey LIMIT 50")
+def T_course_order(spark, d):
+    """The best 50 (a top-k report)."""
+    n = C("p_size")
+    own = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", (n % 3).alias("selected_count"), F.when(C("p_type") == "PROMO", "free").otherwise("paid").alias("free_status"), (n % 6).alias("employee_fit_score"), F.when(n > 10, "x").otherwise("").alias("level"), C("p_name").alias("title"), C("p_partkey").alias("course_key"))
+    return own.orderBy(*store.course_order(n % 2 == 0, C("p_brand") < "Brand#2")).limit(50).select("p_partkey")
