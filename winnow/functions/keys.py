@@ -81,7 +81,7 @@ def title_tokens(title: Column, owner_key: Column, product_key: Column) -> Colum
 
 
 def story_key(title: Column, owner_key: Column, product_name: Column) -> Column:
-    """HSH1: equal for reports of one event."""
+    """HSH1, MSC23: equal for reports of one event."""
     prod = product(product_name)
     return short_sha1(F.concat_ws("|", normalized_text(owner_key), prod, F.array_join(title_tokens(title, owner_key, prod), " ")))
 

@@ -38,7 +38,7 @@ def first_match(rules: Iterable[tuple[str, Column]], default: str = NONE) -> Col
 
 
 def any_term(text: Column, terms: Sequence[str]) -> Column:
-    """Whether any term is a substring of the text, which the caller has lower-cased."""
+    """FIL5, FIL7: whether any term is a substring of the text, which the caller has lower-cased."""
     wanted = [t.lower() for t in terms if t]
     if not wanted:
         return F.lit(False)
@@ -49,7 +49,7 @@ def any_term(text: Column, terms: Sequence[str]) -> Column:
 
 
 def whole_term(text: Column, terms: Sequence[str]) -> Column:
-    """Whether any term stands as whole words in the lower-cased text; its spaces match any white space."""
+    """FIL8: whether any term stands as whole words in the lower-cased text; its spaces match any white space."""
     parts = [r"\s+".join(_quoted(w) for w in t.lower().split(" ")) for t in terms if t]
     return text.rlike(rf"(?U)\b(?:{'|'.join(parts)})\b") if parts else F.lit(False)
 

@@ -40,7 +40,7 @@ def cap_by_key(df: DataFrame, key: str, order: Sequence[Column | str], cap: int
 
 
 def suffix_titles(df: DataFrame, title: str, order: Sequence[Column | str]) -> DataFrame:
-    """DED13: the second and later uses of a title, in any case, get `` (n)``."""
+    """DED13, MSC30: the second and later uses of a title, in any case, get `` (n)``."""
     by = Window.partitionBy(F.lower(F.trim(F.col(title)))).orderBy(*order)
     n = F.row_number().over(by)
     return df.withColumn("unique_title", F.when(n > 1, F.concat(F.trim(title), F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.trim(title)))

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
+from ..functions.dates import parse_result
 from ..functions.keys import course_key, short_sha1
 from ..functions.rules import any_term, blank, first_match, first_set, let
 from ..functions.text import clean_text, compact_text, language, normalized_text
 from ..functions.urls import clean_url, course_url, domain, favicon, memory_key, official_site, query_matches, under_any
 from ..functions.values import clamp, to_int
-from .classify import audience, course_level, course_topic, employee_fit, free_status, level, site_status, track
-from .rejects import course_page, pattern_reason
+from .classify import audience, course_level, course_topic, employee_fit, free_status, lane, level, site_status, track
+from .rejects import ai_signal, course_page, flags, pattern_reason, tool_mismatch
 
 # --- rules of courses ---------------------------------------------------------
 
@@ -236,6 +237,21 @@ def known_tool(items: DataFrame, terms: DataFrame, id_col: str, text: str, term:
     return items.select(id_col, F.explode(F.array_distinct(runs)).alias("_t")).join(wanted, "_t", "left_semi").select(id_col).distinct()
 
 
+def verified_candidates(results: DataFrame, known: DataFrame, as_of: Column, hard: Sequence[str] = ("noise_terms", "technical_only_terms")) -> DataFrame:
+    """MSC8, MSC9: search results (query, query_mix, tool, title, url, content, published) as candidates with lane, flags and ``reason``.
+
+    The reason is the first of: the tool isn't named, a hard flag, no sign of AI, an
+    address that is known already; '' for those that go on.
+    """
+    text = F.lower(F.concat_ws(" ", blank(F.col("title")), blank(F.col("content"))))
+    own = results.withColumn("source_lane", lane(F.lit(""), F.col("query_mix"))).withColumn("candidate_flags", flags(text, parse_result(F.col("published")), as_of))
+    seen = known.select(memory_key(F.col("url")).alias("_k")).distinct().withColumn("_seen", F.lit(True))
+    own = own.withColumn("_k", memory_key(F.col("url"))).join(seen, "_k", "left")
+    bad = F.get(F.array_intersect(F.array([F.lit(h) for h in hard]), "candidate_flags"), F.lit(0))
+    reason = F.coalesce(F.nullif(tool_mismatch(F.col("tool"), F.lit(""), text), F.lit("")), bad, F.when(~ai_signal(text), "missing_ai_signal"), F.when(F.col("_seen"), "known_address"), F.lit(""))
+    return own.withColumn("reason", reason).drop("_k", "_seen")
+
+
 def split_cards(items: DataFrame, text: str, others: Sequence[str], patterns: Sequence[str]) -> DataFrame:
     """FIL41: cards with ``reason``: empty text, text of a rejection (with the pattern in ``match``), or '' for those that stay."""
     found = pattern_reason(clean_text(F.concat_ws(" ", *[blank(F.col(c)) for c in (text, *others)])), patterns)

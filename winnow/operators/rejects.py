@@ -20,6 +20,11 @@ def text_has(text: Column, terms: Sequence[str]) -> Column:
     return let(normalized_text(text), lambda t: any_term(t, terms))
 
 
+def ai_signal(text: Column) -> Column:
+    """FIL9: terms of AI, or a known product, in the lower-cased text."""
+    return any_term(text, (*T.AI, *T.KNOWN_PRODUCTS))
+
+
 def old_year(text: Column, as_of: Column) -> Column:
     """FIL3: a year from 2018 up to the one before ``as_of``'s stands alone in the text."""
     found = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])(20\d{2})(?![\p{L}\p{N}_])"), F.lit(1))

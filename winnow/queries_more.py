@@ -165,6 +165,21 @@ def R_known_tool(spark, d):
     return records.known_tool(own, p.filter("p_size > 47"), "p_partkey", "t", "p_name")
 
 
+_AI_TERMS = _unique(tuple(f"{x} and ai" for x in (*T.NOISE, *T.TECHNICAL_ONLY)), T.AI, T.KNOWN_PRODUCTS)
+_MIXES = (*T.LANES, "other")
+_LANE_OF = "CASE m " + " ".join(f"WHEN {_lit(k)} THEN {_lit(v)}" for k, v in T.LANES.items()) + " ELSE 'unknown' END"
+
+
+@query(
+    f"""WITH s AS (SELECT *, lower(p_name || ' ' || {_nth_sql(_AI_TERMS)}) AS t, {_nth_sql(_MIXES, 'p_size')} AS m FROM part)
+    SELECT p_partkey, {_LANE_OF} AS source_lane, CASE WHEN p_size % 5 = 0 AND NOT contains(t, 'widget') THEN 'tool_query_mismatch' WHEN {_has(_norm('t'), T.NOISE)} THEN 'noise_terms' WHEN {_has(_norm('t'), T.TECHNICAL_ONLY)} THEN 'technical_only_terms' WHEN NOT {_has('t', (*T.AI, *T.KNOWN_PRODUCTS))} THEN 'missing_ai_signal' WHEN p_partkey % 3 = 0 THEN 'known_address' ELSE '' END AS reason FROM s"""
+)
+def R_verified_candidates(spark, d):
+    p = table(spark, d, "part")
+    own = p.select("p_partkey", _nth(_MIXES, "p_size").alias("query_mix"), F.when(C("p_size") % 5 == 0, "Widget").otherwise("").alias("tool"), C("p_name").alias("title"), F.concat(F.lit("https://x.org/a/"), "p_partkey", F.lit("/")).alias("url"), _nth(_AI_TERMS).alias("content"), F.lit("2024-01-01").alias("published"))
+    return records.verified_candidates(own, own.filter("p_partkey % 3 = 0"), F.lit("2024-01-02").cast("timestamp")).select("p_partkey", "source_lane", "reason")
+
+
 _REJECTIONS = ("not (a )?news", "no clear update", "rejected?")
 _REPLIES = ("This is not news", "Rejected", "all fine", "", "there is no clear update here", "Reject it")
 
