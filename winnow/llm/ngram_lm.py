@@ -296,7 +296,7 @@ def _distinct(parts: int):
     return distinct
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, strengths: tuple[float, ...] = (500.0, 20.0), parts: int = 7, hold: int = 2, block_bytes: int = 6 << 20) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, strengths: tuple[float, ...] = (500.0, 20.0), parts: int = 7, hold: int = 2, block_bytes: int = 4 << 20) -> DataFrame:
     """log10 probability of each whole text under an n-gram model of the texts that aren't held out.
 
     Result: (id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row

@@ -39,13 +39,13 @@ RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("payment", r"[sr]k_live_[0-9A-Za-z]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z]{3,10}://[A-Za-z0-9._-]{1,64}:[A-Za-z0-9._%+!-]{1,128}@"),
+    Rule("url_login", r"[a-z]{3,10}://[A-Za-z0-9._-]+:[A-Za-z0-9._%+!-]+@"),
 )
 
 _MOST = 64  # alternatives of a query; a part that would make more is left out, which only widens the query
