@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import item_id
@@ -56,18 +56,33 @@ def discovered(items: DataFrame, known: DataFrame, domain: str, path: str) -> Da
 
 
 def learned_terms(items: DataFrame, group: str, tokens: str, order: str, most: int = 10) -> DataFrame:
-    """SNK18: for each group the last ``most`` distinct words of four letters or more, in order of their first use."""
+    """SNK18: for each group the last ``most`` distinct words of four letters or more, in order of their first use.
+
+    A rank limit keeps ``most`` words of a group before they are collected.
+    """
     words = items.select(group, order, F.posexplode(tokens).alias("at", "term")).filter(F.char_length("term") >= 4)
     firsts = words.groupBy(group, "term").agg(F.min(F.struct(order, "at")).alias("first"))
-    ranked = firsts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("first", "term"))).alias("all"))
-    return ranked.select(group, F.transform(F.slice("all", F.greatest(F.lit(1), F.size("all") - most + 1), F.lit(most)), lambda x: x["term"]).alias("terms"))
+    by = Window.partitionBy(group).orderBy(F.desc("first"), F.desc("term"))
+    last = firsts.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= most)
+    return last.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("first", "term"))).alias("all")).select(group, F.transform("all", lambda x: x["term"]).alias("terms"))
 
 
-def fold_activity(events: DataFrame, key: str, order: str, up: Column, start: int = 60, step: int = 15) -> DataFrame:
-    """STM7: a score per key after all its events in order, +step or -step within 0..100."""
-    moves = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), up.alias("up")))).alias("moves"))
-    moved = F.reduce("moves", F.lit(start), lambda s, m: F.least(F.lit(100), F.greatest(F.lit(0), s + F.when(m["up"], step).otherwise(-step))))
-    return moves.select(key, moved.alias("activity_score"))
+def fold_activity(events: DataFrame, key: str, order: str, up: Column, start: int = 60, step: int = 15, span: int = 4096) -> DataFrame:
+    """STM7: a score per key after all its events in order, +step or -step within 0..100.
+
+    A run of events acts as s -> min(high, max(low, s + add)), and so do two runs one
+    after the other; so runs of ``span`` places of a numeric order are folded first, and
+    a key with very many events is never in one list.
+    """
+    e = lambda m: F.when(m["up"], step).otherwise(-step)
+    within = lambda c: F.least(F.lit(100), F.greatest(F.lit(0), c))
+    act = lambda add, low, high: F.struct(add.cast("long").alias("add"), low.cast("long").alias("low"), high.cast("long").alias("high"))
+    rest = act(F.lit(0), F.lit(-(1 << 40)), F.lit(1 << 40))
+    runs = events.groupBy(key, F.floor(F.col(order) / span).alias("_run")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), up.alias("up")))).alias("moves"))
+    runs = runs.select(key, "_run", F.reduce("moves", rest, lambda f, m: act(f["add"] + e(m), within(f["low"] + e(m)), within(f["high"] + e(m)))).alias("f"))
+    done = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_run", "f"))).alias("runs"))
+    moved = F.reduce("runs", F.lit(start).cast("long"), lambda s, r: F.least(r["f"]["high"], F.greatest(r["f"]["low"], s + r["f"]["add"])))
+    return done.select(key, moved.cast("int").alias("activity_score"))
 
 
 def advance(state: DataFrame, cursor: str, modulus: str, count: Column) -> DataFrame:
@@ -87,8 +102,6 @@ def regression_guard(new: DataFrame, saved: DataFrame) -> DataFrame:
 
 def display_split(df: DataFrame, group: str, order: str, shown: int) -> DataFrame:
     """SNK8, MSC26: each row's place and whether it is on display or in reserve."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(group).orderBy(order))
     return df.withColumn("position", place).withColumn("status", F.when(F.col("position") <= shown, "display").otherwise("backup"))
 

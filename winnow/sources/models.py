@@ -17,19 +17,25 @@ def echo_model(role: str, payloads: list[str]) -> list[str]:
     return ["```json\n" + '{"role": "' + role + '", "digest": "' + hashlib.sha1(p.encode()).hexdigest()[:12] + '"}\n```' for p in payloads]
 
 
-def ask(df: DataFrame, role: str, payload: str, reply: str, model: Model = echo_model) -> DataFrame:
-    """UDF1, UDF2, UDF8, UDF10: a reply for each row; equal payloads are sent once.  A failed call gives null."""
+def ask(df: DataFrame, role: str, payload: str, reply: str, model: Model = echo_model, error: str | None = None) -> DataFrame:
+    """UDF1, UDF2, UDF8, UDF10: a reply for each row; equal payloads are sent once.
+
+    A failed call gives null and, in the column ``error`` if one is named, what went
+    wrong, so that failures can be counted and told from empty replies.
+    """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out, why = [None] * len(pdf), None
             try:
                 out = model(role, pdf["_p"].tolist())
-            except Exception:  # a service's failure is data here, not the job's
-                out = [None] * len(pdf)
-            yield pdf.assign(_r=out)
+            except Exception as failure:  # a service's failure is data here, not the job's
+                why = f"{type(failure).__name__}: {failure}"
+            yield pdf.assign(_r=out, _e=why)
 
-    asked = df.select(F.coalesce(F.col(payload), F.lit("")).alias("_p")).distinct().mapInPandas(call, "_p string, _r string")
-    return df.withColumn("_p", F.coalesce(F.col(payload), F.lit(""))).join(asked, "_p", "left").withColumnRenamed("_r", reply).drop("_p")
+    asked = df.select(F.coalesce(F.col(payload), F.lit("")).alias("_p")).distinct().mapInPandas(call, "_p string, _r string, _e string")
+    out = df.withColumn("_p", F.coalesce(F.col(payload), F.lit(""))).join(asked, "_p", "left").withColumnRenamed("_r", reply).drop("_p")
+    return out.withColumnRenamed("_e", error) if error else out.drop("_e")
 
 
 def embed(df: DataFrame, text: str, vector: str, model: Callable[[list[str]], list[Sequence[float]]]) -> DataFrame:
