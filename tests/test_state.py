@@ -57,6 +57,9 @@ def test_models(spark):
         raise RuntimeError("quota")
 
     assert {r.reply for r in models.ask(df, "r", "t", "reply", broken).collect()} == {None}
+    failed = models.ask(df, "r", "t", "reply", broken, error="why").collect()
+    assert all(r.reply is None and r.why.partition(":")[0].isidentifier() for r in failed)
+    assert {r.why for r in models.ask(df, "r", "t", "reply", error="why").collect()} == {None}
     vec = models.embed(df, "t", "v", lambda ts: [[len(t), 1.0] for t in ts])
     assert {r.i: list(r.v) for r in vec.collect()}[1] == [1.0, 1.0]
 
