@@ -188,13 +188,28 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans as they are, and those of windows that are single in their bucket but not the only one of their digest."""
 
     def results(table: pa.Table) -> pa.Table:
+        ready = pc.is_null(table.column("wid"))
+        table, done = table.filter(pc.invert(ready)), _joined(table.filter(ready).select(["_key", "span"]))
         wids, twice = table.column("wid").to_pylist(), table.column("twice").to_pylist()
-        keep = [w is None or not again and w in (*wids[max(0, r - 1) : r], *wids[r + 1 : r + 2]) for r, (w, again) in enumerate(zip(wids, twice, strict=True))]
-        return table.filter(pa.array(keep, pa.bool_())).select(["_key", "span"])
+        keep = [not again and w in (*wids[max(0, r - 1) : r], *wids[r + 1 : r + 2]) for r, (w, again) in enumerate(zip(wids, twice, strict=True))]
+        return pa.concat_tables([done, table.filter(pa.array(keep, pa.bool_())).select(["_key", "span"])])
 
     return _by_edge(results, ("wid",))(batches)
 
 
+def _joined(table: pa.Table) -> pa.Table:
+    """Spans that touch, of rows sorted by key and span, as one."""
+    if not table.num_rows:
+        return table
+    key, span = table.column("_key").combine_chunks(), table.column("span").to_numpy()
+    ids, h = key.field("id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False), key.field("h").to_numpy()
+    own = np.append(0, np.cumsum((np.diff(ids) != 0) | (np.diff(h) != 0))) << 32  # keys one after the other on one line
+    lo, hi = (span >> 32) + own, np.maximum.accumulate((span & 0xFFFFFFFF) + own)
+    first = np.flatnonzero(np.append(True, lo[1:] > hi[:-1]))
+    last = np.append(first[1:], len(lo)) - 1
+    return pa.table({"_key": key.take(pa.array(first)), "span": pa.array(lo[first] - own[first] << 32 | hi[last] - own[last])})
+
+
 def _by_edge(results, columns: tuple[str, ...]):
     """Feeds rows that are sorted by ``columns`` so that no group is parted; rows with nulls there aren't a group."""
 
@@ -257,12 +272,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = found.select("_key", F.inline(F.arrays_zip(F.col("minis").alias("mini"), F.col("places").alias("place"))))
     often = runs.groupBy("mini").agg(F.count("*").alias("times")).filter("times > 1")
     # Joined on another name than grouped by: both sides are dealt anew, and adaptive execution can split a hot minimiser.
-    again = runs.withColumn("_m", F.bitwise_not("mini")).join(often.select(F.bitwise_not("mini").alias("_m"), F.ceil(F.col("times") / bucket).cast("int").alias("deals")), "_m")
+    other = F.bitwise_not("mini").alias("other")
+    again = runs.select("_key", "place", other).join(often.select(other, F.ceil(F.col("times") / bucket).cast("int").alias("deals")), "other")
     deal = F.pmod(F.xxhash64("_key", "place"), F.col("deals")).cast("int")
-    wanted = again.groupBy("_key").agg(F.collect_set(F.struct("place", "mini", deal.alias("deal"), "deals")).alias("runs"))
+    wanted = again.groupBy("_key").agg(F.collect_set(F.struct("place", F.bitwise_not("other").alias("mini"), deal.alias("deal"), "deals")).alias("runs"))
     packs = texts.join(wanted, "_key").mapInArrow(_cut(window), f"_key {key}, start bigint, mini bigint, deal int, deals int, pack binary")
     counted = packs.repartition("mini", "deal").sortWithinPartitions("mini", "deal").mapInArrow(_count(window), f"_key {key}, span bigint, wid binary, twice boolean")
-    merged = counted.repartition("wid", F.expr("CASE WHEN wid IS NULL THEN _key END")).sortWithinPartitions("wid").mapInArrow(_merge, f"_key {key}, span bigint")
+    merged = counted.repartition("wid", F.expr("CASE WHEN wid IS NULL THEN _key END")).sortWithinPartitions("wid", "_key", "span").mapInArrow(_merge, f"_key {key}, span bigint")
     removed = merged.groupBy("_key").agg(F.collect_set("span").alias("spans"))
     out = texts.join(removed, "_key", "left").mapInArrow(_remove, f"_key {key}, n_words bigint, n_removed bigint, kept_text string")
     return out.select(F.col("_key.id").alias(id_col), "n_words", "n_removed", "kept_text")
