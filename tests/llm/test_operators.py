@@ -25,7 +25,7 @@ from winnow.llm.ngram_lm import lm_score  # noqa: E402
 from winnow.llm.packing import difference, encode, pack, windows  # noqa: E402
 from winnow.llm.quality import measures, quality  # noqa: E402
 from winnow.llm.sharding import shard, write_shards  # noqa: E402
-from winnow.llm.simhash import near_prints, simhash_groups  # noqa: E402
+from winnow.llm.simhash import _spanning, near_prints, simhash_groups  # noqa: E402
 from winnow.llm.substring_dedup import substring_dedup  # noqa: E402
 from winnow.llm.toxicity import Ftrl, toxicity, train  # noqa: E402
 
@@ -389,6 +389,33 @@ def test_anchors_lose_no_link(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, own.values()))
 
 
+@pytest.mark.parametrize("cloud", [0, 300])
+def test_spanning_links_of_a_large_anchor(cloud):
+    r = random.Random(7 + cloud)
+    base = r.getrandbits(64)
+    flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
+    prints = [flip(base, r.randrange(3)) for _ in range(cloud)] + [flip(base, r.randrange(5, 14)) for _ in range(200)]
+    home = [r.random() < 0.7 for _ in prints]
+
+    def groups(links):
+        root = {p: p for p in prints}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for u, v in links:
+            root[max(find(u), find(v))] = min(find(u), find(v))
+        return {p: find(p) for p in prints}
+
+    every = [(p, q_) for p, h in zip(prints, home, strict=True) if h for q_ in prints if (p ^ q_).bit_count() <= 4]
+    us, vs = _spanning(np.array(prints, np.uint64), np.array(home), 4)
+    links = list(zip(us, vs, strict=True))
+    assert all((u ^ v).bit_count() <= 4 for u, v in links) and len(links) < len(prints)
+    assert groups(links) == groups(every)
+
+
 @pytest.mark.parametrize("one_task", [0, 1000])
 def test_components(spark, one_task):
     r = random.Random(2)

@@ -100,7 +100,11 @@ def _replicate(spare: int):
 
 
 def _spanning(prints: np.ndarray, home: np.ndarray, most: int) -> tuple[list[int], list[int]]:
-    """Links of a large group that join what any of its links join, by union and find over blocks of rows."""
+    """Links of a large group that join what any of its links join, by union and find over blocks of rows.
+
+    A row of the largest component so far is compared only with what is outside it, so
+    a dense cloud, which few rows join, costs little more than its size.
+    """
     prints, at = np.unique(prints, return_inverse=True)
     homes = np.unique(at[home])
     root = np.arange(len(prints))
@@ -111,10 +115,9 @@ def _spanning(prints: np.ndarray, home: np.ndarray, most: int) -> tuple[list[int
         return x
 
     us, vs = [], []
-    step = max(1, 4_000_000 // len(prints))
-    for a in range(0, len(homes), step):
-        i, j = np.nonzero(np.bitwise_count(prints[homes[a : a + step], None] ^ prints[None, :]) <= most)
-        i = homes[a + i]
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal root
         while True:
             while np.any(root != root[root]):
                 root = root[root]
@@ -129,6 +132,19 @@ def _spanning(prints: np.ndarray, home: np.ndarray, most: int) -> tuple[list[int
                     root[max(x, y)] = min(x, y)
                     us.append(int(prints[i[p]]))
                     vs.append(int(prints[j[p]]))
+
+    done, size = 0, 1
+    while done < len(homes):
+        main = int(np.bincount(root).argmax())
+        if np.all(root == main):
+            break
+        some, inside = homes[done : done + size], root[homes[done : done + size]] == main
+        for rows, others in ((some[inside], np.flatnonzero(root != main)), (some[~inside], np.arange(len(prints)))):
+            step = max(1, 4_000_000 // len(others))
+            for a in range(0, len(rows), step):
+                i, j = np.nonzero(np.bitwise_count(prints[rows[a : a + step], None] ^ prints[None, others]) <= most)
+                join(rows[a + i], others[j])
+        done, size = done + size, min(8 * size, 4096)
     return us, vs
 
 
@@ -211,7 +227,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def near_prints(prints: DataFrame, most: int = 4) -> DataFrame:
     """Links (u, v) among the distinct values of ``print`` at most ``most`` (up to 4) bits apart: enough to join all that any link joins."""
-    placed = prints.select("print").distinct().mapInArrow(_replicate(2 * most // 3), "anchor int, print bigint, home boolean")
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or few bytes would be put in few tasks
+    placed = prints.select("print").distinct().repartition(tasks, "print").mapInArrow(_replicate(2 * most // 3), "anchor int, print bigint, home boolean")
     return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(most), "u bigint, v bigint").distinct()
 
 
