@@ -16,7 +16,7 @@ def durable(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not (context.master or "").startswith("local["):
+        if not named and not context.master.partition("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
