@@ -63,7 +63,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = context.getConf().get("spark.checkpoint.dir")
     folder = context._jsc.sc().getCheckpointDir()
     if folder.isEmpty():
-        if not named and not context.master.partition("[")[0] == "local":
+        if not named and context.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
         folder = context._jsc.sc().getCheckpointDir()

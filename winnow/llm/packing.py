@@ -255,6 +255,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     tokenizers library, byte-level, present on every executor) without special
     tokens around them, then ``end_id``; each is in exactly one piece.
 
+    Groups are dealt by id, place and ids, so that rows without an id are spread too;
+    only rows that are equal in id and text meet in one.
+
     Defined cases: a null or empty text is ``end_id`` alone; repeated rows and null
     ids are documents like any other; an empty table gives no rows; other columns
     aren't read.
@@ -263,6 +266,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     groups = max(1, -(-docs.count() // group))
     kind = docs.schema[id_col].dataType.simpleString()
     pieces = rows.mapInArrow(_pieces(tokenizer, capacity, grain, end_id), f"_id {kind}, start bigint, ids binary, doc_tokens bigint")
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", F.expr(f"start div {capacity}"), "doc_tokens"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", F.expr(f"start div {capacity}"), "ids"), F.lit(groups)))
     packed = dealt.groupBy("_group").applyInArrow(_pack(capacity), f"_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
     return packed.withColumnRenamed("_id", id_col)
