@@ -92,6 +92,7 @@ def issue_id(day: Column) -> Column:
     return F.format_string("%d-W%02d", F.year(day), F.weekofyear(day))
 
 
+#: Arabic month names.
 _ARABIC_MONTHS = ("يناير", "فبراير", "مارس", "أبريل", "مايو", "يونيو", "يوليو", "أغسطس", "سبتمبر", "أكتوبر", "نوفمبر", "ديسمبر")
 
 

@@ -13,19 +13,35 @@ from .urls import course_url, domain
 
 #: Fixed values.
 STORY_STOP_WORDS = (
-    "the and for with from into that this your users user is are was were on via by to of new now available launch launches launched release released update updates feature features capability capabilities adds add ai artificial intelligence tool tools app product official announcement announces rolling rollout can use using inside platform model assistant technology"
-    " الذكاء الاصطناعي ذكاء اصطناعي تحديث جديد ميزة إطلاق يطلق تطلق أطلقت أعلن أعلنت المستخدم المستخدمين داخل يمكن يتيح تتيح يسمح تسمح الأداة التطبيق المنتج"
-).split()
-DISTRIBUTION_WORDS = "github copilot aws bedrock amazon vercel gateway azure gcp googlecloud google cloud huggingface hugging face replicate openrouter ollama cursor langchain".split()
+    "the", "and", "for", "with", "from", "into", "that", "this", "your", "users", "user", "is", "are", "was", "were", "on", "via", "by", "to", "of",
+    "new", "now", "available", "launch", "launches", "launched", "release", "released", "update", "updates", "feature", "features", "capability",
+    "capabilities", "adds", "add", "ai", "artificial", "intelligence", "tool", "tools", "app", "product", "official", "announcement", "announces",
+    "rolling", "rollout", "can", "use", "using", "inside", "platform", "model", "assistant", "technology", "الذكاء", "الاصطناعي", "ذكاء", "اصطناعي",
+    "تحديث", "جديد", "ميزة", "إطلاق", "يطلق", "تطلق", "أطلقت", "أعلن", "أعلنت", "المستخدم", "المستخدمين", "داخل", "يمكن", "يتيح", "تتيح", "يسمح",
+    "تسمح", "الأداة", "التطبيق", "المنتج",
+)
+DISTRIBUTION_WORDS = (
+    "github", "copilot", "aws", "bedrock", "amazon", "vercel", "gateway", "azure", "gcp", "googlecloud", "google", "cloud", "huggingface", "hugging",
+    "face", "replicate", "openrouter", "ollama", "cursor", "langchain",
+)
 TOKEN_ALIASES = {
     "citation": "source", "citations": "source", "cite": "source", "cites": "source", "cited": "source", "sources": "source",
     "conversation": "chat", "conversations": "chat", "chats": "chat", "images": "image", "photos": "image", "pictures": "image",
     "videos": "video", "clips": "video", "voices": "voice", "audio": "voice", "audios": "voice", "designs": "design", "designing": "design",
     "searches": "search", "searching": "search", "researching": "research", "researches": "research",
 }
-COMPANY_SUFFIXES = "inc llc ltd corp corporation company co com net org io app ai dev www".split()
-SELECTED_STOP_WORDS = "ai the and for with now new feature users can available launch launches adds inside directly artificial intelligence official announcement update updates product tool tools app release released rollout".split()
-TOPIC_STOP_WORDS = "the and for with from that this into about new update updates feature features launch launches ai artificial intelligence tool tools app platform".split()
+COMPANY_SUFFIXES = (
+    "inc", "llc", "ltd", "corp", "corporation", "company", "co", "com", "net", "org", "io", "app", "ai", "dev", "www",
+)
+SELECTED_STOP_WORDS = (
+    "ai", "the", "and", "for", "with", "now", "new", "feature", "users", "can", "available", "launch", "launches", "adds", "inside", "directly",
+    "artificial", "intelligence", "official", "announcement", "update", "updates", "product", "tool", "tools", "app", "release", "released",
+    "rollout",
+)
+TOPIC_STOP_WORDS = (
+    "the", "and", "for", "with", "from", "that", "this", "into", "about", "new", "update", "updates", "feature", "features", "launch", "launches",
+    "ai", "artificial", "intelligence", "tool", "tools", "app", "platform",
+)
 
 
 def short_sha1(value: Column, size: int = 24) -> Column:
@@ -40,9 +56,9 @@ def words(text: Column) -> Column:
 def owner(explicit: Column, url: Column, text: Column) -> Column:
     """HSH2, CLS14: three words of an explicit name, else the first part of the host, else two words of the text."""
     name = normalized_text(explicit)
-    kept = F.filter(words(name), lambda w: ~w.isin(COMPANY_SUFFIXES))
-    parts = F.filter(F.split(domain(url), r"\.", -1), lambda p: (p != "") & ~p.isin(COMPANY_SUFFIXES))
-    loose = F.filter(words(normalized_text(text)), lambda w: ~w.isin(COMPANY_SUFFIXES) & (F.char_length(w) > 2))
+    kept = F.filter(words(name), lambda w: ~w.isin(list(COMPANY_SUFFIXES)))
+    parts = F.filter(F.split(domain(url), r"\.", -1), lambda p: (p != "") & ~p.isin(list(COMPANY_SUFFIXES)))
+    loose = F.filter(words(normalized_text(text)), lambda w: ~w.isin(list(COMPANY_SUFFIXES)) & (F.char_length(w) > 2))
     named = first_set(F.array_join(F.slice(kept, 1, 3), "-"), name)
     return F.when(blank(explicit) != "", named).otherwise(first_set(F.get(parts, F.lit(0)), F.array_join(F.slice(loose, 1, 2), "-")))
 
@@ -53,7 +69,7 @@ def aliased(tokens: Column) -> Column:
 
 def product(name: Column) -> Column:
     """HSH3: up to four telling words of a product's name."""
-    kept = F.filter(words(normalized_text(name)), lambda w: ~w.isin(STORY_STOP_WORDS) & ~w.isin(DISTRIBUTION_WORDS))
+    kept = F.filter(words(normalized_text(name)), lambda w: ~w.isin(list(STORY_STOP_WORDS)) & ~w.isin(list(DISTRIBUTION_WORDS)))
     return F.array_join(F.slice(aliased(kept), 1, 4), " ")
 
 
@@ -63,14 +79,14 @@ def title_tokens(title: Column, owner_key: Column, product_key: Column) -> Colum
     own, prod = F.split(F.replace(blank(owner_key), F.lit("-"), F.lit(" ")), " ", -1), words(blank(product_key))
 
     def usable(w: Column) -> Column:
-        return ~F.array_contains(own, w) & ~F.array_contains(prod, w) & ~w.isin(DISTRIBUTION_WORDS) & ~w.isin(STORY_STOP_WORDS) & ((F.char_length(w) >= 3) | w.rlike(r"^\d+$"))
+        return ~F.array_contains(own, w) & ~F.array_contains(prod, w) & ~w.isin(list(DISTRIBUTION_WORDS)) & ~w.isin(list(STORY_STOP_WORDS)) & ((F.char_length(w) >= 3) | w.rlike(r"^\d+$"))
 
     def core(i: Column) -> Column:
         start = F.struct(F.lit(False).alias("over"), F.array().cast("array<string>").alias("core"))
         rest = F.slice(raw, i + 2, F.size(raw))
 
         def step(s: Column, w: Column) -> Column:
-            over = s["over"] | (w.isin(STORY_STOP_WORDS) & (F.size(s["core"]) > 0)) | (F.size(s["core"]) >= 4)
+            over = s["over"] | (w.isin(list(STORY_STOP_WORDS)) & (F.size(s["core"]) > 0)) | (F.size(s["core"]) >= 4)
             return F.struct(over.alias("over"), F.when(~over & usable(w), F.concat(s["core"], F.array(w))).otherwise(s["core"]).alias("core"))
 
         return F.reduce(rest, start, step)["core"]
@@ -105,7 +121,7 @@ def item_id(kind: Column, title: Column, url: Column) -> Column:
 def selected_tokens(*fields: Column) -> Column:
     """MSC5: distinct telling words of four letters or more."""
     text = update_title(F.concat_ws(" ", *[blank(f) for f in fields]))
-    return F.array_distinct(F.filter(words(text), lambda w: (F.char_length(w) >= 4) & ~w.isin(SELECTED_STOP_WORDS)))
+    return F.array_distinct(F.filter(words(text), lambda w: (F.char_length(w) >= 4) & ~w.isin(list(SELECTED_STOP_WORDS))))
 
 
 def topic_tokens(text: Column, stop: Sequence[str] = tuple(TOPIC_STOP_WORDS)) -> Column:

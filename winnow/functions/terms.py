@@ -217,3 +217,8 @@ DEVELOPER_COURSE = (
 )
 
 FAILURE_WORDS = ("error", "failed", "exception", "refused", "invalid")
+
+# Fixed values of scores and of raw results.
+OFFICIAL_SIGNS = ("official", "announcement", "release notes", "changelog", "now available")
+NEWS_SIGNS = ("new feature", "new capability", "users can now", "launch", "rollout")
+HARD_REASONS = ("wrong_domain", "outside_official_site_path", "developer_or_docs_page", "developer_content", "listing_or_index_page", "outside_lookback_window", "no_product_news_signal", "tool_name_not_in_text")

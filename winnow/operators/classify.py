@@ -193,8 +193,8 @@ def scan_score(text: Column, url: Column, lane_name: Column, mix: Column, kind:
             (F.coalesce(trending, F.lit(False)), 8),
             (blank(mix) == "specialized", 8),
             (blank(mix) == "tool_driven", 6),
-            (any_term(text, ("official", "announcement", "release notes", "changelog", "now available")), 8),
-            (any_term(text, ("new feature", "new capability", "users can now", "launch", "rollout")), 8),
+            (any_term(text, T.OFFICIAL_SIGNS), 8),
+            (any_term(text, T.NEWS_SIGNS), 8),
             (~domain(url).isin("medium.com", "substack.com"), 4),
             (lane_name == "fallback_broad", -8),
         )

@@ -219,7 +219,6 @@ def tool_allowed(gate: Column, decision: Column) -> Column:
     return F.coalesce(gate["allowed"], decision, F.lit(True))
 
 
-HARD_REASONS = ("wrong_domain", "outside_official_site_path", "developer_or_docs_page", "developer_content", "listing_or_index_page", "outside_lookback_window", "no_product_news_signal", "tool_name_not_in_text")
 
 
 def raw_result(title: Column, url: Column, content: Column, tool: Column, site: Column, published: Column, as_of: Column, days: int = 7) -> Column:
@@ -242,7 +241,7 @@ def raw_result(title: Column, url: Column, content: Column, tool: Column, site:
             ("tool_name_not_in_text", (name != "") & ~F.contains(text, name)),
         )
     )
-    hard = F.arrays_overlap(found, F.array([F.lit(r) for r in HARD_REASONS]))
+    hard = F.arrays_overlap(found, F.array([F.lit(r) for r in T.HARD_REASONS]))
     return F.struct(F.when(hard, "not_usable_news").otherwise("usable_news").alias("label"), found.alias("reasons"))
 
 
