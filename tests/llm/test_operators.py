@@ -507,7 +507,7 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     out = q.QUERIES[name](spark, "/root/testdata/sf0.001")
     theirs = con.sql(q.ORACLE_SQL[name])

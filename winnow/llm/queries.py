@@ -18,6 +18,8 @@ from .sharding import shard
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
 from .toxicity import held_out, toxicity, train
+from .url_filter import RULES as URL_RULES
+from .url_filter import SYMBOLS, Markov, url_verdicts
 
 #: Bytes of text of a shard.
 SHARD_BYTES = 1 << 20
@@ -85,8 +87,12 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_toxicity, op4_secret_scan, op5_line_dedup, op6_sharding, op7_lm_scoring, op8_decontamination, op9_packing, op10_simhash, op11_ranked_search)
+    f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_toxicity, op4_secret_scan, op5_line_dedup, op6_sharding, op7_lm_scoring, op8_decontamination, op9_packing, op10_simhash, op11_ranked_search, op12_url_filter)
 }
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
@@ -151,5 +157,45 @@ k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50
 """
 
+
+
+def _op12(m: Markov) -> str:
+    def low(x: str) -> str:
+        return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def ruled(value: str) -> str:
+        fits = "\n".join(f"WHEN (host = '{x.host}' OR ends_with(host, '.{x.host}')) AND starts_with(path, '{x.path}') THEN '{getattr(x, value)}'" for x in sorted(URL_RULES, key=lambda x: -len(x.name)))
+        return f"CASE {fits} END"
+
+    symbols = SYMBOLS.replace("'", "''")
+    levels, beta = [], m.strength
+    for d in range(m.order + 1):
+        was = [f"was.p_{k}" if d else f"(1.0::DOUBLE / {len(SYMBOLS)})" for k in "ar"]
+        grown = ", ".join(f"(coalesce(g.{k}, 0) + {beta}::DOUBLE * {w}) / (n_{k} + {beta}::DOUBLE) AS p_{k}" for k, w in zip("ar", was, strict=True))
+        joined = f"JOIN p{d - 1} was ON was.ctx = substr(o.ctx, 2) AND was.c = y.c" if d else ""
+        levels.append(f"p{d} AS MATERIALIZED (SELECT o.ctx, y.c, {grown} FROM (SELECT * FROM own WHERE length(ctx) = {d}) o, sym y LEFT JOIN g ON g.ctx = o.ctx AND g.c = y.c {joined})")
+    cells = " UNION ALL ".join(f"SELECT ctx, c, CAST(round(1e6 * (ln(p_a) - ln(p_r))) AS BIGINT) AS diff FROM p{d}" for d in range(m.order + 1))
+    return rf"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, url, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+h AS (SELECT r, page_id, coalesce({low(r"regexp_extract(rest, '^[^/?#]*')")}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+  '^' || regexp_replace({low("coalesce(rest, url, '')")}, '[^a-z0-9\-._~/?#=&%+:;,@!$''()\[\]]', '*', 'g') || '|' AS s FROM u),
+d AS (SELECT *, {ruled("name")} AS rule, {ruled("verdict")} AS said FROM h),
+i AS (SELECT r, said, s, unnest(range(2, length(s) + 1)) AS i FROM d),
+x AS MATERIALIZED (SELECT r, said, i, k, substr(s, i, 1) AS c, substr(s, i - k, k) AS ctx FROM (SELECT *, unnest(range(0, least({m.order + 1}, i))) AS k FROM i)),
+g AS MATERIALIZED (SELECT ctx, c, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS r FROM x WHERE said IS NOT NULL GROUP BY ctx, c),
+n AS (SELECT CAST(sum(length(s) - 1) AS BIGINT) AS total, count(*) FILTER (said = 'allow') AS good, count(*) FILTER (said = 'block') AS bad FROM d WHERE said IS NOT NULL),
+own AS MATERIALIZED (SELECT ctx, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(r) AS BIGINT) AS n_r FROM g GROUP BY ctx HAVING sum(a + r) * {m.share} >= (SELECT total FROM n)),
+sym AS (SELECT unnest(string_split('{symbols}', '')) AS c),
+{", ".join(levels)},
+cells AS ({cells}),
+one AS (SELECT r, i, arg_max(diff, k) AS diff FROM x JOIN cells USING (ctx, c) GROUP BY r, i),
+score AS (SELECT r, CAST(floor(CAST(sum(diff) AS DOUBLE) / count(*)) AS BIGINT) AS score FROM one GROUP BY r),
+bins AS (SELECT CAST(floor(score / 10000.0) AS BIGINT) AS bin, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS b FROM d JOIN score USING (r) WHERE said IS NOT NULL GROUP BY bin),
+gain AS (SELECT bin, sum(a * bad - b * good) OVER (ORDER BY bin DESC) AS gain FROM bins, n),
+least AS (SELECT bin * 10000 AS least FROM gain ORDER BY gain DESC, bin LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score >= (SELECT least FROM least) OR (SELECT good = 0 OR bad = 0 FROM n) THEN 'allow' ELSE 'block' END) AS verdict FROM d LEFT JOIN score USING (r)
+"""
+
+
 #: Ordered by operator; the others are tested against brute-force versions in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_quality_rules": _OP2, "op5_line_dedup": _OP5, "op11_ranked_search": _OP11}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_quality_rules": _OP2, "op5_line_dedup": _OP5, "op11_ranked_search": _OP11, "op12_url_filter": _op12(Markov())}
