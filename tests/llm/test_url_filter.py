@@ -66,7 +66,7 @@ def urls(seed, n):
     r = random.Random(seed)
     host = lambda: r.choice(("", "www.", "m.")) + r.choice(("example", "spam-farm.example", "x1", "Übung", "com")) + "." + r.choice(("com", "net", "org", "COM"))
     out = [f"{r.choice(('http', 'https'))}://{host()}{r.choice(('', '/', '/en/', '/es/', '/fr/', '/De/', '/e'))}{r.choice(('', 'a b', str(r.randrange(99))))}{r.choice(('', '?q=/es/', '#top', '?u=http://x.com/'))}" for _ in range(n)]
-    return [*out, None, "", "://", "no scheme", "example.com/en/1", "http://com", "http://com/", "http://example.com/en/x", "http://notexample.com/en/", "http://a.net/es/\nnext", "http://ex.org/" + "long/" * 40_000, out[0], out[0]]
+    return [*out, None, "", "://", "no scheme", "example.com/en/1", "http://com", "http://com/", "http://example.com/en/x", "http://notexample.com/en/", "http://a.net/es/\nnext", "http://ex.org/" + "long/" * 3_000, out[0], out[0]]
 
 
 @pytest.mark.parametrize("settings", [Markov(), Markov(order=2, share=40, strength=1.0)])

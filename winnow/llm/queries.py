@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversations import damage, repair_report
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
 from .ngram_lm import lm_score
@@ -91,8 +92,12 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damage(_table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_toxicity, op4_secret_scan, op5_line_dedup, op6_sharding, op7_lm_scoring, op8_decontamination, op9_packing, op10_simhash, op11_ranked_search, op12_url_filter)
+    f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_toxicity, op4_secret_scan, op5_line_dedup, op6_sharding, op7_lm_scoring, op8_decontamination, op9_packing, op10_simhash, op11_ranked_search, op12_url_filter, op13_conversation_repair)
 }
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
@@ -197,5 +202,50 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score >= (SELECT leas
 """
 
 
+
+
+def _op13() -> str:
+    def best(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    def edit(state: str, cost: str, letter: str, line: str, when: str = "true") -> str:
+        return f"CASE WHEN {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'o': {state}.o || {line}}} ELSE {far} END"
+
+    far = "{'c': 1000000000::BIGINT, 'a': '', 'o': ''}"
+    user, assistant, own = "chr(10) || 'user:'", "chr(10) || 'assistant:'", "chr(10) || role || ':' || text"
+    # what insertions reach: u after nothing, after a system or an assistant row; then a
+    w2 = best("v2", *(edit(f"v{s}", "2", "I", user) for s in (0, 1, 3)))
+    closed = f"SELECT *, {w2} AS w2, v0 AS w0, v1 AS w1, {best('v3', edit(w2, '2', 'I', assistant))} AS w3"
+    # the second u may follow the a that this reaches
+    stay, delete = "NOT must", {s: edit(f"w{s}", "3", "D", "''") for s in range(4)}
+    as_user = [edit(f"w{s}", "t", "K", own, f"{stay} AND i = 'u'") for s in (0, 1, 3)] + [edit(f"w{s}", "2 + t", "R", user + " || text", stay) for s in (0, 1, 3)]
+    v = [
+        delete[0],
+        best(delete[1], edit("w0", "t", "K", own, f"{stay} AND i = 's'")),
+        best(delete[2], *as_user),
+        best(delete[3], edit("w2", "t", "K", own, f"{stay} AND i = 'a'"), edit("w2", "2 + t", "R", assistant + " || text", stay)),
+    ]
+    bits = "[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(k, ''), lambda x: {bits}::BIGINT[]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"
+    start = f"{{'c': 0::BIGINT, 'a': '', 'o': ''}} AS v0, {', '.join(f'{far} AS v{s}' for s in (1, 2, 3))}"
+    return rf"""
+WITH RECURSIVE s AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+d AS (SELECT conv_id, turn, role, text, {crc} % 20 AS k FROM s),
+e AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 0 THEN 0 WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM e),
+f AS (SELECT *, solid = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS again, CASE WHEN right(solid, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS t, substr(role, 1, 1) AS i FROM o),
+r AS MATERIALIZED (SELECT *, blank OR again AS must, lag(i) OVER (PARTITION BY conv_id ORDER BY p) AS was FROM f),
+x AS (SELECT conv_id, 0::BIGINT AS p, {start} FROM (SELECT DISTINCT conv_id FROM r)
+  UNION ALL SELECT conv_id, p, {", ".join(f"{y} AS v{n}" for n, y in enumerate(v))} FROM (
+    SELECT c.conv_id, r.p, r.role, r.text, r.must, r.t, r.i, w0, w1, w3, {best("w2", edit("w3", "2", "I", user))} AS w2
+    FROM ({closed} FROM x) c JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.p = c.p + 1)),
+z AS (SELECT conv_id, {best("w0", "w3")} AS y FROM ({closed} FROM x QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) = 1)),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (NOT must AND t = 1) AS truncated,
+  count(*) FILTER (was IS NOT NULL AND was || i NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(y.c, 0) AS BIGINT) AS cost, coalesce(y.a, '') AS audit, sha256(coalesce(substr(y.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
 #: Ordered by operator; the others are tested against brute-force versions in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_quality_rules": _OP2, "op5_line_dedup": _OP5, "op11_ranked_search": _OP11, "op12_url_filter": _op12(Markov())}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_quality_rules": _OP2, "op5_line_dedup": _OP5, "op11_ranked_search": _OP11, "op12_url_filter": _op12(Markov()), "op13_conversation_repair": _op13()}
