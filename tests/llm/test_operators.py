@@ -292,7 +292,7 @@ def test_packing(spark, rows):
     odd = [(5000 + i, t) for i, t in enumerate(["two  spaces \n and\n\nlines ", " lead", "tail ", "<|endoftext|> in <|endoftext|>", "it's we'll 12 345", "a  b   c", "\r\n x\t y"])]
     every = [*rows, *odd]
     assert encode([t or "" for _, t in every], path) == [np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for _, t in every]
-    out = pack(frame(spark, every), path, group=16).collect()
+    out = pack(frame(spark, every), path, group_bytes=1 << 14, most=64).collect()
     whole = Counter((d, (*tok.encode(t or "", add_special_tokens=False).ids, 0)) for d, t in every)
     parts = defaultdict(list)
     for r in out:
@@ -317,6 +317,37 @@ def test_packing(spark, rows):
     assert pack(frame(spark, rows[:0]), path).count() == 0
 
 
+def test_packing_of_equal_rows(spark):
+    """20,000 equal documents and 20,000 null ones: work in proportion, and every window is near full."""
+    import time
+
+    one = " ".join(f"word{i}" for i in range(60))
+    docs = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(one).alias("text"))
+    docs = docs.unionByName(spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")))
+    began = time.perf_counter()
+    per = pack(docs, q.tokenizer_path()).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces"))
+    total, windows_, most = per.agg(F.sum("n"), F.count("*"), F.max("n")).first()
+    assert time.perf_counter() - began < 90
+    size = len(encode([one], q.tokenizer_path())[0]) // 4 + 1
+    assert total == 20_000 * (size + 1) and most <= 1024
+    assert windows_ <= 1.1 * total / 1024 + 8
+
+
+def test_other_splitting_rules(tmp_path):
+    """A tokenizer file that declares other rules is taken at its word."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    declared = json.loads(Tokenizer.from_file(q.tokenizer_path()).to_str())
+    declared["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(declared))
+    tok = Tokenizer.from_file(str(path))
+    every = ["one two", "it is  here", ""]
+    assert encode(every, str(path)) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in every]
+
+
 def test_differencing():
     r = np.random.default_rng(3)
     for n, k in ((1, 3), (5, 2), (60, 7), (300, 40)):

@@ -1,16 +1,19 @@
 """Packing of token sequences into windows by Karmarkar-Karp multiway differencing.
 
 A document's ids are cut into full windows and a rest; the rest is cut into pieces
-of at most ``grain`` ids.  Pieces are dealt to groups by a hash, so that a group has
-about ``group`` documents at any size of the table.  In each group the differencing
-method merges partial partitions with opposing imbalances until one remains: the
-pieces in k windows of near-equal length.  k starts at the fewest windows that could
-hold them and rises by one whenever a window is over the capacity.
+of at most ``grain`` ids.  Pieces are dealt to groups by a hash of what they are and of the
+partition that they come from, so that a group has about ``group_bytes`` of text at any
+size of the table, and equal rows are spread as far as they lie apart.  In each group
+runs of at most ``most`` pieces are packed, each with its share of long and short ones:
+the differencing method merges partial partitions with opposing imbalances until one
+remains, the run's pieces in k windows of near-equal length.  k starts at the fewest
+windows that could hold them and rises by one whenever a window is over the capacity.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -79,6 +82,18 @@ class _Spans:
             return mix(np.add.reduceat((self.data + np.uint64(1)) * power[place], self.starts) + size.astype(np.uint64)) if len(self.starts) else np.zeros(0, np.uint64)
 
 
+def _parts_alike(declared: dict) -> bool:
+    """Whether a tokenizer declares the byte-level rules of ``_Spans``, no normaliser, and no special token that a simple text could hold."""
+    rules = declared.get("pre_tokenizer") or {}
+    model = declared.get("model") or {}
+    return (
+        declared.get("normalizer") is None
+        and (rules.get("type"), rules.get("add_prefix_space"), rules.get("use_regex")) == ("ByteLevel", False, True)
+        and (model.get("type"), model.get("dropout"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix")) == ("BPE", None, None, None)
+        and all(t["content"].startswith("<|") for t in declared.get("added_tokens") or ())
+    )
+
+
 class _Encoder:
     """The ids of spans by their 64-bit hash: those seen first in a worker are kept, up to ``most``; new ones are encoded."""
 
@@ -87,6 +102,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        #: Whether the tokenizer parts texts as ``_Spans`` does; else each takes its own way.
+        self.known = _parts_alike(json.loads(self.tokenizer.to_str()))
         self.pool, self.old, self.new = np.zeros(0, np.uint32), self._empty(), self._empty()
 
     @staticmethod
@@ -148,7 +165,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
     encoder = _encoder(path)
     column = pa.array(texts, pa.string())
-    simple = _simple(*buffers(column))
+    simple = _simple(*buffers(column)) if encoder.known else np.zeros(len(texts), bool)
     ids, bounds = encoder.spans(column.filter(pa.array(simple)))
     data = ids.astype("<u4").tobytes()
     one = iter([data[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
@@ -223,15 +240,18 @@ def windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
         k += 1
 
 
-def _pack(capacity: int):
+def _pack(capacity: int, most: int):
     def pack(table: pa.Table) -> pa.Table:
         lengths = pc.binary_length(table.column("ids")).to_numpy().astype(np.int64) // 4
         starts = table.column("start").to_numpy()
         short = np.flatnonzero(lengths < capacity)
         by = short[np.lexsort((starts[short], -lengths[short]))]
         sequence = np.zeros(len(lengths), np.int64)
-        at, k = windows(lengths[by], capacity)
-        sequence[by] = at
+        k, runs = 0, -(-len(by) // most)
+        for run in range(runs):
+            at, n = windows(lengths[by[run::runs]], capacity)
+            sequence[by[run::runs]] = k + at
+            k += n
         full = np.flatnonzero(lengths == capacity)
         sequence[full] = k + np.arange(len(full))
         order = np.lexsort((starts, sequence))
@@ -246,7 +266,7 @@ def _pack(capacity: int):
     return pack
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, grain: int = 192, group: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, grain: int = 192, group_bytes: int = 1 << 20, most: int = 1024) -> DataFrame:
     """Packs all ids of all texts into sequences of at most ``capacity``.
 
     Result, one row for each piece of a document: (id, start, length, ids,
@@ -255,17 +275,18 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     tokenizers library, byte-level, present on every executor) without special
     tokens around them, then ``end_id``; each is in exactly one piece.
 
-    Groups are dealt by id, place and ids, so that rows without an id are spread too;
-    only rows that are equal in id and text meet in one.
+    A group's work and memory follow its bytes; equal rows of one partition meet in one
+    group, in as many runs as they need.
 
     Defined cases: a null or empty text is ``end_id`` alone; repeated rows and null
     ids are documents like any other; an empty table gives no rows; other columns
     aren't read.
     """
     rows = docs.select(col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    groups = max(1, -(-docs.count() // group))
+    octets = rows.agg(F.sum(F.octet_length("_text") + F.lit(64))).first()[0] or 0
+    groups = max(1, -(-octets // group_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
     pieces = rows.mapInArrow(_pieces(tokenizer, capacity, grain, end_id), f"_id {kind}, start bigint, ids binary, doc_tokens bigint")
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", F.expr(f"start div {capacity}"), "ids"), F.lit(groups)))
-    packed = dealt.groupBy("_group").applyInArrow(_pack(capacity), f"_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", F.expr(f"start div {capacity}"), "ids", F.spark_partition_id()), F.lit(groups)))
+    packed = dealt.groupBy("_group").applyInArrow(_pack(capacity, most), f"_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
     return packed.withColumnRenamed("_id", id_col)
