@@ -86,25 +86,61 @@ def test_greedy_titles(spark):
     assert len(kept) < len(rows)
 
 
-def test_like_titles_over_blocks(spark):
+@pytest.mark.parametrize("ratio", [0.7, 0.8, 0.9])
+def test_like_titles(spark, ratio):
+    """Links of the index against all pairs of random titles: edits, moved words, long and very short ones."""
     from difflib import SequenceMatcher
     from random import Random
 
-    from winnow.operators import joins
+    from winnow.operators import titles as index
 
     rnd = Random(3)
-    titles = ["a quick brown fox", "a quick brown cat", "ab", "abc", "ba", "x" * 300, "x" * 299 + "y"]
-    for n in range(40):
-        base = list(rnd.choice(titles[:2] + ["the river runs to the old town"]))
-        for _ in range(rnd.randrange(5)):
-            base[rnd.randrange(len(base))] = rnd.choice("abcdefgh ")
-        titles.append("".join(base))
-    titles = sorted(set(titles))
-    like = {(a, b) for i, a in enumerate(titles) for b in titles[i + 1 :] if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) > 0.8}
-    df = spark.createDataFrame([(t,) for t in titles], "title string")
-    assert len(like) > 30
-    for rows in (5, 2048):
-        assert {tuple(sorted((r.a, r.b))) for r in joins.like_titles(df, rows=rows).collect()} == like
+    every = ["a quick brown fox", "a quick brown cat", "ab", "abc", "ba", "a", "", "x" * 300, "x" * 299 + "y", "日本語の題", "日本語の題名"]
+    for n in range(150):
+        base = list(rnd.choice([*every[:2], "the river runs to the old town", "to the old town the river runs", "ababababab", "release notes of version two, and what follows"]))
+        for _ in range(rnd.randrange(7)):
+            k = rnd.randrange(len(base) + 1)
+            base[k : k + rnd.randrange(3)] = rnd.choice(("", "a", "b ", "xyz"))
+        every.append("".join(base))
+    every = sorted(set(every))
+    like = {(a, b) for i, a in enumerate(every) for b in every[i + 1 :] if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) > ratio}
+    df = spark.createDataFrame([(t,) for t in [*every, every[5], None]], "title string")
+    assert len(like) > 50
+    assert [tuple(r) for r in sorted(index.like_titles(df, ratio).collect())] == sorted(like)
+
+
+def test_title_index_prunes(spark):
+    """The index lets few pairs of unlike titles through, and the plan has no pairing of blocks or nested loops."""
+    from random import Random
+
+    from winnow.operators import titles as index
+
+    rnd = Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    df = spark.createDataFrame([(n, "".join(rnd.choice(letters) for _ in range(30))) for n in range(400)], "id long, title string")
+    met = index.candidates(index.indexed_grams(df, 0.8), 0.8)
+    assert met.count() < 0.25 * 400 * 399 / 2
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+
+
+def test_common_subsequence():
+    from random import Random
+
+    from winnow.operators.titles import common_subsequence
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    rnd = Random(5)
+    pairs = [("".join(rnd.choice("abcd") for _ in range(rnd.randrange(65))), "".join(rnd.choice("abcd") for _ in range(rnd.randrange(65)))) for _ in range(200)]
+    assert common_subsequence([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [plain(a, b) for a, b in pairs]
 
 
 def test_greedy_semantic_is_a_whole_scan(spark):

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import like_titles, similar_pairs
+from .joins import similar_pairs
 from .tables import durable
+from .titles import like_titles
 
 
 def first_by_key(df: DataFrame, key: Column, order: Sequence[Column | str], keep_empty: bool = True) -> DataFrame:
@@ -99,7 +100,7 @@ def greedy_vectors(df: DataFrame, pos: str, vec: str, threshold: float) -> DataF
     """
     some = F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False))
     firsts = durable(df.filter(some).groupBy(vec).agg(F.min(pos).alias("pos")))
-    kept = greedy_similar(firsts, similar_pairs(firsts, "pos", vec, threshold))
+    kept = greedy_similar(firsts, durable(similar_pairs(firsts, "pos", vec, threshold)))
     return kept.unionByName(df.filter(~some).select(F.col(pos).alias("pos")))
 
 
@@ -108,12 +109,12 @@ def similar_titles(df: DataFrame, pos: str, title: str, preferred: str, ratio: f
 
     Preferred rows are scanned first, so that they take the place of others, then the
     rest, each by ``pos``; rows without a title stay.  Of equal titles the first decides
-    for all.  Links come from ``joins.like_titles``, over the whole table.
+    for all.  Links come from ``titles.like_titles``, over the whole table.
     """
     place = F.struct((~F.coalesce(F.col(preferred), F.lit(False))).alias("late"), F.col(pos).alias("pos"))
     own = df.withColumn("_place", place)
     titled = F.coalesce(F.col(title), F.lit("")) != ""
     firsts = durable(own.filter(titled).groupBy(F.col(title).alias("title")).agg(F.min("_place").alias("place")))
-    links = like_titles(firsts, ratio).join(firsts.select(F.col("title").alias("a"), F.col("place").alias("u")), "a").join(firsts.select(F.col("title").alias("b"), F.col("place").alias("v")), "b")
+    links = durable(like_titles(firsts, ratio)).join(firsts.select(F.col("title").alias("a"), F.col("place").alias("u")), "a").join(firsts.select(F.col("title").alias("b"), F.col("place").alias("v")), "b")
     kept = greedy_similar(firsts.select(F.col("place").alias("pos")), links.select("u", "v"))
     return own.join(kept.select(F.col("pos").alias("_place")), "_place", "left_semi").unionByName(own.filter(~titled)).drop("_place")

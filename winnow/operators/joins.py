@@ -252,56 +252,3 @@ def similar_pairs(df: DataFrame, id_col: str, vec: str, threshold: float, rows:
         return pd.DataFrame({"u": np.concatenate(us) if us else ids[:0], "v": np.concatenate(vs) if vs else ids[:0]})
 
     return dealt.groupBy("i", "j").applyInPandas(match, f"u {kind}, v {kind}")
-
-
-def _grams(titles: Sequence[str], bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of characters and of pairs of characters of each title, in ``bins``."""
-    single, double = np.zeros((len(titles), bins), np.int16), np.zeros((len(titles), bins), np.int16)
-    for n, t in enumerate(titles):
-        c = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)
-        single[n] = np.bincount(c % bins, minlength=bins)
-        double[n] = np.bincount((c[:-1] * 31 + c[1:]) % bins, minlength=bins)
-    return single, double
-
-
-def like_titles(df: DataFrame, ratio: float = 0.80, rows: int = 2048, bins: int = 128) -> DataFrame:
-    """JON15: (a, b) for all pairs of unlike titles whose matching-blocks ratio is over ``ratio``.
-
-    Rows are dealt to blocks of about ``rows``; each two blocks meet in one group on the
-    executors, with no pair left out.  With M matching characters of L in both titles the
-    ratio is 2 M / L.  Three bounds that any such pair meets come first: lengths,
-    common characters (at least M), and common pairs of characters (at least M less the
-    number of blocks, which L - 2 M characters part at most).
-    """
-    from difflib import SequenceMatcher
-
-    own = df.select("title").distinct()
-    blocks = -(-own.count() // rows) or 1
-    own = own.withColumn("own", F.pmod(F.xxhash64("title"), F.lit(blocks)).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("title", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        titles = pdf["title"].tolist()
-        size = np.array([len(t) for t in titles])
-        single, double = _grams(titles, bins)
-        left, right = (np.flatnonzero(pdf["own"] == pdf[c].iloc[0]) for c in ("i", "j"))
-        out = []
-        for x in left.tolist():
-            both = size[right] + size[x]
-            most = 2 * np.minimum(size[right], size[x])
-            least = np.floor(ratio * both / 2) + 1  # matching characters that a pair needs
-            y = right[(most > ratio * both)]
-            y = y[titles[x] < pdf["title"].to_numpy()[y]] if pdf["i"].iloc[0] == pdf["j"].iloc[0] else y
-            need = dict(zip(right.tolist(), least.tolist(), strict=True))
-            m = np.array([need[k] for k in y.tolist()])
-            ok = np.minimum(single[y], single[x]).sum(axis=1) >= m if len(y) else np.zeros(0, bool)
-            y, m = y[ok], m[ok]
-            ok = np.minimum(double[y], double[x]).sum(axis=1) >= 3 * m - size[y] - size[x] - 1 if len(y) else np.zeros(0, bool)
-            for k in y[ok].tolist():
-                a, b = sorted((titles[x], titles[k]))
-                if SequenceMatcher(None, a, b).ratio() > ratio or SequenceMatcher(None, b, a).ratio() > ratio:
-                    out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return dealt.groupBy("i", "j").applyInPandas(match, "a string, b string")

@@ -67,18 +67,20 @@ def learned_terms(items: DataFrame, group: str, tokens: str, order: str, most: i
     return last.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("first", "term"))).alias("all")).select(group, F.transform("all", lambda x: x["term"]).alias("terms"))
 
 
-def fold_activity(events: DataFrame, key: str, order: str, up: Column, start: int = 60, step: int = 15, span: int = 4096) -> DataFrame:
+def fold_activity(events: DataFrame, key: str, order: str, up: Column, start: int = 60, step: int = 15) -> DataFrame:
     """STM7: a score per key after all its events in order, +step or -step within 0..100.
 
-    A run of events acts as s -> min(high, max(low, s + add)), and so do two runs one
-    after the other; so runs of ``span`` places of a numeric order are folded first, and
-    a key with very many events is never in one list.
+    ``order`` is any column that sorts, a struct included.  A run of events acts as
+    s -> min(high, max(low, s + add)), and so do two runs one after the other.  Events are
+    dealt by ranges of (key, order), so a key with very many has a run in each of several
+    partitions: these are folded first, and then the runs, at most one a partition.
     """
     e = lambda m: F.when(m["up"], step).otherwise(-step)
     within = lambda c: F.least(F.lit(100), F.greatest(F.lit(0), c))
     act = lambda add, low, high: F.struct(add.cast("long").alias("add"), low.cast("long").alias("low"), high.cast("long").alias("high"))
     rest = act(F.lit(0), F.lit(-(1 << 40)), F.lit(1 << 40))
-    runs = events.groupBy(key, F.floor(F.col(order) / span).alias("_run")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), up.alias("up")))).alias("moves"))
+    dealt = events.select(key, F.col(order).alias("o"), up.alias("up")).repartitionByRange(key, "o").withColumn("_run", F.spark_partition_id())
+    runs = dealt.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("o", "up"))).alias("moves"))
     runs = runs.select(key, "_run", F.reduce("moves", rest, lambda f, m: act(f["add"] + e(m), within(f["low"] + e(m)), within(f["high"] + e(m)))).alias("f"))
     done = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_run", "f"))).alias("runs"))
     moved = F.reduce("runs", F.lit(start).cast("long"), lambda s, r: F.least(r["f"]["high"], F.greatest(r["f"]["low"], s + r["f"]["add"])))

@@ -68,6 +68,7 @@ def _clean(col: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(coalesce({col}, ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+_PAGE_TITLE = r"regexp_extract(coalesce(html, ''), '<title[^>]*>(.*?)</title>', 1, 'si')"
 _TITLE = r"split_part(coalesce(text, ''), chr(10), 1)"
 _NETLOC = r"lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)', 1))"
 _DOMAIN = rf"regexp_replace({_NETLOC}, '^www\.', '')"
@@ -462,7 +463,7 @@ def D_title_exists(spark, d):
 @query(
     f"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, {_norm('text')} AS k1, {_norm(_TITLE)} AS k2 FROM documents),
     i AS (SELECT doc_id, n, CASE WHEN k1 = '' THEN NULL ELSE dense_rank() OVER (ORDER BY k1) END AS a, CASE WHEN k2 = '' THEN NULL ELSE -dense_rank() OVER (ORDER BY k2) END AS b FROM d),
-    k AS (SELECT doc_id, n, list_filter([a, b], lambda x: x IS NOT NULL) AS keys FROM i),
+    k AS MATERIALIZED (SELECT doc_id, n, list_filter([a, b], lambda x: x IS NOT NULL) AS keys FROM i),
     run AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS kept UNION ALL
         SELECT k.n, CASE WHEN list_has_any(used, keys) THEN used ELSE list_concat(used, keys) END, CASE WHEN list_has_any(used, keys) THEN NULL ELSE doc_id END FROM run JOIN k ON k.n = run.n + 1)
     SELECT kept AS doc_id FROM run WHERE kept IS NOT NULL"""
@@ -475,7 +476,7 @@ def D_greedy_multi_key(spark, d):
 
 @query(
     """WITH RECURSIVE e AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), l AS (SELECT a.n, list(b.n) AS before FROM e a JOIN e b ON b.n < a.n AND list_cosine_similarity(a.v, b.v) >= 0.35 GROUP BY a.n),
-    k AS (SELECT e.n, vec_id, coalesce(before, CAST([] AS BIGINT[])) AS before FROM e LEFT JOIN l USING (n)),
+    k AS MATERIALIZED (SELECT e.n, vec_id, coalesce(before, CAST([] AS BIGINT[])) AS before FROM e LEFT JOIN l USING (n)),
     run AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS chosen, CAST(NULL AS BIGINT) AS kept UNION ALL
         SELECT k.n, CASE WHEN list_has_any(chosen, before) THEN chosen ELSE list_append(chosen, k.n) END, CASE WHEN list_has_any(chosen, before) THEN NULL ELSE vec_id END FROM run JOIN k ON k.n = run.n + 1)
     SELECT kept AS pos FROM run WHERE kept IS NOT NULL"""
@@ -484,7 +485,29 @@ def D_greedy_semantic(spark, d):
     return dedup.greedy_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", 0.35)
 
 
-@query()
+def _longest(a, b):
+    """Longest common run of two strings, of such the first in a, then the first in b: {n: minus its length, i, j}."""
+    one = f"CASE WHEN contains({b}, substr({a}, i, k)) THEN {{'n': -k, 'i': i, 'j': position(substr({a}, i, k) IN {b})}} ELSE {{'n': 0, 'i': 1, 'j': 1}} END"
+    return f"list_min(flatten(list_transform(range(1, greatest(length({a}), 1) + 1), lambda i: list_transform(range(1, greatest(least(length({a}) - i + 1, length({b})), 1) + 1), lambda k: {one}))))"
+
+
+@query(f"""
+WITH RECURSIVE p AS (SELECT page_id, url LIKE 'https%' AS preferred, {_norm(_clean(_PAGE_TITLE))} AS title FROM pages),
+f AS (SELECT title, min((CASE WHEN preferred THEN 0 ELSE 1 END, page_id)) AS place FROM p WHERE title <> '' GROUP BY title),
+n AS MATERIALIZED (SELECT title, row_number() OVER (ORDER BY place) AS r, length(title) AS l, list_transform(range(1, length(title)), lambda i: substr(title, i, 2)) AS grams FROM f),
+g AS (SELECT r, gram, count(*) AS c FROM (SELECT r, unnest(grams) AS gram FROM n) GROUP BY r, gram),
+o AS (SELECT a.r AS u, b.r AS v, sum(least(a.c, b.c)) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.r < b.r GROUP BY a.r, b.r),
+c AS MATERIALIZED (SELECT u, v, x.title AS a, y.title AS b FROM o JOIN n x ON x.r = u JOIN n y ON y.r = v WHERE shared >= 3 * (floor(0.8 * (x.l + y.l) / 2) + 1) - x.l - y.l - 1),
+w AS (SELECT u, v, 0 AS side, a, b, {_longest("a", "b")} AS m FROM c UNION ALL SELECT u, v, 1, b, a, {_longest("b", "a")} FROM c
+  UNION ALL SELECT u, v, side, a, b, {_longest("a", "b")} FROM (
+    SELECT u, v, side, unnest([substr(a, 1, m.i - 1), substr(a, m.i - m.n)]) AS a, unnest([substr(b, 1, m.j - 1), substr(b, m.j - m.n)]) AS b FROM w WHERE m.n < 0) WHERE a <> '' AND b <> ''),
+e AS (SELECT DISTINCT u, v FROM (SELECT w.u, w.v, side, -sum(m.n) AS found FROM w GROUP BY w.u, w.v, side) JOIN n x ON x.r = u JOIN n y ON y.r = v WHERE 2.0 * found / (x.l + y.l) > 0.8),
+b AS MATERIALIZED (SELECT v, list(u) AS earlier FROM e GROUP BY v),
+s AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept UNION ALL
+  SELECT n.r, CASE WHEN list_has_any(s.kept, coalesce(earlier, []::BIGINT[])) THEN s.kept ELSE list_append(s.kept, n.r) END FROM s JOIN n ON n.r = s.r + 1 LEFT JOIN b ON b.v = n.r),
+k AS (SELECT unnest(kept) AS r FROM (SELECT kept FROM s ORDER BY r DESC LIMIT 1))
+SELECT place[2] AS page_id, title FROM f JOIN n USING (title) JOIN k USING (r) UNION ALL SELECT page_id, title FROM p WHERE title = ''
+""")
 def D_similar_titles(spark, d):
     """Titles of all pages; those under https come first."""
     own = table(spark, d, "pages").select("page_id", text.normalized_text(pages.page_title(C("html"), F.lit(""))).alias("title"), C("url").startswith("https").alias("preferred"))
