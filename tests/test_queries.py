@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from winnow import queries as q
 
@@ -157,14 +158,43 @@ def test_greedy_semantic_is_a_whole_scan(spark):
 
 
 def test_greedy_vectors_over_blocks(spark, monkeypatch):
-    from winnow.operators import dedup, joins
+    from winnow.operators import dedup, vectors
 
-    monkeypatch.setattr(dedup, "similar_pairs", lambda *a: joins.similar_pairs(*a, rows=2))
+    monkeypatch.setattr(dedup, "similar_pairs", lambda *a: vectors.similar_pairs(*a, rows=2))
     vecs = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.9, 0.1]), (4, [0.0, 1.0]), (5, [0.0, 0.0]), (6, None), (7, []), (8, [0.1, 0.9]), (9, [0.0, 2.0])]
     df = spark.createDataFrame(vecs, "id long, v array<double>")
     assert sorted(r.pos for r in dedup.greedy_vectors(df, "id", "v", 0.9).collect()) == [1, 4, 5, 6, 7]
 
 
+@pytest.mark.parametrize("threshold", [0.2, 0.9])
+def test_pivots_lose_nothing_and_prune(spark, threshold):
+    """Clustered vectors: all pairs are found, and where cells can't match they don't meet."""
+    import numpy as np
+
+    from winnow.operators import vectors
+
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(20, 16))
+    m = centres[r.integers(0, 20, 600)] + 0.15 * r.normal(size=(600, 16))
+    m[5] = m[6]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(900, [0.0] * 16), (901, None), (902, [])], "id long, v array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    cos = u @ u.T
+    want = {(i, j) for i, j in zip(*np.nonzero(cos >= threshold), strict=True) if i < j}
+    assert {(x.u, x.v) for x in vectors.similar_pairs(df, "id", "v", threshold, rows=30).collect()} == want
+    asked = df.filter("id % 20 = 0")
+    best = {(x["query"], x["rank"], x["id"]) for x in vectors.similar(asked, df, "id", "v", threshold, top=3, rows=30).collect()}
+    near = lambda q: [j for j in np.lexsort((np.arange(600), -cos[q])) if j != q and cos[q, j] >= threshold][:3]
+    assert best == {(q, k + 1, j) for q in range(0, 600, 20) for k, j in enumerate(near(q))}
+    solid = df.filter("id < 900").select("id", "v")
+    met = vectors.meetings(solid, solid, threshold, 30)
+    sides = met.groupBy("cell", "i", "j").agg(F.count_if("asks").alias("a"), F.count_if(~F.col("asks")).alias("b"))
+    pairs, most = sides.agg(F.sum(F.col("a") * F.col("b")), F.max(F.col("a") + F.col("b"))).first()
+    assert most < 200  # blocks stay bounded
+    if threshold == 0.9:
+        assert pairs < 0.5 * 600 * 600
+
+
 def test_greedy_multi_key_takes_whole_keys(spark, tmp_path):
     head, tail = "the same opening of a template " * 4, " the same closing of a template" * 4
     texts = [f"{head}one{tail}\nbody one{tail}", f"{head}two{tail}\nbody two{tail}", f"{head}ONE{tail}\nbody one{tail}", f"{head}two{tail}\nanother body"]

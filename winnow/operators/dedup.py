@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import similar_pairs
 from .tables import durable
 from .titles import like_titles
+from .vectors import similar_pairs
 
 
 def first_by_key(df: DataFrame, key: Column, order: Sequence[Column | str], keep_empty: bool = True) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,76 +177,3 @@ def lookup_first(tables: Sequence[DataFrame], id_col: str) -> DataFrame:
         every = t if every is None else every.unionByName(t, allowMissingColumns=True)
     by = Window.partitionBy(id_col).orderBy("_p")
     return every.withColumn("_r", F.row_number().over(by)).filter("_r = 1").drop("_r", "_p")
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-
-def similar(queries: DataFrame, memory: DataFrame, id_col: str, vec: str, threshold: float, top: int | None = None, rows: int = 4096) -> DataFrame:
-    """JON13, JON14: (query, id, cosine) of the memory rows at least ``threshold`` similar, the best ``top`` of each query.
-
-    Both sides are dealt to blocks of about ``rows`` vectors; each two blocks meet in one
-    matrix product on the executors.  A row never meets its own id.  Empty, null and
-    zero vectors have no similar ones.
-    """
-    kind = memory.schema[id_col].dataType.simpleString()
-
-    def dealt(df: DataFrame, own: str, other: str, others: int, blocks: int, asks: bool) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
-        return df.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(own), every, F.lit(asks).alias("asks")).select("id", "v", "i", "j", "asks")
-
-    q, m = (df.filter(F.size(vec) > 0).select(F.col(id_col).alias("id"), F.col(vec).alias("v")) for df in (queries, memory))
-    nq, nm = (max(1, -(-df.count() // rows)) for df in (q, m))
-    both = dealt(q, "i", "j", nm, nq, True).unionByName(dealt(m, "j", "i", nq, nm, False))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy(bool)
-        units, ids = _unit(np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1)), pdf["id"].to_numpy()
-        parts, theirs = [], ids[~asks]
-        for a in range(0, int(asks.sum()), 512):
-            some = np.flatnonzero(asks)[a : a + 512]
-            cos = units[some] @ units[~asks].T
-            i, j = np.nonzero(cos >= threshold)
-            parts.append(pd.DataFrame({"query": ids[some[i]], "id": theirs[j], "cosine": cos[i, j]}))
-        got = pd.concat(parts) if parts else pd.DataFrame({"query": ids[:0], "id": ids[:0], "cosine": np.zeros(0)})
-        got = got[got["query"] != got["id"]]
-        if top is not None:  # a block's best suffice for the best of all
-            got = got.sort_values(["cosine", "id"], ascending=[False, True]).groupby("query").head(top)
-        return got
-
-    out = both.groupBy("i", "j").applyInPandas(match, f"query {kind}, id {kind}, cosine double")
-    if top is None:
-        return out
-    by = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
-    return out.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)
-
-
-def similar_pairs(df: DataFrame, id_col: str, vec: str, threshold: float, rows: int = 4096) -> DataFrame:
-    """JON14: (u, v) with u < v for all pairs of rows at least ``threshold`` similar.
-
-    Rows are dealt to blocks of about ``rows``; each two blocks meet in one group on the
-    executors.  Empty, null and zero vectors have no similar ones.
-    """
-    kind = df.schema[id_col].dataType.simpleString()
-    own = df.filter(F.size(vec) > 0).select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
-    blocks = -(-own.count() // rows) or 1
-    own = own.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, units = pdf["id"].to_numpy(), _unit(np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1))
-        left, right = (np.flatnonzero(pdf["own"] == pdf[c].iloc[0]) for c in ("i", "j"))
-        us, vs = [], []
-        for a in range(0, len(left), 512):
-            some = left[a : a + 512]
-            x, y = np.nonzero(units[some] @ units[right].T >= threshold)
-            x, y = ids[some[x]], ids[right[y]]
-            once = x < y if pdf["i"].iloc[0] == pdf["j"].iloc[0] else x != y
-            us.append(np.minimum(x, y)[once])
-            vs.append(np.maximum(x, y)[once])
-        return pd.DataFrame({"u": np.concatenate(us) if us else ids[:0], "v": np.concatenate(vs) if vs else ids[:0]})
-
-    return dealt.groupBy("i", "j").applyInPandas(match, f"u {kind}, v {kind}")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import dates, keys, pages, text, urls, values
 from .functions import terms as T
 from .functions.rules import lookup
-from .operators import aggregate, classify, dedup, joins, rank, rejects, searches, state
+from .operators import aggregate, classify, dedup, joins, rank, rejects, searches, state, vectors
 from .plans import curation
 from .sources import landing, models
 from .streaming import events as stream
@@ -427,7 +427,7 @@ def C_reorder(spark, d):
 )
 def C_knn_top3(spark, d):
     own = table(spark, d, "embeddings")
-    return joins.similar(own.filter("vec_id % 20 = 0"), own, "vec_id", "embedding", 0.3, top=3).withColumn("cosine", F.round("cosine", 5))
+    return vectors.similar(own.filter("vec_id % 20 = 0"), own, "vec_id", "embedding", 0.3, top=3).withColumn("cosine", F.round("cosine", 5))
 
 
 # --- D: deduplication and sets ------------------------------------------------
