@@ -17,6 +17,7 @@ from .functions import terms as T
 from .operators import aggregate, classify, joins, records, rejects, state, store
 from .queries import _DOMAIN, _PAGE_REASON, _TOOLS, C, _clean, _has, _in, _lit, _norm, _points, _tools, _under, query, table
 from .sources import landing
+from .streaming import events, keyed
 
 NEUTRAL = ("plain words", "nothing special", "some other text")
 
@@ -606,6 +607,18 @@ def S_landed_pages(spark, d):
     return landing.with_pages(own.select("page_id", "url"), own.filter("page_id % 4 <> 0"), "url").select("page_id", F.md5("html").alias("landed"))
 
 
+@query(
+    """WITH e AS (SELECT *, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id), ts) AS gap FROM events),
+    f AS (SELECT user_id, list(event_type = 'purchase' ORDER BY ts, event_id) AS m, CAST(count(*) FILTER (event_type = 'purchase') % 7 AS INT) AS cursor, count(*) FILTER (gap < 21600000000) AS too_soon, count(*) AS n FROM e GROUP BY user_id)
+    SELECT user_id, CAST(list_reduce(list_prepend(60, list_transform(m, lambda x: CASE WHEN x THEN 15 ELSE -15 END)), lambda s, x: least(100, greatest(0, s + x))) AS INT) AS activity_score, cursor, too_soon, n FROM f"""
+)
+def W_keyed_state(spark, d):
+    """Score, cursor and pacing of each user: a finite stream of the events through keyed state with timers."""
+    path = _folder(spark)
+    keyed.run_keyed(events.stream(spark, d, "events.parquet"), f"{path}/told", f"{path}/checkpoint")
+    return keyed.standing(spark, f"{path}/told")
+
+
 @query("SELECT md5('card|final|' || p_name || '|' || p_brand) AS id, max(p_partkey) AS saved_at FROM part GROUP BY p_name, p_brand")
 def S_memory_rows(spark, d):
     own = table(spark, d, "part").select(F.lit("card").alias("kind"), "p_name", "p_brand", F.lit("").alias("story"), C("p_partkey").alias("saved_at"))
