@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -15,6 +15,7 @@ from ..functions.text import clean_text, duplicate_text, normalized_text, update
 from ..functions.urls import candidate_key, result_key, under
 from .classify import audit_reason, saudi_candidate, update_priority, user_fit
 from .state import memory_rows, overwrite
+from .tables import durable
 
 # --- text and keys of rows ----------------------------------------------------
 
@@ -123,11 +124,27 @@ def candidate_audit(shortlist: DataFrame, selected: DataFrame, key: str, owner:
     return own.join(by_owner, owner, "left").join(by_sector, sector, "left").withColumn("audit", audit_reason(F.col("selected"), F.col("_o"), F.col("_s"))).drop("_o", "_s")
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Numbers from 1 without gaps in the order of a column, dealt by its ranges.
+
+    Each partition numbers its own rows; the rows of the partitions before it, one count
+    a partition, are added.
+    """
+    dealt = durable(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts, before = {r._part: r.n for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}, 0
+    starts = {}
+    for part in sorted(counts):
+        starts[part] = before
+        before += counts[part]
+    start = F.try_element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("_part")) if starts else F.lit(0)
+    return dealt.withColumn(name, start + F.col("_place") + 1).drop("_part", "_place")
+
+
 def insert_versions(versions: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """SNK20: new versions with the keys that follow the largest; the order of ``new`` is that of its key."""
-    top = versions.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    placed = new.withColumn("_n", F.row_number().over(Window.orderBy(key)))  # a request's few rows
-    return versions.unionByName(placed.crossJoin(F.broadcast(top)).withColumn(key, (F.col("_top") + F.col("_n")).cast(versions.schema[key].dataType)).select(*versions.columns))
+    top = versions.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    placed = numbered(new, key, "_n")
+    return versions.unionByName(placed.withColumn(key, (F.lit(top) + F.col("_n")).cast(versions.schema[key].dataType)).select(*versions.columns))
 
 
 def update_versions(versions: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -142,13 +159,6 @@ def delete_versions(versions: DataFrame, keys: DataFrame, key: str) -> DataFrame
     return versions.join(keys.select(key).distinct(), key, "left_anti")
 
 
-def changed_table(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], scratch: str) -> DataFrame:
-    """SNK2, SNK24: a table read, changed and put back in its place; ``scratch`` is a folder for the new rows meanwhile."""
-    overwrite(change(spark.read.parquet(path)), scratch)
-    overwrite(spark.read.parquet(scratch), path)
-    return spark.read.parquet(path)
-
-
 def checked_copy(df: DataFrame, path: str) -> DataFrame:
     """SNK23: a copy whose rows are counted again; one that lacks any raises."""
     overwrite(df, path)

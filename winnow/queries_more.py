@@ -16,7 +16,7 @@ from .functions import dates, text, urls, values
 from .functions import terms as T
 from .operators import aggregate, classify, joins, records, rejects, state, store
 from .queries import _DOMAIN, _PAGE_REASON, _TOOLS, C, _clean, _has, _in, _lit, _norm, _points, _tools, _under, query, table
-from .sources import landing
+from .sources import landing, versions
 from .streaming import events, keyed
 
 NEUTRAL = ("plain words", "nothing special", "some other text")
@@ -688,8 +688,21 @@ def T_versions(spark, d):
     new = table(spark, d, "supplier").select(C("s_suppkey").alias("id"), C("s_name").alias("title"), C("s_acctbal").alias("size"))
     rows = store.checked_copy(store.insert_versions(old, new, "id"), f"{path}/a")
     changes = rows.filter("id % 3 <> 1").select("id", F.when(C("id") % 3 == 0, "new").alias("title"), F.when(C("id") % 2 == 0, 0.0).alias("size"))
-    store.changed_table(spark, f"{path}/a", lambda df: store.update_versions(df, changes, "id"), f"{path}/b")
-    return store.changed_table(spark, f"{path}/a", lambda df: store.delete_versions(df, df.filter("id % 5 = 4"), "id"), f"{path}/c")
+    versions.publish(rows, f"{path}/b")
+    versions.changed(spark, f"{path}/b", lambda df: store.update_versions(df, changes, "id"))
+    return versions.changed(spark, f"{path}/b", lambda df: store.delete_versions(df, df.filter("id % 5 = 4"), "id"))
+
+
+@query("SELECT event_type, event_id, CASE event_type WHEN 'purchase' THEN value * 2 ELSE value END AS value FROM events WHERE event_id % 3 <> 0")
+def S_published(spark, d):
+    """A draft published, changed, put aside for an empty version, and restored; what readers see is the pointer's version."""
+    path = f"{_folder(spark)}/v"
+    versions.publish(table(spark, d, "events").select("event_type", "event_id", "value"), path)
+    versions.changed(spark, path, lambda df: df.filter("event_id % 3 <> 0").withColumn("value", F.when(C("event_type") == "purchase", C("value") * 2).otherwise(C("value"))))
+    versions.publish(versions.current(spark, path).limit(0), path)
+    versions.restore(path, 2)
+    versions.vacuum(path, keep=1)
+    return versions.current(spark, path)
 
 
 @query("SELECT md5('card|final|' || p_name || '|' || p_brand) AS id, max(p_partkey) AS saved_at FROM part WHERE p_size % 2 = 0 GROUP BY p_name, p_brand")
