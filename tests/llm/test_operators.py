@@ -527,6 +527,30 @@ def test_toxicity_is_plain_ftrl(spark):
     assert len({round(x, 3) for x in got.values()}) > 20
 
 
+def test_names_and_types_of_ids(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six")], "id long, text string")
+    for name in ("print", "a.b", "least", "root", "_id"):
+        got = simhash_groups(docs.withColumnRenamed("id", name), name)
+        assert got.columns == [name, "fingerprint", "component_id"] and {r.component_id for r in got.collect()} == {1}
+    items = spark.createDataFrame([(7, "two three four five six")], "item_id long, text string")
+    for kind in ("tinyint", "smallint", "int", "string", "double"):
+        found = decontaminate(docs, items.withColumn("item_id", F.col("item_id").cast(kind)), "id").collect()
+        assert [float(r.item_id) for r in found] == [7.0, 7.0]
+    with pytest.raises(ValueError, match="n_words"):
+        quality(docs.withColumnRenamed("id", "n_words"), "n_words")
+    with pytest.raises(ValueError, match="start"):
+        pack(docs.withColumnRenamed("id", "start"), q.tokenizer_path(), "start")
+
+
+def test_labelled_ids_that_repeat(spark):
+    """However often a labelled id comes, one row of it is learned from."""
+    docs = spark.range(400).select((F.col("id") % 4).alias("doc_id"), F.concat(F.lit("text of "), F.col("id") % 4).alias("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    one = train(docs.dropDuplicates(), labels, settings=Ftrl(bits=10))
+    many = train(docs, labels, settings=Ftrl(bits=10))
+    assert one.bias == many.bias and one.weights.tolist() == many.weights.tolist()
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     for f in (substring_dedup, line_dedup, quality, secrets.find_secrets, simhash_groups):

@@ -27,6 +27,12 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def own_name(id_col: str, taken: tuple[str, ...]) -> None:
+    """Raises where the id column is named as another column of a result."""
+    if id_col in taken:
+        raise ValueError(f"the id column may not be named {id_col}, as a column of the result is")
+
+
 def text_of(name: str) -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(col(name).cast("string"), F.lit(""))

@@ -119,15 +119,17 @@ def _hits(words: Words, block: Block) -> list[tuple[int, int, int, int, int]]:
     for r, n, begin in exact[first].tolist():
         out.append((r, n, 0, begin - int(words.bounds[r]), begin - int(words.bounds[r]) + int(sizes[n])))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    seen: dict[tuple[int, int], int] = {}
-    for r, n, begin in np.unique(np.concatenate(seeds), axis=0).tolist():
+    every = np.unique(np.concatenate(seeds), axis=0)
+    limits = np.array([*block.errors, 0])[every[:, 1]]
+    new = np.ones(len(every), bool)  # one alignment gives a seed for each piece: those within the error budget are verified as one
+    new[1:] = (every[1:, :2] != every[:-1, :2]).any(axis=1) | (every[1:, 2] - every[:-1, 2] > limits[1:])
+    first = np.flatnonzero(new)
+    ends = np.append(first, len(every))[1:] - 1
+    for (r, n, begin), until in zip(every[first].tolist(), every[ends, 2].tolist(), strict=True):
         k, m = block.errors[n], len(block.words[n])
-        if seen.get((r, n), begin - 1) >= begin:  # one alignment gives a seed for each piece
-            continue
-        a, b = max(words.bounds[r], begin - k), min(words.bounds[r + 1], begin + m + 2 * k)
+        a, b = max(words.bounds[r], begin - k), min(words.bounds[r + 1], until + m + 2 * k)
         d, end = distance(block.words[n], h[a:b])
         if d <= k:
-            seen[r, n] = begin
             last = a + end - words.bounds[r]
             back, size = distance(block.words[n][::-1], h[a : a + end][::-1])
             if (r, n) not in best or d < best[r, n][0]:
@@ -167,7 +169,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = rows.select("_id").schema.add("_item", item_type)
     for name in ("distance", "item_words", "first_word", "end_word"):
         schema = schema.add(name, "long")
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_type.simpleString())
+    kind = benchmark.select(col(item_col).alias("_item")).limit(0).toArrow().schema.field(0).type
     out = None
     for ids, sent in _blocks(benchmark, item_col, item_text_col, rate, least, block_bytes):
         found = rows.mapInArrow(_scan(sent, pa.array(ids, kind)), schema)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, col, mix, slices, text_of
+from .common import buffers, col, mix, own_name, slices, text_of
 
 _KINDS = np.full(256, 3, np.uint8)  # 0 space, 1 letter, 2 digit, 3 other; within simple texts
 _KINDS[[9, 10, 11, 12, 13, 32]] = 0
@@ -282,6 +282,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ids are documents like any other; an empty table gives no rows; other columns
     aren't read.
     """
+    own_name(id_col, ("start", "length", "ids", "doc_tokens", "sequence_id", "offset"))
     rows = docs.select(col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     octets = rows.agg(F.sum(F.octet_length("_text") + F.lit(64))).first()[0] or 0
     groups = max(1, -(-octets // group_bytes))

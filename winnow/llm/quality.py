@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, col, text_of
+from .common import SPACE_CLASS, col, own_name, text_of
 
 #: Frequent function words of the four languages.
 STOP_WORDS = (
@@ -93,6 +93,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         "n_exclaimed": those(lambda w: w.endswith("!!")),
         "n_letter_words": those(lambda w: w.rlike(r"\p{L}")),
     }
+    own_name(id_col, (*counts, "base_failed", "failed", "kept"))
     # The partition's number is in the struct so that a filter on the verdict isn't moved below and evaluated anew for each rule.
     once = base.select("_id", F.struct(*[c.alias(k) for k, c in counts.items()], F.spark_partition_id().alias("_at")).alias("_m"))
     return once.select(F.col("_id").alias(id_col), *[F.col(f"_m.{k}").alias(k) for k in counts])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, col, shared, slices, split_join, text_of
+from .common import ascii_lower, col, own_name, shared, slices, split_join, text_of
 from .components import components
 
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -221,8 +221,13 @@ def _prints(shingle: int, seed: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """(id, print): the SimHash of each text's word shingles as a long; see ``simhash_groups``."""
+    own_name(id_col, ("print",))
+    return _fingerprints(docs, id_col, text_col, shingle, seed).withColumnRenamed("_id", id_col)
+
+
+def _fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int = 42) -> DataFrame:
     rows = docs.select(col(id_col).alias("_id"), ascii_lower(text_of(text_col)).alias("_text"))
-    return rows.mapInArrow(_prints(shingle, seed), rows.select("_id").schema.add("print", "long")).select(F.col("_id").alias(id_col), "print")
+    return rows.mapInArrow(_prints(shingle, seed), rows.select("_id").schema.add("print", "long"))
 
 
 def near_prints(prints: DataFrame, most: int = 4) -> DataFrame:
@@ -246,11 +251,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     don't count for the smallest, so it is null only where all are; other columns
     aren't read.
     """
-    own = shared(fingerprints(docs, id_col, text_col, shingle))
-    nodes = own.groupBy("print").agg(F.min(id_col).alias("least"))
+    own_name(id_col, ("fingerprint", "component_id"))
+    own = shared(_fingerprints(docs, id_col, text_col, shingle))
+    nodes = own.groupBy("print").agg(F.min("_id").alias("least"))
     roots = components(near_prints(nodes, most)).withColumnRenamed("node", "print")
     named = nodes.join(roots, "print", "left").select("print", F.coalesce("root", "print").alias("root"), "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = split_join(named.select("print", "root"), least, "root").select("print", "component_id")
     text = F.lower(F.lpad(F.hex("print"), 16, "0"))
-    return own.join(found, "print").select(col(id_col), text.alias("fingerprint"), "component_id")
+    return own.join(found, "print").select(F.col("_id").alias(id_col), text.alias("fingerprint"), "component_id")

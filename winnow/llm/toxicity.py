@@ -113,12 +113,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     At most ``settings.rows`` labelled ids are used: those with the smallest hash of
     their id, a sample that doesn't depend on order or partitions.  Rows without a
     label or without an id aren't learned from; of an id with several labels the
-    largest counts.  Without any row the model gives every text a score of 0.1.
+    largest counts, and of its rows the one whose text has the smallest hash.  Without any row the model gives every text a score of 0.1.
     """
     wanted = labels.filter(col(label_col).isNotNull() & col(id_col).isNotNull() & ~held_out(id_col, 4, 2))
     wanted = wanted.groupBy(col(id_col).alias("_id")).agg(F.max(col(label_col)).cast("double").alias("_label"))
     wanted = wanted.select("_id", "_label", F.xxhash64("_id").alias("_order")).orderBy("_order", "_id").limit(settings.rows)
     texts = docs.select(col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(wanted), "_id")
+    texts = texts.groupBy("_order", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("t")).select("_order", "_label", F.col("t._text").alias("_text"))
     sets = texts.select("_order", "_label", "_text").mapInArrow(_extract(settings.bits), "_order bigint, _label double, set binary")
     one = sets.repartition(1).sortWithinPartitions("_order", "set").mapInArrow(_learn(settings), "bias double, buckets binary, weights binary").first()
     if one is None:  # no labelled row: odds of one to nine
