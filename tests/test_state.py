@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from winnow.operators import state
 from winnow.sources import landing, models
 from winnow.streaming import events as ev
+from winnow.streaming import memory
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,10 +103,33 @@ def test_stream_unique_and_activity(spark):
 
 def test_stream_memory(spark, tmp_path):
     path, mark = str(tmp_path / "m"), str(tmp_path / "c")
-    ev.into_memory(ev.stream(spark, SF, "events.parquet"), path, mark, ["user_id", "event_type"]).awaitTermination()
-    n = spark.read.parquet(path).count()
-    ev.into_memory(ev.stream(spark, SF, "events.parquet"), path, mark, ["user_id", "event_type"]).awaitTermination()
-    assert spark.read.parquet(path).count() == n == spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_type").distinct().count()
+    memory.into_memory(ev.stream(spark, SF, "events.parquet"), path, mark, ["user_id", "event_type"]).awaitTermination()
+    n = memory.rows(spark, path).count()
+    memory.into_memory(ev.stream(spark, SF, "events.parquet"), path, mark, ["user_id", "event_type"]).awaitTermination()
+    assert memory.rows(spark, path).count() == n == spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_type").distinct().count()
+
+
+def test_memory_over_restarts_reads_few_buckets(spark, tmp_path):
+    """Three runs over one checkpoint; an epoch that is tried again; and which buckets a batch reads."""
+    source, path, mark = (str(tmp_path / x) for x in ("in", "m", "c"))
+    kind = "k long, name string"
+    for run in range(3):
+        new = [(i, None if i % 10 == 0 else f"n{i}") for i in range(100 * run, 100 * run + 150)]
+        spark.createDataFrame(new, kind).coalesce(1).write.mode("append").parquet(source)
+        memory.into_memory(spark.readStream.schema(kind).parquet(source), path, mark, ["k", "name"]).awaitTermination()
+        assert memory.rows(spark, path).count() == 100 * run + 150
+    again = spark.createDataFrame([(i, None if i % 10 == 0 else f"n{i}") for i in range(200, 350)], kind)
+    memory.remember(again, path, ["k", "name"], 2)
+    assert memory.rows(spark, path).count() == 350
+    few = spark.createDataFrame([(10, None), (77, "n77"), (10**9, "never")], kind)
+    blooms = spark.read.parquet(f"{path}/filters")
+    wanted = memory.buckets_to_read(few, blooms, ["k", "name"])
+    assert 1 <= len(wanted) <= 2  # the third key is in no filter
+    known = memory.candidates(few, path, ["k", "name"], 99)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]  # other buckets' files aren't opened
+    assert {r.bucket for r in known.select("bucket").distinct().collect()} == set(wanted)
+    assert memory.candidates(spark.createDataFrame([(10**9, "never")], kind), path, ["k", "name"], 99) is None
 
 
 def test_selection_delta(spark):

@@ -17,7 +17,7 @@ from .functions import terms as T
 from .operators import aggregate, classify, joins, records, rejects, state, store
 from .queries import _DOMAIN, _PAGE_REASON, _TOOLS, C, _clean, _has, _in, _lit, _norm, _points, _tools, _under, query, table
 from .sources import landing, versions
-from .streaming import events, keyed
+from .streaming import events, keyed, memory
 
 NEUTRAL = ("plain words", "nothing special", "some other text")
 
@@ -619,6 +619,15 @@ def W_keyed_state(spark, d):
     return keyed.standing(spark, f"{path}/told")
 
 
+@query("SELECT user_id, event_type FROM events GROUP BY user_id, event_type")
+def W_stream_memory(spark, d):
+    """Keys of a stream remembered in buckets; a second run over the same events finds them all there."""
+    path = _folder(spark)
+    memory.into_memory(events.stream(spark, d, "events.parquet"), f"{path}/memory", f"{path}/checkpoint", ["user_id", "event_type"]).awaitTermination()
+    memory.remember(events.events(spark, f"{d}/events.parquet"), f"{path}/memory", ["user_id", "event_type"], 1)
+    return memory.rows(spark, f"{path}/memory").select("user_id", "event_type")
+
+
 @query("SELECT md5('card|final|' || p_name || '|' || p_brand) AS id, max(p_partkey) AS saved_at FROM part GROUP BY p_name, p_brand")
 def S_memory_rows(spark, d):
     own = table(spark, d, "part").select(F.lit("card").alias("kind"), "p_name", "p_brand", F.lit("").alias("story"), C("p_partkey").alias("saved_at"))
