@@ -16,10 +16,6 @@ from winnow.streaming import memory
 SF = "/root/testdata/sf0.001"
 
 
-def fake_transport(query):
-    return [{"title": f"{query} {i}", "url": f"https://x.org/{query}/{i}", "content": "c", "published": "2026-01-01", "engine": "fake"} for i in range(2)]
-
-
 def test_upsert(spark):
     old = spark.createDataFrame([("a", "t", 5, None), ("b", "u", 1, "x")], "k string, title string, n int, seen string")
     new = spark.createDataFrame([("b", "U", 0, "y"), ("c", "v", 2, "z")], "k string, title string, n int, seen string")
@@ -35,13 +31,6 @@ def test_memory(spark):
     assert len(got) == 1 and got[0].story_key == "s2"
 
 
-def test_search_source(spark):
-    rows = landing.search(spark, ["a", "b", "c"], "tests.test_state:fake_transport", batch=2).orderBy("pos").collect()
-    assert [r.pos for r in rows] == [0, 1, 1000, 1001, 2000, 2001] and rows[2].url == "https://x.org/b/0"
-    clean = landing.results(landing.search(spark, ["site:y.org q"], "tests.test_state:fake_transport"))
-    assert clean.count() == 0
-
-
 def test_json_tables(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"k": "v", "n": 1}))
     (tmp_path / "b.json").write_text("{broken")
