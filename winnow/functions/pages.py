@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
+from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from .dates import http_date, inferred, parse_result, relative
 from .rules import any_term, blank, let
@@ -109,55 +110,68 @@ def sitemap(xml: DataFrame, xml_col: str = "xml") -> DataFrame:
     return xml.select(entry).select(loc.alias("url"), mod.alias("lastmod")).filter("url <> ''")
 
 
-def split_hub(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """HTM2: (url, date, title, entry_url), one row for each dated entry of a page that lists several."""
-    from html.parser import HTMLParser
-
-    class Entries(HTMLParser):
-        def __init__(self, base: str):
-            super().__init__()
-            self.base, self.open, self.done, self.depth, self.into = base, None, [], 0, None
-
-        def handle_starttag(self, tag, attrs):
-            a = dict(attrs)
-            cls = a.get("class") or ""
-            if self.open is None and (tag == "article" or any(c in cls for c in ENTRY_CLASSES)):
-                self.open, self.depth, self.kind = {"date": "", "title": "", "entry_url": self.base}, 0, tag
-            elif self.open is not None:
-                if tag == self.kind:
-                    self.depth += 1
-                if tag == "time":
-                    self.open["date"] = self.open["date"] or a.get("datetime") or ""
-                    self.into = "date" if not self.open["date"] else None
-                elif tag in ("h2", "h3") and not self.open["title"]:
-                    self.into = "title"
-                elif tag == "a" and a.get("href") and self.open["entry_url"] == self.base:
-                    self.open["entry_url"] = urljoin(self.base, a["href"])
-
-        def handle_data(self, data):
-            if self.open is not None and self.into:
-                self.open[self.into] += data
-
-        def handle_endtag(self, tag):
-            if tag in ("h2", "h3", "time"):
-                self.into = None
-            if self.open is not None and tag == self.kind:
-                if self.depth == 0:
-                    self.done.append(self.open)
-                    self.open = None
-                else:
-                    self.depth -= 1
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for url, html in zip(pdf["url"], pdf["html"], strict=True):
-                parser = Entries(url or "")
-                parser.feed(html or "")
-                rows += [(url, e["date"].strip(), " ".join(e["title"].split()), e["entry_url"]) for e in parser.done]
-            yield pd.DataFrame(rows, columns=["url", "date", "title", "entry_url"])
-
-    out = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(split, "url string, date string, title string, entry_url string")
+class _Entries(HTMLParser):
+    """Date, title and address of each outermost entry of a page; addresses by the page's own base."""
+
+    def __init__(self, base: str):
+        super().__init__()
+        self.base, self.open, self.done, self.depth, self.kind, self.into = base, None, [], 0, "", None
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        cls = a.get("class") or ""
+        if tag == "base" and a.get("href"):
+            self.base = urljoin(self.base, a["href"])
+        elif self.open is None and (tag == "article" or any(c in cls for c in ENTRY_CLASSES)):
+            self.open, self.depth, self.kind = {"date": "", "title": "", "entry_url": ""}, 0, tag
+        elif self.open is not None:
+            if tag == self.kind:
+                self.depth += 1
+            if tag == "time":
+                self.open["date"] = self.open["date"] or a.get("datetime") or ""
+                self.into = "date" if not self.open["date"] else None
+            elif tag in ("h2", "h3") and not self.open["title"]:
+                self.into = "title"
+            elif tag == "a" and a.get("href") and not self.open["entry_url"]:
+                self.open["entry_url"] = a["href"]
+
+    def handle_data(self, data):
+        if self.open is not None and self.into:
+            self.open[self.into] += data
+
+    def handle_endtag(self, tag):
+        if tag in ("h2", "h3", "time"):
+            self.into = None
+        if self.open is not None and tag == self.kind:
+            if self.depth == 0:
+                self.done.append(self.open)
+                self.open = None
+            else:
+                self.depth -= 1
+
+
+class _HubEntries:
+    """One page to its entries, none for a page without text."""
+
+    def eval(self, url: str, html: str):
+        parser = _Entries(url or "")
+        parser.feed(html or "")
+        for e in parser.done:
+            try:
+                address = urljoin(parser.base, e["entry_url"])
+            except ValueError:  # not an address
+                address = parser.base
+            yield e["date"].strip(), " ".join(e["title"].split()), address
+
+
+#: HTM2: ``spark.udtf.register("hub_entries", hub_entries)`` makes ``LATERAL hub_entries(url, html)``.
+hub_entries = udtf(_HubEntries, returnType="date string, title string, entry_url string")
+
+
+def split_hub(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: Sequence[str] = ()) -> DataFrame:
+    """HTM2: (url, date, title, entry_url), one row for each dated entry of a page that lists several, and the page's ``keep``."""
+    own = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("_html"), *keep)
+    out = own.lateralJoin(hub_entries(F.col("url").outer(), F.col("_html").outer())).drop("_html")
     return out.withColumn("date", parse_result(F.col("date"))).filter("date IS NOT NULL AND title <> ''")
 
 

@@ -95,25 +95,28 @@ def update_query(name: Column, site: Column) -> Column:
 
 
 def update_rows(tools: DataFrame, order: str, offset: int, size: int, count: int, cycle: int, broad: Sequence[str], media_limit: int) -> DataFrame:
-    """QRY5: queries of a turned slice of ``count`` out of ``size`` tools (``order`` from 0), of trusted media, and in the first cycle the broad ones."""
+    """QRY5: queries of a turned slice of ``count`` out of ``size`` tools (``order`` from 0), of trusted media, and in the first cycle the broad ones.
+
+    A row's place is (part, place, n).
+    """
     turned = tools.withColumn("_at", F.pmod(F.col(order) - offset, F.lit(max(1, size))))
     name = clean_text(first_set(F.col("tool"), F.col("company")))
     own = turned.filter(F.col("_at") < count).withColumn("_name", name).filter("_name <> ''")
-    rows = own.select(F.lit(0).alias("part"), F.col("_at").cast("long").alias("place"), update_query(F.col("_name"), F.col("official_site")).alias("query"), F.lit("official_exa").alias("source_lane"))
+    rows = own.select(F.lit(0).alias("part"), F.col("_at").cast("long").alias("place"), F.lit(0).alias("n"), update_query(F.col("_name"), F.col("official_site")).alias("query"), F.lit("official_exa").alias("source_lane"))
     media = media_rows(turned, "_at", media_limit)
-    rows = rows.unionByName(media.select(F.lit(1).alias("part"), (F.col("_at") * 1000 + F.col("n")).cast("long").alias("place"), "query", "source_lane"))
+    rows = rows.unionByName(media.select(F.lit(1).alias("part"), F.col("_at").cast("long").alias("place"), "n", "query", "source_lane"))
     if cycle <= 1 and broad:
         fixed = F.array(*[F.struct(F.lit(n).cast("long").alias("place"), F.lit(q).alias("query")) for n, q in enumerate(broad)])
         one = tools.sparkSession.range(1).select(F.explode(fixed).alias("b"))
-        rows = rows.unionByName(one.select(F.lit(2).alias("part"), "b.place", "b.query", F.lit("fallback_broad").alias("source_lane")))
+        rows = rows.unionByName(one.select(F.lit(2).alias("part"), "b.place", F.lit(0).alias("n"), "b.query", F.lit("fallback_broad").alias("source_lane")))
     return rows
 
 
 def discovery_rows(official: DataFrame, required: DataFrame, provider: str, limit: int) -> DataFrame:
     """QRY1: one provider's rows: its tools' queries first, then the others; scoped, distinct and up to ``limit``."""
-    own = required.filter(F.col("provider") == provider).select(F.lit(-1).alias("part"), F.col("place"), "query", F.lit("tool").alias("source_lane"), "sector", "bucket", "tool_query_required")
-    other = official.select("part", "place", "query", "source_lane", F.lit("").alias("sector"), F.lit("").alias("bucket"), F.lit(False).alias("tool_query_required"))
-    every = own.unionByName(other).withColumn("pos", F.struct("part", "place"))
+    own = required.filter(F.col("provider") == provider).select(F.lit(-1).alias("part"), F.col("place"), F.lit(0).alias("n"), "query", F.lit("tool").alias("source_lane"), "sector", "bucket", "tool_query_required")
+    other = official.select("part", "place", "n", "query", "source_lane", F.lit("").alias("sector"), F.lit("").alias("bucket"), F.lit(False).alias("tool_query_required"))
+    every = own.unionByName(other).withColumn("pos", F.struct("part", "place", "n"))
     return unique_rows(every, "pos").orderBy("pos").limit(limit).drop("pos")
 
 

@@ -217,11 +217,11 @@ def version_title(content: Column, default: Column) -> Column:
 
 
 def course_items(courses: DataFrame, bank: DataFrame, levels: Sequence[str]) -> DataFrame:
-    """MSC25: the courses, or, where there are none, the bank's in the order of its levels."""
+    """MSC25: the courses, or, where there are none, the bank's in the order of its levels; in the order of (part, place)."""
     rank = F.array_position(F.array([F.lit(x) for x in levels]), F.col("level"))
     if not courses.isEmpty():
-        return courses
-    return bank.filter(rank > 0).withColumn("place", rank * 1_000_000 + F.col("place")).select(*courses.columns)
+        return courses.withColumn("part", F.lit(0).cast("long"))
+    return bank.filter(rank > 0).withColumn("part", rank).select(*courses.columns, "part")
 
 
 def failure_rows(calls: DataFrame, stage: str, message: str) -> DataFrame:

@@ -871,9 +871,9 @@ def Q_unique_rows(spark, d):
 
 
 _UPDATE_ROWS = f"""{_TOOLS}, n AS (SELECT count(*) AS n FROM t), r AS (SELECT *, (s_suppkey - 3 + n) % n AS place FROM t, n),
-    u AS (SELECT 0 AS part, place, CASE WHEN host = '' THEN '"' || tool || '" ' ELSE 'site:' || host || ' -site:help.' || host || ' -site:support.' || host || ' "' || tool || '" ' END || {_lit(_VERBS)} AS query, 'official_exa' AS source_lane FROM r WHERE place < 48
-    UNION ALL SELECT 1, place * 1000 + k, q, 'trusted_media_exa' FROM (SELECT place, v.n AS k, replace(replace(q, '{{trusted_domain}}', h), '{{tool}}', tool) AS q FROM r, (VALUES {_MEDIA}) AS v(n, m, h, q) ORDER BY place, k LIMIT 8)
-    UNION ALL SELECT 2, 0, 'new AI tools', 'fallback_broad' UNION ALL SELECT 2, 1, 'product updates this week', 'fallback_broad')"""
+    u AS (SELECT 0 AS part, place, 0 AS n, CASE WHEN host = '' THEN '"' || tool || '" ' ELSE 'site:' || host || ' -site:help.' || host || ' -site:support.' || host || ' "' || tool || '" ' END || {_lit(_VERBS)} AS query, 'official_exa' AS source_lane FROM r WHERE place < 48
+    UNION ALL SELECT 1, place, k, q, 'trusted_media_exa' FROM (SELECT place, v.n AS k, replace(replace(q, '{{trusted_domain}}', h), '{{tool}}', tool) AS q FROM r, (VALUES {_MEDIA}) AS v(n, m, h, q) ORDER BY place, k LIMIT 8)
+    UNION ALL SELECT 2, 0, 0, 'new AI tools', 'fallback_broad' UNION ALL SELECT 2, 1, 0, 'product updates this week', 'fallback_broad')"""
 
 
 def _update_rows(spark, d) -> DataFrame:
@@ -881,15 +881,15 @@ def _update_rows(spark, d) -> DataFrame:
     return searches.update_rows(own, "s_suppkey", 3, table(spark, d, "supplier").count(), 48, 1, ("new AI tools", "product updates this week"), 8)
 
 
-@query(f"WITH {_UPDATE_ROWS} SELECT part, place, query, source_lane FROM u")
+@query(f"WITH {_UPDATE_ROWS} SELECT part, place, n, query, source_lane FROM u")
 def Q_update_rows(spark, d):
     return _update_rows(spark, d)
 
 
 @query(
-    f"""WITH {_UPDATE_ROWS}, e AS (SELECT -1 AS part, s_suppkey AS place, {_RELEASE} AS query, 'tool' AS source_lane, 'tool_general_updates' AS bucket, CASE tool_type WHEN 'general' THEN 'general_market' ELSE sector END AS sector FROM t
-    UNION ALL SELECT part, place, CASE WHEN regexp_matches(lower(query), '\\bai\\b') THEN query ELSE query || ' AI artificial intelligence' END, source_lane, 'general', '' FROM u)
-    SELECT query, source_lane, bucket FROM e ORDER BY part, place LIMIT 900"""
+    f"""WITH {_UPDATE_ROWS}, e AS (SELECT -1 AS part, s_suppkey AS place, 0 AS n, {_RELEASE} AS query, 'tool' AS source_lane, 'tool_general_updates' AS bucket, CASE tool_type WHEN 'general' THEN 'general_market' ELSE sector END AS sector FROM t
+    UNION ALL SELECT part, place, n, CASE WHEN regexp_matches(lower(query), '\\bai\\b') THEN query ELSE query || ' AI artificial intelligence' END, source_lane, 'general', '' FROM u)
+    SELECT query, source_lane, bucket FROM e ORDER BY part, place, n LIMIT 900"""
 )
 def Q_discovery_rows(spark, d):
     """One provider's rows up to its limit."""
@@ -1009,4 +1009,4 @@ def H_landed_results(spark, d):
     return landing.results(raw).select(C("pos").alias("page_id"), "source_domain", "title")
 
 
-from . import queries_more  # noqa: E402, F401  (registers the rest)
+from . import queries_more, queries_sources  # noqa: E402, F401  (register the rest)
