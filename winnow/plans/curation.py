@@ -87,3 +87,40 @@ def weekly_courses(catalog: DataFrame, history: DataFrame, day: Column, per_leve
     best = Window.partitionBy("platform").orderBy("_l", *order)
     single = scored.withColumn("_b", F.row_number().over(best)).filter("_b = 1").drop("_b")
     return per_group(single, "level", order, {x: per_level for x in levels}).drop("_l", "at")
+
+
+def refill(clean: DataFrame, strict: DataFrame, group: str, pos: str, keys: tuple[str, ...], limit: int) -> DataFrame:
+    """MSC2: for each group its strict rows up to ``limit``, or, where they are fewer than that and than its clean rows, strict and then clean ones.
+
+    In the relaxed case rows are distinct by the tuple of their keys that aren't empty;
+    a row without keys counts once.  ``strict`` is a part of ``clean`` with the same
+    columns, which have to be there to read twice (a checkpoint or a table).  Adds
+    ``place`` from 1 and ``relaxed``.
+    """
+    counts = clean.groupBy(group).agg(F.count("*").alias("_c")).join(strict.groupBy(group).agg(F.count("*").alias("_s")), group, "left")
+    short = counts.select(group, (F.coalesce("_s", F.lit(0)) < F.least(F.lit(limit), "_c")).alias("relaxed"))
+    both = strict.withColumn("_p", F.lit(0)).unionByName(clean.withColumn("_p", F.lit(1))).join(short, group)
+    both = both.filter("relaxed OR _p = 0")
+    own = F.filter(F.array(*[F.coalesce(F.col(k), F.lit("")) for k in keys]), lambda k: k != "")
+    same = F.when(~F.col("relaxed") | (F.size(own) == 0), F.concat(F.lit("row "), F.col(pos).cast("string"))).otherwise(F.concat(F.lit("key "), F.to_json(own)))
+    first = F.row_number().over(Window.partitionBy(group, "_same").orderBy("_p", pos))
+    once = both.withColumn("_same", same).withColumn("_r", first).filter("_r = 1")
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_p", pos))
+    return once.withColumn("place", place).filter(F.col("place") <= limit).drop("_p", "_same", "_r")
+
+
+def filter_supporting(rows: DataFrame, visible: DataFrame, memory: DataFrame, limit: int, reason: Column, group: str = "kind", pos: str = "pos", keys: tuple[str, ...] = ("url_key", "title_key")) -> DataFrame:
+    """MSC2: supporting candidates: no reject reason, none on display, none of the memory, first of a scan by keys; refilled where that leaves too few.
+
+    All three tables have ``group`` and the keys; equal keys of different groups have
+    nothing to do with each other.
+    """
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.select(*df.columns, *[F.when(F.coalesce(F.col(k), F.lit("")) != "", F.to_json(F.array(F.col(group).cast("string"), F.col(k)))).otherwise("").alias(f"_{k}") for k in keys])
+
+    own = [f"_{k}" for k in keys]
+    clean = durable(anti_any(keyed(rows.filter(F.coalesce(reason, F.lit("")) == "")), keyed(visible), own))
+    fresh = durable(anti_any(clean, keyed(memory), own))
+    strict = greedy_dedup(fresh, pos, [F.col(k) for k in own])
+    return refill(clean.drop(*own), strict.select(*rows.columns), group, pos, keys, limit)

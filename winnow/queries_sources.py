@@ -1,4 +1,4 @@
-"""Registered queries with SQL over sources: searches, databases, pages of several entries."""
+"""Registered queries with SQL: searches, databases, pages of several entries, rotations and refills."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import pages
-from .operators import store
+from .operators import rotation, store
+from .plans import curation
 from .queries import C, query, table
 from .queries_more import _folder
 from .sources import landing, requests
@@ -120,3 +121,68 @@ def H_hub_entries(spark, d):
     html = F.concat(F.when(own, '<base href="/logs/">').otherwise(""), planted, C("html"))
     rows = pages.split_hub(table(spark, d, "pages").select("page_id", "url", html.alias("html")), keep=("page_id",))
     return rows.select("page_id", F.date_format("date", "yyyy-MM-dd").alias("date"), "title", "entry_url")
+
+
+# --- rotations and refills ----------------------------------------------------
+
+
+def _rotation_sql(issues: int, count: int, one: bool) -> str:
+    """The issues one after the other: what is left (l), the cycle so far (c), plan (p), all to draw from (e), drawn (x)."""
+    parts = ["l0 AS (SELECT p_brand AS series, 0 AS cycle, p_name AS member, '' AS turn FROM part WHERE false)", "c0 AS (SELECT p_brand AS series, 0 AS cycle FROM part WHERE false)"]
+    for i in range(1, issues + 1):
+        kind = "starts_with(p_name, 'blue')" if one else "false"
+        parts += [
+            f"o{i} AS (SELECT DISTINCT p_brand AS series, p_name AS member, {kind} AS k FROM part WHERE p_size % 7 <> {i})",
+            f"b{i} AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY member) - 1 AS nth, count(*) OVER (PARTITION BY series) AS n FROM o{i} WHERE k)",
+            f"n{i} AS (SELECT series, count(*) AS n, greatest(1, {count} - CASE WHEN series IN (SELECT series FROM b{i}) THEN 1 ELSE 0 END) AS target FROM o{i} WHERE NOT k GROUP BY series)",
+            f"s{i} AS (SELECT l.* FROM l{i - 1} l SEMI JOIN (SELECT * FROM o{i} WHERE NOT k) o ON l.series = o.series AND l.member = o.member)",
+            f"p{i} AS (SELECT n.series, n.n, n.target, coalesce(c.cycle, 0) AS cycle, (SELECT count(*) FROM s{i} s WHERE s.series = n.series) < least(n.target, n.n) AS r FROM n{i} n LEFT JOIN c{i - 1} c ON c.series = n.series)",
+            f"e{i} AS (SELECT p.series, p.target, CAST(p.cycle + 1 AS INT) AS cycle, o.member, md5('2024-01-0{i}-' || (p.cycle + 1) || '-' || p.n || '-' || o.member) AS turn, r FROM p{i} p JOIN o{i} o ON o.series = p.series AND NOT o.k WHERE r UNION ALL SELECT p.series, p.target, CAST(s.cycle AS INT), s.member, s.turn, r FROM p{i} p JOIN s{i} s ON s.series = p.series WHERE NOT r)",
+            f"x{i} AS (SELECT *, CAST(row_number() OVER (PARTITION BY series ORDER BY turn, member) AS INT) AS place FROM e{i})",
+            f"l{i} AS (SELECT series, cycle, member, turn FROM x{i} WHERE place > target)",
+            f"c{i} AS (SELECT series, max(cycle) AS cycle FROM (SELECT series, cycle FROM e{i} UNION ALL SELECT * FROM c{i - 1}) GROUP BY series)",
+        ]
+    rows = [f"SELECT {i} AS issue, series, place, member, cycle, r AS reshuffled FROM x{i} WHERE place <= target UNION ALL SELECT {i}, series, 0, member, NULL, false FROM b{i} WHERE nth = {i} % n" for i in range(1, issues + 1)]
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+def _issues(spark, d, issues: int, step):
+    left, out = spark.createDataFrame([], rotation.STATE), None
+    for i in range(1, issues + 1):
+        active = table(spark, d, "part").filter(C("p_size") % 7 != i).select(C("p_brand").alias("series"), C("p_name").alias("member"))
+        selected, left = step(left, active, f"2024-01-0{i}", i)
+        selected = selected.select(F.lit(i).alias("issue"), "series", "place", "member", "cycle", "reshuffled")
+        out = selected if out is None else out.unionByName(selected)
+    return out
+
+
+@query(_rotation_sql(3, 20, one=False))
+def F_rotation(spark, d):
+    """Three issues in a row, of 20 names for each brand, without putting back; a part of the names is active each time."""
+    return _issues(spark, d, 3, lambda left, active, day, i: rotation.draw(left, active, day, 20))
+
+
+@query(_rotation_sql(3, 9, one=True))
+def F_rotation_with_one(spark, d):
+    """Three issues of nine: one blue part in turn and others drawn."""
+    return _issues(spark, d, 3, lambda left, active, day, i: rotation.draw_with_one(left, active, day, 9, C("member").startswith("blue"), i))
+
+
+@query(
+    """WITH r AS (SELECT p_partkey AS pos, p_brand AS kind, CASE WHEN p_size % 13 = 0 THEN '' ELSE p_name END AS t, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'u' || p_partkey END AS u, p_size FROM part),
+    v AS (SELECT * FROM r WHERE pos % 10 = 0), m AS (SELECT * FROM r WHERE kind IN ('Brand#1', 'Brand#2', 'Brand#3') AND p_size < 40),
+    c AS (SELECT * FROM r WHERE p_size % 11 <> 0 AND NOT EXISTS (SELECT 1 FROM v WHERE v.kind = r.kind AND ((v.t = r.t AND r.t <> '') OR (v.u = r.u AND r.u <> '')))),
+    f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.kind = c.kind AND ((m.t = c.t AND c.t <> '') OR (m.u = c.u AND c.u <> '')))),
+    s AS (SELECT * FROM f QUALIFY t = '' OR row_number() OVER (PARTITION BY kind, t ORDER BY pos) = 1),
+    k AS (SELECT kind, (SELECT count(*) FROM s WHERE s.kind = c.kind) < least(12, count(*)) AS relaxed FROM c GROUP BY kind),
+    b AS (SELECT kind, pos, t, u, p, relaxed FROM (SELECT *, 0 AS p FROM s UNION ALL SELECT *, 1 FROM c) JOIN k USING (kind) WHERE relaxed OR p = 0),
+    o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY kind, CASE WHEN NOT relaxed OR t || u = '' THEN 'row ' || pos ELSE 'key ' || t || '|' || u END ORDER BY p, pos) = 1)
+    SELECT kind, pos, relaxed, CAST(row_number() OVER (PARTITION BY kind ORDER BY p, pos) AS INT) AS place FROM o QUALIFY row_number() OVER (PARTITION BY kind ORDER BY p, pos) <= 12"""
+)
+def F_supporting(spark, d):
+    """The first 12 (the feature's limit) of each kind; where memory leaves fewer, clean ones come back."""
+    size = C("p_size")
+    own = table(spark, d, "part").select(C("p_partkey").alias("pos"), C("p_brand").alias("kind"), F.when(size % 13 == 0, "").otherwise(C("p_name")).alias("title_key"), F.when(size % 2 == 0, "").otherwise(F.concat(F.lit("u"), C("p_partkey"))).alias("url_key"), "p_size")
+    memory = own.filter(C("kind").isin("Brand#1", "Brand#2", "Brand#3") & (size < 40))
+    got = curation.filter_supporting(own, own.filter("pos % 10 = 0"), memory, 12, F.when(size % 11 == 0, "too_old").otherwise(""))
+    return got.select("kind", "pos", "relaxed", "place")
