@@ -90,8 +90,8 @@ def media_rows(tools: DataFrame, order: str, limit: int, media: Sequence[tuple[s
 def update_query(name: Column, site: Column) -> Column:
     """QRY5: one tool's update query, without the help pages of a known site."""
     verbs = F.lit(' (update OR launch OR launches OR introducing OR unveils OR announces OR "now available")')
-    d = site_domain(site)
-    return F.when(blank(site) == "", F.concat(_quoted(name), verbs)).otherwise(F.concat(F.lit("site:"), d, F.lit(" -site:help."), d, F.lit(" -site:support."), d, F.lit(" "), _quoted(name), verbs))
+    sites = let(site_domain(site), lambda d: F.concat(F.lit("site:"), d, F.lit(" -site:help."), d, F.lit(" -site:support."), d, F.lit(" ")))
+    return F.concat(F.when(blank(site) == "", "").otherwise(sites), _quoted(name), verbs)
 
 
 def update_rows(tools: DataFrame, order: str, offset: int, size: int, count: int, cycle: int, broad: Sequence[str], media_limit: int) -> DataFrame:
