@@ -28,6 +28,8 @@ C = F.col
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql

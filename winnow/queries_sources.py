@@ -157,13 +157,13 @@ def _issues(spark, d, issues: int, step):
 
 
 @query(_rotation_sql(3, 20, one=False))
-def F_rotation(spark, d):
+def F_platform_draws(spark, d):
     """Three issues in a row, of 20 names for each brand, without putting back; a part of the names is active each time."""
     return _issues(spark, d, 3, lambda left, active, day, i: rotation.draw(left, active, day, 20))
 
 
 @query(_rotation_sql(3, 9, one=True))
-def F_rotation_with_one(spark, d):
+def F_platform_draws_with_one(spark, d):
     """Three issues of nine: one blue part in turn and others drawn."""
     return _issues(spark, d, 3, lambda left, active, day, i: rotation.draw_with_one(left, active, day, 9, C("member").startswith("blue"), i))
 
