@@ -1011,4 +1011,4 @@ def H_landed_results(spark, d):
     return landing.results(raw).select(C("pos").alias("page_id"), "source_domain", "title")
 
 
-from . import queries_more, queries_sources  # noqa: E402, F401  (register the rest)
+from . import queries_chains, queries_more, queries_sources  # noqa: E402, F401  (register the rest)
