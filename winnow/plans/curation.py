@@ -56,20 +56,26 @@ def funnel(docs: DataFrame, memory: DataFrame, pool: int = 90) -> DataFrame:
     return done.select(stage.alias("stage"), reason.alias("reason")).groupBy("stage", "reason").agg(F.count("*").alias("n"))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that are evaluated once, however often what follows names them: a filter isn't pushed through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def filter_news(rows: DataFrame, memory: DataFrame, as_of: Column, pool: int = 90) -> DataFrame:
     """DED4, MSC1: editorial rules, recency, memory, then the greedy scan over url, title and story; the pool's best.
 
     Rows have pos, title, content, url, published, query_mix and date_confidence.
     """
-    text = joined_text(F.col("title"), F.col("content"), F.col("url"))
-    fit, kind = classify.user_fit(text), classify.editorial_type(text, F.col("url"))
-    none = F.array_contains(fit["reasons"], "no_clear_nontechnical_user_value")
-    lane = classify.lane(F.lit(""), F.col("query_mix"))
-    reason = rejects.editorial_reject(text, F.col("title"), F.col("url"), lane, F.col("query_mix"), F.col("date_confidence"), as_of, fit["score"], classify.saudi_candidate(text, F.lit("")), kind, classify.editorial_score(text, F.col("url"), kind), none)
-    own = rows.withColumn("lane", lane).withColumn("reason", reason).withColumn("priority", classify.update_priority(text, F.col("url"))).withColumn("story_key", story_key(F.col("title"), F.regexp_extract("url", "//([^/]*)", 1), F.lit("")))
+    text, url = F.col("_text"), F.col("url")
+    own = _once(rows, _text=joined_text(F.col("title"), F.col("content"), url))
+    own = _once(own, _fit=classify.user_fit(text), _kind=classify.editorial_type(text, url), lane=classify.lane(F.lit(""), F.col("query_mix")))
+    none = F.array_contains("_fit.reasons", "no_clear_nontechnical_user_value")
+    reason = rejects.editorial_reject(text, F.col("title"), url, F.col("lane"), F.col("query_mix"), F.col("date_confidence"), as_of, F.col("_fit.score"), classify.saudi_candidate(text, F.lit("")), F.col("_kind"), classify.editorial_score(text, url, F.col("_kind")), none)
     recent = rejects.news_recent(F.col("published"), F.lit(""), F.concat_ws(" ", "title", "url"), as_of)
-    keys = own.filter((F.col("reason") == "") & recent).withColumn("url_key", memory_key(F.col("url"))).withColumn("title_key", normalized_text(F.col("title")))
-    fresh = anti_any(keys, memory, ["url_key", "title_key", "story_key"])
+    own = _once(own, reason=reason, _recent=recent, priority=classify.update_priority(text, url))
+    passed = durable(own.filter("reason = '' AND _recent").drop("_fit", "_kind", "_text", "_recent"))
+    keyed = passed.withColumn("url_key", memory_key(url)).withColumn("title_key", normalized_text(F.col("title"))).withColumn("story_key", story_key(F.col("title"), F.regexp_extract("url", "//([^/]*)", 1), F.lit("")))
+    fresh = durable(anti_any(keyed, memory, ["url_key", "title_key", "story_key"]))
     kept = greedy_dedup(fresh, "pos", [F.col("url_key"), F.col("title_key"), F.col("story_key")])
     return top_pool(owner_signals(kept.withColumn("owner", F.regexp_extract("url", "//([^/]*)", 1)), "owner", "url"), [classify.lane_points(F.col("lane")), "priority"], "pos", pool)
 
