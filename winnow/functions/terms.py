@@ -222,3 +222,9 @@ FAILURE_WORDS = ("error", "failed", "exception", "refused", "invalid")
 OFFICIAL_SIGNS = ("official", "announcement", "release notes", "changelog", "now available")
 NEWS_SIGNS = ("new feature", "new capability", "users can now", "launch", "rollout")
 HARD_REASONS = ("wrong_domain", "outside_official_site_path", "developer_or_docs_page", "developer_content", "listing_or_index_page", "outside_lookback_window", "no_product_news_signal", "tool_name_not_in_text")
+# Domains and icons of makers, names of media, names that say nothing.
+COMPANY_DOMAINS = {"openai": "openai.com", "chatgpt": "openai.com", "codex": "openai.com", "google": "google.com", "gemini": "gemini.google.com", "microsoft": "microsoft.com", "copilot": "copilot.microsoft.com", "anthropic": "anthropic.com", "claude": "anthropic.com", "adobe": "adobe.com", "firefly": "adobe.com", "canva": "canva.com", "figma": "figma.com", "runway": "runwayml.com", "elevenlabs": "elevenlabs.io", "descript": "descript.com", "stability ai": "stability.ai", "midjourney": "midjourney.com", "krea": "krea.ai", "ideogram": "ideogram.ai", "pika": "pika.art", "luma": "lumalabs.ai", "perplexity": "perplexity.ai", "notion": "notion.so", "amazon": "amazon.com", "aws": "aws.amazon.com", "nvidia": "nvidia.com", "zapier": "zapier.com", "n8n": "n8n.io", "intercom": "intercom.com", "wordpress": "wordpress.com", "jstor": "jstor.org", "anysphere": "anysphere.inc", "cursor": "cursor.com", "reallusion": "reallusion.com"}
+ICON_SLUGS = {"openai": "openai", "chatgpt": "openai", "codex": "openai", "google": "google", "gemini": "googlegemini", "microsoft": "microsoft", "copilot": "githubcopilot", "anthropic": "anthropic", "claude": "claude", "adobe": "adobe", "firefly": "adobe", "canva": "canva", "figma": "figma", "runway": "runway", "elevenlabs": "elevenlabs", "descript": "descript", "stability ai": "stabilityai", "midjourney": "midjourney", "krea": "krea", "ideogram": "ideogram", "pika": "pika", "luma": "luma", "perplexity": "perplexity", "notion": "notion", "amazon": "amazon", "aws": "amazonaws", "nvidia": "nvidia", "zapier": "zapier", "n8n": "n8n", "intercom": "intercom", "wordpress": "wordpress", "jstor": "jstor", "anysphere": "cursor", "cursor": "cursor"}
+NEWS_SOURCE_KEYS = ("techcrunch", "the verge", "verge", "venturebeat", "zdnet", "wired", "bloomberg", "yahoo", "ground news", "digital trends", "tomsguide", "xda developers", "the decoder")
+GENERIC_MAKERS = ("api", "app", "apps", "model", "platform", "feature", "tool", "assistant")
+MAKER_LOGOS = {"reallusion": "https://www.reallusion.com/about/includes/image/press_resource_product/rl/reallusion-logo-horizontal-lightbg_2000x443.png"}

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import blank, first_match, first_set
+from . import terms as T
+from .rules import blank, first_match, first_set, lookup
 from .text import logo_key
 
 _HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)"
@@ -176,12 +177,28 @@ def icons(name: Column, slug: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(stems, lambda s: F.char_length(s) >= 3), lambda s: F.concat(F.lit("https://cdn.simpleicons.org/"), s)))
 
 
-def logos(company: Column, slug: Column, known_domain: Column, source_url: Column) -> Column:
-    """URL24: distinct logo addresses, the most specific first."""
-    hosts = F.concat(F.array(blank(known_domain)), guessed_domains(company))
-    own = F.when(company_matches(company, source_url), F.array(domain(source_url))).otherwise(F.array().cast("array<string>"))
-    marks = F.transform(F.concat(own, hosts), favicon)
-    return F.array_distinct(F.filter(F.concat(icons(company, slug), marks), lambda u: u != ""))
+def _marks(host: Column) -> Column:
+    """Where a host's logo may be: two services that know real hosts, then one that has an icon for any."""
+    return F.array(F.concat(F.lit("https://logo.clearbit.com/"), host), F.concat(F.lit("https://icons.duckduckgo.com/ip3/"), host, F.lit(".ico")), favicon(host))
+
+
+def logos(company: Column, source_url: Column) -> Column:
+    """URL24: distinct logo addresses of a maker, the most specific first.
+
+    A maker without a known domain has guessed ones; the service that has an icon for
+    any of them comes after the others.
+    """
+    key, none = logo_key(company), F.array().cast("array<string>")
+    known, own = lookup(key, T.COMPANY_DOMAINS, ""), domain(source_url)
+    guesses = F.transform(guessed_domains(company), _marks)
+    guessed = F.concat(F.flatten(F.transform(guesses, lambda m: F.slice(m, 1, 2))), F.transform(guesses, lambda m: F.element_at(m, 3)))
+    every = F.concat(
+        F.array(lookup(key, T.MAKER_LOGOS, "")),
+        icons(company, lookup(key, T.ICON_SLUGS, "")),
+        F.when(known != "", _marks(known)).otherwise(guessed),
+        F.when((own != "") & company_matches(company, own), _marks(own)).otherwise(none),
+    )
+    return F.array_distinct(F.filter(every, lambda u: u != ""))
 
 
 def path_pattern(url: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import pages, text, urls
 from .functions import terms as T
 from .functions.keys import DISTRIBUTION_WORDS, STORY_STOP_WORDS, story_key
-from .operators import documents
+from .operators import documents, identity
 from .plans import curation
 from .queries import _ALIASED, _COUNT, _DEV, _FIT, _PAGE_TITLE, C, _clean, _has, _in, _lit, _norm, _points, query, table
 from .queries_more import _KIND, _nth, _nth_sql, _unique
@@ -132,3 +132,53 @@ def T_document_headers(spark, d):
     got = documents.document_headers(docs, "p_partkey", "raw", "Default", ("Made by", "Office"), F.lit("Now"))
     told = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return got.select("p_partkey", "newsletter_title", "issue_number", "month_year", "feature_mode", "news_display_count", told.alias("metadata"), F.substring_index("footer_text", "\t\t|\t\t", 2).alias("footer"))
+
+
+# --- looks of cards -----------------------------------------------------------
+
+_MAKERS = ("OpenAI", "Stability AI", "The Verge", "api", "runwayml.com", "", "Tines Labs", "Reallusion Inc.", "Blue-Sky Co", "AI", "<b>Luma</b>")
+_HEADLINES = ("Launch (Krea) now", "Big News today", "small words", "The Verge")
+_ADDRESSES = ("", "https://www.tines.com/x", "https://blog.stability.ai/n", "https://a.co.uk/x", "openai.com/x", "https://blue-sky.io")
+_LEGAL = "inc|llc|ltd|corp|corporation|company|co"
+
+
+def _key_sql(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), '\b({_LEGAL})\b', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+def _case_sql(x: str, table: dict[str, str]) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN {_lit(k)} THEN {_lit(v)}" for k, v in table.items()) + " ELSE '' END"
+
+
+_MARK = ("'https://logo.clearbit.com/' || {0}", "'https://icons.duckduckgo.com/ip3/' || {0} || '.ico'", "'https://www.google.com/s2/favicons?sz=128&domain=' || {0}")
+
+
+@query(
+    f"""WITH n AS (SELECT p_partkey, p_partkey % 3 AS kind, {_nth_sql(_MAKERS)} AS made, {_nth_sql(_MAKERS, 'p_size')} AS sold, {_nth_sql(_MAKERS, '(p_partkey + 1)')} AS source, p_partkey % 5 = 0 AS official, ['Krea', 'Big News', '', ''][p_partkey % 4 + 1] AS titled, p_partkey % 6 + 1 AS a FROM part),
+    c AS (SELECT *, {_clean('made')} AS m, {_clean('sold')} AS s, {_key_sql('source')} AS sk, ['', 'Tines', 'Stability', 'A', 'Openai', 'Blue Sky'][a] AS site FROM n),
+    w AS (SELECT *, CASE kind WHEN 1 THEN coalesce(nullif(s, ''), nullif(m, ''), nullif(site, ''), 'AI Course') WHEN 2 THEN coalesce(nullif(s, ''), nullif(m, ''), nullif({_clean('source')}, ''), nullif(site, ''), 'Movie')
+      ELSE coalesce(list_filter([m, s], lambda x: x <> '' AND {_key_sql('x')} NOT IN {_in((*T.GENERIC_MAKERS, *T.NEWS_SOURCE_KEYS))} AND NOT contains(x, '.') AND (sk = '' OR {_key_sql('x')} <> sk OR official))[1], nullif(titled, ''), nullif(site, ''), 'AI') END AS company FROM c),
+    k AS (SELECT *, {_key_sql('company')} AS key, ['', 'tines.com', 'blog.stability.ai', 'a.co.uk', '', 'blue-sky.io'][a] AS host, ['', 'tines', 'stability', 'a', '', 'blue sky'][a] AS root FROM w),
+    d AS (SELECT *, {_case_sql('key', T.COMPANY_DOMAINS)} AS known, {_case_sql('key', T.ICON_SLUGS)} AS slug, replace(key, ' ', '') AS stem FROM k),
+    l AS (SELECT *, list_concat([{_case_sql('key', T.MAKER_LOGOS)}], list_transform(list_filter([slug, stem, replace(key, ' ', '-')], lambda x: length(x) >= 3), lambda x: 'https://cdn.simpleicons.org/' || x),
+      CASE WHEN known <> '' THEN [{', '.join(x.format('known') for x in _MARK)}] WHEN length(stem) < 3 THEN [] ELSE list_concat({', '.join(f"[{_MARK[0].format(h)}, {_MARK[1].format(h)}]" for h in ("stem || '.com'", "stem || '.ai'", "stem || '.io'"))}, [{', '.join(_MARK[2].format(h) for h in ("stem || '.com'", "stem || '.ai'", "stem || '.io'"))}]) END,
+      CASE WHEN host <> '' AND key <> '' AND (root IN (stem, replace(key, ' ', '-')) OR (list_contains(string_split(key, ' '), root) AND root NOT IN ('ai', 'app', 'tool', 'labs'))) THEN [{', '.join(x.format('host') for x in _MARK)}] ELSE [] END) AS l FROM d),
+    f AS (SELECT *, list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i) AS logos, ['', 'tines.com', 'blog.stability.ai', 'a.co.uk', 'openai.com', 'blue-sky.io'][a] AS h FROM l)
+    SELECT p_partkey, company, coalesce(logos[1], '') AS logo, array_to_string(logos, ' ') AS logos, CASE WHEN len(logos) > 0 THEN 'enrichment_logo_candidate' ELSE 'no_verified_company_logo_candidate' END AS reason,
+    CASE WHEN kind = 1 AND len(logos) > 0 THEN logos[1] WHEN h <> '' THEN {_MARK[2].format('h')} ELSE '' END AS source_logo, CASE WHEN kind = 1 THEN coalesce(logos[1], '') ELSE '' END AS provider_logo, CASE WHEN kind = 1 AND sold = '' THEN company ELSE sold END AS provider FROM f"""
+)
+def R_visual_identity(spark, d):
+    """Makers and logos of cards of three kinds, with names and addresses planted."""
+    p = C("p_partkey")
+    own = table(spark, d, "part").select(
+        "p_partkey",
+        F.element_at(F.array(F.lit("news"), F.lit("course"), F.lit("movie")), (p % 3 + 1).cast("int")).alias("type"),
+        _nth(_MAKERS).alias("company"),
+        _nth(_MAKERS, "p_size").alias("provider"),
+        F.element_at(F.array(*[F.lit(x) for x in _MAKERS]), ((p + 1) % len(_MAKERS) + 1).cast("int")).alias("source"),
+        (p % 5 == 0).alias("is_official_company_source"),
+        _nth(_HEADLINES).alias("title"),
+        _nth(_ADDRESSES).alias("url"),
+    )
+    got = identity.with_identity(own, C("type"))
+    return got.select("p_partkey", "company", "logo", F.array_join("logo_candidates", " ").alias("logos"), C("logo_resolution_reason").alias("reason"), "source_logo", "provider_logo", "provider")
