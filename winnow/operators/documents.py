@@ -81,20 +81,19 @@ def distinct_cards(cards: Column) -> Column:
 
 def _carder(kind: str) -> Callable[[Column], Column]:
     def card(c: Column) -> Column:
-        title, url, tool = clean_text(_title(c)), _url(c), _text(c, "tool_name", "product")
-        story = story_key(title, owner(blank(c["company"]), url, title), tool) if kind == "news" else F.lit("")
         seed = F.concat(F.lit(f"{kind}-"), short_sha1(F.to_json(c), 12))
         return F.struct(
             first_set(c["id"], seed).alias("id"),
-            title.alias("title"),
+            clean_text(_title(c)).alias("title"),
             clean_text(_text(c, "text", "summary", "description")).alias("text"),
-            url.alias("url"),
+            _url(c).alias("url"),
             blank(c["source"]).alias("source"),
-            story.alias("story_key"),
+            F.lit("").alias("story_key"),
+            blank(c["company"]).alias("company"),
             F.lit(kind).alias("type"),
             blank(c["provider"]).alias("provider"),
             blank(c["level"]).alias("level"),
-            tool.alias("tool_name"),
+            _text(c, "tool_name", "product").alias("tool_name"),
             blank(c["id"]).alias("_id"),
             blank(c["url"]).alias("_url"),
             blank(c["title"]).alias("_title"),
@@ -103,6 +102,10 @@ def _carder(kind: str) -> Callable[[Column], Column]:
     return card
 
 
+def _storied(c: Column) -> Column:
+    return c.withField("story_key", story_key(c["title"], owner(c["company"], c["url"], c["title"]), c["tool_name"]))
+
+
 def _keyed(cards: Column, id_: str, url: str, title: str) -> Column:
     """Cards with the keys to compare them by, of the named fields."""
     return F.transform(cards, lambda c: c.withField("_i", c[id_]).withField("_u", duplicate_text(c[url])).withField("_t", duplicate_text(c[title])))
@@ -127,7 +130,8 @@ def document_cards(docs: DataFrame, key: str, raw: str) -> DataFrame:
     rows = own.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("section"), chosen[n].alias("cards")) for n in flat])).alias("_s")).select(key, "_s.*")
     each = None
     for n, (kind, _, _) in flat.items():
-        made = F.when(F.col("section") == n, F.transform("cards", _carder(kind)))
+        made = F.transform("cards", _carder(kind))
+        made = F.when(F.col("section") == n, F.transform(made, _storied) if kind == "news" else made)
         each = made if each is None else F.coalesce(each, made)
     rows = rows.select(key, "section", _keyed(each, "_id", "_url", "_title").alias("_c"))
     rows = rows.select(key, "section", F.when(F.col("section") == "items", distinct_cards(F.col("_c"))).otherwise(F.col("_c")).alias("_c"))

@@ -9,6 +9,7 @@ from .functions import terms as T
 from .functions.keys import DISTRIBUTION_WORDS, STORY_STOP_WORDS, story_key
 from .operators import documents, identity
 from .plans import curation
+from .sources import models
 from .queries import _ALIASED, _COUNT, _DEV, _FIT, _PAGE_TITLE, C, _clean, _has, _in, _lit, _norm, _points, query, table
 from .queries_more import _KIND, _nth, _nth_sql, _unique
 
@@ -182,3 +183,35 @@ def R_visual_identity(spark, d):
     )
     got = identity.with_identity(own, C("type"))
     return got.select("p_partkey", "company", "logo", F.array_join("logo_candidates", " ").alias("logos"), C("logo_resolution_reason").alias("reason"), "source_logo", "provider_logo", "provider")
+
+
+# --- models -------------------------------------------------------------------
+
+_LIKED = tuple("01234567")
+
+
+@query(
+    f"""WITH r AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS n FROM part), a AS (SELECT *, CAST((n - 1) // 20 + 1 AS INT) AS round FROM r WHERE n <= 80 AND substr(sha1('part ' || p_partkey), 1, 1) IN {_in(_LIKED)} ORDER BY n LIMIT 30)
+    SELECT p_partkey, p_size, round FROM a"""
+)
+def H_selection_rounds(spark, d):
+    """Thirty parts (the feature's number) that a model accepts, asked for twenty at a time, the largest that are left, in at most four rounds."""
+
+    def choose(left):
+        best = left.orderBy(F.desc("p_size"), "p_partkey").limit(20).withColumn("asked", F.concat(F.lit("part "), C("p_partkey")))
+        told = models.ask(best, "select", "asked", "reply")
+        digest = F.get_json_object(pages.json_object(C("reply")), "$.digest")
+        return told.select("p_partkey", "p_size", F.coalesce(F.substring(digest, 1, 1).isin(*_LIKED), F.lit(False)).alias("accepted"))
+
+    own = table(spark, d, "part").select("p_partkey", "p_size")
+    return models.select_with_retries(own, "p_partkey", 30, choose, rounds=4, order=[F.desc("p_size")])
+
+
+@query(
+    """SELECT conv_id, turn, text, [length(t) - length(replace(t, v, '')) FOR v IN ['a', 'e', 'i', 'o', 'u']][1] AS a, length(t) - length(replace(t, 'u', '')) AS u, length(t) AS n FROM (SELECT conv_id, turn, md5(coalesce(text, '')) AS text, coalesce(text, '') AS t FROM conversations)"""
+)
+def H_embedded(spark, d):
+    """Vectors of all turns by a stand-in model, equal texts once."""
+    got = models.embed(table(spark, d, "conversations"), "text", "vector", models.letter_model)
+    at = lambda n: F.get("vector", F.lit(n)).cast("long")
+    return got.select("conv_id", "turn", F.md5(F.coalesce("text", F.lit(""))).alias("text"), at(0).alias("a"), at(4).alias("u"), at(5).alias("n"))

@@ -6,9 +6,11 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import durable
+
 Model = Callable[[str, list[str]], list[str]]
 
 
@@ -53,21 +55,26 @@ def embed(df: DataFrame, text: str, vector: str, model: Callable[[list[str]], li
     return df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).join(done, "_t", "left").withColumnRenamed("_v", vector).drop("_t")
 
 
-def select_with_retries(candidates: DataFrame, key: str, count: int, choose: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+def letter_model(texts: list[str]) -> list[list[float]]:
+    """A deterministic stand-in: how often each vowel is in a text, and its length."""
+    return [[float(t.count(v)) for v in "aeiou"] + [float(len(t))] for t in texts]
+
+
+def select_with_retries(candidates: DataFrame, key: str, count: int, choose: Callable[[DataFrame], DataFrame], rounds: int = 3, order: Sequence[Column | str] = ()) -> DataFrame:
     """UDF4, UDF5, STM2: ask for a choice again without what was chosen or rejected, until it is enough.
 
-    ``choose`` returns rows with a boolean ``accepted``; each round reads the candidates
-    that no earlier round has returned.
+    ``choose`` returns rows of the candidates with a boolean ``accepted``; each round
+    reads the candidates that no earlier round has returned.  Of more than ``count``
+    accepted rows those of earlier rounds come first, then by ``order`` and ``key``.
+    Adds ``round`` from 1.  Only counts reach the driver.
     """
-    from ..operators.tables import durable
-
     seen = kept = None
-    for _ in range(rounds):
+    for n in range(1, rounds + 1):
         left = candidates if seen is None else candidates.join(seen, key, "left_anti")
-        got = durable(choose(left))
+        got = durable(choose(left).withColumn("round", F.lit(n)))
         new = got.filter("accepted").drop("accepted")
         kept = new if kept is None else kept.unionByName(new)
         seen = got.select(key) if seen is None else seen.unionByName(got.select(key))
         if got.isEmpty() or kept.count() >= count:
             break
-    return kept.limit(count)
+    return kept.orderBy("round", *order, key).limit(count)
