@@ -73,3 +73,19 @@ def test_identity_of_bare_cards(spark):
     assert rows[2].logo == "" and rows[2].logo_candidates == [] and rows[2].logo_resolution_reason == "no_verified_company_logo_candidate"
     assert rows[3].logo_candidates[-1].endswith("learn.tines.com") and rows[1].provider == "AI Course" and rows[3].provider == ""
     assert identity.with_identity(df.limit(0), F.lit("news")).count() == 0
+
+
+def test_texts_within_others(spark):
+    """A common beginning, repeats, ties, nulls and short texts against all pairs."""
+    from random import Random
+
+    from winnow.operators import joins
+
+    rnd = Random(2)
+    head = "the same beginning "
+    pool = [None, "", "ab", "abc", "xabcx", "日本語の題", "題", head, *[head + "".join(rnd.choice("abc") for _ in range(rnd.randrange(8))) for _ in range(40)], *["".join(rnd.choice("abc") for _ in range(rnd.randrange(9))) for _ in range(40)]]
+    a = [(n, rnd.choice(pool)) for n in range(70)]
+    b = [(n, rnd.choice(pool)) for n in range(100, 160)]
+    got = joins.containing(spark.createDataFrame(a, "i long, t string"), spark.createDataFrame(b, "j long, t string"), "i", "j", "t").collect()
+    want = sorted((i, j) for i, x in a for j, y in b if x and y and min(len(x), len(y)) >= 3 and (x in y or y in x))
+    assert sorted((r.i, r.j) for r in got) == want and len(want) > 50

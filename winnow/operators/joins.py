@@ -89,21 +89,31 @@ def overlapping(items: DataFrame, others: DataFrame, id_col: str, other_id: str,
 
 
 def containing(items: DataFrame, others: DataFrame, id_col: str, other_id: str, text: str) -> DataFrame:
-    """JON6: pairs where one text is the other or is within it.
+    """JON6: pairs where one text is the other or is within it; texts of fewer than three characters are in no pair.
 
-    A text's first three characters are looked up among all runs of three of the
-    others, so only texts that can contain it are compared.
+    A text within another has all its runs of three characters there, so the rarest of
+    them is looked up among the others' runs: a common beginning makes no hot key, and a
+    text with a run that no other has joins nothing.  Only ids and runs meet; texts
+    come to the candidates.  Ids are unique and not null.
     """
+    t = F.col(text)
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - 2, F.lit(1))), lambda i: t.substr(i, F.lit(3)))
 
-    def grams(df: DataFrame, name: str, alias: str) -> DataFrame:
-        t = F.col(text)
-        every = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - 2, F.lit(1))), lambda i: t.substr(i, F.lit(3)))
-        return df.filter(F.char_length(text) >= 3).select(F.col(name).alias(alias), t.alias(f"t{alias}"), F.substring(text, 1, 3).alias(f"h{alias}"), F.array_distinct(every).alias(f"g{alias}"))
+    def texts(df: DataFrame, name: str, side: str) -> DataFrame:
+        return df.filter(F.char_length(text) >= 3).select(F.col(name).alias(f"_{side}"), t.alias(f"t{side}"))
 
-    a, b = grams(items, id_col, "_a"), grams(others, other_id, "_b")
-    one = a.join(b.withColumn("h_a", F.explode("g_b")), "h_a").filter("contains(t_b, t_a)")
-    two = b.join(a.withColumn("h_b", F.explode("g_a")), "h_b").filter("contains(t_a, t_b)")
-    return one.select("_a", "_b").unionByName(two.select("_a", "_b")).distinct().select(F.col("_a").alias(id_col), F.col("_b").alias(other_id))
+    def grams(df: DataFrame, name: str, side: str) -> DataFrame:
+        return df.filter(F.char_length(text) >= 3).select(F.col(name).alias(f"_{side}"), F.explode(F.array_distinct(every)).alias("g"))
+
+    def within(small: DataFrame, x: str, large: DataFrame, y: str) -> DataFrame:
+        often = large.groupBy("g").agg(F.count("*").alias("f"))
+        rarest = small.join(often, "g", "left").groupBy(f"_{x}").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g")).alias("m")).filter("m.f > 0")
+        return rarest.select(f"_{x}", F.col("m.g").alias("g")).join(large, "g").select("_a", "_b")
+
+    a, b = grams(items, id_col, "a"), grams(others, other_id, "b")
+    met = within(a, "a", b, "b").unionByName(within(b, "b", a, "a")).distinct()
+    both = met.join(texts(items, id_col, "a"), "_a").join(texts(others, other_id, "b"), "_b")
+    return both.filter("contains(tb, ta) OR contains(ta, tb)").select(F.col("_a").alias(id_col), F.col("_b").alias(other_id))
 
 
 def suffix_join(items: DataFrame, domains: DataFrame, host: str, domain: str, how: str = "left_semi") -> DataFrame:
