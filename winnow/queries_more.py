@@ -721,14 +721,16 @@ def T_published_memory(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT p_partkey, 'p' || p_partkey AS id, p_name AS t, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'https://x.org/' || p_size END AS u FROM part WHERE p_partkey % 10 = 1), e AS (SELECT 'p' || p_partkey AS id, p_name AS t, CASE WHEN p_size % 2 = 0 THEN NULL ELSE 'https://x.org/' || p_size END AS u FROM part WHERE p_partkey % 10 = 2 AND p_type = 'PROMO' OR p_partkey % 50 = 1)
+    """WITH n AS (SELECT *, 'p' || p_partkey AS id, p_type || ' ' || (p_partkey // 3) AS t, 'https://x.org/' || (p_partkey // 3) AS a FROM part), c AS (SELECT *, CASE WHEN p_size % 3 = 0 THEN NULL ELSE a END AS u FROM n WHERE p_partkey % 2 = 1), e AS (SELECT *, CASE WHEN p_size % 2 = 0 THEN NULL ELSE a END AS u FROM n WHERE p_partkey % 2 = 0 AND p_type IN ('PROMO', 'ECONOMY') OR p_partkey % 50 = 1)
     SELECT p_partkey FROM c WHERE id IN (SELECT id FROM e) OR u IN (SELECT u FROM e WHERE u IS NOT NULL) OR (u IS NULL AND t IN (SELECT t FROM e)) OR t IN (SELECT t FROM e WHERE u IS NULL)"""
 )
 def T_duplicates(spark, d):
-    p = table(spark, d, "part").withColumn("id", F.concat(F.lit("p"), "p_partkey")).withColumn("title", F.concat(F.lit(" "), F.upper("p_name"))).withColumn("section", F.when((C("p_partkey") % 10 == 2) & (C("p_type") == "PROMO"), "news").when(C("p_partkey") % 50 == 1, "more"))
-    url = lambda n: F.when(C("p_size") % n == 0, F.when(C("p_size") % 4 == 0, "#").otherwise("")).otherwise(F.concat(F.lit("HTTPS://x.org/"), "p_size", F.lit("/")))
-    known = store.exclusions(p.withColumn("url", url(2)), "news", F.lit(False), p.filter("section = 'more'").withColumn("url", url(2)))
-    return store.duplicates(p.filter("p_partkey % 10 = 1").withColumn("url", url(3)), known, "p_partkey")
+    """Odd parts that repeat an even one on display, or one of those that count besides."""
+    k, group = C("p_partkey"), F.floor(C("p_partkey") / 3)
+    own = table(spark, d, "part").select("p_partkey", "p_size", F.concat(F.lit("p"), k).alias("id"), F.concat(F.lit(" "), F.upper("p_type"), F.lit(" "), group).alias("title"), group.alias("g"), F.when((k % 2 == 0) & C("p_type").isin("PROMO", "ECONOMY"), "news").when(k % 50 == 1, "more").alias("section"))
+    url = lambda n: F.when(C("p_size") % n == 0, F.when(C("p_size") % 4 == 0, "#").otherwise("")).otherwise(F.concat(F.lit("HTTPS://x.org/"), "g", F.lit("/")))
+    known = store.exclusions(own.withColumn("url", url(2)), "news", F.lit(False), own.filter("section = 'more'").withColumn("url", url(2)))
+    return store.duplicates(own.filter("p_partkey % 2 = 1").withColumn("url", url(3)), known, "p_partkey")
 
 
 @query(
