@@ -110,6 +110,23 @@ def test_like_titles(spark, ratio):
     assert [tuple(r) for r in sorted(index.like_titles(df, ratio).collect())] == sorted(like)
 
 
+def test_like_titles_meet_in_blocks(spark):
+    """Several blocks find what all pairs have, and pairs of titles are neither joined nor shuffled."""
+    from difflib import SequenceMatcher
+    from random import Random
+
+    from winnow.operators import titles as index
+
+    rnd = Random(6)
+    base = ["the river runs to the old town", "an den alten ufern des flusses", "題" * 70 + "名"]
+    every = sorted({"".join(rnd.choice("abc d") if rnd.random() < 0.12 else c for c in rnd.choice(base)) for _ in range(90)})
+    like = {(a, b) for i, a in enumerate(every) for b in every[i + 1 :] if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) > 0.8}
+    found = index.like_titles(spark.createDataFrame([(t,) for t in every], "title string"), 0.8, rows=16)
+    assert len(like) > 50
+    assert [tuple(r) for r in sorted(found.collect())] == sorted(like)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_title_index_prunes(spark):
     """The index lets few pairs of unlike titles through, and the plan has no pairing of blocks or nested loops."""
     from random import Random

@@ -1,4 +1,4 @@
-"""Titles alike by matching blocks, found through an inverted index of positional pairs of characters (JON15, DED3).
+"""Titles alike by matching blocks (JON15, DED3).
 
 With M matching characters of titles of l and m characters the ratio is 2 M / (l + m).
 Over a ratio r above 2/3 a pair of titles
@@ -10,26 +10,34 @@ Over a ratio r above 2/3 a pair of titles
 - so shares one among the rarest of both, all but that number less one (prefix filter);
 - has a common subsequence of M characters or more.
 
-Pairs of characters are the index, ranked by how many titles have them.  Titles meet by
-equality of an indexed pair, within the length and position bounds; what is left is
-verified by the common subsequence, bit-parallel over a whole batch, and at last by the
-matching blocks themselves.
+``like_titles`` deals titles to blocks and lets each two blocks meet in one task, where
+pairs of titles are counted, not shipped: lengths first, then shared pairs of characters
+as one matrix product, then the common subsequence, bit-parallel over all titles left, at
+last the matching blocks themselves.  Only links leave the task, so disk grows with
+titles times blocks, not with pairs of titles.
+
+``indexed_grams`` and ``candidates`` are an inverted index of the same pairs of characters.
+It is worth its rows where few titles share them (a wide alphabet); in prose at a ratio
+of 0.8 most titles do.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import durable
 
 _WORD = 64
+#: Titles of a block; two blocks meet in one task.
+ROWS = 4096
+#: Columns that pairs of characters are hashed to for counting, and titles counted at once.
+_COLUMNS, _CHUNK = 1024, 256
 
 
 def _needed(both: Column, ratio: float) -> Column:
@@ -95,30 +103,109 @@ def alike(a: str, b: str, ratio: float) -> bool:
     return SequenceMatcher(None, a, b).ratio() > ratio or SequenceMatcher(None, b, a).ratio() > ratio
 
 
-def _verified(ratio: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            short = [n for n, (x, y) in enumerate(zip(a, b, strict=True)) if len(x) <= _WORD and len(y) <= _WORD]
-            common = dict(zip(short, common_subsequence([a[n] for n in short], [b[n] for n in short]).tolist(), strict=True))
-            for n, (x, y) in enumerate(zip(a, b, strict=True)):
-                if common.get(n, len(x)) > math.floor(ratio * (len(x) + len(y)) / 2) - 1e-9 and alike(*sorted((x, y)), ratio):
-                    keep.append(n)
-            yield batch.take(pa.array(keep, pa.int64()))
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code point) of all characters, text after text."""
+    return np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def _counted(texts: list[str]) -> np.ndarray:
+    """Rows whose products are at least the pairs of characters that two texts share: the nth use of a pair is a column, by hash."""
+    row, point = _points(texts)
+    at = np.flatnonzero(row[1:] == row[:-1])
+    row, gram = row[at], point[at] << 21 | point[at + 1]
+    order = np.lexsort((gram, row))
+    row, gram = row[order], gram[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+    places = np.arange(len(row))
+    nth = places - np.maximum.accumulate(np.where(new, places, 0))
+    with np.errstate(over="ignore"):
+        column = ((gram * 1000003 + nth * 7919).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % _COLUMNS
+    return np.bincount(row * _COLUMNS + column, minlength=len(texts) * _COLUMNS).reshape(-1, _COLUMNS).astype(np.float32)
+
+
+class _Side:
+    """A block's titles by length, as rows to count by and, up to 64 characters, as columns of codes."""
+
+    def __init__(self, texts: list[str], alphabet: np.ndarray):
+        self.texts = sorted(texts, key=lambda t: (len(t), t))
+        self.size = np.array([len(t) for t in self.texts], np.int64)
+        self.grams = _counted(self.texts)
+        short = [t if len(t) <= _WORD else "" for t in self.texts]
+        row, point = _points(short)
+        first = np.cumsum([0, *map(len, short)])[:-1]
+        self.codes = np.full((_WORD, len(short)), len(alphabet), np.int64)
+        self.codes[np.arange(len(row)) - first[row], row] = np.searchsorted(alphabet, point)
+
+
+def _common_with(mask: np.ndarray, size: int, codes: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of one title, as bits by code, and each of others, as columns of codes."""
+    v = np.full(codes.shape[1], 0xFFFFFFFFFFFFFFFF, np.uint64)
+    with np.errstate(over="ignore"):
+        for row in codes:
+            u = v & mask[row]
+            v = (v + u) | (v - u)
+    low = np.uint64((1 << size) - 1)
+    return np.bitwise_count(~v & low).astype(np.int64)
+
+
+def _links(a: _Side, b: _Side, letters: int, ratio: float, same: bool) -> Iterator[tuple[str, str]]:
+    """Titles of two blocks that are alike; of one block with itself each pair once."""
+    mask = np.zeros(letters + 1, np.uint64)
+    for start in range(0, len(a.texts), _CHUNK):
+        size = a.size[start : start + _CHUNK]
+        lo = np.searchsorted(b.size, size[0] * ratio / (2 - ratio) - 1e-6)
+        hi = np.searchsorted(b.size, size[-1] * (2 - ratio) / ratio + 1e-6, side="right")
+        both = size[:, None] + b.size[None, lo:hi]
+        need = np.floor(ratio * both / 2 - 1e-9).astype(np.int64) + 1
+        met = (a.grams[start : start + _CHUNK] @ b.grams[lo:hi].T >= 3 * need - both - 1) & (need <= np.minimum(size[:, None], b.size[None, lo:hi]))
+        for n in range(len(size)):
+            own, text = start + n, a.texts[start + n]
+            found = np.flatnonzero(met[n])
+            if same:
+                found = found[found + lo > own]
+            if not len(found):
+                continue
+            if len(text) <= _WORD:
+                short = b.size[lo + found] <= _WORD
+                tried = found[short]
+                codes = a.codes[: len(text), own]
+                np.bitwise_or.at(mask, codes, np.uint64(1) << np.arange(len(text), dtype=np.uint64))
+                longest = int(b.size[lo + tried].max(initial=0))
+                common = _common_with(mask, len(text), b.codes[:longest, lo + tried])
+                mask[codes] = 0
+                found = np.concatenate([tried[common >= need[n, tried]], found[~short]])
+            for k in found:
+                x, y = sorted((text, b.texts[lo + k]))
+                if SequenceMatcher(None, x, y).quick_ratio() > ratio and alike(x, y, ratio):
+                    yield x, y
+
+
+def _met(ratio: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        own = pdf["own"].to_numpy()
+        alphabet = np.unique(_points(pdf["title"].tolist())[1])
+        a = _Side(pdf["title"][own == i].tolist(), alphabet)
+        b = a if i == j else _Side(pdf["title"][own == j].tolist(), alphabet)
+        return pd.DataFrame(list(_links(a, b, len(alphabet), ratio, i == j)), columns=["a", "b"], dtype=object)
 
     return run
 
 
-def like_titles(df: DataFrame, ratio: float = 0.80) -> DataFrame:
+def like_titles(df: DataFrame, ratio: float = 0.80, rows: int = ROWS) -> DataFrame:
     """(a, b) for all pairs of unlike titles of ``df.title`` whose matching-blocks ratio is over ``ratio``, which is over 2/3.
 
-    Titles of one character or none are like themselves only.  Titles are told apart by
-    a 64-bit hash until they are verified.
+    Titles of one character or none are like themselves only.  The pairs that meet grow
+    with the square of the titles; what is shipped is each title once for each block of
+    about ``rows``.
     """
     if ratio <= 2 / 3:
         raise ValueError("ratio has to be over 2/3 for titles to share pairs of characters")
-    titles = df.select("title").distinct().select(F.xxhash64("title").alias("id"), "title")
-    met = candidates(durable(indexed_grams(titles, ratio)), ratio)  # both sides of the join read it
-    a, b = (titles.select(F.col("id").alias(u), F.col("title").alias(t)) for u, t in (("u", "a"), ("v", "b")))
-    return met.join(a, "u").join(b, "v").select("a", "b").mapInArrow(_verified(ratio), "a string, b string").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    titles = durable(df.select("title").filter("char_length(title) > 1").distinct())
+    blocks = max(1, -(-titles.count() // rows))
+    k = F.sequence(F.lit(0), F.lit(blocks - 1))
+    own = titles.select("title", F.pmod(F.xxhash64("title"), F.lit(blocks)).cast("int").alias("own"), F.explode(k).alias("k"))
+    met = own.select("title", "own", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
+    tasks = min(blocks * (blocks + 1), 2000)  # by number, as small partitions that are merged would be one task
+    return met.repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(_met(ratio), "a string, b string")
