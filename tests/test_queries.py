@@ -183,6 +183,28 @@ def test_greedy_vectors_over_blocks(spark, monkeypatch):
     assert sorted(r.pos for r in dedup.greedy_vectors(df, "id", "v", 0.9).collect()) == [1, 4, 5, 6, 7]
 
 
+def test_greedy_vectors_make_no_pairs(spark, monkeypatch):
+    """Rounds over blocks equal the plain scan, and pairs of similar vectors aren't asked for."""
+    import numpy as np
+
+    from winnow.operators import dedup, vectors
+
+    def none(*a, **k):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(dedup, "similar_pairs", none)
+    m = np.random.default_rng(7).normal(size=(300, 6))
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    kept = []
+    for n in range(len(u)):
+        if not kept or (u[kept] @ u[n]).max() < 0.7:
+            kept.append(n)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>").repartition(3)
+    assert 40 < len(kept) < 200
+    assert sorted(r.pos for r in dedup.greedy_vectors(df, "id", "v", 0.7).collect()) == kept
+    assert sorted(r.pos for r in vectors.greedy(df, "id", "v", 0.7, rows=25).collect()) == kept
+
+
 @pytest.mark.parametrize("threshold", [0.2, 0.9])
 def test_pivots_lose_nothing_and_prune(spark, threshold):
     """Clustered vectors: all pairs are found, and where cells can't match they don't meet."""
