@@ -234,6 +234,28 @@ def test_pivots_lose_nothing_and_prune(spark, threshold):
         assert pairs < 0.5 * 600 * 600
 
 
+def test_visits_are_made_in_bounded_pieces(monkeypatch, spark):
+    """Copies of a vector for its cells leave a task in frames of bounded size."""
+    import numpy as np
+    import pandas as pd
+
+    from winnow.operators import vectors
+
+    monkeypatch.setattr(vectors, "_COPIES", 64, raising=False)
+    m = np.random.default_rng(8).normal(size=(300, 4))
+    cells = vectors.Cells(vectors._unit(m[:16]), np.full(16, np.pi), np.ones(16, np.int64))
+    made = []
+
+    class Own:
+        schema = spark.createDataFrame([], "id long, v array<double>").schema
+
+        def mapInPandas(self, call, shape):
+            made.extend(call(iter([pd.DataFrame({"id": range(300), "v": list(m)})])))
+
+    vectors._visits(Own(), cells, 0.1)
+    assert sum(map(len, made)) == 300 * 16 and max(map(len, made)) <= 64
+
+
 def test_greedy_multi_key_takes_whole_keys(spark, tmp_path):
     head, tail = "the same opening of a template " * 4, " the same closing of a template" * 4
     texts = [f"{head}one{tail}\nbody one{tail}", f"{head}two{tail}\nbody two{tail}", f"{head}ONE{tail}\nbody one{tail}", f"{head}two{tail}\nanother body"]
