@@ -256,6 +256,15 @@ def test_visits_are_made_in_bounded_pieces(monkeypatch, spark):
     assert sum(map(len, made)) == 300 * 16 and max(map(len, made)) <= 64
 
 
+@pytest.mark.parametrize("name", "R_visual_identity".split())
+def test_long_work_on_a_small_file_is_dealt_out(spark, name):
+    """The tables' files are one task to read; what is made of their rows isn't, and no filter takes the work back to the reading task."""
+    plan = q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    read = plan[plan.index("RepartitionByExpression") :]
+    assert "regexp" not in read
+
+
 def test_greedy_multi_key_takes_whole_keys(spark, tmp_path):
     head, tail = "the same opening of a template " * 4, " the same closing of a template" * 4
     texts = [f"{head}one{tail}\nbody one{tail}", f"{head}two{tail}\nbody two{tail}", f"{head}ONE{tail}\nbody one{tail}", f"{head}two{tail}\nanother body"]

@@ -8,6 +8,7 @@ from .functions import pages, text, urls
 from .functions import terms as T
 from .functions.keys import DISTRIBUTION_WORDS, STORY_STOP_WORDS, story_key
 from .operators import documents, identity
+from .operators.tables import spread
 from .plans import curation
 from .queries import _ALIASED, _COUNT, _DEV, _FIT, _PAGE_TITLE, C, _clean, _has, _in, _lit, _norm, _points, query, table
 from .queries_more import _KIND, _nth, _nth_sql, _unique
@@ -171,7 +172,7 @@ _MARK = ("'https://logo.clearbit.com/' || {0}", "'https://icons.duckduckgo.com/i
 def R_visual_identity(spark, d):
     """Makers and logos of cards of three kinds, with names and addresses planted."""
     p = C("p_partkey")
-    own = table(spark, d, "part").select(
+    own = spread(table(spark, d, "part"), "p_partkey").select(
         "p_partkey",
         F.element_at(F.array(F.lit("news"), F.lit("course"), F.lit("movie")), (p % 3 + 1).cast("int")).alias("type"),
         _nth(_MAKERS).alias("company"),
