@@ -90,7 +90,7 @@ _PLANTED = """i AS (SELECT p_partkey AS p, unnest(range(6)) AS k FROM part WHERE
 )
 def T_document_cards(spark, d):
     """Cards of stored documents: one for each part, with items planted in flat lists or banks; some aren't JSON."""
-    got = documents.document_cards(_stored(table(spark, d, "part")), "p_partkey", "raw")
+    got = documents.document_cards(_stored(spread(table(spark, d, "part"), "p_partkey")), "p_partkey", "raw")
     return got.select("p_partkey", "section", "position", F.when(C("id").rlike("-[0-9a-f]{12}$"), "").otherwise(C("id")).alias("id"), "title", "url", "text")
 
 
