@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import dates, text, urls, values
 from .functions import terms as T
 from .operators import aggregate, classify, joins, records, rejects, state, store
+from .operators.tables import spread
 from .queries import _DOMAIN, _PAGE_REASON, _TOOLS, C, _clean, _has, _in, _lit, _norm, _points, _tools, _under, query, table
 from .sources import landing, versions
 from .streaming import events, keyed, memory
@@ -281,7 +282,7 @@ def B_card_rules(spark, d):
     body = F.when(n % 5 == 0, "short").when(n % 5 == 1, " ".join(["longer"] * 30)).otherwise(_BODY)
     gate = rejects.tool_gate(F.when(n % 4 == 0, "ab").otherwise(C("p_name")), C("p_type"), ("promo",))
     wanted = F.when(n % 4 == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("Brand#11"), F.lit("Brand#12")))
-    return table(spark, d, "part").select(
+    return spread(table(spark, d, "part"), "p_partkey").select(
         "p_partkey",
         rejects.claim_reject(F.lit("A claim"), _nth(_CLAIMS), _nth(_STATES, "p_size")).alias("claim"),
         rejects.summary_reject(_nth(_TITLES), body, F.lit(""), _nth(_LEVELS, "p_size")).alias("summary"),
