@@ -124,7 +124,8 @@ def course_records(raw: DataFrame, fetch_source: str, free_hosts: Sequence[str]
 def bank_records(courses: DataFrame, now: Column) -> DataFrame:
     """PRJ4, CLS18, CLS25: courses (title, url, text, platform and what is given) as rows of the catalogue; what isn't given is inferred."""
     title, url, raw = clean_text(F.col("title")), course_url(F.col("url")), clean_text(F.col("text"))
-    own = courses.withColumn("_t", title).withColumn("_u", url).withColumn("_r", raw).filter((F.col("_t") != "") & (F.col("_u") != ""))
+    # generated, so that filters read the columns and aren't put before them with all that they are made of
+    own = courses.select("*", F.inline(F.array(F.struct(title.alias("_t"), url.alias("_u"), raw.alias("_r"))))).filter((F.col("_t") != "") & (F.col("_u") != ""))
     own = own.filter(course_page(F.col("_u"), F.col("_t"), F.col("_r")))
     own = own.withColumn("_p", platform_name(F.col("platform"), F.lit(""), F.lit(""), F.col("_u"))).withColumn("_c", compact_text(F.col("_r"), F.col("_t"), F.col("_p")))
     own = own.withColumn("_e", F.concat_ws(" ", "_t", "_c")).withColumn("_f", employee_fit(F.col("_e"), F.col("employee_fit_score")))

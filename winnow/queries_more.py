@@ -93,7 +93,7 @@ def R_course_records(spark, d):
     CASE WHEN p_size % 4 = 0 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-02' END AS first_seen_at, CASE WHEN p_size > 20 THEN 3 ELSE 0 END AS selected_count FROM a"""
 )
 def R_bank_records(spark, d):
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part"), "p_partkey")
     url = F.concat(F.lit("HTTPS://www.Uni.example.org"), F.when(C("p_size") % 2 == 0, "/course/").otherwise("/about/"), "p_partkey", F.lit("/"))
     own = p.select(F.concat(F.lit("Course "), "p_name").alias("title"), url.alias("url"), _said(("for a professional", "a certificate", "nothing else")).alias("text"), F.lit("").alias("platform"), F.lit("").alias("level"), F.when(C("p_size") % 3 == 0, "leaders").otherwise("").alias("audience"), (C("p_size") % 6).alias("employee_fit_score"), F.when(C("p_size") % 5 == 0, "paid").otherwise("").alias("free_status"), F.when(C("p_size") % 4 == 0, "2024-01-01").alias("first_seen_at"), F.when(C("p_size") > 20, 3).alias("selected_count"))
     out = records.bank_records(own, F.lit("2024-02-02").cast("timestamp"))
