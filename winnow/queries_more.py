@@ -228,7 +228,7 @@ _HAS_RAW = lambda t, terms: _has(_norm(t), terms)  # noqa: E731  terms as they a
     {_has(_norm("p_name || ' ' || url || ' ' || html"), T.UPDATE)} AS update_like, l IN ('', 'aggregator') OR CASE l WHEN 'layer3' THEN {_under('d', T.SAUDI_OFFICIAL_DOMAINS)} ELSE {_under('d', T.DEVELOPER_DOMAINS)} END AS allowed, {_under('d', T.SAUDI_OFFICIAL_DOMAINS)} AS official FROM u"""
 )
 def B_source_rules(spark, d):
-    own = table(spark, d, "part").select("p_partkey", "p_name", F.concat(F.lit("https://"), _nth(_HOSTS), F.lit("/news/"), "p_partkey").alias("u"), _said(_SOURCE_TERMS).alias("t"), _nth(_LAYERS, "p_size").alias("l"))
+    own = spread(table(spark, d, "part"), "p_partkey").select("p_partkey", "p_name", F.concat(F.lit("https://"), _nth(_HOSTS), F.lit("/news/"), "p_partkey").alias("u"), _said(_SOURCE_TERMS).alias("t"), _nth(_LAYERS, "p_size").alias("l"))
     u, t = C("u"), C("t")
     host = urls.domain(u)
     return own.select(
