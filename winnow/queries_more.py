@@ -498,7 +498,7 @@ def A_dates_read(spark, d):
     o, k = C("o_orderdate").cast("timestamp"), C("o_orderkey")
     said = F.when(k % 3 == 0, "posted 2 days ago").when(k % 3 == 1, "منذ 3 ساعات").otherwise("today")
     plain = lambda c, name: c.cast("timestamp_ntz").alias(name)
-    return table(spark, d, "orders").select(
+    return spread(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select(
         "o_orderkey",
         dates.db_text(o).alias("db_text"),
         dates.arabic_month(o).alias("arabic"),
