@@ -256,7 +256,7 @@ def test_visits_are_made_in_bounded_pieces(monkeypatch, spark):
     assert sum(map(len, made)) == 300 * 16 and max(map(len, made)) <= 64
 
 
-@pytest.mark.parametrize("name", "R_visual_identity T_document_cards B_card_rules R_bank_records B_source_rules A_dates_read C_title_contains".split())
+@pytest.mark.parametrize("name", "R_visual_identity T_document_cards B_card_rules R_bank_records B_source_rules A_dates_read C_title_contains A_text_keys".split())
 def test_long_work_on_a_small_file_is_dealt_out(spark, name):
     """The tables' files are one task to read; what is made of their rows isn't, and no filter takes the work back to the reading task."""
     plan = q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
