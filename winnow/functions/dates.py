@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
-from .rules import blank, lookup
+from .rules import blank, let, lookup
 
 _MONTHS = {m: f"{i:02d}" for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 _NAME = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
@@ -21,7 +21,7 @@ def parse_result(value: Column) -> Column:
     iso = v.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?(Z|[+-]\d{2}:?\d{2})?$")
     forms = [F.try_to_timestamp(v, F.lit(f)) for f in ("d MMM yyyy", "MMM d, yyyy")]
     mail = F.try_to_timestamp(F.regexp_replace(v, "^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss z"))
-    return F.coalesce(F.when(iso, F.try_to_timestamp(v)), *forms, mail)
+    return F.when(v != "", F.coalesce(F.when(iso, F.try_to_timestamp(v)), *forms, mail))
 
 
 @F.pandas_udf(TimestampType())
@@ -65,13 +65,19 @@ def inferred(text: Column) -> Column:
         return F.regexp_extract(t, p, g)
 
     return (
-        F.when(t.rlike(numeric), _dated(part(numeric, 1), part(numeric, 2), part(numeric, 3)))
+        F.when(~t.rlike(r"20\d{2}"), "")  # no year, no date: one quick pass
+        .when(t.rlike(numeric), _dated(part(numeric, 1), part(numeric, 2), part(numeric, 3)))
         .when(t.rlike(name_first), _dated(part(name_first, 3), month(name_first, 1), part(name_first, 2)))
         .when(t.rlike(day_first), _dated(part(day_first, 3), month(day_first, 2), part(day_first, 1)))
         .otherwise("")
     )
 
 
+def inferred_time(text: Column) -> Column:
+    """DAT13: the first date in a text as a timestamp, null if none; the text is searched once."""
+    return let(inferred(text), parse_result)
+
+
 def cutoff(as_of: Column, days: int = 7) -> Column:
     """DAT6."""
     return as_of.cast("timestamp") - F.make_dt_interval(F.lit(max(1, days)))
@@ -106,10 +112,15 @@ def relative(text: Column, as_of: Column) -> Column:
     t = F.lower(blank(text))
     pattern = r"(\d{1,3})\s+(minute|hour|day|week|month)s?\s+ago"
     arabic = r"منذ\s+(\d{1,3})\s+(دقيقة|دقائق|ساعة|ساعات|يوم|أيام|أسبوع|أسابيع|شهر|أشهر)"
-    n = F.coalesce(F.regexp_extract(t, pattern, 1).try_cast("int"), F.regexp_extract(t, arabic, 1).try_cast("int"))
-    unit = F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 2)).otherwise(F.regexp_extract(t, arabic, 2))
-    minutes = lookup(unit, {"minute": 1, "hour": 60, "day": 1440, "week": 10080, "month": 43200, "دقيقة": 1, "دقائق": 1, "ساعة": 60, "ساعات": 60, "يوم": 1440, "أيام": 1440, "أسبوع": 10080, "أسابيع": 10080, "شهر": 43200, "أشهر": 43200})
-    return as_of.cast("timestamp") - F.make_dt_interval(mins=n * minutes)
+    units = {"minute": 1, "hour": 60, "day": 1440, "week": 10080, "month": 43200, "دقيقة": 1, "دقائق": 1, "ساعة": 60, "ساعات": 60, "يوم": 1440, "أيام": 1440, "أسبوع": 10080, "أسابيع": 10080, "شهر": 43200, "أشهر": 43200}
+
+    def minutes(said: Column) -> Column:
+        n = F.coalesce(F.regexp_extract(said, pattern, 1).try_cast("int"), F.regexp_extract(said, arabic, 1).try_cast("int"))
+        unit = F.when(said.rlike(pattern), F.regexp_extract(said, pattern, 2)).otherwise(F.regexp_extract(said, arabic, 2))
+        return n * let(unit, lambda u: lookup(u, units))
+
+    said = let(t, lambda low: F.when(low.rlike(pattern), F.regexp_extract(low, pattern, 0)).otherwise(F.regexp_extract(low, arabic, 0)))  # only the few words found are read for each unit
+    return as_of.cast("timestamp") - F.make_dt_interval(mins=let(said, minutes))
 
 
 def http_date(value: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from .dates import http_date, inferred, parse_result, relative
+from .dates import http_date, inferred_time, parse_result, relative
 from .rules import any_term, blank, let
 from .text import clean_text, collapse
 
@@ -67,9 +67,11 @@ def evidence(html: Column) -> Column:
     published = F.transform(scripts, lambda s: F.coalesce(F.get_json_object(s, "$.datePublished"), F.get_json_object(s, "$[0].datePublished")))
     metas = F.regexp_extract_all(h, F.lit(r"(?is)<meta\b([^>]*article:published_time[^>]*)>"), F.lit(1))
     contents = F.transform(metas, lambda m: F.regexp_extract(m, r"""(?i)\bcontent=["']([^"']*)""", 1))
-    times = F.filter(F.regexp_extract_all(h, F.lit(_TIME), F.lit(1)), lambda t: ~_rewritten(t))
+    timed = F.when(h.rlike(r"(?i)<time\b"), F.regexp_extract_all(h, F.lit(_TIME), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    times = F.filter(timed, lambda t: ~_rewritten(t))
     stamps = F.transform(times, lambda t: F.regexp_extract(t, r"""(?i)\bdatetime=["']([^"']*)""", 1))
     head = F.substring(clean_text(F.regexp_replace(h, r"(?is)<(script|style)\b.*?</\1>", " ")), 1, 2000)
+    head = F.regexp_extract(head, r"(?s)^(.*\d{4}-\d{2}-\d{2})", 1)  # up to its last date: the search below takes 40 steps a character
     near = F.filter(F.regexp_extract_all(head, F.lit(r"(?s)(.{0,40}\d{4}-\d{2}-\d{2}(?=.{0,40}))"), F.lit(1)), lambda t: ~_rewritten(t))
     plain = F.transform(F.slice(near, 1, 1), lambda t: F.regexp_extract(t, r"(\d{4}-\d{2}-\d{2})$", 1))
     return F.concat(found(published, 10, "json_ld_datePublished"), found(contents, 9, "meta_article_published_time"), found(stamps, 7, "time_datetime"), found(plain, 3, "regex_first_2000"))
@@ -83,6 +85,11 @@ def best_date(html: Column) -> Column:
 
 def verified_date(html: Column, url: Column, header: Column, lastmod: Column, as_of: Column) -> Column:
     """DAT10-DAT17: (date, source) by the first of seven sources that has one."""
+    return first_dated(evidence(html), html, header, lastmod, as_of)
+
+
+def first_dated(found: Column, html: Column, header: Column, lastmod: Column, as_of: Column) -> Column:
+    """``verified_date`` of a page whose ``evidence`` is at hand."""
 
     def of(found: Column, source: str) -> Column:
         return F.get(F.filter(found, lambda d: d["source"] == source), F.lit(0))["date"]
@@ -92,7 +99,7 @@ def verified_date(html: Column, url: Column, header: Column, lastmod: Column, as
             ("json_ld", of(found, "json_ld_datePublished")),
             ("meta", of(found, "meta_article_published_time")),
             ("time", of(found, "time_datetime")),
-            ("text", parse_result(F.nullif(inferred(text), F.lit("")))),
+            ("text", inferred_time(text)),
             ("header", http_date(header)),
             ("sitemap", parse_result(lastmod)),
             ("relative", relative(text, as_of)),
@@ -100,7 +107,7 @@ def verified_date(html: Column, url: Column, header: Column, lastmod: Column, as
         named = F.array(*[F.struct(d.alias("date"), F.lit(source).alias("source")) for source, d in dated])
         return F.get(F.filter(named, lambda x: x["date"].isNotNull()), F.lit(0))
 
-    return let(evidence(html), lambda found: let(clean_text(html), lambda text: chain(found, text)))
+    return let(found, lambda own: let(clean_text(html), lambda text: chain(own, text)))
 
 
 def sitemap(xml: DataFrame, xml_col: str = "xml") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import terms as T
-from ..functions.dates import inferred, parse_result
+from ..functions.dates import inferred_time, parse_result
 from ..functions.rules import any_term, blank, first_match, first_set
 from ..functions.text import clean_text, duplicate_text, normalized_text, update_title
 from ..functions.urls import candidate_key, result_key, under
@@ -38,7 +38,7 @@ def summarized(df: DataFrame, order: str, columns: Sequence[str], limit: int = 1
 
 def result_date(published: Column, text: Column) -> Column:
     """DAT19: a result's date as given, else one written out in its text."""
-    return F.coalesce(parse_result(published), parse_result(F.nullif(inferred(text), F.lit(""))))
+    return F.coalesce(parse_result(published), inferred_time(text))
 
 
 def title_key(title: Column) -> Column:
