@@ -58,28 +58,37 @@ def mark_any(items: DataFrame, visible: DataFrame, keys: Sequence[str], flag: st
     return out.withColumn(flag, found).select(*items.columns, flag)
 
 
-def overlapping(items: DataFrame, others: DataFrame, id_col: str, other_id: str, tokens: str, least: int = 4, share: float = 0.58) -> DataFrame:
+def overlapping(items: DataFrame, others: DataFrame, id_col: str, other_id: str, tokens: str, least: int = 4, share: float = 0.58, sent: int = 200_000) -> DataFrame:
     """JON6, JON8: pairs with ``least`` tokens in common that are ``share`` of the smaller set.
 
     With t tokens in common, one of the n - t + 1 rarest of the smaller set is in the
     other one; so only these are looked up, and common words join nothing.  What is
-    found is verified on both sets.
+    found is verified on both sets.  Of the items only the words that the others have
+    go on: before any row is shuffled, if those are at most ``sent``.  Ids are unique.
     """
 
     def own(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col(name).alias("id"), F.size(tokens).alias("n"), F.array_distinct(tokens).alias("set")).filter(F.size("set") >= least)
 
+    def known(df: DataFrame, name: str) -> DataFrame:
+        words = durable(b.select(F.explode("set").alias("t")).distinct())
+        each = df.filter(F.col(name).isNotNull()).select(F.col(name).alias("id"), F.size(tokens).alias("n"), F.explode(F.array_distinct(tokens)).alias("t"))
+        met = each.join(F.broadcast(words) if words.count() <= sent else words, "t", "left_semi")
+        return met.groupBy("id", "n").agg(F.collect_list("t").alias("set")).filter(F.size("set") >= least)
+
     def rarest(df: DataFrame) -> DataFrame:
         each = df.select("id", "n", F.explode("set").alias("t")).join(often, "t", "left")
         ranked = each.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("ts"))
         few = F.greatest(F.lit(0), F.size("ts") - F.greatest(F.lit(least), F.ceil(F.col("n") * share).cast("int")) + 1)
         return ranked.select("id", "n", F.explode(F.slice("ts", F.lit(1), few)["t"]).alias("t"))
 
-    a, b = durable(own(items, id_col)), durable(own(others, other_id))  # sets are read several times
+    b = durable(own(others, other_id))  # sets are read several times
+    a = durable(known(items, id_col))
+    longest = b.agg(F.max("n")).collect()[0][0]
     often = a.select(F.explode("set").alias("t")).unionByName(b.select(F.explode("set").alias("t"))).groupBy("t").agg(F.count("*").alias("f"))
     names = lambda df, x: df.select(F.col("id").alias(f"_{x}"), F.col("n").alias(f"n{x}"), "t")
     every = lambda df: df.select("id", "n", F.explode("set").alias("t"))
-    small = names(rarest(a), "a").join(names(every(b), "b"), "t").filter("na <= nb")
+    small = names(rarest(a.filter(F.col("n") <= F.lit(longest))), "a").join(names(every(b), "b"), "t").filter("na <= nb")
     large = names(rarest(b), "b").join(names(every(a), "a"), "t").filter("nb < na")
     found = small.select("_a", "_b").unionByName(large.select("_a", "_b")).distinct()
     both = found.join(a.select(F.col("id").alias("_a"), F.col("n").alias("na"), F.col("set").alias("sa")), "_a").join(b.select(F.col("id").alias("_b"), F.col("n").alias("nb"), F.col("set").alias("sb")), "_b")
