@@ -205,6 +205,54 @@ def test_greedy_vectors_make_no_pairs(spark, monkeypatch):
     assert sorted(r.pos for r in vectors.greedy(df, "id", "v", 0.7, rows=25).collect()) == kept
 
 
+def test_every_vector_asks_for_its_nearest(spark):
+    """No part of the table is left out as queries."""
+    import numpy as np
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    m = np.array([r.embedding for r in rows], np.float64)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    cos = u @ u.T
+    want = {(rows[i].vec_id, k + 1, rows[j].vec_id) for i in range(len(rows)) for k, j in enumerate([j for j in np.lexsort((np.arange(len(rows)), -cos[i])) if j != i and cos[i, j] >= 0.3][:3])}
+    assert {(r["query"], r["rank"], r["id"]) for r in q.C_knn_top3(spark, SF).collect()} == want
+    assert len({x for x, _, _ in want}) > len(rows) / 2
+
+
+@pytest.mark.parametrize("cells", [True, False])
+def test_nearest_in_blocks(spark, monkeypatch, cells):
+    """Cells, or blocks where all rows meet, find what all pairs have; equal vectors by id, no row its own id."""
+    import numpy as np
+
+    from winnow.operators import vectors
+
+    monkeypatch.setattr(vectors, "_worth", lambda *a: cells)
+    monkeypatch.setattr(vectors, "_blocks", lambda *a: 3)
+    r = np.random.default_rng(4)
+    m = r.normal(size=(10, 7))[r.integers(0, 10, 1400)] + 0.4 * r.normal(size=(1400, 7))
+    m[100:160] = m[7]  # more equal ones than are asked for
+    m[200:230] = 3 * m[9]
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(9000, [0.0] * 7), (9001, None), (9002, []), (9003, [float("nan")] * 7)], "id long, v array<double>").repartition(3)
+    got = {}
+    for x in vectors.nearest(df, "id", "v", 0.6, 3, rows=100).collect():
+        got.setdefault(x["query"], {})[x["rank"]] = (x["id"], x["cosine"])
+    for i in range(len(m)):
+        cos = (u[i] * u).sum(axis=1)
+        near = [j for j in np.lexsort((np.arange(len(m)), -cos)) if j != i and cos[j] >= 0.6][:3]
+        assert [got.get(i, {}).get(k + 1, (None,))[0] for k in range(len(near))] == near and len(got.get(i, {})) == len(near)
+    assert not set(got) - set(range(len(m)))
+
+
+def test_nearest_counts_an_id_of_several_rows(spark):
+    """Rows of a query's own id don't take the places of others."""
+    from winnow.operators import vectors
+
+    vecs = [(1, [1.0, 0.01 * n]) for n in range(5)] + [(2, [1.0, 0.5]), (3, [1.0, 0.6]), (4, [1.0, 0.7]), *((10 + n, [-1.0, 0.1 * n]) for n in range(1200))]
+    df = spark.createDataFrame(vecs, "id long, v array<double>")
+    got = vectors.nearest(df.filter("id < 10"), "id", "v", 0.5, 3).unionByName(vectors.nearest(df, "id", "v", 0.5, 3).filter("query < 10"))
+    assert {(x["query"], x["id"]) for x in got.filter("query = 1").collect()} == {(1, 2)}  # for this id the best three are rows of 2 from its five
+
+
 @pytest.mark.parametrize("threshold", [0.2, 0.9])
 def test_pivots_lose_nothing_and_prune(spark, threshold):
     """Clustered vectors: all pairs are found, and where cells can't match they don't meet."""
