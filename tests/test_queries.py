@@ -127,6 +127,63 @@ def test_like_titles_meet_in_blocks(spark):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize(("ratio", "grams", "own"), [(0.7, 1023, 256), (0.8, 1023, 256), (0.8, 3, 64), (0.95, 40, 64)])
+def test_titles_of_two_blocks_lose_nothing(monkeypatch, ratio, grams, own):
+    """Sums of bits, letters and common subsequences leave all that is alike, also where columns are hashed."""
+    from difflib import SequenceMatcher
+    from random import Random
+
+    import numpy as np
+
+    from winnow.operators import titles as index
+
+    monkeypatch.setattr(index, "_GRAMS", grams)
+    monkeypatch.setattr(index, "_OWN", own)
+    monkeypatch.setattr(index, "_BAND", (2, 8, 20))
+    rnd = Random(8)
+    base = ["the river runs to the old town and its bridges of grey stone ", "an den alten ufern des flusses", "ab", "aab", "題名の日本語", "a" * 64, "x" * 63 + "yz", "ababababababab", "release notes of version two"]
+    every = set(base)
+    while len(every) < 260:
+        t = list(rnd.choice(base))
+        for _ in range(rnd.randrange(12)):
+            k = rnd.randrange(len(t) + 1)
+            t[k : k + rnd.randrange(3)] = rnd.choice(("", "", "a", "e ", "題"))
+        if len(t) > 1:
+            every.add("".join(t))
+    every = sorted(every)
+    rnd.shuffle(every)
+
+    def like(pairs):
+        return {tuple(sorted(p)) for p in pairs if max(SequenceMatcher(None, *p).ratio(), SequenceMatcher(None, *p[::-1]).ratio()) > ratio}
+
+    alphabet = np.unique(index._points(every)[1])
+    one, two = (index._Side(x, alphabet) for x in (every[:130], every[130:]))
+    got = list(index._links(one, two, len(alphabet), ratio, False))
+    assert len(got) == len(set(got)) > 20 and set(got) == like((a, b) for a in every[:130] for b in every[130:])
+    whole = index._Side(every, alphabet)
+    got = list(index._links(whole, whole, len(alphabet), ratio, True))
+    assert len(got) == len(set(got)) and set(got) == like((a, b) for i, a in enumerate(every) for b in every[i + 1 :])
+
+
+def test_few_titles_are_left_to_the_subsequence(monkeypatch):
+    """Of pairs of titles of common syllables, over a quarter of which share enough pairs of characters, few are compared in full."""
+    from random import Random
+
+    import numpy as np
+
+    from winnow.operators import titles as index
+
+    rnd, tried = Random(9), []
+    syllables = "th the and ing er re ion ent tion to in en on of st ou ly sh was hen".split()
+    every = sorted({"".join(rnd.choice(syllables) + rnd.choice(("", " ")) for _ in range(30))[:59] for _ in range(800)})
+    alphabet = np.unique(index._points(every)[1])
+    side, step = index._Side(every, alphabet), index._common_within
+    monkeypatch.setattr(index, "_common_within", lambda masks, first, *rest: tried.append(len(first)) or step(masks, first, *rest))
+    list(index._links(side, side, len(alphabet), 0.8, True))
+    shared = side.grams @ side.grams.T >= 3 * index._needs(side.size[:, None], side.size[None, :], 0.8) - side.size[:, None] - side.size[None, :] - 1
+    assert 0 < sum(tried) < 0.4 * (shared.sum() - len(every)) / 2
+
+
 def test_title_index_prunes(spark):
     """The index lets few pairs of unlike titles through, and the plan has no pairing of blocks or nested loops."""
     from random import Random
